@@ -5,12 +5,12 @@ from __future__ import annotations
 import atexit
 import os
 import re
+import sys
 import tempfile
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,100 +82,138 @@ def text_slices(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[list[byt
         yield part
 
 
-class PieceEncoder:
-    """Encodes whole texts through a cache of their space-separated pieces; the same ids as encoding each text at once.
-
-    splits: gives the pieces of a text such that the tokenizer's own pre-tokens never cross their borders. mark: a string that is
-    one token wherever it stands between two plain pieces, and that no plain piece contains; new pieces are encoded many at a time
-    with it between them. Each piece's ids are kept as little-endian bytes of the given width. The cache has two generations of
-    at most `entries` pieces each.
-    """
+class _Known(dict):
+    """Remembers what make() gave for a key: the first `most` keys for good, the latest `few` others for a while."""
 
-    def __init__(self, path: str, splits: Callable[[str], list[str]], mark: str, width: int = 4, entries: int = 300_000):
-        from tokenizers import Tokenizer
+    def __init__(self, make: Callable, most: int, few: int = 50_000):
+        super().__init__()
+        self.make, self.most, self.few, self.latest = make, most, few, {}
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.splits, self.mark, self.entries, self.lower = splits, mark, entries, splits is split_words
-        self.kind = np.dtype(f"<u{width}")
-        (self.mark_id,) = self.tokenizer.encode(mark, add_special_tokens=False).ids
-        self.plain = re.compile(rf" ?[^\s\x85᠎{mark.strip(' ')}]+").fullmatch
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.young) >= self.entries:
-            self.old, self.young = self.young, {}
-        new, odd = [], []
-        for p in pieces.difference(self.young):
-            if (ids := self.old.get(p)) is not None:
-                self.young[p] = ids
-            elif self.plain(p):
-                new.append(p)
+    def __missing__(self, key):
+        value = self.latest.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(self) < self.most:
+                self[key] = value
             else:
-                odd.append(p)
-        if new:
-            (e,) = self.tokenizer.encode_batch_fast([self.mark.join(new)], add_special_tokens=False)
-            ids = np.array(e.ids, dtype=np.uint32)
-            at = np.flatnonzero(ids == self.mark_id)
-            if len(at) == len(new) - 1:
-                raw, w = ids.astype(self.kind).tobytes(), self.kind.itemsize
-                starts, ends = [0, *((at + 1) * w).tolist()], [*(at * w).tolist(), len(raw)]
-                self.young.update(zip(new, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
-            else:
-                odd += new
-        for p, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.young[p] = np.array(e.ids, dtype=self.kind).tobytes()
+                if len(self.latest) >= self.few:
+                    self.latest = {}
+                self.latest[key] = value
+        return value
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        pieces = [self.splits((b.lower() if self.lower else b).decode("utf-8", "replace")) for b in texts]
-        self._learn(set(chain.from_iterable(pieces)))
-        get = self.young.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
 
+class _Loose(Exception):
+    """White space stands next to a space, so that words can't be told apart there."""
 
-#: A space between two characters that no reader takes for white space: there a byte-level pre-tokenizer always cuts.
-_LOOSE = re.compile(r"[\s\x85᠎] | [\s\x85᠎]|^ | $")
-_BORDER = re.compile(r"(?<=[^\s\x85᠎])(?= [^\s\x85᠎])")
-#: Letters that every reader takes for letters, up to ASCII punctuation or white space (a letter and a mark never share a pre-token;
-#: the apostrophe may).
+
+#: Letters that every reader takes for letters, up to ASCII punctuation or white space: a letter and such a mark never share a pre-token
+#: (the apostrophe may).
 _LETTERS = r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-&(-/:-@\[-`{-~\x20\x09-\x0D]|$)"
-_SOLID = re.compile(rf" ?{_LETTERS}| ?[^\s\x85᠎]+|\n")
-_WORDS = re.compile(rf"{_LETTERS}|[^\x20\x09-\x0D]+")
+_PIECES = re.compile(rf" ?{_LETTERS}| ?[^\s\x85\u180e]+|\n")
+_PARTS = re.compile(rf"{_LETTERS}|[^\x20\x09-\x0D]+")
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: A space between two characters that no reader takes for white space: there a byte-level pre-tokenizer always cuts.
+_BORDER = re.compile(r"(?<=[^\s\x85\u180e])(?= [^\s\x85\u180e])")
+_BLANK = re.compile(r"[\s\x85\u180e]")
 
 
-def split_words(text: str) -> list[str]:
-    """For tokenizers that drop white space and lower-case: the runs between ASCII white space, marks after a word apart."""
-    return _WORDS.findall(text)
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes are themselves, the others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-def split_spaced(text: str) -> list[str]:
-    """For byte-level tokenizers: each word with the space before it, marks after a word apart."""
-    if _LOOSE.search(text) is None and "\n\n" not in text and text[:1] != "\n" and text[-1:] != "\n":
-        found = _SOLID.findall(text)
-        if sum(map(len, found)) == len(text):
-            return found
-    return _BORDER.split(text)
+class PieceEncoder:
+    """Encodes whole texts through what it remembers of their words; the same ids as encoding each text at once.
+
+    spaced: the tokenizer keeps white space, a space being part of the word after it. Else white space only parts words, and letters are
+    lower-cased. Words are cut into pieces where the tokenizer always cuts; a piece of letters alone is one pre-token, and goes straight to
+    its merge model. Ids are kept as little-endian bytes of the given width.
+    """
+
+    def __init__(self, path: str, spaced: bool, width: int):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.spaced, self.width, self.letters = spaced, width, byte_letters()
+        self.merge = self.tokenizer.model.tokenize
+        self.pieces = _Known(self._piece, 100_000)
+        self.words = _Known(self._spaced_word if spaced else self._word, 250_000)
+
+    def _raw(self, ids) -> bytes:
+        own = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            own.byteswap()
+        return own.tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return self._raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        if _PLAIN(piece):
+            own = piece if self.spaced else piece.lower()
+            return self._raw([t.id for t in self.merge(own.encode().decode("latin-1").translate(self.letters))])
+        return self.whole(piece)
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if (m := _SIMPLE(text)) is None:
+            return b"".join(map(self.pieces.__getitem__, _PARTS.findall(text)))
+        return self.pieces[m[1]] + (self.pieces[m[2]] if m[2] else b"")
+
+    def _spaced_word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if (m := _SIMPLE(text)) is not None:
+            return self.pieces[" " + m[1]] + (self.pieces[m[2]] if m[2] else b"")
+        if not text or _BLANK.match(text[0]) or _BLANK.match(text[-1]):
+            raise _Loose
+        return self._between(" " + text)
+
+    def _between(self, text: str) -> bytes:
+        """The ids of a text without white space at its ends, but for a space before it."""
+        found = _PIECES.findall(text)
+        if "\n\n" in text or sum(map(len, found)) < len(text):
+            return self.pieces[text]
+        return b"".join(map(self.pieces.__getitem__, found))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, as bytes."""
+        get = self.words.__getitem__
+        if not self.spaced:
+            return [b"".join(map(get, b.lower().split())) for b in texts]
+        out = []
+        for b in texts:
+            first, *rest = b.split(b" ")
+            try:
+                start = first.decode("utf-8", "replace")
+                if not start or _BLANK.match(start[0]) or _BLANK.match(start[-1]):
+                    raise _Loose
+                out.append(b"".join([self._between(start), *map(get, rest)]))
+            except _Loose:
+                out.append(b"".join(map(self.pieces.__getitem__, _BORDER.split(b.decode("utf-8", "replace")))) if b else b"")
+        return out
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
-def _encoder(path: str, splits: Callable[[str], list[str]], mark: str, width: int) -> PieceEncoder:
+def _encoder(path: str, spaced: bool, width: int) -> PieceEncoder:
     """One encoder for each Python worker, kept between its tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = (path, splits.__name__, width)
+    key = (path, spaced, width)
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, splits, mark, width)
+        _encoders[key] = PieceEncoder(path, spaced, width)
     return _encoders[key]
 
 
 def word_encoder(path: str) -> PieceEncoder:
-    """For a tokenizer that drops white space; ids of 32 bits."""
-    return _encoder(path, split_words, " \x01 ", 4)
+    """For a tokenizer that drops white space and lower-cases; ids of 32 bits."""
+    return _encoder(path, False, 4)
 
 
 def byte_encoder(path: str) -> PieceEncoder:
     """For a byte-level tokenizer of at most 65,536 ids; ids of 16 bits."""
-    return _encoder(path, split_spaced, "\n", 2)
+    return _encoder(path, True, 2)
