@@ -1,10 +1,608 @@
-"""Named queries over the fixture tables, and DuckDB SQL with the same results."""
+"""Named queries over the fixture tables, and DuckDB SQL with the same results.
+
+A stream is a user of the events table: k, frame f, time t in microseconds, value v in hundredths, type e.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from signalwright.functions import labels
+from signalwright.operators import arrays, detectors, events, refractory, report, runs, signals
+from signalwright.sources import readers
+from signalwright.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+HOUR = 3_600_000_000
+K, FT = ["k"], ["f"]
+
+BASE = """s AS (SELECT user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f, epoch_us(ts) AS t,
+  CAST(round(value * 100) AS BIGINT) AS v, event_type AS e FROM events)"""
+
+
+def query(sql: str | None = None):
+    """Registers a query; `sql` may begin with further common tables after BASE."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            own = sql.strip()
+            ORACLE_SQL[f.__name__] = own if own.startswith("--plain") else f"WITH RECURSIVE {BASE}{', ' if not own.startswith('SELECT') else ' '}{own}"
+        return f
+
+    return keep
+
+
+s = readers.signals
+
+
+def of_type(spark: SparkSession, sf: str, kind: str, *columns: str) -> DataFrame:
+    return s(spark, sf).where(F.col("e") == kind).select("k", "f", "t", "v") if not columns else s(spark, sf).where(F.col("e") == kind).select(*columns)
+
+
+# ---- signals ----
+
+
+@query("SELECT k, f, sum(v) OVER w / count(v) OVER w::DOUBLE AS smoothed FROM s WINDOW w AS (PARTITION BY k ORDER BY f ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)")
+def rolling_mean(spark, sf):
+    return signals.rolling_mean(s(spark, sf), K, FT, "v", 7, "smoothed").select("k", "f", "smoothed")
+
+
+@query("SELECT k, f, quantile_cont(v, 0.5) OVER (PARTITION BY k ORDER BY f ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)::DOUBLE AS median FROM s")
+def rolling_median(spark, sf):
+    return signals.rolling_median(s(spark, sf), K, FT, "v", 9, "median").select("k", "f", "median")
+
+
+@query("""m AS (SELECT k, f, sum(v) OVER w / count(v) OVER w::DOUBLE AS x, row_number() OVER (PARTITION BY k ORDER BY f) AS n FROM s
+  WINDOW w AS (PARTITION BY k ORDER BY f ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
+d AS (SELECT k, f, CASE WHEN n >= 5 THEN x - lag(x, 4) OVER o ELSE 0 END AS l, CASE WHEN n >= 3 THEN x - lag(x, 2) OVER o ELSE 0 END AS r FROM m WINDOW o AS (PARTITION BY k ORDER BY f))
+SELECT k, f, greatest(l, r) AS strength, CASE WHEN l >= 6000 OR r >= 4000 THEN 'table' END AS region FROM d WHERE l >= 6000 OR r >= 4000""")
+def lag_diff_multi(spark, sf):
+    x = signals.rolling_mean(s(spark, sf), K, FT, "v", 7, "x")
+    x = signals.lagged_difference(x, K, FT, "x", 5, "long")
+    x = signals.lagged_difference(x, K, FT, "x", 3, "short")
+    ok, strength, region = signals.passes(F.col("long"), F.col("short"), 6000, 4000)
+    return x.where(ok).select("k", "f", strength.alias("strength"), region.alias("region"))
+
+
+@query("""g AS (SELECT *, sum(CASE WHEN v > 5000 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY f) AS g FROM s)
+SELECT k, f, CASE WHEN v > 5000 THEN row_number() OVER (PARTITION BY k, g, v > 5000 ORDER BY f) ELSE 0 END::BIGINT AS run FROM g""")
+def run_length(spark, sf):
+    return runs.run_length(s(spark, sf), K, FT, F.col("v") > 5000, "run").select("k", "f", "run")
+
+
+def _latch_sql(hold: int, tail: str) -> str:
+    """A debounced latch as a state machine that steps through the rows."""
+    return f"""m AS (SELECT k, f, t, v, 0 AS run, 0 AS state FROM s WHERE false
+  UNION ALL SELECT k, 0 AS f, t, v, (v > 10000)::INT, CASE WHEN (v > 10000)::INT >= {hold} THEN 1 ELSE 0 END FROM s WHERE f = 0),
+step AS (SELECT * FROM m UNION ALL
+  SELECT n.k, n.f, n.t, n.v, CASE WHEN n.v > 10000 THEN p.run + 1 ELSE 0 END,
+    CASE WHEN (CASE WHEN n.v > 10000 THEN p.run + 1 ELSE 0 END) >= {hold} THEN 1 WHEN n.v < 1500 THEN 0 ELSE p.state END
+  FROM step p JOIN s n ON n.k = p.k AND n.f = p.f + 1){tail}"""
+
+
+def _latched(spark, sf, hold=1):
+    return runs.hysteresis(s(spark, sf), K, FT, "v", 10000, 1500, hold, "state")
+
+
+@query(_latch_sql(1, " SELECT k, f, state FROM step"))
+def hysteresis_latch(spark, sf):
+    return _latched(spark, sf).select("k", "f", "state")
+
+
+_EDGES = ", ed AS (SELECT *, state - coalesce(lag(state) OVER (PARTITION BY k ORDER BY f), 0) AS d FROM step)"
+
+
+@query(_latch_sql(2, _EDGES + " SELECT k, f, CASE WHEN d > 0 THEN 'rise' ELSE 'fall' END AS edge FROM ed WHERE d <> 0"))
+def debounce_edges(spark, sf):
+    return runs.edges(_latched(spark, sf, 2), K, FT, "state", "edge").select("k", "f", "edge")
+
+
+_CYCLES = _EDGES + """, num AS (SELECT *, sum((d > 0)::INT) OVER (PARTITION BY k ORDER BY f) AS c FROM ed),
+cyc AS (SELECT k, c, min(f) FILTER (WHERE d > 0) AS first, min(f) FILTER (WHERE d < 0) AS stop, max(v) FILTER (WHERE state = 1) AS peak, min(t) FILTER (WHERE d < 0) AS t FROM num WHERE c > 0 GROUP BY k, c)"""
+
+
+def _cycles(spark, sf):
+    x = runs.islands(_latched(spark, sf), K, FT, "state", "island")
+    own = x.where("state = 1").groupBy("k", "island").agg(F.min("f").alias("first"), F.max("v").alias("peak"))
+    ends = x.where("state = 0").groupBy("k", (F.col("island") - 1).alias("island")).agg(F.min("f").alias("stop"), F.min("t").alias("t"))
+    return own.join(ends, ["k", "island"], "left")
+
+
+@query(_latch_sql(1, _CYCLES + " SELECT k, first, stop, peak, stop - first AS duration FROM cyc"))
+def latch_cycles(spark, sf):
+    return _cycles(spark, sf).select("k", "first", "stop", "peak", (F.col("stop") - F.col("first")).alias("duration"))
+
+
+_SPACED = """{c} AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t) AS i FROM ({src})),
+{o} AS (SELECT k, i, t, t AS last, true AS keep FROM {c} WHERE i = 1
+  UNION ALL SELECT n.k, n.i, n.t, CASE WHEN n.t - p.last >= {gap} THEN n.t ELSE p.last END, n.t - p.last >= {gap} FROM {o} p JOIN {c} n ON n.k = p.k AND n.i = p.i + 1)"""
+
+
+@query(_SPACED.format(c="c", o="o", src="SELECT k, t FROM s WHERE e = 'purchase'", gap=12 * HOUR) + " SELECT k, t FROM o WHERE keep")
+def min_gap_filter(spark, sf):
+    return refractory.keep_spaced(of_type(spark, sf, "purchase", "k", "t"), K, "t", 12 * HOUR)
+
+
+@query("b AS (SELECT *, lag(v) OVER (PARTITION BY k ORDER BY t) AS pv FROM s), " + _SPACED.format(c="c", o="o", src="SELECT k, t FROM b WHERE v > 8000 AND coalesce(pv, 0) < 8000", gap=24 * HOUR) + " SELECT k, t FROM o WHERE keep")
+def cooldown_edges(spark, sf):
+    return events.edge_with_cooldown(s(spark, sf).select("k", "t", "v"), K, "t", "v", 8000, 24 * HOUR).select("k", "t")
+
+
+_BREAK = """bm AS (SELECT k, f, t, v, (v > 3500)::INT AS up, (v < 3500)::INT AS dn, 0 AS state FROM s WHERE f = 0
+  UNION ALL SELECT n.k, n.f, n.t, n.v, CASE WHEN n.v > 3500 THEN p.up + 1 ELSE 0 END, CASE WHEN n.v < 3500 THEN p.dn + 1 ELSE 0 END,
+    CASE WHEN n.v > 3500 AND p.up + 1 >= 3 THEN 1 WHEN n.v < 3500 AND p.dn + 1 >= 2 THEN 0 ELSE p.state END FROM bm p JOIN s n ON n.k = p.k AND n.f = p.f + 1),
+be AS (SELECT *, state - coalesce(lag(state) OVER (PARTITION BY k ORDER BY f), 0) AS d FROM bm),
+mk AS (SELECT k, CASE WHEN d > 0 THEN f - 3 ELSE f END AS f, f AS seen, t, CASE WHEN d > 0 THEN 'start' ELSE 'end' END AS e FROM be WHERE d <> 0),
+br AS (SELECT * FROM (SELECT k, f AS start, e, lead(f) OVER (PARTITION BY k ORDER BY seen) AS stop FROM mk) WHERE e = 'start')"""
+
+
+def _breaks(spark, sf):
+    marks = runs.edges(runs.break_latch(s(spark, sf), K, FT, "v", 3500, 3, 2, "state"), K, FT, "state", "edge")
+    marks = marks.select("k", F.when(F.col("edge") == "rise", F.col("f") - 3).otherwise(F.col("f")).alias("f"), F.when(F.col("edge") == "rise", "start").otherwise("end").alias("e"))
+    return events.pair_breaks(marks, K, "f", "e")
+
+
+@query(_BREAK + " SELECT k, start, stop FROM br")
+def break_intervals(spark, sf):
+    return _breaks(spark, sf)
+
+
+@query(_BREAK + """, en AS (SELECT k, count(*) AS duration FROM s GROUP BY k)
+SELECT en.k, coalesce(sum(coalesce(stop, duration) - start), 0)::BIGINT AS break_time, (duration - coalesce(sum(coalesce(stop, duration) - start), 0))::BIGINT AS active_time
+FROM en LEFT JOIN br ON en.k = br.k GROUP BY en.k, duration""")
+def break_time_active(spark, sf):
+    ends = s(spark, sf).groupBy("k").agg(F.count("*").alias("duration"))
+    return events.break_time(_breaks(spark, sf), ends, K, "duration")
+
+
+@query("""g AS (SELECT *, (v > 6000) AS p, f - row_number() OVER (PARTITION BY k, v > 6000 ORDER BY f) AS g FROM s)
+SELECT k, min(f) AS first, count(*) AS duration, max(v) AS peak, arg_max(f, (v, -f)) AS peak_at, max(f) = max(n) AS open
+FROM (SELECT *, max(f) OVER (PARTITION BY k) AS n FROM g) WHERE p GROUP BY k, g""")
+def spike_segments(spark, sf):
+    x = s(spark, sf).withColumn("p", (F.col("v") > 6000).cast("int")).withColumn("n", F.max("f").over(Window.partitionBy("k")))
+    x = runs.islands(x, K, FT, "p", "island").where("p = 1").groupBy("k", "island")
+    return x.agg(F.min("f").alias("first"), F.count("*").alias("duration"), F.max("v").alias("peak"), F.max_by("f", F.struct("v", -F.col("f"))).alias("peak_at"), (F.max("f") == F.max("n")).alias("open")).drop("island")
+
+
+@query("""r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY f DESC) AS b FROM s), u AS (SELECT *, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY f) - 1 AS i FROM r WHERE b <= 50)
+SELECT k, (sum(v) FILTER (WHERE i >= n // 2) / count(*) FILTER (WHERE i >= n // 2)::DOUBLE - sum(v) FILTER (WHERE i < n // 2) / count(*) FILTER (WHERE i < n // 2)::DOUBLE) / (max(n) / 25.0::DOUBLE) AS slope FROM u GROUP BY k HAVING max(n) >= 10""")
+def segment_slope(spark, sf):
+    x = readers.latest(s(spark, sf), K, "f", 50).withColumn("n", F.count("*").over(Window.partitionBy("k"))).withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("f")) - 1)
+    half = F.floor(F.col("n") / 2)
+    mean = lambda c: F.sum(F.when(c, F.col("v"))).cast("double") / F.count_if(c)
+    return x.groupBy("k").agg(((mean(F.col("i") >= half) - mean(F.col("i") < half)) / (F.max("n") / F.lit(25.0))).alias("slope"), F.max("n").alias("n")).where("n >= 10").select("k", "slope")
+
+
+@query("""SELECT 'v5' AS version, l_orderkey, l_linenumber, CASE WHEN sc >= 4 THEN 'high' WHEN sc >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM (
+SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 40 THEN 3 WHEN l_quantity >= 30 THEN 2 WHEN l_quantity >= 22 THEN 1 ELSE 0 END + CASE WHEN l_linenumber >= 5 THEN 2 WHEN l_linenumber >= 3 THEN 1 ELSE 0 END
++ CASE WHEN l_quantity >= 8 THEN 1 WHEN l_quantity >= 5 THEN 0.5 ELSE 0 END + CASE WHEN l_discount * 100 > 5 THEN 1 WHEN l_discount > 0 THEN 0.5 ELSE 0 END + CASE WHEN l_tax * 2000 < 90 THEN 0.5 ELSE 0 END - CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS sc FROM lineitem)""")
+def confidence_score(spark, sf):
+    x = readers.table(spark, sf, "lineitem")
+    c = signals.confidence(F.col("l_quantity"), F.col("l_linenumber"), F.col("l_quantity"), F.when(F.col("l_discount") * 100 > 5, 6.0).otherwise(F.col("l_discount")), F.col("l_tax") * 2000, F.col("l_returnflag") == "R")
+    return x.select(F.lit("v5").alias("version"), "l_orderkey", "l_linenumber", c.alias("confidence"))
+
+
+# ---- events ----
+
+_W = 24 * HOUR
+
+
+@query(f"SELECT k, f, v FROM (SELECT *, max(v) OVER (PARTITION BY k ORDER BY t RANGE BETWEEN {_W} PRECEDING AND CURRENT ROW) AS m FROM s) WHERE v * 10 >= 6 * m")
+def echo_suppress(spark, sf):
+    return events.drop_echoes(s(spark, sf), K, "t", "v", _W, F.lit(0.6)).select("k", "f", "v")
+
+
+@query(f"SELECT a.k, a.f, max_by(b.t, b.t) AS preceding, max_by(b.v, b.t) AS preceding_strength FROM s a JOIN s b ON a.k = b.k AND b.t < a.t AND a.t - b.t <= {_W} AND a.v * 10 < 6 * b.v GROUP BY a.k, a.f")
+def echo_audit(spark, sf):
+    return events.echo_audit(s(spark, sf), K, "t", "v", _W, F.lit(0.6)).select("k", "f", "preceding", "preceding_strength")
+
+
+@query(f"""o AS (SELECT k, f, t, v, f AS kf, t AS kt, v AS kv, NULL::BIGINT AS done FROM s WHERE f = 0
+  UNION ALL SELECT n.k, n.f, n.t, n.v, CASE WHEN c AND n.v <= p.kv THEN p.kf ELSE n.f END, CASE WHEN c AND n.v <= p.kv THEN p.kt ELSE n.t END, CASE WHEN c THEN greatest(n.v, p.kv) ELSE n.v END, CASE WHEN c THEN NULL ELSE p.kf END
+  FROM (SELECT p.*, n.t - p.kt <= {5 * HOUR} AND greatest(n.v, p.kv) > 10000 AS c FROM o p JOIN s n ON n.k = p.k AND n.f = p.f + 1) p JOIN s n ON n.k = p.k AND n.f = p.f + 1),
+kept AS (SELECT k, done AS f FROM o WHERE done IS NOT NULL UNION ALL SELECT k, max_by(kf, f) FROM o GROUP BY k)
+SELECT s.k, s.f, s.t, s.v FROM kept JOIN s ON s.k = kept.k AND s.f = kept.f""")
+def close_pair_merge(spark, sf):
+    return refractory.merge_close(s(spark, sf).select("k", "t", "f", "v"), K, "t", "v", 5 * HOUR, 10000).select("k", "f", "t", "v")
+
+
+@query(f"""SELECT k, f, coalesce(t - lag(t) OVER w <= {5 * HOUR} AND greatest(v, lag(v) OVER w) > 10000, false) OR coalesce(lead(t) OVER w - t <= {5 * HOUR} AND greatest(v, lead(v) OVER w) > 10000, false) AS suspect FROM s WINDOW w AS (PARTITION BY k ORDER BY f)""")
+def close_pair_flag(spark, sf):
+    return events.flag_close(s(spark, sf), K, "t", "v", 5 * HOUR, 10000, "suspect").select("k", "f", "suspect")
+
+
+_TWO = f"p AS (SELECT * FROM s WHERE e = 'purchase'), c AS (SELECT * FROM s WHERE e = 'click') SELECT c.k, c.f FROM c WHERE {{}} EXISTS (SELECT 1 FROM p WHERE p.k = c.k AND p.t - c.t BETWEEN {-2 * HOUR} AND {10 * HOUR})"
+
+
+@query(_TWO.format("NOT"))
+def interval_anti_reject(spark, sf):
+    return events.without_partner(of_type(spark, sf, "click"), of_type(spark, sf, "purchase"), K, "t", "t", -2 * HOUR, 10 * HOUR).select("k", "f")
+
+
+@query(_TWO.format(""))
+def interval_semi_accept(spark, sf):
+    return events.with_partner(of_type(spark, sf, "click"), of_type(spark, sf, "purchase"), K, "t", "t", -2 * HOUR, 10 * HOUR).select("k", "f")
+
+
+@query(f"""p AS (SELECT * FROM s WHERE e = 'purchase'), c AS (SELECT * FROM s WHERE e = 'click')
+SELECT k, f, ct FROM (SELECT p.k, p.f, c.t AS ct, row_number() OVER (PARTITION BY p.k, p.f ORDER BY abs(c.t - p.t), c.t) AS r FROM p LEFT JOIN c ON p.k = c.k AND c.t - p.t BETWEEN {-2 * HOUR} AND {10 * HOUR}) WHERE r = 1""")
+def nearest_event(spark, sf):
+    clicks = of_type(spark, sf, "click").select("k", F.col("t").alias("ct"))
+    return events.nearest(of_type(spark, sf, "purchase", "k", "f", "t"), clicks, K, "t", "ct", -2 * HOUR, 10 * HOUR).select("k", "f", "ct")
+
+
+@query(f"""l AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY t) AS i FROM s WHERE e = 'error'), d AS (SELECT k, list(t ORDER BY t) AS ds FROM s WHERE e = 'purchase' GROUP BY k),
+g AS (SELECT l.k, 0::BIGINT AS i, NULL::BIGINT AS label, NULL::BIGINT AS detection, coalesce(ds, []::BIGINT[]) AS rest FROM (SELECT DISTINCT k FROM l) l LEFT JOIN d ON l.k = d.k
+  UNION ALL SELECT k, i, t, best, CASE WHEN best IS NULL THEN rest ELSE list_filter(rest, lambda z: z <> best) END FROM (
+    SELECT g.k, l.i, l.t, g.rest, list_aggregate(list_transform(list_filter(g.rest, lambda z: abs(z - l.t) <= {5 * HOUR}), lambda z: {{'far': abs(z - l.t), 'at': z}}), 'min').at AS best FROM g JOIN l ON l.k = g.k AND l.i = g.i + 1))
+SELECT k, label, detection FROM g WHERE i > 0""")
+def greedy_match(spark, sf):
+    return refractory.greedy_match(of_type(spark, sf, "error"), of_type(spark, sf, "purchase"), K, "t", 5 * HOUR)
+
+
+@query(f"""l AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY t) AS i FROM s WHERE e = 'error'), p AS (SELECT * FROM s WHERE e = 'purchase')
+SELECT p.k, p.t FROM p WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.k = p.k AND abs(l.t - p.t) <= {5 * HOUR})""")
+def unmatched_extras(spark, sf):
+    return events.without_partner(of_type(spark, sf, "purchase", "k", "t"), of_type(spark, sf, "error", "k", "t"), K, "t", "t", -5 * HOUR, 5 * HOUR)
+
+
+_DAYS = f"dd AS (SELECT k, t // {_W} AS d, count(*) AS n FROM s GROUP BY 1, 2), off AS (SELECT k, d, coalesce(sum(n) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM dd)"
+
+
+@query(f"{_DAYS} SELECT s.k, s.f, (s.t % {_W}) + off.o AS day_at FROM s JOIN off ON s.k = off.k AND s.t // {_W} = off.d")
+def segment_offsets(spark, sf):
+    x = s(spark, sf).withColumn("d", F.expr(f"t div {_W}")).withColumn("at", F.col("t") % _W)
+    return events.stitch(x.groupBy("k", "d").agg(F.count("*").alias("n")), x, K, "d", "n", "at").select("k", "f", "day_at")
+
+
+@query("SELECT k, t, e, CASE WHEN e = 'purchase' THEN v END AS diff, CASE WHEN e = 'click' THEN v END AS texture FROM s WHERE e IN ('purchase', 'click')")
+def union_events(spark, sf):
+    a = of_type(spark, sf, "purchase", "k", "t", "e", F.col("v").alias("diff"))
+    return a.unionByName(of_type(spark, sf, "click", "k", "t", "e", F.col("v").alias("texture")), allowMissingColumns=True)
+
+
+@query("""SELECT k, f, v FROM s WHERE e = 'purchase' UNION ALL SELECT k, f, v FROM s WHERE e = 'click' AND k NOT IN (SELECT k FROM s WHERE e = 'purchase')""")
+def fallback_source(spark, sf):
+    first = of_type(spark, sf, "purchase", "k", "f", "v")
+    return first.unionByName(of_type(spark, sf, "click", "k", "f", "v").join(first, "k", "left_anti"))
+
+
+_RANGES = "rg AS (SELECT min(t) + 10 * 24 * 3600 * 1000000::BIGINT AS lo, min(t) + 15 * 24 * 3600 * 1000000::BIGINT AS hi FROM s)"
+
+
+def _ranges(spark, sf):
+    day = _W
+    return s(spark, sf).agg((F.min("t") + 10 * day).alias("lo"), (F.min("t") + 15 * day).alias("hi"))  # one row
+
+
+@query(_RANGES + " SELECT k, f FROM s, rg WHERE t BETWEEN lo AND hi")
+def range_membership(spark, sf):
+    x = s(spark, sf)
+    return x.join(F.broadcast(_ranges(spark, sf)), F.col("t").between(F.col("lo"), F.col("hi")), "left_semi").select("k", "f")
+
+
+@query(_RANGES + " SELECT k, f FROM s, rg WHERE NOT t BETWEEN lo AND hi")
+def range_excluded(spark, sf):
+    x = s(spark, sf)
+    return x.join(F.broadcast(_ranges(spark, sf)), F.col("t").between(F.col("lo"), F.col("hi")), "left_anti").select("k", "f")
+
+
+# ---- reports ----
+
+
+@query("SELECT e, CASE WHEN count(*) > 1 THEN (max(t) - min(t)) / (count(*) - 1)::DOUBLE ELSE 0 END AS mean_cycle, count(*) AS n FROM s GROUP BY e")
+def mean_cycle(spark, sf):
+    n = F.count("*")
+    return s(spark, sf).groupBy("e").agg(F.when(n > 1, (F.max("t") - F.min("t")).cast("double") / (n - 1)).otherwise(0.0).alias("mean_cycle"), n.alias("n"))
+
+
+@query(f"SELECT k, max(n) AS peak FROM (SELECT k, count(*) OVER (PARTITION BY k ORDER BY t RANGE BETWEEN CURRENT ROW AND {_W} FOLLOWING) AS n FROM s) GROUP BY k")
+def peak_window_rate(spark, sf):
+    return report.peak_rate(s(spark, sf), K, "t", _W)
+
+
+@query(f"SELECT k, p AS idle_from, t AS idle_to FROM (SELECT k, t, lag(t) OVER (PARTITION BY k ORDER BY t) AS p FROM s) WHERE t - p > {_W}")
+def idle_gaps(spark, sf):
+    return report.idle_gaps(s(spark, sf), K, "t", _W)
+
+
+@query("SELECT k, e, t, count(*) OVER (PARTITION BY k, e ORDER BY t) AS n FROM s")
+def cumulative_counts(spark, sf):
+    return s(spark, sf).select("k", "e", "t", F.count("*").over(Window.partitionBy("k", "e").orderBy("t")).alias("n"))
+
+
+@query(_latch_sql(1, _CYCLES + " SELECT k, first, stop FROM cyc WHERE stop IS NOT NULL"))
+def state_runs(spark, sf):
+    return _cycles(spark, sf).where(F.col("stop").isNotNull()).select("k", "first", "stop")
+
+
+_HOURS = f"""st AS (SELECT min(t) AS t0, max(t) - min(t) - {3 * _W} AS dur FROM s), x AS (SELECT s.*, (t - t0) // {_W} AS b FROM s, st), sp AS (SELECT unnest(range(0, dur // {_W} + 1)) AS b FROM st)"""
+
+
+def _spined(spark, sf):
+    x = s(spark, sf)
+    start = x.agg(F.min("t").alias("t0"), (F.max("t") - F.min("t") - 3 * _W).alias("dur"))  # one row
+    days = x.join(F.broadcast(start), F.lit(True)).withColumn("b", F.expr(f"(t - t0) div {_W}"))
+    return days, report.spine(start.withColumn("g", F.lit(0)), ["g"], "dur", _W, "b")
+
+
+@query(f"{_HOURS} SELECT sp.b, count(*) FILTER (WHERE e = 'purchase') AS accepted, count(*) FILTER (WHERE e = 'click') AS rejected FROM sp LEFT JOIN x ON x.b = sp.b GROUP BY sp.b")
+def hour_bins_drop(spark, sf):
+    x, spine = _spined(spark, sf)
+    return report.count_bins(spine, x.withColumn("g", F.lit(0)), ["g"], F.col("b"), "b", accepted=F.col("e") == "purchase", rejected=F.col("e") == "click").drop("g")
+
+
+@query(f"{_HOURS}, y AS (SELECT e, least(x.b, dur // {_W}) AS b FROM x, st) SELECT sp.b, 11 + sp.b AS label, count(*) FILTER (WHERE e = 'purchase') AS accepted, count(*) FILTER (WHERE e = 'click') AS rejected FROM sp LEFT JOIN y ON y.b = sp.b GROUP BY sp.b")
+def hour_pivot_clamp(spark, sf):
+    x, spine = _spined(spark, sf)
+    clamped = F.least(F.col("b"), F.expr(f"dur div {_W}"))
+    return report.count_bins(spine, x.withColumn("g", F.lit(0)), ["g"], clamped, "b", accepted=F.col("e") == "purchase", rejected=F.col("e") == "click").select("b", (11 + F.col("b")).alias("label"), "accepted", "rejected")
+
+
+@query(f"""u AS (SELECT *, (t - min(t) OVER (PARTITION BY k)) // {HOUR * 24} AS since, (max(t) OVER (PARTITION BY k) - min(t) OVER (PARTITION BY k)) // {HOUR // 60 * 4} AS dur FROM s)
+SELECT k, (since * 500) // CASE WHEN dur < 7200 THEN 300 WHEN dur < 21600 THEN 900 ELSE 1800 END AS b, count(*) AS n FROM u GROUP BY 1, 2""")
+def adaptive_buckets(spark, sf):
+    own = Window.partitionBy("k")
+    x = s(spark, sf).withColumn("at", F.expr(f"(t - min(t) over (partition by k)) div {HOUR * 24}")).withColumn("dur", F.floor((F.max("t").over(own) - F.min("t").over(own)) / (HOUR // 60 * 4)))
+    return x.withColumn("b", F.floor(F.col("at") * 500 / labels.bucket_size(F.col("dur")))).groupBy("k", "b").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT t // {6 * HOUR} AS b, count(*) AS n, count(*) / 6.0::DOUBLE AS rate FROM s WHERE e = 'purchase' GROUP BY 1")
+def bucket_rates_nonempty(spark, sf):
+    return of_type(spark, sf, "purchase").groupBy(F.expr(f"t div {6 * HOUR}").alias("b")).agg(F.count("*").alias("n"), (F.count("*") / F.lit(6.0)).alias("rate"))
+
+
+@query(f"SELECT (t // {HOUR}) % 24 AS hour, e AS reason, count(*) AS n FROM s GROUP BY 1, 2")
+def reason_by_hour(spark, sf):
+    return s(spark, sf).groupBy((F.expr(f"t div {HOUR}") % 24).alias("hour"), F.col("e").alias("reason")).agg(F.count("*").alias("n"))
+
+
+_STATS = "SELECT {g}, count(*) AS n, min(l_quantity) AS least, max(l_quantity) AS most, sum(l_quantity) / count(*) AS mean, quantile_cont(l_quantity, 0.5) AS median, sqrt(count(*) * sum(l_quantity * l_quantity) - sum(l_quantity) * sum(l_quantity)) / count(*) AS deviation FROM lineitem GROUP BY {g}"
+
+
+def _deviation(c: str):
+    """From whole-number sums, so that the order of the rows doesn't matter."""
+    return F.sqrt(F.count("*") * F.sum(F.col(c) * F.col(c)) - F.sum(c) * F.sum(c)) / F.count("*")
+
+
+@query("--plain\n" + _STATS.format(g="l_returnflag"))
+def class_stats(spark, sf):
+    q = "l_quantity"
+    return readers.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.min(q).alias("least"), F.max(q).alias("most"), (F.sum(q) / F.count("*")).alias("mean"), F.percentile(q, F.lit(0.5)).alias("median"), _deviation(q).alias("deviation"))
+
+
+@query("--plain\nWITH c AS (" + _STATS.format(g="l_linestatus") + ") SELECT abs(a.mean - b.mean) / greatest((a.deviation + b.deviation) / 2, 0.1) AS separation FROM c a, c b WHERE a.l_linestatus = 'F' AND b.l_linestatus = 'O'")
+def separation(spark, sf):
+    own = lambda c: F.when(F.col("l_linestatus") == c, F.col("l_quantity"))
+    x = readers.table(spark, sf, "lineitem").select(own("F").alias("a"), own("O").alias("b"))
+    parts = x.agg(*(f.alias(n) for c in "ab" for f, n in ((F.count(c), f"{c}n"), (F.sum(c), f"{c}s"), (F.sum(F.col(c) * F.col(c)), f"{c}q"))))
+    stat = lambda c: (F.col(f"{c}s") / F.col(f"{c}n"), F.sqrt(F.col(f"{c}n") * F.col(f"{c}q") - F.col(f"{c}s") * F.col(f"{c}s")) / F.col(f"{c}n"))
+    return parts.select(report.separation(stat("a"), stat("b")).alias("separation"))
+
+
+@query("--plain\nSELECT cut::DOUBLE AS cut, count(*) FILTER (WHERE l_quantity >= cut AND l_returnflag = 'R') AS hits, count(*) FILTER (WHERE l_quantity < cut AND l_returnflag <> 'R') AS rejections FROM lineitem, (VALUES (5), (10), (20), (30), (40), (50)) c(cut) GROUP BY cut")
+def threshold_sweep(spark, sf):
+    return report.sweep(readers.table(spark, sf, "lineitem"), [5, 10, 20, 30, 40, 50], "l_quantity", F.col("l_returnflag") == "R")
+
+
+@query("--plain\nSELECT o_orderpriority AS metric, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
+def run_compare_pivot(spark, sf):
+    x = readers.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("metric")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
+    return x.na.fill(0)
+
+
+@query(f"""a AS (SELECT t // {_W} AS d, count(*) AS n FROM s WHERE e = 'purchase' AND v > 12000 GROUP BY 1), b AS (SELECT t // {_W} AS d, count(*) AS n FROM s WHERE e = 'click' AND v > 12000 GROUP BY 1)
+SELECT coalesce(a.d, b.d) AS d, coalesce(a.n, 0) AS v5, coalesce(b.n, 0) AS v6, coalesce(b.n, 0) - coalesce(a.n, 0) AS more FROM a FULL JOIN b ON a.d = b.d""")
+def version_compare(spark, sf):
+    side = lambda kind, n: s(spark, sf).where((F.col("e") == kind) & (F.col("v") > 12000)).groupBy(F.expr(f"t div {_W}").alias("d")).agg(F.count("*").alias(n))
+    x = side("purchase", "v5").join(side("click", "v6"), "d", "full").na.fill(0, ["v5", "v6"])
+    return x.select("d", "v5", "v6", (F.col("v6") - F.col("v5")).alias("more"))
+
+
+@query("SELECT k, f FROM (SELECT k, f, count(*) OVER (PARTITION BY k) AS n FROM s) WHERE f % greatest(1, n // 18) = 0")
+def sample_every_nth(spark, sf):
+    return report.sample(s(spark, sf), K, FT, 18).select("k", "f")
+
+
+@query("SELECT k, f FROM (SELECT k, f, count(*) OVER (PARTITION BY k) AS n FROM s) WHERE f % (CASE WHEN n > 30 THEN ceil(n / 30.0)::BIGINT ELSE 1 END) = 0 OR f = n - 1")
+def sample_keep_last(spark, sf):
+    return report.sample(s(spark, sf), K, FT, 30, keep_last=True).select("k", "f")
+
+
+@query("SELECT k, f FROM s WHERE f % 25 = 0")
+def sample_frames(spark, sf):
+    return s(spark, sf).where("f % 25 = 0").select("k", "f")
+
+
+@query("SELECT k, f FROM (SELECT k, f, count(*) OVER (PARTITION BY k) AS n FROM s) WHERE f < 10 OR f >= n - 10")
+def first_and_last(spark, sf):
+    return report.ends_of(s(spark, sf), K, FT, 10).select("k", "f")
+
+
+@query("SELECT k, f, t FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY f DESC) AS r FROM s) WHERE r <= 20")
+def bounded_retention(spark, sf):
+    return readers.latest(s(spark, sf), K, "f", 20).select("k", "f", "t")
+
+
+@query("SELECT k, e, n, n % 10 = 0 OR n = c AS marked FROM (SELECT k, e, row_number() OVER (PARTITION BY k, e ORDER BY f) AS n, count(*) OVER (PARTITION BY k, e) AS c FROM s)")
+def event_number_markers(spark, sf):
+    own = Window.partitionBy("k", "e")
+    x = s(spark, sf).select("k", "e", F.row_number().over(own.orderBy("f")).cast("long").alias("n"), F.count("*").over(own).alias("c"))
+    return x.select("k", "e", "n", ((F.col("n") % 10 == 0) | (F.col("n") == F.col("c"))).alias("marked"))
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (WHERE e = 'purchase') AS accepted, count(*) FILTER (WHERE e = 'click') AS rejected,
+count(*) FILTER (WHERE e = 'purchase') / nullif(count(*) FILTER (WHERE e IN ('purchase', 'click')), 0)::DOUBLE AS share, count(*) FILTER (WHERE e = 'error') // 2 AS breaks FROM s""")
+def kpi_summary(spark, sf):
+    c = lambda *k: F.count_if(F.col("e").isin(*k))
+    x = s(spark, sf).agg(F.count("*").alias("n"), c("purchase").alias("accepted"), c("click").alias("rejected"), c("error").alias("b"))
+    return x.select("n", "accepted", "rejected", report.ratio(F.col("accepted"), F.col("accepted") + F.col("rejected")).alias("share"), F.expr("b div 2").alias("breaks"))
+
+
+@query(f"""m AS (SELECT e, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM s p WHERE p.k = s.k AND p.e = 'purchase' AND abs(p.t - s.t) <= {5 * HOUR})) AS hit FROM s WHERE e IN ('error', 'signup') GROUP BY e)
+SELECT e, n, hit, hit / n::DOUBLE AS recall FROM m""")
+def recall_report(spark, sf):
+    near = events.with_partner(s(spark, sf).where("e IN ('error', 'signup')").select("k", "f", "t", "e"), of_type(spark, sf, "purchase", "k", "t"), K, "t", "t", -5 * HOUR, 5 * HOUR)
+    hits = near.groupBy("e").agg(F.count("*").alias("hit"))
+    x = s(spark, sf).where("e IN ('error', 'signup')").groupBy("e").agg(F.count("*").alias("n")).join(hits, "e", "left").na.fill(0, ["hit"])
+    return x.select("e", "n", "hit", (F.col("hit") / F.col("n")).alias("recall"))
+
+
+# ---- patches ----
+
+
+@query("--plain\nSELECT vec_id, len(embedding)::BIGINT AS n, list_max(embedding) AS most, list_min(embedding) AS least FROM embeddings")
+def array_range(spark, sf):
+    return readers.table(spark, sf, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), F.array_max("embedding").alias("most"), F.array_min("embedding").alias("least"))
+
+
+_INTS = "WITH q AS (SELECT vec_id, label, list_transform(embedding, lambda x: round(x::DOUBLE * 1000)) AS a FROM embeddings) "
+
+
+def _patches(spark, sf):
+    """Whole numbers, so that sums don't depend on their order."""
+    return readers.table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000)).alias("a"))
+
+
+@query("--plain\n" + _INTS + ", u AS (SELECT vec_id, list_sum(a) / len(a) AS mean, len(a) AS n, a FROM q) SELECT vec_id, mean, sqrt(list_sum(list_transform(a, lambda x: (x - mean) * (x - mean))) / n) > 130 AS textured FROM u")
+def array_stats(spark, sf):
+    x = _patches(spark, sf).withColumn("mean", arrays.mean(F.col("a")))
+    return x.select("vec_id", "mean", (arrays.deviation(F.col("a"), F.col("mean")) > 130).alias("textured"))
+
+
+@query("--plain\n" + _INTS + ", l AS (SELECT vec_id, a, lag(a) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM q) SELECT vec_id, coalesce(list_sum(list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2]))) / len(a), 0) AS motion FROM l")
+def array_absdiff(spark, sf):
+    x = _patches(spark, sf).withColumn("b", F.lag("a").over(Window.partitionBy("label").orderBy("vec_id")))
+    return x.select("vec_id", F.coalesce(arrays.mean_difference(F.col("a"), F.col("b")), F.lit(0.0)).alias("motion"))
+
+
+@query("--plain\n" + _INTS + ", r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY list_max(a) - list_min(a), vec_id) AS i FROM q), p AS (SELECT label, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS x FROM r WHERE i <= 3) SELECT label, pos::INT AS pos, sum(x) / count(*) AS mean, count(*) AS n FROM p GROUP BY 1, 2")
+def array_topk_ref(spark, sf):
+    return arrays.calmest_mean(_patches(spark, sf), ["label"], "a", F.array_max("a") - F.array_min("a"), "vec_id", 3)
+
+
+@query("--plain\n" + _INTS + ", p AS (SELECT label, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS x FROM q) SELECT label, pos::INT AS pos, sum(x) / count(*) AS mean, count(*) AS n FROM p GROUP BY 1, 2")
+def heatmap_mean(spark, sf):
+    return arrays.elementwise_mean(_patches(spark, sf), ["label"], "a")
+
+
+@query("--plain\n" + _INTS + " SELECT vec_id, list_transform(a[11:14] || a[19:22] || a[27:30], lambda x: x::BIGINT) AS patch FROM q")
+def array_crop(spark, sf):
+    return _patches(spark, sf).select("vec_id", F.transform(arrays.crop(F.col("a"), 8, 2, 1, 6, 4), lambda x: x.cast("long")).alias("patch"))
+
+
+@query("--plain\n" + _INTS + ", l AS (SELECT vec_id, a, lag(a) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM q), d AS (SELECT vec_id, list_transform(list_zip(b, a), lambda z: z[2] - z[1]) AS s FROM l WHERE b IS NOT NULL) SELECT vec_id, list_sum(list_transform(s, lambda d: (d > 0)::INT))::BIGINT AS grown, list_sum(list_transform(s, lambda d: (d < 0)::INT))::BIGINT AS shrunk FROM d")
+def signed_split(spark, sf):
+    x = _patches(spark, sf).withColumn("b", F.lag("a").over(Window.partitionBy("label").orderBy("vec_id"))).where("b IS NOT NULL")
+    up, down = arrays.signed_parts(F.col("b"), F.col("a"))
+    some = lambda p: F.size(F.filter(p, lambda d: d > 0)).cast("long")
+    return x.select("vec_id", some(up).alias("grown"), some(down).alias("shrunk"))
+
+
+# ---- labels, frames, profiles ----
+
+
+@query("--plain\nSELECT o_orderkey, (o_orderkey // 60)::VARCHAR || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS clock, CASE WHEN o_orderkey >= 3600 THEN (o_orderkey // 360)::VARCHAR || ' tenths of an hour' ELSE (o_orderkey // 6)::VARCHAR || ' tenths of a minute' END AS label, CASE WHEN o_orderkey <= 30 THEN 5 WHEN o_orderkey <= 3600 THEN 300 WHEN o_orderkey <= 14400 THEN 900 WHEN o_orderkey <= 28800 THEN 1800 ELSE 3600 END::INT AS step FROM orders")
+def duration_label(spark, sf):
+    k = F.col("o_orderkey")
+    return readers.table(spark, sf, "orders").select("o_orderkey", labels.clock(k).alias("clock"), labels.duration_label(k).alias("label"), labels.axis_step(k).alias("step"))
+
+
+@query("--plain\nWITH c AS (SELECT c_custkey, nullif(regexp_extract(lower('NVR_CH' || (c_custkey % 25) || '_' || c_custkey || '.mp4'), '(ch\\d+)', 1), '') AS cam FROM customer) SELECT c_custkey, CASE WHEN cam IN ('ch19', 'ch21') THEN cam END AS camera FROM c")
+def parse_camera(spark, sf):
+    key = F.col("c_custkey")
+    path = F.concat(F.lit("/nvr/NVR_CH"), (key % 25).cast("string"), F.lit("_"), key.cast("string"), F.lit(".mp4"))
+    return readers.table(spark, sf, "customer").select("c_custkey", labels.camera_of(path, ["ch19", "ch21"]).alias("camera"))
+
+
+@query("w AS (SELECT DISTINCT k, (k % 7)::DOUBLE + 0.6 AS sec FROM s) SELECT w.k, sec, floor(sec * 2.5)::BIGINT AS f, v FROM w LEFT JOIN s ON s.k = w.k AND s.f = floor(sec * 2.5)::BIGINT")
+def frame_lookup(spark, sf):
+    x = s(spark, sf)
+    times = x.select("k").distinct().withColumn("sec", (F.col("k") % 7).cast("double") + 0.6)
+    return readers.frames_at(times, x.select("k", "f", "v"), K, "sec", 2.5).select("k", "sec", "f", "v")
+
+
+@query("SELECT k, f FROM s WHERE 700 + (f % 60) >= 720 AND 1260 + (f % 70) >= 1280 AND v BETWEEN 1000 AND 25000")
+def frame_validity(spark, sf):
+    f = F.col("f")
+    return signals.valid_frames(s(spark, sf), 700 + f % 60, 1260 + f % 70, F.col("v") / 100).select("k", "f")
+
+
+@query("""l AS (SELECT k, f AS seen FROM s WHERE e = 'error'), p AS (SELECT l.k, l.seen, s.f - l.seen AS o, s.v FROM l JOIN s ON s.k = l.k AND s.f BETWEEN l.seen - 6 AND l.seen + 3),
+g AS (SELECT *, v > 7500 AND NOT coalesce(lag(v) OVER (PARTITION BY k, seen ORDER BY o) > 7500, false) AS st FROM p)
+SELECT k, seen, count(*) FILTER (WHERE v > 7500) AS above, max(v) AS peak, max(v) FILTER (WHERE o = 0) AS final, coalesce(max(v) FILTER (WHERE o = 0) - max(v) FILTER (WHERE o = -2), 0) AS slope, count(*) FILTER (WHERE st) AS segments FROM g GROUP BY k, seen""")
+def table_profile_features(spark, sf):
+    at = of_type(spark, sf, "error", "k", F.col("f").alias("seen")).withColumn("o", F.explode(F.sequence(F.lit(-6), F.lit(3)))).withColumn("f", F.col("seen") + F.col("o"))
+    x = at.join(s(spark, sf).select("k", "f", "v"), ["k", "f"])
+    w = Window.partitionBy("k", "seen").orderBy("o")
+    x = x.withColumn("st", (F.col("v") > 7500) & ~F.coalesce(F.lag("v").over(w) > 7500, F.lit(False)))
+    when = lambda o: F.max(F.when(F.col("o") == o, F.col("v")))
+    return x.groupBy("k", "seen").agg(F.count_if(F.col("v") > 7500).alias("above"), F.max("v").alias("peak"), when(0).alias("final"), F.coalesce(when(0) - when(-2), F.lit(0)).alias("slope"), F.count_if("st").alias("segments"))
+
+
+# ---- streaming ----
+
+
+@query(f"""i AS (SELECT k, t, sum((coalesce(t - p, 0) >= {12 * HOUR})::INT) OVER (PARTITION BY k ORDER BY t) AS g FROM (SELECT k, t, lag(t) OVER (PARTITION BY k ORDER BY t) AS p FROM s)) SELECT k, min(t) AS first, count(*) AS n FROM i GROUP BY k, g""")
+def session_breaks(spark, sf):
+    x = s(spark, sf).withColumn("at", F.timestamp_micros("t"))
+    return x.groupBy("k", F.session_window("at", "12 hours")).agg(F.min("t").alias("first"), F.count("*").alias("n")).select("k", "first", "n")
+
+
+@query(f"SELECT e AS event_type, count(*) AS n, sum(v)::BIGINT AS total FROM s GROUP BY e, t // {_W}")
+def tumbling_stream(spark, sf):
+    counted = stream.drain(stream.tumbling(stream.event_stream(spark, sf), "at", "1 day", "1 hour", "event_type"), "tumbling", "complete")
+    return counted.select("event_type", "n", "total")
+
+
+@query(_latch_sql(2, _EDGES + " SELECT k AS user_id, count(*) FILTER (WHERE d > 0) AS rises, count(*) FILTER (WHERE d < 0) AS falls FROM ed WHERE d <> 0 GROUP BY k"))
+def stateful_stream(spark, sf):
+    edges = stream.drain(stream.latch_edges(stream.event_stream(spark, sf), 100.0, 15.0, 2), "latch", "append")
+    return edges.groupBy("user_id").agg(F.count_if(F.col("edge") == "rise").alias("rises"), F.count_if(F.col("edge") == "fall").alias("falls"))
+
+
+# ---- detectors ----
+
+
+def _cut_rows(spark, sf, c):
+    x = s(spark, sf).select("k", F.col("f").alias("frame"), (F.col("v") / 100).alias("level"), (F.col("v") / 150).alias("left"), (F.col("v") % 1000 / 100).alias("motion"), F.lit(80.0).alias("spread"))
+    return detectors.prepare(x, K, "frame", "level", "left", c)
+
+
+@query()
+def cut_detector(spark, sf):
+    c = detectors.CutConfig(long_width=5, short_width=3, min_gap=5, break_level=120.0, break_hold=3, break_exit=2)
+    return detectors.detect_cuts(_cut_rows(spark, sf, c), K, c)
+
+
+@query()
+def cut_detector_recall(spark, sf):
+    c = detectors.CutConfig(long_width=5, short_width=3, short_least=8.0, min_gap=5, break_level=120.0, break_offset=50.0, baseline_least=10, break_hold=4, break_exit=3, second_region=True)
+    return detectors.detect_cuts(_cut_rows(spark, sf, c), K, c)
+
+
+@query()
+def scale_detector(spark, sf):
+    c = detectors.ScaleConfig(smooth=3, hold=2, min_on=2, min_gap=4, max_loaded=12)
+    patch = F.array(F.col("v") / 100, F.col("v") / 200)
+    return detectors.detect_scale(s(spark, sf).select("k", F.col("f").alias("frame"), (F.col("v") / 400).alias("brightness"), patch.alias("patch"), F.array(F.lit(0.0), F.lit(0.0)).alias("reference")), K, c)
+
+
+@query()
+def table_cycle_detector(spark, sf):
+    return detectors.table_cycles(s(spark, sf).select("k", "f", (F.col("v") / 100).alias("x")), K, "f", "x", level=30.0, hold=2, least=3, gap=5)
+
+
+@query(_latch_sql(1, _CYCLES + ", " + _SPACED.format(c="cc", o="oo", src="SELECT k, t FROM cyc WHERE stop IS NOT NULL", gap=12 * HOUR)
+       + f", pp AS (SELECT k, t, EXISTS (SELECT 1 FROM s WHERE s.k = oo.k AND s.e = 'purchase' AND s.t - oo.t BETWEEN {-2 * HOUR} AND {10 * HOUR}) AS a FROM oo WHERE keep) SELECT k, t // {_W} AS day, count(*) FILTER (WHERE a) AS accepted, count(*) FILTER (WHERE NOT a) AS rejected FROM pp GROUP BY 1, 2"))
+def flagship(spark, sf):
+    """Cycles of a debounced latch, spaced, accepted if an event of the other kind is near; counts by stream and day."""
+    cycles = refractory.keep_spaced(_cycles(spark, sf).where(F.col("stop").isNotNull()).select("k", "t"), K, "t", 12 * HOUR)
+    sure = events.with_partner(cycles, of_type(spark, sf, "purchase", "k", "t"), K, "t", "t", -2 * HOUR, 10 * HOUR).select("k", "t", F.lit(True).alias("a"))
+    judged = cycles.join(sure, ["k", "t"], "left").withColumn("a", F.coalesce("a", F.lit(False)))
+    return judged.groupBy("k", F.expr(f"t div {_W}").alias("day")).agg(F.count_if("a").alias("accepted"), F.count_if(~F.col("a")).alias("rejected"))
