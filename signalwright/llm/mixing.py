@@ -62,20 +62,20 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int =
     weights: target weights by source; None: the same for each. total: rows of the result on average; None: as many as docs has.
     """
     spark = docs.sparkSession
-    copy, key, salt = fresh(docs, "copy"), fresh(docs, "shuffle_key"), fresh(docs, "_salt")
-    by_source = rates(docs, weights, total, other, source)
+    copy, key, salt, of, parts, cdf, times, dealt_to = (fresh(docs, c) for c in ("copy", "shuffle_key", "_salt", "_source", "_parts", "_cdf", "_times", "_dealt"))
+    by_source = rates(docs, weights, total, other, source).toDF(of, parts, cdf)
     salts = 64
     few = by_source.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
     if few:
-        rated = docs.join(F.broadcast(by_source), F.col(source).eqNullSafe(F.col("_source")))
+        rated = docs.join(F.broadcast(by_source), F.col(source).eqNullSafe(F.col(of)))
     else:
-        dealt = by_source.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        dealt = by_source.withColumn(dealt_to, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         salted = docs.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-        rated = salted.join(dealt, F.col(source).eqNullSafe(F.col("_source")) & (F.col(salt) == F.col("_s"))).drop(salt, "_s")
+        rated = salted.join(dealt, F.col(source).eqNullSafe(F.col(of)) & (F.col(salt) == F.col(dealt_to)))
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: uniform(F.lit(str(seed)), ident, j.cast("string")))
-    count = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter(F.col("_cdf"), lambda c: u >= c)))
-    repeated = rated.withColumn("_count", count).where("_count > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_count"))))
+    draws = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda j: uniform(F.lit(str(seed)), ident, j.cast("string")))
+    count = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter(F.col(cdf), lambda c: u >= c)))
+    repeated = rated.withColumn(times, count).where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), ident, F.col(copy).cast("string"))), 1, 13), 16, 10).cast("long")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return repeated.select(*docs.columns, copy, order.alias(key)).repartition(n, key).sortWithinPartitions(key)

@@ -25,7 +25,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(documents(spark, sf_dir))
     held = crc_mod(F.col("doc_id"), 4) == 2
-    return found.select("doc_id", held.alias("held_out"), "prediction.lang_pred", "prediction.score")
+    return found.select("doc_id", held.alias("held_out"), f"{found.columns[-1]}.lang_pred", f"{found.columns[-1]}.score")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
