@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalwright.llm._common import fresh
+from signalwright.llm._common import cut, fresh
 
 #: A chunk ends where the rolling hash of two neighbouring lines is 0 modulo 3: chunks have three lines on average.
 WINDOW, SPREAD = 2, 3
@@ -36,7 +36,7 @@ def ends(hashes: Column) -> Column:
     return F.filter(F.transform(hashes, lambda h, i: F.when(is_end(h, i), i + 1)), lambda e: e.isNotNull())
 
 
-def chunked(docs: DataFrame, text: Column) -> Column:
+def chunked(text: Column) -> Column:
     """The chunks of a text, in order; each is its lines joined again."""
 
     def let(value: Column, use) -> Column:
@@ -56,7 +56,7 @@ def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     row = F.xxhash64(F.col("doc_id"), F.col(text))
     found = (
         docs.where(F.instr(F.col(text), "\n") > 0)
-        .select(row.alias("_row"), F.col("doc_id").alias("_doc"), F.posexplode(chunked(docs, F.col(text))).alias("_pos", "_c"))
+        .select(row.alias("_row"), F.col("doc_id").alias("_doc"), F.posexplode(chunked(F.col(text))).alias("_pos", "_c"))
         .where("_c.lines > 1")
         .where(F.col("_c.chunk").rlike(r"[^\x20\x09-\x0D]"))
         .select("_row", "_doc", "_pos", F.col("_c.chunk").alias("_chunk"), F.xxhash64("_c.chunk").alias("_hash"))
@@ -68,19 +68,21 @@ def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
         .where("_n > 1 AND _least = _most")
         .select(F.col("_hash").alias("_h"), "_first")
     )
+    # cut: with an exchange of its own on either side, Spark splits the join of a chunk that very many documents hold
+    groups = cut(groups)
     again = found.select("_row", "_pos", "_hash", place.alias("_place")).join(groups, F.col("_hash") == F.col("_h")).where("_place != _first")
     return again.groupBy("_row").agg(F.collect_set("_pos").alias("_drop"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the repeated chunks removed from their texts, plus `n_removed`, the number of chunks that went."""
-    row, removed = fresh(docs, "_own"), fresh(docs, "n_removed")
-    drops = repeated_chunks(docs, text)
-    joined = docs.withColumn(row, F.xxhash64(F.col("doc_id"), F.col(text))).join(drops, F.col(row) == F.col("_row"), "left")
-    left = F.filter(chunked(docs, F.col(text)), lambda c, i: ~F.array_contains(F.col("_drop"), i))
-    kept = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda c: c["chunk"]), "\n"))
-    gone = F.col("_drop").isNotNull() & (F.size(left) == 0)
-    return joined.where(~gone).select(*(kept.alias(c) if c == text else docs[c] for c in docs.columns), F.coalesce(F.size("_drop"), F.lit(0)).alias(removed))
+    own, row, drop, removed = (fresh(docs, c) for c in ("_own", "_row", "_drop", "n_removed"))
+    drops = repeated_chunks(docs, text).toDF(row, drop)
+    joined = docs.withColumn(own, F.xxhash64(F.col("doc_id"), F.col(text))).join(drops, F.col(own) == F.col(row), "left")
+    left = F.filter(chunked(F.col(text)), lambda c, i: ~F.array_contains(F.col(drop), i))
+    kept = F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda c: c["chunk"]), "\n"))
+    gone = F.col(drop).isNotNull() & (F.size(left) == 0)
+    return joined.where(~gone).select(*(kept.alias(c) if c == text else F.col(c) for c in docs.columns), F.coalesce(F.size(drop), F.lit(0)).alias(removed))
 
 
 SQL = r"""
