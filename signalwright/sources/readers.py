@@ -63,7 +63,7 @@ def latest(df: DataFrame, key: list[str], order: str, n: int) -> DataFrame:
 
 def render(df: DataFrame, template: str, mark: str = "{{DATA}}", most: int = 10_000) -> str:
     """A small report table as compact JSON in a template; an error if it has more than `most` rows."""
-    rows = df.limit(most + 1).toJSON().collect()
+    rows = df.limit(most + 1).select(F.to_json(F.struct(*df.columns)).alias("j")).collect()
     if len(rows) > most:
         raise ValueError("aggregate before rendering")
-    return template.replace(mark, "[" + ",".join(rows) + "]")
+    return template.replace(mark, "[" + ",".join(r["j"] for r in rows) + "]")
