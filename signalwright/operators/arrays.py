@@ -46,3 +46,25 @@ def calmest_mean(df: DataFrame, key: list[str], patch: str, spread: Column, tie:
     """The average of the k patches with the least spread in each group: a reference image."""
     w = Window.partitionBy(*key).orderBy(spread, tie)
     return elementwise_mean(df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k), key, patch)
+
+
+def motion_around(times: DataFrame, frames: DataFrame, key: list[str], at: str, frame: str, patch: str, before: int, after: int) -> DataFrame:
+    """Each time with `motion`: the mean difference between the patches `before` and `after` frames from it; null where one is missing."""
+    one = frames.select(*key, F.col(frame).alias("_f1"), F.col(patch).alias("_p1"))
+    two = frames.select(*key, F.col(frame).alias("_f2"), F.col(patch).alias("_p2"))
+    ends = times.withColumn("_f1", F.col(at) + before).withColumn("_f2", F.col(at) + after)
+    joined = ends.join(one, [*key, "_f1"], "left").join(two, [*key, "_f2"], "left")
+    return joined.withColumn("motion", mean_difference(F.col("_p1"), F.col("_p2"))).drop("_f1", "_f2", "_p1", "_p2")
+
+
+def motion_profile(times: DataFrame, frames: DataFrame, key: list[str], at: str, frame: str, patch: str, start: int, stop: int, step: int) -> DataFrame:
+    """key, at, offset, motion: differences from step to step between `start` and `stop` frames from each time."""
+    grid = times.select(*key, at, F.explode(F.sequence(F.lit(start), F.lit(stop), F.lit(step))).alias("offset")).withColumn(frame, F.col(at) + F.col("offset"))
+    seen = grid.join(frames.select(*key, frame, patch), [*key, frame])
+    last = F.lag(patch).over(Window.partitionBy(*key, at).orderBy("offset"))
+    return seen.withColumn("motion", mean_difference(last, F.col(patch))).where("motion IS NOT NULL").select(*key, at, "offset", "motion")
+
+
+def share_of(a: Column, holds) -> Column:
+    """The share of the samples for which a condition holds."""
+    return F.size(F.filter(a, holds)) / F.size(a)

@@ -70,3 +70,10 @@ def sweep(df: DataFrame, cuts: Sequence[float], value: str, positive: Column) ->
     listed = df.withColumn("cut", F.explode(F.array(*(F.lit(float(c)) for c in cuts))))
     counted = listed.groupBy("cut").agg(F.count_if(over & positive).alias("hits"), F.count_if(~over & ~positive).alias("rejections"))
     return table.join(counted, "cut", "left").select("cut", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("hits", "rejections")))
+
+
+def with_default(df: DataFrame, config: DataFrame, key: str, default: str) -> DataFrame:
+    """Each row with the configuration of its key, or with that of the default key where it has none. The configuration is a small table
+    of one row a key."""
+    known = df.join(config.select(F.col(key).alias("_known")), F.col(key) == F.col("_known"), "left")
+    return known.withColumn("used", F.coalesce("_known", F.lit(default))).drop("_known").join(config.withColumnRenamed(key, "used"), "used")

@@ -545,6 +545,72 @@ def table_profile_features(spark, sf):
     return x.groupBy("k", "seen").agg(F.count_if(F.col("v") > 7500).alias("above"), F.max("v").alias("peak"), when(0).alias("final"), F.coalesce(when(0) - when(-2), F.lit(0)).alias("slope"), F.count_if("st").alias("segments"))
 
 
+@query("SELECT e, CASE WHEN v >= 11000 THEN 'high' WHEN v >= 3000 THEN 'medium' ELSE 'low' END AS confidence, count(*) AS n, count(*) FILTER (WHERE v > 23000) AS ceiling FROM s GROUP BY 1, 2")
+def class_counts(spark, sf):
+    c = F.when(F.col("v") >= 11000, "high").when(F.col("v") >= 3000, "medium").otherwise("low")
+    return s(spark, sf).groupBy("e", c.alias("confidence")).agg(F.count("*").alias("n"), F.count_if(F.col("v") > 23000).alias("ceiling"))
+
+
+@query("--plain\nSELECT c_custkey, coalesce(n.n_name, (SELECT n_name FROM nation WHERE n_nationkey = 3)) AS zone FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_custkey % 40")
+def zone_lookup(spark, sf):
+    config = readers.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("camera"), F.col("n_name").alias("zone"))
+    own = readers.table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 40).cast("long").alias("camera"))
+    return report.with_default(own, config, "camera", 3).select("c_custkey", "zone")
+
+
+@query("""l AS (SELECT k, f AS seen FROM s WHERE e = 'error') SELECT l.k, l.seen, max(s.v) AS most, count(*) FILTER (WHERE s.v > 2500) AS above FROM l JOIN s ON s.k = l.k AND s.f BETWEEN l.seen - 6 AND l.seen + 3 GROUP BY l.k, l.seen""")
+def scale_profile_features(spark, sf):
+    seen = of_type(spark, sf, "error", "k", F.col("f").alias("seen")).withColumn("f", F.explode(F.sequence(F.col("seen") - 6, F.col("seen") + 3)))
+    return seen.join(s(spark, sf).select("k", "f", "v"), ["k", "f"]).groupBy("k", "seen").agg(F.max("v").alias("most"), F.count_if(F.col("v") > 2500).alias("above"))
+
+
+_FRAMES = "--plain\n" + _INTS + ", fr AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS f, a FROM q), ev AS (SELECT label, f AS seen FROM fr WHERE f % 7 = 3)"
+
+
+def _frames(spark, sf):
+    x = _patches(spark, sf).withColumn("f", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")).select("label", "f", "a")
+    return x, x.where("f % 7 = 3").select("label", F.col("f").alias("seen"))
+
+
+@query(_FRAMES + " SELECT ev.label, ev.seen, list_sum(list_transform(list_zip(b.a, c.a), lambda z: abs(z[1] - z[2]))) / len(b.a) AS motion FROM ev LEFT JOIN fr b ON b.label = ev.label AND b.f = ev.seen - 1 LEFT JOIN fr c ON c.label = ev.label AND c.f = ev.seen + 4")
+def motion_change(spark, sf):
+    frames, times = _frames(spark, sf)
+    return arrays.motion_around(times, frames, ["label"], "seen", "f", "a", -1, 4)
+
+
+@query(_FRAMES + """, g AS (SELECT ev.label, ev.seen, fr.f - ev.seen AS o, a FROM ev JOIN fr ON fr.label = ev.label AND fr.f - ev.seen IN (0, 2, 4, 6)),
+p AS (SELECT *, lag(a) OVER (PARTITION BY label, seen ORDER BY o) AS b FROM g) SELECT label, seen, o::INT AS "offset", list_sum(list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2]))) / len(a) AS motion FROM p WHERE b IS NOT NULL""")
+def motion_profile(spark, sf):
+    frames, times = _frames(spark, sf)
+    return arrays.motion_profile(times, frames, ["label"], "seen", "f", "a", 0, 6, 2)
+
+
+@query("--plain\n" + _INTS + " SELECT vec_id, len(list_filter(a, lambda x: x > 100)) / len(a)::DOUBLE AS share FROM q")
+def foreground_share(spark, sf):
+    return _patches(spark, sf).select("vec_id", arrays.share_of(F.col("a"), lambda x: x > 100).alias("share"))
+
+
+@query(f"SELECT max(n) AS most, count(*) AS buckets FROM (SELECT t // {6 * HOUR} AS b, count(*) AS n FROM s GROUP BY 1)")
+def busiest_bucket(spark, sf):
+    return s(spark, sf).groupBy(F.expr(f"t div {6 * HOUR}").alias("b")).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.count("*").alias("buckets"))
+
+
+@query(f"""h AS (SELECT k, count(*) AS cuts, count(*) FILTER (WHERE v > 10000) AS strong, max(t) - min(t) AS duration FROM s GROUP BY k)
+SELECT k, cuts, strong, CASE WHEN duration > {10 * HOUR} THEN cuts * {24 * HOUR} / duration::DOUBLE END AS per_day FROM h""")
+def projected_rate(spark, sf):
+    x = s(spark, sf).groupBy("k").agg(F.count("*").alias("cuts"), F.count_if(F.col("v") > 10000).alias("strong"), (F.max("t") - F.min("t")).alias("duration"))
+    rate = F.when(F.col("duration") > 10 * HOUR, F.col("cuts") * F.lit(24 * HOUR).cast("long") / F.col("duration"))
+    return x.select("k", "cuts", "strong", rate.alias("per_day"))
+
+
+@query(_BREAK + """, en AS (SELECT k, count(*) AS duration, max(f) FILTER (WHERE e = 'click') AS last_event FROM s GROUP BY k)
+SELECT en.k, coalesce(sum(coalesce(stop, last_event) - start), 0)::BIGINT AS break_time, (duration - coalesce(sum(coalesce(stop, last_event) - start), 0))::BIGINT AS active_time
+FROM en LEFT JOIN br ON en.k = br.k GROUP BY en.k, duration""")
+def break_time_to_last_event(spark, sf):
+    ends = s(spark, sf).groupBy("k").agg(F.count("*").alias("duration"), F.max(F.when(F.col("e") == "click", F.col("f"))).alias("last_event"))
+    return events.break_time(_breaks(spark, sf), ends, K, "last_event")
+
+
 # ---- streaming ----
 
 
@@ -560,6 +626,11 @@ def tumbling_stream(spark, sf):
     return counted.select("event_type", "n", "total")
 
 
+@query(f"""i AS (SELECT k, t, sum((coalesce(t - p, 0) >= {12 * HOUR})::INT) OVER (PARTITION BY k ORDER BY t) AS g FROM (SELECT k, t, lag(t) OVER (PARTITION BY k ORDER BY t) AS p FROM s)) SELECT k AS user_id, count(*) AS n FROM i GROUP BY k, g""")
+def session_stream(spark, sf):
+    return stream.drain(stream.sessions(stream.event_stream(spark, sf), "at", "12 hours", "1 hour", "user_id"), "sessions", "complete").select("user_id", "n")
+
+
 @query(_latch_sql(2, _EDGES + " SELECT k AS user_id, count(*) FILTER (WHERE d > 0) AS rises, count(*) FILTER (WHERE d < 0) AS falls FROM ed WHERE d <> 0 GROUP BY k"))
 def stateful_stream(spark, sf):
     edges = stream.drain(stream.latch_edges(stream.event_stream(spark, sf), 100.0, 15.0, 2), "latch", "append")

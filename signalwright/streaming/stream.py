@@ -37,16 +37,24 @@ def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
     return stream.sparkSession.table(name)
 
 
+#: The type of a control row.
+RESET = "stream_reconnected"
 LATCH = "user_id long, event_id long, edge string"
 
 
 def latch_edges(stream: DataFrame, on: float, off: float, hold: int) -> DataFrame:
-    """Rises and falls of a debounced latch over `value` of each user, in time order within a batch; the state goes on between batches."""
+    """Rises and falls of a debounced latch over `value` of each user, in time order within a batch; the state goes on between batches.
+
+    A row of the type `RESET` (a source that reconnected) clears the state and tells nothing.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         level, run_length = state.get if state.exists else (0, 0)
         found = []
         for row in pd.concat(list(parts)).sort_values(["ts", "event_id"]).itertuples():
+            if row.event_type == RESET:
+                level = run_length = 0
+                continue
             run_length = run_length + 1 if row.value > on else 0
             now = 1 if run_length >= hold else 0 if row.value < off else level
             if now != level:
