@@ -637,6 +637,13 @@ def stateful_stream(spark, sf):
     return edges.groupBy("user_id").agg(F.count_if(F.col("edge") == "rise").alias("rises"), F.count_if(F.col("edge") == "fall").alias("falls"))
 
 
+@query(f"SELECT c.k AS user_id, c.t, p.t AS u FROM s c JOIN s p ON c.k = p.k AND c.e = 'click' AND p.e = 'purchase' AND p.t - c.t BETWEEN {-2 * HOUR} AND {10 * HOUR}")
+def interval_join_stream(spark, sf):
+    own = lambda kind, name: stream.event_stream(spark, sf).where(F.col("event_type") == kind).select("user_id", F.col("at").alias(name), readers.micros(F.col("ts")).alias(f"{name}_us"))
+    pairs = stream.interval_join(own("click", "a"), own("purchase", "b"), "user_id", "a", "b", "-2 hours", "10 hours", "1 hour")
+    return stream.drain(pairs, "pairs", "append").select("user_id", F.col("a_us").alias("t"), F.col("b_us").alias("u"))
+
+
 # ---- detectors ----
 
 

@@ -27,14 +27,37 @@ def sessions(stream: DataFrame, at: str, gap: str, late: str, *keys: str) -> Dat
     return stream.withWatermark(at, late).groupBy(F.session_window(at, gap), *keys).agg(F.count("*").alias("n"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the cluster's shared one, or a temporary one where there is none (tests)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{base}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"{name}-")
+
+
 def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs the stream over what there is and returns what it wrote."""
-    name = f"{name}_{uuid.uuid4().hex}"
-    base = stream.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{base}/{name}" if base else tempfile.mkdtemp(prefix="stream-")
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    """Runs the stream over what there is and returns what it wrote: every batch in append mode, the last one in complete mode.
+
+    Batches are Parquet tables in folders named by their number, so a batch that runs again replaces its own rows.
+    """
+    spark = stream.sparkSession
+    folder = _folder(spark, name)
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        done.append(number)
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(f"{folder}/rows/batch={n}" for n in (sorted(set(done)) if mode == "append" else done[-1:])))
+
+
+def interval_join(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str, low: str, high: str, late: str) -> DataFrame:
+    """Pairs of two streams with low <= right - left <= high; the watermarks let Spark forget rows that can't pair any more."""
+    own = right.withColumnRenamed(key, "_key").withWatermark(rt, late)
+    within = F.expr(f"_key = {key} AND {rt} >= {lt} + interval {low} AND {rt} <= {lt} + interval {high}")
+    return left.withWatermark(lt, late).join(own, within).drop("_key")
 
 
 #: The type of a control row.

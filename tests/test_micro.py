@@ -230,6 +230,11 @@ def test_files_and_frames(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"video": "v",\n "events": [{"type": "cut", "frame": 3}, {"type": "break_start", "time_sec": 1.5}]}')
     rows = readers.event_documents(spark, str(tmp_path / "d.json")).collect()
     assert {(r["type"], r["frame"], r["time_sec"]) for r in rows} == {("cut", 3, None), ("break_start", None, 1.5)}
+    frames = seq(spark, range(10), range(4)).withColumn("rate", F.when(F.col("k") == 0, 5.0).otherwise(0.0))
+    meta = {r["k"]: (r["frames"], r["fps"], r["duration"]) for r in readers.source_metadata(frames, K, F.col("rate")).collect()}
+    assert meta == {0: (10, 5.0, 2.0), 1: (4, 25.0, 0.16)}
+    readers.write_document(frames.select("k", "f"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 14
     assert readers.render(spark.range(2), "<{{DATA}}>") == '<[{"id":0},{"id":1}]>'
 
 
