@@ -36,15 +36,17 @@ def ends(hashes: Column) -> Column:
     return F.filter(F.transform(hashes, lambda h, i: F.when(is_end(h, i), i + 1)), lambda e: e.isNotNull())
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def chunked(text: Column) -> Column:
     """The chunks of a text, in order; each is its lines joined again."""
 
-    def let(value: Column, use) -> Column:
-        return F.element_at(F.transform(F.array(value), use), 1)
-
     def cut(lines: Column) -> Column:
         def with_ends(e: Column) -> Column:
-            return F.transform(e, lambda end, i: let(F.when(i > 0, F.get(e, i - 1)).otherwise(F.lit(0)), lambda start: F.struct((end - start).alias("lines"), F.array_join(F.slice(lines, start + 1, end - start), "\n").alias("chunk"))))
+            return F.transform(e, lambda end, i: let(F.when(i > 0, F.get(e, i - 1)).otherwise(F.lit(0)), lambda start: F.struct((end - start).alias("lines"), F.array_join(F.transform(F.sequence(start, end - 1), lambda k: F.get(lines, k)), "\n").alias("chunk"))))
 
         return let(line_hashes(lines), lambda h: let(ends(h), with_ends))
 
@@ -56,7 +58,9 @@ def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     row = F.xxhash64(F.col("doc_id"), F.col(text))
     found = (
         docs.where(F.instr(F.col(text), "\n") > 0)
-        .select(row.alias("_row"), F.col("doc_id").alias("_doc"), F.posexplode(chunked(F.col(text))).alias("_pos", "_c"))
+        # in two steps: what stands beside an explode is computed, and carried, for each of its rows
+        .select(row.alias("_row"), F.col("doc_id").alias("_doc"), chunked(F.col(text)).alias("_all"))
+        .select("_row", "_doc", F.posexplode("_all").alias("_pos", "_c"))
         .where("_c.lines > 1")
         .where(F.col("_c.chunk").rlike(r"[^\x20\x09-\x0D]"))
         .select("_row", "_doc", "_pos", F.col("_c.chunk").alias("_chunk"), F.xxhash64("_c.chunk").alias("_hash"))
@@ -79,10 +83,15 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     own, row, drop, removed = (fresh(docs, c) for c in ("_own", "_row", "_drop", "n_removed"))
     drops = repeated_chunks(docs, text).toDF(row, drop)
     joined = docs.withColumn(own, F.xxhash64(F.col("doc_id"), F.col(text))).join(drops, F.col(own) == F.col(row), "left")
-    left = F.filter(chunked(F.col(text)), lambda c, i: ~F.array_contains(F.col(drop), i))
-    kept = F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda c: c["chunk"]), "\n"))
-    gone = F.col(drop).isNotNull() & (F.size(left) == 0)
-    return joined.where(~gone).select(*(kept.alias(c) if c == text else F.col(c) for c in docs.columns), F.coalesce(F.size(drop), F.lit(0)).alias(removed))
+
+    def without(chunks: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), F.col(drop))  # by hashing: in proportion to the text
+        return F.when(F.size(left) > 0, F.array_join(F.transform(left, lambda i: F.get(chunks, i)["chunk"]), "\n"))
+
+    # null where nothing is left
+    joined = joined.withColumn(row, F.when(F.col(drop).isNotNull(), let(chunked(F.col(text)), without)))
+    kept = F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.col(row))
+    return joined.where(F.col(drop).isNull() | F.col(row).isNotNull()).select(*(kept.alias(c) if c == text else F.col(c) for c in docs.columns), F.coalesce(F.size(drop), F.lit(0)).alias(removed))
 
 
 SQL = r"""

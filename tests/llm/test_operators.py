@@ -335,6 +335,13 @@ def test_line_dedup_boundaries_shift_with_the_text(spark):
     assert got[0]["n_removed"] == 0 and len(got[1]["text"]) < 0.3 * len(passage)
 
 
+def test_line_dedup_of_a_very_long_text(spark):
+    """Its chunks repeat in itself a hundred thousand times: the work has to stay in proportion."""
+    own = "\n".join([f"line {i} of twelve" for i in range(12)] * 20_000)
+    (got,) = linededup.dedup_lines(spark.createDataFrame([(1, own)], "doc_id long, text string")).collect()
+    assert got["text"] == brute_lines([(1, own)])[(1, own)] and got["n_removed"] > 20_000
+
+
 def brute_groups(prints, most=2):
     """prints: (doc_id, fingerprint) rows; the least doc_id that each reaches."""
     distinct = sorted({f for _, f in prints})
