@@ -1,11 +1,15 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-Each line is hashed; a rolling hash over `WINDOW` lines that is 0 modulo `SPREAD` ends a chunk, so that a passage shared by two
-documents falls into the same chunks wherever it stands in them. A chunk of two lines or more that occurs again, in the same or another
-document, is removed everywhere but at its first place (the smallest doc_id, then the first position). Chunks are grouped by a hash, and
-the least and the greatest text of each group are compared: only a group whose texts are all the same bytes counts as repeated.
+Each line is hashed, and a hash rolls over the lines, two at a time: the difference of neighbouring line hashes. A line where it
+changes its sign ends a chunk and begins the next, so that a passage shared by two documents falls into the same chunks wherever it stands
+in them. Two such chunkings, by two mixes of the line hashes, catch what one of them cuts at the borders of a short passage. A chunk that
+occurs again, in the same or another document, is repeated; its lines are removed everywhere but at its first place (the smallest
+doc_id, then the first line). A removed line thus has an equal one at an earlier place, and the earliest of all stays.
 
-Defined results: a null text stays null and an empty one empty; chunks of single lines, and those without a word, always stay; a document
+Chunks are counted by a hash, so that texts don't travel for that. The documents that hold repeated ones are then joined with their places
+once, and the texts of each hash's chunks are compared: one whose texts are not all the same bytes isn't repeated.
+
+Defined results: a null text stays null and an empty one empty; chunks without a word, and texts of one line, always stay; a document
 loses its row when all its lines go; rows that agree in doc_id and text are one document and are treated alike; a null doc_id comes
 last in the order of places; all other columns come back as they are.
 """
@@ -15,10 +19,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalwright.llm._common import cut, fresh
+from signalwright.llm._common import cut, fresh, stored
+
+#: A mix is the line's hash times a factor, modulo a prime.
+FACTORS, PRIME = (1, 1103515245), 4294967291
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
-#: A chunk ends where the rolling hash of two neighbouring lines is 0 modulo 3: chunks have three lines on average.
-WINDOW, SPREAD = 2, 3
+def lines_of(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
 def line_hashes(lines: Column) -> Column:
@@ -26,87 +39,104 @@ def line_hashes(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
 
 
-def ends(hashes: Column) -> Column:
-    """Positions (from 1) of the lines that end a chunk; the last line always does."""
+def between(lines: Column, first: Column, last: Column) -> Column:
+    return F.transform(F.sequence(first, last), lambda k: F.get(lines, k))
 
-    def is_end(h: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(hashes, i - 1)).otherwise(F.lit(0).cast("long"))
-        return (F.pmod(h * 31 + before, F.lit(SPREAD)) == 0) | (i == F.size(hashes) - 1)
 
-    return F.filter(F.transform(hashes, lambda h, i: F.when(is_end(h, i), i + 1)), lambda e: e.isNotNull())
+def borders(mixed: Column) -> Column:
+    """The first line, the last one, and those where the mixes go from rising to not rising or back."""
 
+    def turns(i: Column) -> Column:
+        here = F.get(mixed, i)
+        return (i == 0) | (i == F.size(mixed) - 1) | ((here > F.get(mixed, i - 1)) != (F.get(mixed, i + 1) > here))
 
-def let(value: Column, use) -> Column:
-    """use(value), with value evaluated once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    return F.filter(F.sequence(F.lit(0), F.size(mixed) - 1), turns)
 
 
 def chunked(text: Column) -> Column:
-    """The chunks of a text, in order; each is its lines joined again."""
+    """The chunks of a text that have a word: their first and last line and a hash of their lines."""
+
+    def chunks(lines: Column) -> Column:
+        wordy = F.transform(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
-    def cut(lines: Column) -> Column:
-        def with_ends(e: Column) -> Column:
-            return F.transform(e, lambda end, i: let(F.when(i > 0, F.get(e, i - 1)).otherwise(F.lit(0)), lambda start: F.struct((end - start).alias("lines"), F.array_join(F.transform(F.sequence(start, end - 1), lambda k: F.get(lines, k)), "\n").alias("chunk"))))
+        def of(hashes: Column, factor: int) -> Column:
+            found = let(F.transform(hashes, lambda h: h * factor % PRIME), lambda mixed: let(borders(mixed), lambda b: F.transform(b, lambda first, j: F.struct(first.alias("first"), F.get(b, j + 1).alias("last")))))
+            return F.filter(found, lambda c: c["last"].isNotNull())
 
-        return let(line_hashes(lines), lambda h: let(ends(h), with_ends))
+        def hashed(found: Column) -> Column:
+            return F.transform(found, lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), F.xxhash64(between(lines, c["first"], c["last"])).alias("hash")))
 
-    return let(F.split(text, "\n", -1), cut)
+        every = let(line_hashes(lines), lambda h: F.concat(*(of(h, x) for x in FACTORS)))
+        return let(wordy, lambda w: hashed(F.filter(every, lambda c: F.exists(F.sequence(c["first"], c["last"]), lambda k: F.get(w, k)))))
+
+    return let(lines_of(text), chunks)
 
 
 def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """_row, _drop: for each document that has some, the positions of the chunks to remove."""
-    row = F.xxhash64(F.col("doc_id"), F.col(text))
-    found = (
+    """_row, _marks: for each document that has some, its chunks whose hash occurs again, and whether each stands at its first place."""
+    found = stored(
         docs.where(F.instr(F.col(text), "\n") > 0)
         # in two steps: what stands beside an explode is computed, and carried, for each of its rows
-        .select(row.alias("_row"), F.col("doc_id").alias("_doc"), chunked(F.col(text)).alias("_all"))
-        .select("_row", "_doc", F.posexplode("_all").alias("_pos", "_c"))
-        .where("_c.lines > 1")
-        .where(F.col("_c.chunk").rlike(r"[^\x20\x09-\x0D]"))
-        .select("_row", "_doc", "_pos", F.col("_c.chunk").alias("_chunk"), F.xxhash64("_c.chunk").alias("_hash"))
-    )
-    place = F.struct(F.col("_doc").isNull().alias("last"), F.col("_doc").alias("doc"), F.col("_row").alias("row"), F.col("_pos").alias("pos"))
-    groups = (
-        found.groupBy("_hash")
-        .agg(F.count("*").alias("_n"), F.min(place).alias("_first"), F.min("_chunk").alias("_least"), F.max("_chunk").alias("_most"))
-        .where("_n > 1 AND _least = _most")
-        .select(F.col("_hash").alias("_h"), "_first")
+        .select(F.xxhash64(F.col("doc_id"), F.col(text)).alias("_row"), F.col("doc_id").alias("_doc"), chunked(F.col(text)).alias("_all"))
+        .select("_row", "_doc", F.explode("_all").alias("_c"))
+        .select("_row", "_doc", "_c.first", "_c.last", F.col("_c.hash").alias("_hash")),
+        "chunks",
+        compression="zstd",
     )
+    place = F.struct(F.col("_doc").isNull().alias("null"), F.col("_doc").alias("doc"), F.col("_row").alias("row"), F.col("first").alias("line"))
     # cut: with an exchange of its own on either side, Spark splits the join of a chunk that very many documents hold
-    groups = cut(groups)
-    again = found.select("_row", "_pos", "_hash", place.alias("_place")).join(groups, F.col("_hash") == F.col("_h")).where("_place != _first")
-    return again.groupBy("_row").agg(F.collect_set("_pos").alias("_drop"))
+    groups = cut(found.groupBy("_hash").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").select(F.col("_hash").alias("_h"), "_first"))
+    again = found.join(groups, F.col("_hash") == F.col("_h"))
+    mark = F.struct("first", "last", F.col("_hash").alias("hash"), (place == F.col("_first")).alias("stays"))
+    return again.groupBy("_row").agg(F.collect_set(mark).alias("_marks"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the repeated chunks removed from their texts, plus `n_removed`, the number of chunks that went."""
-    own, row, drop, removed = (fresh(docs, c) for c in ("_own", "_row", "_drop", "n_removed"))
-    drops = repeated_chunks(docs, text).toDF(row, drop)
-    joined = docs.withColumn(own, F.xxhash64(F.col("doc_id"), F.col(text))).join(drops, F.col(own) == F.col(row), "left")
-
-    def without(chunks: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), F.col(drop))  # by hashing: in proportion to the text
-        return F.when(F.size(left) > 0, F.array_join(F.transform(left, lambda i: F.get(chunks, i)["chunk"]), "\n"))
+    """docs with the lines of repeated chunks removed from their texts, plus `n_removed`, the number of lines that went."""
+    own, row, marks, removed, gone = (fresh(docs, c) for c in ("_own", "_row", "_marks", "n_removed", "_gone"))
+    places = repeated_chunks(docs, text).toDF(row, marks)
+    joined = stored(docs.withColumn(own, F.xxhash64(F.col("doc_id"), F.col(text))).join(places, F.col(own) == F.col(row), "left").drop(row), "marked", compression="zstd")
+
+    def texts(lines: Column) -> Column:
+        return F.transform(F.col(marks), lambda m: F.struct(m["hash"].alias("hash"), F.array_join(between(lines, m["first"], m["last"]), "\n").alias("chunk")))
+
+    compared = joined.where(F.col(marks).isNotNull()).select(let(lines_of(F.col(text)), texts).alias("_all")).select(F.explode("_all").alias("_c"))
+    unlike = cut(compared.groupBy(F.col("_c.hash").alias("_h")).agg(F.min("_c.chunk").alias("least"), F.max("_c.chunk").alias("most")).where("least != most").select("_h"))
+    dropped = F.filter(F.col(marks), lambda m: ~m["stays"])
+    if unlike.limit(1).count():  # two different chunks of one 64-bit hash: neither goes
+        alike = joined.where(F.col(marks).isNotNull()).select(own, F.explode(marks).alias("m")).join(unlike, F.col("m.hash") == F.col("_h"), "left_anti")
+        left = alike.groupBy(F.col(own).alias(row)).agg(F.collect_set("m").alias("m"))
+        joined = joined.drop(marks).join(left.withColumnRenamed("m", marks), F.col(own) == F.col(row), "left").drop(row)
+    lost = F.array_distinct(F.flatten(F.transform(dropped, lambda m: F.sequence(m["first"], m["last"]))))
+    joined = joined.withColumn(gone, F.when(F.size(dropped) > 0, lost))
+
+    def without(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))  # by hashing: in proportion to the text
+        return F.when(F.size(left) > 0, F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
 
     # null where nothing is left
-    joined = joined.withColumn(row, F.when(F.col(drop).isNotNull(), let(chunked(F.col(text)), without)))
-    kept = F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.col(row))
-    return joined.where(F.col(drop).isNull() | F.col(row).isNotNull()).select(*(kept.alias(c) if c == text else F.col(c) for c in docs.columns), F.coalesce(F.size(drop), F.lit(0)).alias(removed))
+    joined = joined.withColumn(own, F.when(F.col(gone).isNotNull(), let(lines_of(F.col(text)), without)))
+    kept = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.col(own))
+    return joined.where(F.col(gone).isNull() | F.col(own).isNotNull()).select(*(kept.alias(c) if c == text else F.col(c) for c in docs.columns), F.coalesce(F.size(gone), F.lit(0)).alias(removed))
 
 
 SQL = r"""
 WITH lines AS (
-  SELECT doc_id, t.i AS i, s[t.i] AS line, ('0x' || md5(s[t.i])[1:8])::BIGINT AS h, len(s) AS n
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL) d, range(1, len(s) + 1) t(i)),
-marked AS (
-  SELECT *, CASE WHEN (h * 31 + coalesce(lag(h) OVER w, 0)) % 3 = 0 OR i = n THEN 1 ELSE 0 END AS is_end FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-numbered AS (
-  SELECT *, coalesce(sum(is_end) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS pos FROM marked),
-chunks AS (SELECT doc_id, pos, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, pos),
-judged AS (
-  SELECT *, n > 1 AND regexp_matches(chunk, '[^\x20\x09-\x0D]') AND row_number() OVER (PARTITION BY chunk, n > 1 ORDER BY doc_id, pos) > 1 AS gone FROM chunks),
+  SELECT doc_id, t.i AS i, s[t.i] AS line, f.f AS f, ('0x' || md5(s[t.i])[1:8])::BIGINT * f.f % 4294967291 AS k, len(s) AS n
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL) d, range(1, len(s) + 1) t(i), (VALUES (1), (1103515245)) f(f)),
+turned AS (
+  SELECT *, CASE WHEN i = 1 OR i = n OR (k > lag(k) OVER w) <> (lead(k) OVER w > k) THEN 1 ELSE 0 END AS turn FROM lines WINDOW w AS (PARTITION BY doc_id, f ORDER BY i)),
+counted AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id, f ORDER BY i) AS upto FROM turned),
+members AS (
+  SELECT doc_id, f, i, line, upto - turn AS chunk_no FROM counted WHERE i > 1
+  UNION ALL SELECT doc_id, f, i, line, upto FROM counted WHERE turn = 1 AND i < n),
+chunks AS (SELECT doc_id, chunk_no, f, min(i) AS lo, max(i) AS hi, string_agg(line, chr(10) ORDER BY i) AS chunk FROM members GROUP BY doc_id, chunk_no, f),
+worded AS (SELECT DISTINCT doc_id, lo, hi, chunk FROM chunks WHERE regexp_matches(chunk, '[^\x20\x09-\x0D]')),
+judged AS (SELECT doc_id, lo, hi, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, lo) > 1 AS gone FROM worded),
+lost AS (SELECT DISTINCT doc_id, t.i AS i FROM judged, range(lo, hi + 1) t(i) WHERE gone),
 texts AS (
-  SELECT doc_id, string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept, count(*) FILTER (WHERE NOT gone) AS left_over, count(*) FILTER (WHERE gone)::INT AS n_removed FROM judged GROUP BY doc_id)
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE x.i IS NULL) AS kept, count(*) FILTER (WHERE x.i IS NULL) AS left_over, count(x.i)::INT AS n_removed
+  FROM lines l LEFT JOIN lost x ON l.doc_id = x.doc_id AND l.i = x.i WHERE l.f = 1 GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN t.n_removed > 0 THEN t.kept ELSE d.text END AS text, d.lang, d.source, d.n_chars, coalesce(t.n_removed, 0)::INT AS n_removed
 FROM documents d LEFT JOIN texts t ON d.doc_id = t.doc_id WHERE t.left_over IS NULL OR t.left_over > 0
 """

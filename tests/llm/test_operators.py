@@ -292,26 +292,28 @@ def brute_lines(own):
     import hashlib
 
     def chunks(text):
-        out, lines, before = [[]], text.split("\n"), 0
-        for i, line in enumerate(lines):
-            h = int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
-            out[-1].append(line)
-            if (h * 31 + (before if i else 0)) % 3 == 0 and i < len(lines) - 1:
-                out.append([])
-            before = h
+        lines, out = text.split("\n"), set()
+        for factor in linededup.FACTORS:
+            mixed = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) * factor % linededup.PRIME for x in lines]
+            rises = [b > a for a, b in zip(mixed, mixed[1:])]
+            start = 0
+            for i in range(1, len(lines)):
+                if i == len(lines) - 1 or rises[i] != rises[i - 1]:
+                    if "\n".join(lines[start : i + 1]).encode().split():
+                        out.add((start, tuple(lines[start : i + 1])))
+                    start = i
         return out
 
-    first, n, docs = {}, collections.Counter(), {r: chunks(r[1]) for r in own if r[1] is not None}
+    first, docs = {}, {r: chunks(r[1]) for r in own if r[1] is not None}
     for (doc, text), parts in docs.items():
-        for pos, c in enumerate(parts):
-            if len(c) > 1 and "\n".join(c).encode().split():
-                place = (doc is None, doc or 0, pos, text)
-                first["\n".join(c)] = min(place, first.get("\n".join(c), place))
-                n["\n".join(c)] += 1
+        for start, c in parts:
+            place = (doc is None, doc or 0, start, text)
+            first[c] = min(place, first.get(c, place))
     left = {}
     for (doc, text), parts in docs.items():
-        kept = [c for pos, c in enumerate(parts) if (t := "\n".join(c)) not in first or first[t] == (doc is None, doc or 0, pos, text)]
-        left[(doc, text)] = "\n".join("\n".join(c) for c in kept) if kept else None
+        gone = {start + k for start, c in parts if first[c] != (doc is None, doc or 0, start, text) for k in range(len(c))}
+        kept = [x for i, x in enumerate(text.split("\n")) if i not in gone]
+        left[(doc, text)] = "\n".join(kept) if kept else None
     return left
 
 
@@ -332,7 +334,16 @@ def test_line_dedup_columns_and_empty(odd, empty):
 def test_line_dedup_boundaries_shift_with_the_text(spark):
     passage = "\n".join(f"line number {i} of a long shared passage" for i in range(400))
     got = linededup.dedup_lines(spark.createDataFrame([(1, "head\n" + passage), (2, "another\nhead here\nand more\n" + passage + "\ntail")], "doc_id long, text string")).orderBy("doc_id").collect()
-    assert got[0]["n_removed"] == 0 and len(got[1]["text"]) < 0.3 * len(passage)
+    assert got[0]["n_removed"] == 0 and len(got[1]["text"]) < 0.1 * len(passage)
+
+
+def test_line_dedup_finds_most_short_passages(spark):
+    """Passages of three lines, each in two documents among other lines; the rest stays."""
+    rows = [(d, "\n".join([f"own line {d} a", f"own line {d} b", *(f"shared line {d % 200} {k}" for k in range(3)), f"own line {d} c"])) for d in range(400)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] == rows[d][1] for d in range(200))
+    assert sum("shared" not in got[d] or got[d].count("shared") < 3 for d in range(200, 400)) > 160
+    assert all(got[d].count("own") == 3 for d in range(400))
 
 
 def test_line_dedup_of_a_very_long_text(spark):
