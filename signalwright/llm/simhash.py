@@ -215,10 +215,13 @@ def near_groups(docs: DataFrame, words: int = 3, most: int = 2, hot: int = 64) -
     return marked.join(whole.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "mark", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
-    """docs with one row of each group: the one of the smallest doc_id, and of its texts the one of the smallest hash."""
+def one_of_each(docs: DataFrame, grouped: DataFrame | None = None, **options: int) -> DataFrame:
+    """docs with one row of each group: the one of the smallest doc_id, and of its texts the one of the smallest hash.
+
+    grouped: rows as of near_groups, where another rule than that of the fingerprints makes the groups.
+    """
     own, mark = fresh(docs, "_id"), fresh(docs, "_mark")
-    grouped = near_groups(docs, **options)
+    grouped = near_groups(docs, **options) if grouped is None else grouped
     first = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
     group = F.coalesce(F.col("component_id"), F.col("fp"))
     kept = cut(grouped.groupBy(group.alias("g"), F.col("component_id").isNull().alias("n")).agg(F.min(first).alias("f"), F.count("*").alias("rows")).select("f.id", "f.mark"))
