@@ -1,10 +1,12 @@
 """SimHash near-dedup: fingerprints of word shingles, linked through one-wildcard variants of their halves.
 
-Two fingerprints that differ in two bits at most agree, but for one bit at most, in one of their two 32-bit halves. So each distinct
-fingerprint is listed under 64 signatures: each half with each of its bits left out; fingerprints that meet in a signature are verified.
+Two fingerprints that differ in two bits at most agree, but for one bit at most, in one of their two 32-bit halves; of `most` bits, in one
+of most // 2 + 1 segments. So each distinct fingerprint is listed under 64 signatures: each segment with each of its bits left out;
+fingerprints that meet in a signature are verified.
 A signature that more than `hot` fingerprints share isn't paired up: its members get signatures of all 64 bits with two of them
 left out (2,016 each), and whoever shares one of those is within two bits, so a link to the least member of each holds the group together
-without any pairs. Links become components by alternating large-star and small-star steps, checkpointed, until nothing changes.
+without any pairs. Beyond two bits that would be too many signatures, and all pairs of a signature are verified, exactly but at the square
+of its size. Links become components by alternating large-star and small-star steps, checkpointed, until nothing changes.
 
 Defined results: a null or empty text has fingerprint zero, which links as any other; a text of fewer words than a shingle has the
 hash of them all as its only feature; rows that repeat a doc_id each get a fingerprint; a component of null doc_ids alone has a null id.
@@ -12,7 +14,9 @@ hash of them all as its only feature; rows that repeat a doc_id each get a finge
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 from signalwright.llm._common import cut, fresh, text_slices
 
 BITS = 64
-HALVES = 2
+#: The greatest number of bits that links may differ in; its segments have eight bits.
+MOST = 15
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -66,32 +71,42 @@ def _mixed(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(33))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sig, fp: a half (32 bits, one left out), its number and the place left out fill 38 bits, so signatures never collide."""
-    bit = np.arange(32, dtype=np.uint64)
-    for b in batches:
-        every = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for lo in range(0, len(every), 1000):
-            fp = every[lo : lo + 1000]
-            out = []
-            for half in range(HALVES):
-                own = (fp >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-                left = own[:, None] & ~(np.uint64(1) << bit)[None, :]
-                out.append(left | (bit[None, :] << np.uint64(32)) | np.uint64(half << 37))
-            sig = _mixed(np.concatenate(out, axis=1)).view(np.int64).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(fp.view(np.int64), 64))], ["sig", "fp"])
+def _signatures(most: int):
+    """sig, fp: a segment (32 bits at most, one left out) and the place left out fill 38 bits, so signatures never collide."""
+    segments = max(2, most // 2 + 1)
+    first = [BITS * k // segments for k in range(segments + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for lo in range(0, len(every), 1000):
+                fp = every[lo : lo + 1000]
+                out = []
+                for start, end in zip(first, first[1:]):
+                    bit = np.arange(end - start, dtype=np.uint64)
+                    own = (fp >> np.uint64(start)) & np.uint64((1 << (end - start)) - 1)
+                    left = own[:, None] & ~(np.uint64(1) << bit)[None, :]
+                    out.append(left | ((bit + np.uint64(start))[None, :] << np.uint64(32)))
+                sig = _mixed(np.concatenate(out, axis=1)).view(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(fp.view(np.int64), BITS))], ["sig", "fp"])
+
+    return run
 
 
 def _close(group: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a small group that differ in `most` bits at most."""
+    """The pairs of a group that differ in `most` bits at most, a block of rows at a time."""
     u = group.view(np.uint64)
-    a, b = np.triu_indices(len(u), 1)
-    near = np.bitwise_count(u[a] ^ u[b]) <= most
-    return group[a[near]], group[b[near]]
+    found = []
+    step = max(1, (1 << 20) // len(u))
+    for lo in range(0, len(u), step):
+        i, j = np.nonzero(np.bitwise_count(u[lo : lo + step, None] ^ u[None, lo:]) <= most)
+        found.append(np.stack([i, j])[:, j > i] + lo)
+    a, b = np.concatenate(found, axis=1)
+    return group[a], group[b]
 
 
-def _pairs(most: int, hot: int):
-    """Over rows sorted by signature: a, b for verified pairs; a, null for the members of a hot signature. At most `hot` are held."""
+def _pairs(most: int, hot: float):
+    """Over rows sorted by signature: a, b for verified pairs; a, null for the members of a hot signature. At most `hot` are held, of 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, over = None, np.zeros(0, dtype=np.int64), False
@@ -133,17 +148,21 @@ def _pairs(most: int, hot: int):
     return run
 
 
-def _two_left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sig, fp: all 64 bits but two, with their places, mixed to 64 bits; a link made of them is verified."""
-    i, j = np.triu_indices(BITS, 1)
-    mask = ~((np.uint64(1) << i.astype(np.uint64)) | (np.uint64(1) << j.astype(np.uint64)))
+def _left_out(most: int):
+    """sig, fp: all 64 bits but `most`, with their places, mixed to 64 bits; a link made of them is verified."""
+    places = np.array(list(combinations(range(BITS), most)), dtype=np.uint64).reshape(math.comb(BITS, most), most)
+    mask = ~np.bitwise_or.reduce(np.uint64(1) << places, axis=1)
     salt = _mixed(np.arange(1, len(mask) + 1, dtype=np.uint64))
-    for b in batches:
-        every = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for lo in range(0, len(every), 64):
-            fp = every[lo : lo + 64]
-            sig = _mixed((fp[:, None] & mask[None, :]) ^ salt[None, :]).view(np.int64).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(fp.view(np.int64), len(mask)))], ["sig", "fp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for lo in range(0, len(every), 64):
+                fp = every[lo : lo + 64]
+                sig = _mixed((fp[:, None] & mask[None, :]) ^ salt[None, :]).view(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(fp.view(np.int64), len(mask)))], ["sig", "fp"])
+
+    return run
 
 
 def _to_first(most: int):
@@ -168,14 +187,19 @@ def _to_first(most: int):
 def links(distinct: DataFrame, most: int = 2, hot: int = 64) -> DataFrame:
     """a < b: links between the distinct fingerprints (column fp) that give the same components as all pairs of `most` bits or fewer.
 
-    Pairs outside of hot signatures are all there; within hot ones there is a path instead of each pair.
+    Pairs outside of hot signatures are all there; within hot ones there is a path instead of each pair. With `most` over 2 none is hot.
     """
+    if not 0 <= most <= MOST:
+        raise ValueError(f"most = {most}: links are complete from 0 to {MOST} bits only")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sigs = distinct.select("fp").mapInArrow(_signatures, "sig long, fp long")
-    found = cut(sigs.repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_pairs(most, hot), "a long, b long"))
+    sigs = distinct.select("fp").mapInArrow(_signatures(most), "sig long, fp long")
+    found = cut(sigs.repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_pairs(most, hot if most <= 2 else math.inf), "a long, b long"))
+    both = found.where("b IS NOT NULL")
+    if most > 2:
+        return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     dense = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
-    wide = dense.mapInArrow(_two_left_out, "sig long, fp long").repartition(n, "sig").sortWithinPartitions("sig", "fp")
-    both = found.where("b IS NOT NULL").unionByName(wide.mapInArrow(_to_first(most), "a long, b long"))
+    wide = dense.mapInArrow(_left_out(most), "sig long, fp long").repartition(n, "sig").sortWithinPartitions("sig", "fp")
+    both = both.unionByName(wide.mapInArrow(_to_first(most), "a long, b long"))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
