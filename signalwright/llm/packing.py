@@ -2,19 +2,25 @@
 
 The pieces' lengths are counted by Spark into a histogram of at most `capacity` lengths, so the program that the driver solves has
 a size that depends on the capacity alone, never on the number of documents. Each round prices one length by a weight that falls
-as the length gets covered, and a knapsack dynamic program finds configurations (multisets of lengths that fit one sequence) of the
-greatest price; their average over the rounds is the fractional solution. Rounded, it is a short list of (configuration, times)
+as the length gets covered, and a knapsack dynamic program finds the configurations (multisets of lengths that fit one sequence) of the
+greatest price; their average over the rounds is the fractional solution. It is rounded down; each further sequence takes the longest
+piece that is left and the knapsack program's best filling of the rest by pieces that are left. The program's dual prices bound how few
+sequences there can be, so a rounding that meets the bound is known to be best. The result is a short list of (configuration, times)
 rows. A piece then needs no search: its rank among the pieces of its length says which sequence it takes, and which place there.
 
-Defined results: a null text is an empty one and still holds its end id; a document longer than the capacity is cut into pieces of
-the capacity and a last, shorter one; rows that repeat a doc_id are packed each on its own; an empty table gives no rows; other
-columns of the input are ignored.
+Defined results: a null or empty text still holds its end id; a document longer than the capacity, however long, is encoded whole and
+cut into pieces of the capacity and a last, shorter one; rows that repeat a doc_id, or each other, are packed each on its own, and
+ties between pieces of one length go by doc_id, piece and then any order; an empty table gives no rows; other columns of the input,
+whatever their names, are ignored. The string of a special token in a text is ordinary text (`encode_special_tokens`, as the
+vocabularies' own description has it), never that token.
 """
 
 from __future__ import annotations
 
-import bisect
+import itertools
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -90,82 +96,122 @@ def configuration(first: int, take: np.ndarray, capacity: int) -> tuple[int, ...
     return tuple(sorted(out, reverse=True))
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int = 30, rate: float = 0.25) -> dict[tuple[int, ...], float]:
-    """The fractional program: times for each configuration, so that each length l is covered about counts[l] times."""
+Configurations = dict[tuple[int, ...], float]
+
+
+def solve(counts: np.ndarray, capacity: int, rounds: tuple[int, ...], rate: float = 0.1) -> Iterator[tuple[Configurations, float]]:
+    """The fractional program by multiplicative weights: after each of the given numbers of rounds, the times of each configuration (so that
+    the lengths are covered as often as they occur, on average) and a bound that no packing can go below.
+
+    A round takes the configurations of the greatest price (several if they are equal), as often as covers the most covered of their lengths
+    once; the weight of a length falls with what covers it. Prices over the greatest price of a configuration are feasible for
+    the dual program, so what all pieces cost at such prices is a lower bound; that of the first round is all tokens over the capacity.
+    """
     lengths = np.flatnonzero(counts)
-    need, covered = counts[lengths].astype(float), np.zeros(len(lengths))
-    slot = {int(v): i for i, v in enumerate(lengths)}
-    total: dict[tuple[int, ...], float] = {}
-    weight = np.ones(len(lengths))
-    for _ in range(rounds):
+    need = counts[lengths].astype(float)
+    share, slot = need * lengths / (need @ lengths), {int(v): i for i, v in enumerate(lengths)}
+    weight, covered = np.ones(len(lengths)), np.zeros(len(lengths))
+    total: Configurations = {}
+    bound = 0.0
+    for t in range(max(rounds)):
         price = np.full(capacity + 1, -1.0)
         price[lengths] = lengths / capacity * weight
         best, take = knapsack(price, capacity)
-        # one dynamic program gives the best configuration round each length; those near the greatest price take part
+        bound = max(bound, float(price[lengths] @ need) / best[capacity])
+        # one dynamic program gives the best configuration round each length
         value = price[lengths] + best[capacity - lengths]
-        added = np.zeros(len(lengths))
-        step: dict[tuple[int, ...], float] = {}
-        for i in np.flatnonzero(value >= value.max() * (1 - rate)):
-            c = configuration(int(lengths[i]), take, capacity)
-            share = need[i] / c.count(int(lengths[i]))
-            step[c] = step.get(c, 0.0) + share
-        for c, x in step.items():
-            for v in c:
-                added[slot[v]] += x
-        # the round covers one part in `rounds` of the whole need
-        scale = need @ lengths / max(added @ lengths, 1e-9) / rounds
+        step: Configurations = {}
+        got = np.zeros(len(lengths))
+        for i in np.flatnonzero(value >= best[capacity] * (1 - 1e-9)):
+            first = int(lengths[i])
+            times = Counter(configuration(first, take, capacity))
+            x = need[i] / times[first]
+            c = tuple(sorted(times.elements(), reverse=True))
+            step[c] = step.get(c, 0.0) + x
+            for v, k in times.items():
+                got[slot[v]] += x * k
+        scale = 1 / float((got / need).max())
         for c, x in step.items():
             total[c] = total.get(c, 0.0) + x * scale
-        covered += added * scale
-        ahead = covered / need
-        weight = np.exp(-rate * rounds * (ahead - ahead.mean()) / 4).clip(1e-3, 1e3)
-    return total
-
-
-def best_fit(counts: dict[int, int], capacity: int) -> dict[tuple[int, ...], int]:
-    """What the rounding leaves: longest first, each into the sequence with the least room that takes it; alike sequences together."""
-    open_rooms: dict[int, dict[tuple[int, ...], int]] = {}
-    rooms: list[int] = []
-
-    def put(room: int, c: tuple[int, ...], n: int) -> None:
-        if room not in open_rooms:
-            open_rooms[room] = {}
-            bisect.insort(rooms, room)
-        open_rooms[room][c] = open_rooms[room].get(c, 0) + n
-
-    for v in sorted(counts, reverse=True):
-        left = counts[v]
-        while left:
-            k = bisect.bisect_left(rooms, v)
-            if k == len(rooms):
-                fit = capacity // v
-                if left >= fit:
-                    put(capacity - fit * v, (v,) * fit, left // fit)
-                    left %= fit
-                else:
-                    put(capacity - left * v, (v,) * left, 1)
-                    left = 0
-                continue
-            room = rooms[k]
-            c, n = next(iter(open_rooms[room].items()))
-            # as many of this length as the room takes, into as many of these sequences as there is need for
-            fit = min(room // v, left)
-            use = min(n, left // fit)
-            if n == use:
-                del open_rooms[room][c]
-                if not open_rooms[room]:
-                    del open_rooms[room], rooms[k]
-            else:
-                open_rooms[room][c] = n - use
-            put(room - fit * v, c + (v,) * fit, use)
-            left -= use * fit
-    out: dict[tuple[int, ...], int] = {}
-    for group in open_rooms.values():
-        for c, n in group.items():
-            out[c] = out.get(c, 0) + n
+        covered += got * scale / need
+        weight = np.maximum(weight * np.exp(-rate * got * scale / need), 1e-12)
+        weight /= weight @ share
+        if t + 1 in rounds:
+            yield {c: x / covered.mean() for c, x in total.items()}, bound
+
+
+def _take(used: dict[tuple[int, ...], int], left: dict[int, int], c: tuple[int, ...], most: float) -> None:
+    """Places a configuration as often as `most` and what is left of its lengths allow."""
+    times = Counter(c)
+    m = int(min(most, *(left.get(v, 0) // k for v, k in times.items())))
+    if m > 0:
+        used[c] = used.get(c, 0) + m
+        for v, k in times.items():
+            left[v] -= m * k
+            if not left[v]:
+                del left[v]
+
+
+def filled(room: int, left: dict[int, int], slack: int) -> list[int]:
+    """The knapsack program with a piece's length as its price and no more pieces than there are: the pieces that fill a room best.
+
+    The sums that can be reached are the bits of a number. Longer pieces come first (left is in falling order), and it stops once a sum
+    within `slack` of the room is reached, so that shorter ones stay for others.
+    """
+    reach, mask, goal = 1, (2 << room) - 1, max(0, room - slack)
+    before: list[tuple[int, int]] = []
+    for v, n in left.items():
+        if n and v <= room:
+            before.append((v, reach))
+            for _ in range(min(n, room // v)):
+                reach |= (reach << v) & mask
+            if reach >> goal:
+                break
+    at, out = reach.bit_length() - 1, []
+    for v, was in reversed(before):
+        while not was >> at & 1:
+            at -= v
+            out.append(v)
     return out
 
 
+def rounded(x: Configurations, counts: np.ndarray, capacity: int, slack: int) -> dict[tuple[int, ...], int]:
+    """Whole times: the fractional ones rounded down, then, longest piece first, whatever fills its sequence best."""
+    left = {int(v): int(counts[v]) for v in np.flatnonzero(counts)[::-1]}
+    used: dict[tuple[int, ...], int] = {}
+    for c, t in sorted(x.items(), key=lambda i: (-i[1], i[0])):
+        if t < 1:
+            break
+        _take(used, left, c, t)
+    for v in list(left):
+        while v in left:
+            left[v] -= 1
+            rest = filled(capacity - v, left, slack)
+            left[v] += 1
+            _take(used, left, (v, *sorted(rest, reverse=True)), math.inf)
+    return used
+
+
+def best_configurations(counts: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], int], float]:
+    """The rounded program with the fewest sequences, and the program's lower bound. It ends once a rounding meets the bound."""
+    kinds = int(np.count_nonzero(counts))
+    if not kinds:
+        return {}, 0.0
+    # a round's time grows with the number of lengths
+    many = max(16, min(150, 60_000 // kinds))
+    found: dict[tuple[int, ...], int] | None = None
+    bound = 0.0
+    for x, least in itertools.chain(solve(counts, capacity, (8, many)), [({}, 0.0)]):
+        bound = max(bound, least)
+        for slack in (0, capacity // 128) if x else (0, capacity // 32):
+            used = rounded(x, counts, capacity, slack)
+            if found is None or sum(used.values()) < sum(found.values()):
+                found = used
+            if sum(found.values()) <= math.ceil(bound - 1e-6):
+                return found, bound
+    return found, bound
+
+
 def plan(counts: np.ndarray, capacity: int) -> Plan:
     """counts: how many pieces have each length, by length up to the capacity. Which rank goes where."""
     left = counts.astype(np.int64).copy()
@@ -173,28 +219,14 @@ def plan(counts: np.ndarray, capacity: int) -> Plan:
     if left[capacity]:
         used.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    # the rounded program, and again for what the rounding left; configurations with room to spare only in the later turns
-    for slack in (0, capacity // 1000, capacity // 50):
-        n = int(left.sum())
-        x = solve(left, capacity) if n else {}
-        for up in (False, True):
-            for c, t in sorted(x.items(), key=lambda i: (-sum(i[0]), -i[1], i[0])):
-                if sum(c) < capacity - slack:
-                    break
-                own, times = np.unique(c, return_counts=True)
-                most = int((left[own] // times).min())
-                m = min(most, int(np.ceil(t) if up else np.floor(t)))
-                if m > 0:
-                    used.append((c, m))
-                    left[own] -= m * times
-    used += best_fit({int(v): int(left[v]) for v in np.flatnonzero(left)}, capacity).items()
+    used += best_configurations(left, capacity)[0].items()
 
     rows: list[tuple[int, int, int, int, int]] = []
     given = np.zeros(capacity + 1, dtype=np.int64)
     sequence = 0
     for c, m in used:
         offset = 0
-        for v, each in zip(*(a[::-1].tolist() for a in np.unique(c, return_counts=True)), strict=True):
+        for v, each in sorted(Counter(c).items(), reverse=True):
             rows.append((v, int(given[v]), sequence, each, offset))
             given[v] += each * m
             offset += each * v
