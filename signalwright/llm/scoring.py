@@ -3,15 +3,16 @@
 The pieces are those of a public sentence-piece vocabulary; their weights are unigram log-probabilities counted in the training
 documents (its own scores are merge ranks, not probabilities). Pieces never cross words, so the forward recursion runs once for each
 distinct word, in log space, over its bytes: every piece that matches is an edge, and each single byte is one too (byte fallback), so
-that every text has a probability. A word of the training documents is an edge of its own from start to end, with its count less a
-discount d = n1 / (n1 + 2 n2) (n1, n2: the words seen once and twice) over all counts; what the discounts leave is the weight of all
-other paths. A text's score is the sum over its words, plus that of the end.
+that every text has a probability. A text's score is the sum over its words, plus that of the end: the marginal probability of its
+words in their order under the pieces alone. The base score is a plain word model beside it and has no part in the score.
 
 Word counts are a table that grows with the corpus. A word of at least one part in `FREQUENT` of all tokens is looked up in a
 broadcast map, which holds FREQUENT words at most, whatever the corpus; all other words are joined, and none of them can be a hot key.
 
-Defined results: a null text is an empty one, whose only token is its end; rows that repeat a doc_id are each scored, and each counted
-in training; a null doc_id counts as the empty text in the split; with no training rows every count is zero.
+Defined results: a null text is an empty one, whose only token is its end; a very long text is scored whole; rows that repeat a doc_id,
+or each other, are each scored, and each counted in training, so equal texts have equal scores; a null doc_id counts as the empty text
+in the split; with no training rows every count is zero; an empty table gives no rows; other columns of the input, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -158,10 +159,8 @@ def score(docs: DataFrame, model: str, held_out=None) -> DataFrame:
     spark = docs.sparkSession
     held_out = crc_mod(F.col("doc_id"), 7) == 2 if held_out is None else held_out
     vocab = stored(count_words(docs, held_out), "words")
-    totals = vocab.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum("c_all"), F.sum(F.when(F.octet_length("word") == 0, F.col("c"))), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    n, v, n_all, ends, n1, n2 = (x or 0 for x in totals)
-    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    rest = math.log(discount * v / n) if n else 0.0
+    totals = vocab.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum("c_all"), F.sum(F.when(F.octet_length("word") == 0, F.col("c")))).first()
+    n, v, n_all, ends = (x or 0 for x in totals)
     logs, end = piece_logs(piece_counts(vocab, model), ends, model)
     spread = spark.sparkContext.broadcast((logs, end))  # at most one entry a piece of the vocabulary
     floor = n + v + 1
@@ -169,12 +168,8 @@ def score(docs: DataFrame, model: str, held_out=None) -> DataFrame:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, end = Lattice(spread.value[0]), spread.value[1]
         for b in batches:
-            lp = [rest + (lattice.log_probability(w) if w else end) for w in b.column(0).to_pylist()]
-            c = b.column(1).to_numpy(zero_copy_only=False)
-            with np.errstate(divide="ignore"):
-                whole = np.log(np.maximum(c - discount, 0.0) / max(1, n))
-            lp = np.logaddexp(np.array(lp, dtype=np.float64), whole) / math.log(10)
-            base = np.log10((c + 1) / floor)
+            lp = np.array([lattice.log_probability(w) if w else end for w in b.column(0).to_pylist()], dtype=np.float64) / math.log(10)
+            base = np.log10((b.column(1).to_numpy(zero_copy_only=False) + 1) / floor)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base), pa.array(lp)], ["word", "c", "c_all", "base", "lp"])
 
     weighed = stored(vocab.mapInArrow(weigh, "word binary, c long, c_all long, base double, lp double"), "weighed")
