@@ -4,12 +4,15 @@ A file holds data blocks, an index block, a Bloom filter and a footer. In a bloc
 shares with the key before it, and every 16th key is whole (a restart) so that a reader can search the restarts; a checksum ends the
 block. The index has the last key, place and length of each block. Keys order as the identifiers do; a null identifier comes first.
 
-Spark sorts the documents into range partitions of doc_id, and each task streams its partition through the tokenizer into files in
+Spark sorts the documents into range partitions of (doc_id, the text's first characters, a salt), so that rows of one repeated or missing
+doc_id spread over many; each task streams its partition through the tokenizer into files in
 the shared folder, one block in memory at a time. A file gets its name when whole, so that a task that runs again only replaces
 it with the same bytes.
 
-Defined results: a null text is an empty one and still gets its end id; rows that repeat a doc_id are all kept, in the order of
-their texts, and a lookup returns each; an empty table writes no files; other columns are ignored.
+Defined results: a null text is an empty one and still gets its end id; a very long text is one entry, whole; rows that repeat a doc_id
+are all kept, in the order of their texts' first `PREFIX` characters (beyond them in any order), and a lookup returns each that the file
+holds; an empty table writes no files; other columns, whatever their names, are ignored. The string of a special token in a text is
+ordinary text (`encode_special_tokens`, as the vocabularies' own description has it).
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from signalwright.llm._common import byte_encoder, cut, new_path, text_slices
 MAGIC = b"SWTOKEN1"
 FOOTER = struct.Struct("<QQQQQQQ8s")  # index at, length; filter at, length; documents; ids; bytes of an id; magic
 RESTART = 16
+#: Characters of a text that order the rows of one doc_id.
+PREFIX = 64
 MANIFEST = "path string, part long, roll long, docs long, ids long"
 
 
@@ -228,7 +233,9 @@ def write_tables(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = narrow.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    first = F.col("doc_id").asc_nulls_first()
+    # a prefix, since the bounds of the ranges are collected; the salt spreads rows that are alike
+    ordered = narrow.repartitionByRange(n, first, F.substring("text", 1, PREFIX), F.xxhash64(F.monotonically_increasing_id())).sortWithinPartitions(first, "text")
     return cut(ordered.mapInArrow(write, MANIFEST))
 
 
