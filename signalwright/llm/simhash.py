@@ -9,7 +9,9 @@ without any pairs. Beyond two bits that would be too many signatures, and all pa
 of its size. Links become components by alternating large-star and small-star steps, checkpointed, until nothing changes.
 
 Defined results: a null or empty text has fingerprint zero, which links as any other; a text of fewer words than a shingle has the
-hash of them all as its only feature; rows that repeat a doc_id each get a fingerprint; a component of null doc_ids alone has a null id.
+hash of them all as its only feature; a very long text is read whole, its hashes in blocks; a bit set in exactly half the hashes is 0;
+rows that repeat a doc_id, or each other, each get a fingerprint; a component of null doc_ids alone has a null id; an empty table gives
+no rows; other columns, whatever their names, are ignored, and `one_of_each` returns them as they are.
 """
 
 from __future__ import annotations
@@ -192,7 +194,8 @@ def links(distinct: DataFrame, most: int = 2, hot: int = 64) -> DataFrame:
     if not 0 <= most <= MOST:
         raise ValueError(f"most = {most}: links are complete from 0 to {MOST} bits only")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sigs = distinct.select("fp").mapInArrow(_signatures(most), "sig long, fp long")
+    # dealt out again: each fingerprint becomes 64 rows, and adaptive execution would put all of them, small as they are, in few tasks
+    sigs = distinct.select("fp").repartition(n, "fp").mapInArrow(_signatures(most), "sig long, fp long")
     found = cut(sigs.repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_pairs(most, hot if most <= 2 else math.inf), "a long, b long"))
     both = found.where("b IS NOT NULL")
     if most > 2:
