@@ -6,8 +6,9 @@ binary column in the shared folder; reading one tests signature, checksums and s
 hash is that of a perceptual hash: the image averaged to 32 x 32, its cosine transform's lowest 8 x 8 frequencies, a bit for each above
 their median.
 
-Defined results: a null text is an empty one, with 64 zero bytes as its payload; equal texts have equal images, sizes and hashes; rows
-that repeat a doc_id are stored each; other columns are ignored.
+Defined results: a null or empty text has 64 zero bytes as its payload; equal texts have equal images, sizes and hashes; a very long text
+is one image, as high as it needs, and no other text is held in memory beside it; a frequency at the median itself is a zero bit; rows
+that repeat a doc_id, or each other, are stored each; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalwright.llm._common import stored
+from signalwright.llm._common import stored, text_slices
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -152,10 +153,11 @@ def to_media(docs: DataFrame) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.large_binary())
-            for lo in range(0, len(texts), 256):
-                own = [x.as_py() or b"" for x in texts[lo : lo + 256]]
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + 256], pa.array([len(x) for x in own], pa.int64()), pa.array([encode_png(payload_of(x)) for x in own], pa.binary())], ["doc_id", "n_bytes", "media"])
+            at = 0
+            # slices are bounded by bytes, so that long texts don't stand in memory together with their images
+            for own in text_slices(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + len(own)], pa.array([len(x) for x in own], pa.int64()), pa.array([encode_png(payload_of(x)) for x in own], pa.binary())], ["doc_id", "n_bytes", "media"])
+                at += len(own)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, MEDIA)
 
