@@ -21,12 +21,15 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset, a temporary one under a local master
+    (tests), and an error on a cluster, whose machines don't share such folders."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.TemporaryDirectory(prefix="signalwright-", ignore_cleanup_errors=True)
         atexit.register(folder.cleanup)
         sc.setCheckpointDir(f"file://{folder.name}")
@@ -83,13 +86,16 @@ def text_slices(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[list[byt
 
 
 class _Known(dict):
-    """Remembers what make() gave for a key: the first `most` keys for good, the latest `few` others for a while."""
+    """Remembers what make() gave for a key: the first `most` keys for good, the latest `few` others for a while. Keys longer than `longest`
+    (whole texts of a script without spaces, say) are never kept, so that what is kept is bounded in bytes too."""
 
-    def __init__(self, make: Callable, most: int, few: int = 50_000):
+    def __init__(self, make: Callable, most: int, few: int = 50_000, longest: int = 96):
         super().__init__()
-        self.make, self.most, self.few, self.latest = make, most, few, {}
+        self.make, self.most, self.few, self.longest, self.latest = make, most, few, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         value = self.latest.get(key)
         if value is None:
             value = self.make(key)

@@ -9,7 +9,9 @@ The fit uses at most `per_language` labelled rows of each language (`PER_LANGUAG
 prediction covers every row and every byte of its text.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; with one learned language, that is predicted with score 1;
-with none, every row is `und`; rows that repeat a doc_id are each predicted; lang, source and doc_id never enter a prediction.
+with none, every row is `und`; a very long text is read whole, in blocks; rows that repeat a doc_id, or each other, are each predicted,
+equal texts alike; an empty table gives no rows; all other columns come back as they are, and the added one takes a free name; lang,
+source and doc_id never enter a prediction.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ its partition. A mean above `PART` is a sum of equal parts, each with a number o
 The copies then go to partitions by a hash of (seed, doc_id, copy) and are ordered by it there: a global shuffle.
 
 Defined results: documents of a null source are a source of their own; a source without a target weight gets `other` (0: none of
-it); rows that repeat a doc_id draw the same count; a null doc_id draws as the text 'null'; the columns of docs come back as they
-are, and the added ones take names that docs doesn't have; an empty table stays empty.
+it); rows that repeat a doc_id draw the same count, and rows that repeat each other are each copied so often; a null doc_id draws as the
+text 'null'; texts, null, empty or very long, aren't looked at; the columns of docs come back as they are, and the added ones take names
+that docs doesn't have; an empty table stays empty.
 """
 
 from __future__ import annotations
