@@ -62,7 +62,8 @@ def features(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, steps: int = 200, penalty: float = 1e-3) -> np.ndarray:
-    """Weights and, last, the bias of a linear machine with squared hinge loss; both classes weigh the same. y: 1 or -1."""
+    """Weights and, last, the bias of a linear machine with squared hinge loss; both classes weigh the same. y: 1, -1, or 0 for rows of
+    other classes, which have no part in it (the samples stay in one array)."""
     w, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     for _ in range(steps):
@@ -86,8 +87,7 @@ class Duel:
         pairs = tuple(combinations(range(len(names)), 2))
         rows = []
         for i, j in pairs:
-            own = (label == names[i]) | (label == names[j])
-            rows.append(fit_machine(x[own], np.where(label[own] == names[i], 1.0, -1.0)))
+            rows.append(fit_machine(x, (label == names[i]) * 1.0 - (label == names[j])))
         return Duel(names, pairs, np.array(rows).reshape(len(pairs), x.shape[1] + 1 if len(x) else 1))
 
     def winner(self, x: np.ndarray) -> tuple[str, float]:
@@ -121,8 +121,8 @@ class Model:
         return lang, min(1.0, sure * within)
 
 
-def sample(docs: DataFrame, held_out: Column, per_language: int = PER_LANGUAGE) -> list[tuple[str, np.ndarray]]:
-    """Language and features of at most per_language rows of each learned language."""
+def sample(docs: DataFrame, held_out: Column, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, np.ndarray]:
+    """Languages and features (a row each) of at most per_language rows of each learned language, in the order of their draw."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
     order = F.xxhash64(F.lit("fit"), F.col("doc_id"))
     counts = labelled.groupBy("lang").count().collect()  # one row for each language
@@ -132,8 +132,12 @@ def sample(docs: DataFrame, held_out: Column, per_language: int = PER_LANGUAGE)
     # a hash below the bound first, so that only about 1.5 times the sample is ranked
     drawn = labelled.where(order.bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52)) < chance).select("lang", "text", order.alias("o"))
     ranked = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", F.xxhash64("text")))).where(F.col("n") <= per_language)
-    rows = ranked.select("lang", _features_udf()(F.col("text")).alias("x")).collect()
-    return [(r["lang"], np.frombuffer(r["x"], dtype=np.float32)) for r in rows if r["x"] is not None]
+    wanted = ranked.select("lang", "n", _features_udf()(F.col("text")).alias("x")).where("x IS NOT NULL").orderBy("lang", "n")
+    rows = wanted.select("lang", "x").toArrow().combine_chunks()
+    x = np.zeros((rows.num_rows, DIMENSIONS), dtype=np.float32)
+    for k, own in enumerate(rows.column("x")):
+        x[k] = np.frombuffer(own.as_py(), dtype=np.float32)
+    return np.array(rows.column("lang").to_pylist(), dtype=object), x
 
 
 def _features_udf():
@@ -145,14 +149,12 @@ def _features_udf():
 
 
 def fit(docs: DataFrame, held_out: Column, families: Mapping[str, tuple[str, ...]] = FAMILIES, per_language: int = PER_LANGUAGE) -> Model:
-    rows = sorted(sample(docs, held_out, per_language), key=lambda r: (r[0], r[1].tobytes()))
-    if not rows:
+    lang, x = sample(docs, held_out, per_language)
+    if not len(lang):
         return Model(None, {})
-    family_of = {lang: f for f, langs in families.items() for lang in langs}
-    lang = np.array([r[0] for r in rows], dtype=object)
-    family = np.array([family_of.get(x, x) for x in lang], dtype=object)
-    x = np.stack([r[1] for r in rows])
-    within = {f: Duel.fit(x[family == f], lang[family == f], tuple(sorted(set(lang[family == f])))) for f in sorted(set(family))}
+    family_of = {own: f for f, langs in families.items() for own in langs}
+    family = np.array([family_of.get(own, own) for own in lang], dtype=object)
+    within = {f: Duel.fit(x, lang, tuple(sorted(set(lang[family == f])))) for f in sorted(set(family))}
     return Model(Duel.fit(x, family, tuple(within)), within)
 
 

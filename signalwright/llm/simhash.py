@@ -6,7 +6,7 @@ fingerprints that meet in a signature are verified.
 A signature that more than `hot` fingerprints share isn't paired up: its members get signatures of all 64 bits with two of them
 left out (2,016 each), and whoever shares one of those is within two bits, so a link to the least member of each holds the group together
 without any pairs. Beyond two bits that would be too many signatures, and all pairs of a signature are verified, exactly but at the square
-of its size. Links become components by alternating large-star and small-star steps, checkpointed, until nothing changes.
+of its size. Links become components by alternating large-star and small-star steps, written down each, until all are stars.
 
 Defined results: a null or empty text has fingerprint zero, which links as any other; a text of fewer words than a shingle has the
 hash of them all as its only feature; a very long text is read whole, its hashes in blocks; a bit set in exactly half the hashes is 0;
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalwright.llm._common import cut, fresh, text_slices
+from signalwright.llm._common import cut, fresh, stored, text_slices
 
 BITS = 64
 #: The greatest number of bits that links may differ in; its segments have eight bits.
@@ -207,27 +207,28 @@ def links(distinct: DataFrame, most: int = 2, hot: int = 64) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: for every end of an edge (a, b), the least node that it reaches. Large-star and small-star steps by joins."""
-    now = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    """node, root: for every end of an edge (a, b), the least node that it reaches. Large-star and small-star steps by joins, each step a
+    written table, until every edge leads from a root to a node of its own."""
+    now = stored(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
 
     def star(pairs: DataFrame, larger: bool) -> DataFrame:
         # pairs: u, v; every v of u (all, or only the smaller ones and u itself) is led to the least of them
-        # cut: with an exchange of its own on either side, Spark splits the join of a node with very many neighbours
-        least = cut(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        # stored: with an exchange of its own on either side, Spark splits the join of a node with very many neighbours
+        least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         led = pairs.join(least, "u")
         if larger:
             return led.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         return led.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
 
-    def digest(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    def unsettled(df: DataFrame) -> bool:
+        """Whether a node hangs on two others, or on one and has one hanging on it."""
+        ends = df.select(F.col("b").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(df.select(F.col("a").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+        return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 OR hangs = 1 AND holds = 1").limit(1).count() > 0
 
-    was = None
-    while (seen := digest(now)) != was:
-        was = seen
+    while unsettled(now):
         ends = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = star(ends, True).where("a != b").distinct()
-        now = cut(star(large.select(F.col("b").alias("u"), F.col("a").alias("v")), False).where("a != b").distinct())
+        now = stored(star(large.select(F.col("b").alias("u"), F.col("a").alias("v")), False).where("a != b").distinct(), "edges")
     roots = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
