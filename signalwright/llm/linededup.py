@@ -2,16 +2,17 @@
 
 Each line is hashed, and a hash rolls over the lines, two at a time: the difference of neighbouring line hashes. A line where it
 changes its sign ends a chunk and begins the next, so that a passage shared by two documents falls into the same chunks wherever it stands
-in them. Two such chunkings, by two mixes of the line hashes, catch what one of them cuts at the borders of a short passage. A chunk that
+in them. Four such chunkings, by four mixes of the line hashes, catch what one of them cuts at the borders of a short passage. A chunk that
 occurs again, in the same or another document, is repeated; its lines are removed everywhere but at its first place (the smallest
 doc_id, then the first line). A removed line thus has an equal one at an earlier place, and the earliest of all stays.
 
 Chunks are counted by a hash, so that texts don't travel for that. The documents that hold repeated ones are then joined with their places
 once, and the texts of each hash's chunks are compared: one whose texts are not all the same bytes isn't repeated.
 
-Defined results: a null text stays null and an empty one empty; chunks without a word, and texts of one line, always stay; a document
-loses its row when all its lines go; rows that agree in doc_id and text are one document and are treated alike; a null doc_id comes
-last in the order of places; all other columns come back as they are.
+Defined results: a null text stays null and an empty one empty; chunks without a word, and texts of one line, always stay; a very long
+text is chunked whole, with work in proportion to its length; a document loses its row when all its lines go; rows that agree in doc_id
+and text are one document and are treated alike; of equal places the one of the smaller text hash is first; a null doc_id comes last in
+the order of places; all other columns come back as they are, and the added one takes a free name; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from signalwright.llm._common import cut, fresh, stored
 
-#: A mix is the line's hash times a factor, modulo a prime.
-FACTORS, PRIME = (1, 1103515245), 4294967291
+#: A mix is the line's hash times a factor, modulo a prime. Each further mix finds about half of the passages that the others miss.
+FACTORS, PRIME = (1, 1103515245, 69069, 1664525), 4294967291
 
 
 def let(value: Column, use) -> Column:
@@ -123,7 +124,7 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 SQL = r"""
 WITH lines AS (
   SELECT doc_id, t.i AS i, s[t.i] AS line, f.f AS f, ('0x' || md5(s[t.i])[1:8])::BIGINT * f.f % 4294967291 AS k, len(s) AS n
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL) d, range(1, len(s) + 1) t(i), (VALUES (1), (1103515245)) f(f)),
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL) d, range(1, len(s) + 1) t(i), (VALUES (1), (1103515245), (69069), (1664525)) f(f)),
 turned AS (
   SELECT *, CASE WHEN i = 1 OR i = n OR (k > lag(k) OVER w) <> (lead(k) OVER w > k) THEN 1 ELSE 0 END AS turn FROM lines WINDOW w AS (PARTITION BY doc_id, f ORDER BY i)),
 counted AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id, f ORDER BY i) AS upto FROM turned),

@@ -5,7 +5,7 @@ shuffled. Words are the runs of characters other than ASCII white space.
 
 Defined results: a null or empty text has no words, so it fails; a text without words has ratio 0 in every metric; a value equal to a
 bound passes; very long texts are judged whole; rows that repeat each other are each judged; an empty table gives no rows; other
-columns, whatever their names, come back as they are or are ignored.
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
