@@ -132,18 +132,25 @@ def sample(docs: DataFrame, held_out: Column, per_language: int = PER_LANGUAGE)
     # a hash below the bound first, so that only about 1.5 times the sample is ranked
     drawn = labelled.where(order.bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52)) < chance).select("lang", "text", order.alias("o"))
     ranked = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", F.xxhash64("text")))).where(F.col("n") <= per_language)
-    wanted = ranked.select("lang", "n", _features_udf()(F.col("text")).alias("x")).where("x IS NOT NULL").orderBy("lang", "n")
-    rows = wanted.select("lang", "x").toArrow().combine_chunks()
-    x = np.zeros((rows.num_rows, DIMENSIONS), dtype=np.float32)
-    for k, own in enumerate(rows.column("x")):
-        x[k] = np.frombuffer(own.as_py(), dtype=np.float32)
-    return np.array(rows.column("lang").to_pylist(), dtype=object), x
+    rows = [r for r in ranked.select("lang", "n", _features_udf()(F.col("text")).alias("x")).collect() if r["x"] is not None]
+    rows.sort(key=lambda r: (r["lang"], r["n"]))
+    x = np.zeros((len(rows), DIMENSIONS), dtype=np.float32)
+    for own, r in zip(x, rows, strict=True):
+        n = len(r["x"]) // 6
+        own[np.frombuffer(r["x"], "<u2", n)] = np.frombuffer(r["x"], "<f4", n, 2 * n)
+    return np.array([r["lang"] for r in rows], dtype=object), x
 
 
 def _features_udf():
+    """The features that aren't zero: their numbers, 16 bits each, then their values, 32 bits each."""
+
+    def sparse(x: np.ndarray) -> bytes:
+        at = np.flatnonzero(x)
+        return at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
+
     @F.arrow_udf("binary")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([features(t).tobytes() if t and has_letter(t) else None for t in texts.to_pylist()], pa.binary())
+        return pa.array([sparse(features(t)) if t and has_letter(t) else None for t in texts.to_pylist()], pa.binary())
 
     return of
 

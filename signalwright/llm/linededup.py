@@ -86,8 +86,11 @@ def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     place = F.struct(F.col("_doc").isNull().alias("null"), F.col("_doc").alias("doc"), F.col("_row").alias("row"), F.col("first").alias("line"))
     # cut: with an exchange of its own on either side, Spark splits the join of a chunk that very many documents hold
-    groups = cut(found.groupBy("_hash").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").select(F.col("_hash").alias("_h"), "_first"))
-    again = found.join(groups, F.col("_hash") == F.col("_h"))
+    hashes = cut(found.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_hash").alias("_h")))
+    repeated = stored(found.join(hashes, F.col("_hash") == F.col("_h")).drop("_h"), "repeated", compression="zstd")
+    # the places, several times as wide as a hash, are compared for repeated chunks only
+    groups = cut(repeated.groupBy("_hash").agg(F.min(place).alias("_first")).select(F.col("_hash").alias("_h"), "_first"))
+    again = repeated.join(groups, F.col("_hash") == F.col("_h"))
     mark = F.struct("first", "last", F.col("_hash").alias("hash"), (place == F.col("_first")).alias("stays"))
     return again.groupBy("_row").agg(F.collect_set(mark).alias("_marks"))
 
