@@ -13,10 +13,13 @@ def clock(seconds: Column) -> Column:
 
 
 def duration_label(seconds: Column) -> Column:
-    """Hours from an hour on, else minutes; one decimal, truncated."""
-    hours = F.concat(F.floor(seconds / 360).cast("long").cast("string"), F.lit(" tenths of an hour"))
-    minutes = F.concat(F.floor(seconds / 6).cast("long").cast("string"), F.lit(" tenths of a minute"))
-    return F.when(seconds >= 3600, hours).otherwise(minutes)
+    """`x.x hrs` from an hour on, else `x.x min`: tenths, rounded half up in whole numbers."""
+
+    def tenths(size: int) -> Column:
+        n = F.floor((F.floor(seconds) * 20 + size) / (2 * size)).cast("long")
+        return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+    return F.when(seconds >= 3600, F.concat(tenths(3600), F.lit(" hrs"))).otherwise(F.concat(tenths(60), F.lit(" min")))
 
 
 def camera_of(path: Column, known: list[str]) -> Column:

@@ -10,22 +10,37 @@ from pyspark.sql import functions as F
 from signalwright.operators.signals import ordered
 
 
-def drop_echoes(df: DataFrame, key: Sequence[str], order: str, strength: str, within: int, ratio: Column) -> DataFrame:
-    """Without events weaker than `ratio` of an event at most `within` before. A ratio below 1 lets the window hold the event itself."""
-    before = Window.partitionBy(*key).orderBy(order).rangeBetween(-within, 0)
-    return df.withColumn("_most", F.max(strength).over(before)).where(F.col(strength) >= ratio * F.col("_most")).drop("_most")
-
-
-def echo_audit(df: DataFrame, key: Sequence[str], order: str, strength: str, within: int, ratio: Column) -> DataFrame:
-    """The dropped events with the nearest one before that outweighs each: `preceding`, `preceding_strength`."""
-    span = F.lit(within)
-    left = df.withColumn("_b", F.expr(f"explode(array(div({order}, {within}) - 1, div({order}, {within})))"))
-    right = df.select(*[F.col(k).alias(f"_r_{k}") for k in key], F.col(order).alias("preceding"), F.col(strength).alias("preceding_strength"), F.expr(f"div({order}, {within})").alias("_rb"))
-    on = [F.col(k) == F.col(f"_r_{k}") for k in key] + [F.col("_b") == F.col("_rb")]
-    near = (F.col("preceding") < F.col(order)) & (F.col(order) - F.col("preceding") <= span) & (F.col(strength) < ratio * F.col("preceding_strength"))
-    joined = left.join(right, on).where(near)
-    last = F.max(F.struct("preceding", "preceding_strength")).alias("_p")
-    return joined.groupBy(*df.columns).agg(last).select(*df.columns, "_p.preceding", "_p.preceding_strength")
+def _echo_source(df: DataFrame, key: Sequence[str], order: str, strength: str, within: int, ratio: Column, ties: Sequence[str]) -> DataFrame:
+    """df with `_source`: the latest earlier event (time and strength) at most `within` before that outweighs each, if any.
+
+    Of equal times, the one that `ties` puts first is earlier. Only the strongest event of a time can matter to later times, and an event's
+    window holds, sorted by time, all that may outweigh it; so it is one window by time and one within equal times.
+    """
+    t, p = F.col(order), F.col(strength)
+    before = Window.partitionBy(*key).orderBy(order).rangeBetween(-within, -1)
+    same = Window.partitionBy(*key, order).orderBy(*ties).rowsBetween(Window.unboundedPreceding, -1) if ties else None
+    event = F.struct(t.alias("at"), p.alias("strength"))
+    outweighs = lambda e: p < ratio * e["strength"]
+    latest = lambda found: F.array_max(F.filter(found, outweighs))
+    sources = latest(F.collect_list(event).over(before))
+    if same is not None:
+        sources = F.coalesce(latest(F.collect_list(event).over(same)), sources)
+    return df.withColumn("_source", sources)
+
+
+def drop_echoes(df: DataFrame, key: Sequence[str], order: str, strength: str, within: int, ratio: Column, ties: Sequence[str] = ()) -> DataFrame:
+    """Without events weaker than `ratio` of an earlier event at most `within` before; of equal times, the one that `ties` puts first is earlier
+    (without ties neither is). An event without a strength stays, and outweighs none."""
+    before = F.max(strength).over(Window.partitionBy(*key).orderBy(order).rangeBetween(-within, -1))
+    if ties:
+        before = F.greatest(before, F.max(strength).over(Window.partitionBy(*key, order).orderBy(*ties).rowsBetween(Window.unboundedPreceding, -1)))
+    return df.withColumn("_most", before).where(F.coalesce(F.col(strength) >= ratio * F.col("_most"), F.lit(True))).drop("_most")
+
+
+def echo_audit(df: DataFrame, key: Sequence[str], order: str, strength: str, within: int, ratio: Column, ties: Sequence[str] = ()) -> DataFrame:
+    """The dropped events, each row of them, with the nearest one before that outweighs each: `preceding`, `preceding_strength`."""
+    found = _echo_source(df, key, order, strength, within, ratio, ties).where(F.col("_source").isNotNull())
+    return found.select(*df.columns, F.col("_source.at").alias("preceding"), F.col("_source.strength").alias("preceding_strength"))
 
 
 def flag_close(df: DataFrame, key: Sequence[str], order: str, strength: str, within: int, strong: float, out: str) -> DataFrame:
@@ -54,33 +69,49 @@ def break_time(breaks: DataFrame, ends: DataFrame, key: Sequence[str], open_end:
     return total.groupBy(*key, "duration").agg(spent).select(*key, "break_time", (F.col("duration") - F.col("break_time")).alias("active_time"))
 
 
-def _bucketed(left: DataFrame, right: DataFrame, key: Sequence[str], lt: str, rt: str, low: int, high: int, how: str) -> DataFrame:
-    """Join on low <= right - left <= high. Both sides carry buckets of the range's width, so that it is an equi-join within a key."""
-    width = max(1, high - low + 1)
-    first = F.expr(f"floor(({lt} + {low}) / {width})")
-    if how in ("left_semi", "left_anti"):
-        on = [left[k] == right[k] for k in key] + [(right[rt] - left[lt]).between(low, high)]
-        return left.join(right, on, how)
-    near = left.withColumn("_b", F.explode(F.array(first, first + 1)))
-    dealt = right.withColumn("_rb", F.expr(f"floor({rt} / {width})"))
-    on = [near[k] == dealt[k] for k in key] + [near["_b"] == dealt["_rb"], (dealt[rt] - near[lt]).between(low, high)]
-    return near.join(dealt, on).drop("_b", "_rb", *[dealt[k] for k in key])
+def _bounds(left: DataFrame, right: DataFrame, key: Sequence[str], lt: str, rt: str, low: int, high: int) -> DataFrame:
+    """left with `_before` and `_after`: the latest right time up to a place in its range, and the earliest one after it.
+
+    Both sides are one sorted stream, so it takes one sort of each key and no pairs: a left row stands at the place of its range that is
+    nearest to it. A null key is a key as any other.
+    """
+    middle = 0 if low <= 0 <= high else low if low > 0 else high
+    rest = [c for c in left.columns if c not in key]
+    one = left.select(*key, (F.col(lt) + middle).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(dict(right.dtypes)[rt]).alias("_time"), F.struct(*rest).alias("_row"))
+    two = right.select(*key, F.col(rt).alias("_at"), F.lit(0).alias("_side"), F.col(rt).alias("_time"), F.lit(None).cast(one.schema["_row"].dataType).alias("_row")).where("_time IS NOT NULL")
+    # right rows come before left ones of the same place: they count as on or after it through the range below
+    order = Window.partitionBy(*key).orderBy("_at", "_side")
+    both = one.unionByName(two)
+    earlier = F.last("_time", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    later = F.first("_time", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    return both.withColumn("_before", earlier).withColumn("_after", later).where("_side = 1").select(*key, "_row.*", "_before", "_after")
+
+
+def _partner(left: DataFrame, right: DataFrame, key: Sequence[str], lt: str, rt: str, low: int, high: int) -> DataFrame:
+    """left with `_near`: the nearest right time of low <= right - left <= high (the earlier of two as near), or null."""
+    found = _bounds(left, right, key, lt, rt, low, high)
+    ok = lambda t: F.when((F.col(t) - F.col(lt)).between(low, high), F.struct(F.abs(F.col(t) - F.col(lt)).alias("far"), F.col(t).alias("at")))
+    return found.withColumn("_near", F.least(ok("_before"), ok("_after"))["at"]).drop("_before", "_after")
 
 
 def without_partner(left: DataFrame, right: DataFrame, key: Sequence[str], lt: str, rt: str, low: int, high: int) -> DataFrame:
     """Left rows with no right row of low <= right - left <= high."""
-    return _bucketed(left, right, key, lt, rt, low, high, "left_anti")
+    return _partner(left, right, key, lt, rt, low, high).where(F.col("_near").isNull()).select(*left.columns)
 
 
 def with_partner(left: DataFrame, right: DataFrame, key: Sequence[str], lt: str, rt: str, low: int, high: int) -> DataFrame:
-    return _bucketed(left, right, key, lt, rt, low, high, "left_semi")
+    return _partner(left, right, key, lt, rt, low, high).where(F.col("_near").isNotNull()).select(*left.columns)
 
 
 def nearest(left: DataFrame, right: DataFrame, key: Sequence[str], lt: str, rt: str, low: int, high: int, extra: Sequence[str] = ()) -> DataFrame:
-    """Every left row with the nearest right row of low <= right - left <= high (the earlier of two as near), or nulls."""
-    joined = _bucketed(left, right.select(*key, rt, *extra), key, lt, rt, low, high, "inner")
-    best = joined.groupBy(*left.columns).agg(F.min(F.struct(F.abs(F.col(rt) - F.col(lt)).alias("far"), F.col(rt).alias(rt), *extra)).alias("_best"))
-    return left.join(best.select(*left.columns, f"_best.{rt}", *[f"_best.{c}" for c in extra]), left.columns, "left")
+    """Every left row with the nearest right row of low <= right - left <= high (the earlier of two as near; of those of one time, the one
+    with the least `extra`), or nulls. Rows that repeat, and nulls in any column, stay as they are."""
+    found = _partner(left, right, key, lt, rt, low, high)
+    if not extra:
+        return found.select(*left.columns, F.col("_near").alias(rt))
+    one = right.groupBy(*key, rt).agg(F.min(F.struct(*extra)).alias("_extra")).select(*[F.col(k).alias(f"_r_{k}") for k in key], F.col(rt).alias("_rt"), "_extra")
+    joined = found.join(one, [F.col(k) == F.col(f"_r_{k}") for k in key] + [F.col("_near") == F.col("_rt")], "left")
+    return joined.select(*left.columns, F.col("_near").alias(rt), *[F.col(f"_extra.{c}").alias(c) for c in extra])
 
 
 def stitch(segments: DataFrame, events: DataFrame, day: Sequence[str], segment: str, duration: str, at: str) -> DataFrame:

@@ -76,3 +76,10 @@ def greedy_match(labels: DataFrame, found: DataFrame, key: Sequence[str], order:
 
     start = F.struct(F.col("rest"), F.expr(f"cast(array() as array<struct<label:{kind},detection:{kind}>>)").alias("out"))
     return sides.select(*key, F.inline(F.aggregate("labels", start, step)["out"]))
+
+
+def extras(labels: DataFrame, found: DataFrame, key: Sequence[str], order: str, within: int) -> DataFrame:
+    """Detections that greedy_match leaves unmatched, each row of them: of equal times, as many as there are more than matches."""
+    used = greedy_match(labels, found, key, order, within).where("detection IS NOT NULL").groupBy(*key, F.col("detection").alias(order)).agg(F.count("*").alias("_used"))
+    total = found.groupBy(*key, order).agg(F.count("*").alias("_n")).join(used, [*key, order], "left")
+    return total.select(*key, order, F.explode(F.sequence(F.lit(0), F.col("_n") - F.coalesce("_used", F.lit(0)))).alias("_k")).where("_k > 0").drop("_k")

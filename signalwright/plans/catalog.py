@@ -194,12 +194,12 @@ _W = 24 * HOUR
 
 @query(f"SELECT k, f, v FROM (SELECT *, max(v) OVER (PARTITION BY k ORDER BY t RANGE BETWEEN {_W} PRECEDING AND CURRENT ROW) AS m FROM s) WHERE v * 10 >= 6 * m")
 def echo_suppress(spark, sf):
-    return events.drop_echoes(s(spark, sf), K, "t", "v", _W, F.lit(0.6)).select("k", "f", "v")
+    return events.drop_echoes(s(spark, sf), K, "t", "v", _W, F.lit(0.6), FT).select("k", "f", "v")
 
 
 @query(f"SELECT a.k, a.f, max_by(b.t, b.t) AS preceding, max_by(b.v, b.t) AS preceding_strength FROM s a JOIN s b ON a.k = b.k AND b.t < a.t AND a.t - b.t <= {_W} AND a.v * 10 < 6 * b.v GROUP BY a.k, a.f")
 def echo_audit(spark, sf):
-    return events.echo_audit(s(spark, sf), K, "t", "v", _W, F.lit(0.6)).select("k", "f", "preceding", "preceding_strength")
+    return events.echo_audit(s(spark, sf), K, "t", "v", _W, F.lit(0.6), FT).select("k", "f", "preceding", "preceding_strength")
 
 
 @query(f"""o AS (SELECT k, f, t, v, f AS kf, t AS kt, v AS kv, NULL::BIGINT AS done FROM s WHERE f = 0
@@ -245,10 +245,17 @@ def greedy_match(spark, sf):
     return refractory.greedy_match(of_type(spark, sf, "error"), of_type(spark, sf, "purchase"), K, "t", 5 * HOUR)
 
 
-@query(f"""l AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY t) AS i FROM s WHERE e = 'error'), p AS (SELECT * FROM s WHERE e = 'purchase')
-SELECT p.k, p.t FROM p WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.k = p.k AND abs(l.t - p.t) <= {5 * HOUR})""")
+def _greedy_sql(kinds: str) -> str:
+    """g: label by label, by type e and stream, with the detections that are left."""
+    return f"""l AS (SELECT e, k, t, row_number() OVER (PARTITION BY e, k ORDER BY t) AS i FROM s WHERE e IN ({kinds})), d AS (SELECT k, list(t ORDER BY t) AS ds FROM s WHERE e = 'purchase' GROUP BY k),
+g AS (SELECT l.e, l.k, 0::BIGINT AS i, NULL::BIGINT AS label, NULL::BIGINT AS detection, coalesce(ds, []::BIGINT[]) AS rest FROM (SELECT DISTINCT e, k FROM l) l LEFT JOIN d ON l.k = d.k
+  UNION ALL SELECT e, k, i, t, best, CASE WHEN best IS NULL THEN rest ELSE list_filter(rest, lambda z: z <> best) END FROM (
+    SELECT g.e, g.k, l.i, l.t, g.rest, list_aggregate(list_transform(list_filter(g.rest, lambda z: abs(z - l.t) <= {5 * HOUR}), lambda z: {{'far': abs(z - l.t), 'at': z}}), 'min').at AS best FROM g JOIN l ON l.e = g.e AND l.k = g.k AND l.i = g.i + 1))"""
+
+
+@query(_greedy_sql("'error'") + " SELECT s.k, s.t FROM s WHERE s.e = 'purchase' AND NOT EXISTS (SELECT 1 FROM g WHERE g.k = s.k AND g.detection = s.t)")
 def unmatched_extras(spark, sf):
-    return events.without_partner(of_type(spark, sf, "purchase", "k", "t"), of_type(spark, sf, "error", "k", "t"), K, "t", "t", -5 * HOUR, 5 * HOUR)
+    return refractory.extras(of_type(spark, sf, "error", "k", "t"), of_type(spark, sf, "purchase", "k", "t"), K, "t", 5 * HOUR)
 
 
 _DAYS = f"dd AS (SELECT k, t // {_W} AS d, count(*) AS n FROM s GROUP BY 1, 2), off AS (SELECT k, d, coalesce(sum(n) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM dd)"
@@ -444,15 +451,36 @@ def kpi_summary(spark, sf):
     return x.select("n", "accepted", "rejected", report.ratio(F.col("accepted"), F.col("accepted") + F.col("rejected")).alias("share"), F.expr("b div 2").alias("breaks"))
 
 
-@query(f"""m AS (SELECT e, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM s p WHERE p.k = s.k AND p.e = 'purchase' AND abs(p.t - s.t) <= {5 * HOUR})) AS hit FROM s WHERE e IN ('error', 'signup') GROUP BY e)
-SELECT e, n, hit, hit / n::DOUBLE AS recall FROM m""")
+_KINDS = ["error", "signup"]
+
+
+def _matched(spark, sf):
+    """e, k, label, detection: the labels of each kind, matched one to one by themselves."""
+    labels_ = s(spark, sf).where(F.col("e").isin(_KINDS)).select("e", "k", "t")
+    own = of_type(spark, sf, "purchase", "k", "t").select(F.explode(F.array(*(F.lit(e) for e in _KINDS))).alias("e"), "k", "t")
+    return refractory.greedy_match(labels_, own, ["e", "k"], "t", 5 * HOUR)
+
+
+@query(_greedy_sql("'error', 'signup'") + " SELECT e, count(*) AS n, count(detection) AS hit, count(detection) / count(*)::DOUBLE AS recall FROM g WHERE i > 0 GROUP BY e")
 def recall_report(spark, sf):
-    near = events.with_partner(s(spark, sf).where("e IN ('error', 'signup')").select("k", "f", "t", "e"), of_type(spark, sf, "purchase", "k", "t"), K, "t", "t", -5 * HOUR, 5 * HOUR)
-    hits = near.groupBy("e").agg(F.count("*").alias("hit"))
-    x = s(spark, sf).where("e IN ('error', 'signup')").groupBy("e").agg(F.count("*").alias("n")).join(hits, "e", "left").na.fill(0, ["hit"])
+    x = _matched(spark, sf).groupBy("e").agg(F.count("*").alias("n"), F.count("detection").alias("hit"))
     return x.select("e", "n", "hit", (F.col("hit") / F.col("n")).alias("recall"))
 
 
+@query(_greedy_sql("'error', 'signup'") + """, r AS (SELECT k % 3 AS run, count(*) FILTER (WHERE e = 'error') AS labels, count(detection) FILTER (WHERE e = 'error') AS hits, count(detection) FILTER (WHERE e = 'signup') AS misclassified FROM g WHERE i > 0 GROUP BY 1),
+x AS (SELECT k % 3 AS run, count(*) AS detections, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.k = s.k AND g.detection = s.t)) AS extras FROM s WHERE e = 'purchase' GROUP BY 1)
+SELECT x.run, detections, labels, hits, misclassified, extras, CASE WHEN labels > 0 THEN hits / labels::DOUBLE END AS recall FROM x LEFT JOIN r ON x.run = r.run""")
+def run_record(spark, sf):
+    """One row a run: detections, labels found one to one, labels of the other kind that were detected, detections matched to neither kind."""
+    run = (F.col("k") % 3).alias("run")
+    matched = _matched(spark, sf)
+    found = matched.groupBy(run).agg(F.count_if(F.col("e") == "error").alias("labels"), F.count(F.when(F.col("e") == "error", F.col("detection"))).alias("hits"), F.count(F.when(F.col("e") == "signup", F.col("detection"))).alias("misclassified"))
+    used = matched.where("detection IS NOT NULL").select("k", F.col("detection").alias("t")).distinct().withColumn("u", F.lit(1))
+    seen = of_type(spark, sf, "purchase", "k", "t").join(used, ["k", "t"], "left").groupBy(run).agg(F.count("*").alias("detections"), F.count_if(F.col("u").isNull()).alias("extras"))
+    x = seen.join(found, "run", "left")
+    return x.select("run", "detections", "labels", "hits", "misclassified", "extras", report.ratio(F.col("hits"), F.col("labels")).alias("recall"))
+
+
 # ---- patches ----
 
 
@@ -507,7 +535,7 @@ def signed_split(spark, sf):
 # ---- labels, frames, profiles ----
 
 
-@query("--plain\nSELECT o_orderkey, (o_orderkey // 60)::VARCHAR || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS clock, CASE WHEN o_orderkey >= 3600 THEN (o_orderkey // 360)::VARCHAR || ' tenths of an hour' ELSE (o_orderkey // 6)::VARCHAR || ' tenths of a minute' END AS label, CASE WHEN o_orderkey <= 30 THEN 5 WHEN o_orderkey <= 3600 THEN 300 WHEN o_orderkey <= 14400 THEN 900 WHEN o_orderkey <= 28800 THEN 1800 ELSE 3600 END::INT AS step FROM orders")
+@query("--plain\nSELECT o_orderkey, (o_orderkey // 60)::VARCHAR || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS clock, CASE WHEN o_orderkey >= 3600 THEN ((o_orderkey * 20 + 3600) // 7200 // 10)::VARCHAR || '.' || ((o_orderkey * 20 + 3600) // 7200 % 10)::VARCHAR || ' hrs' ELSE ((o_orderkey * 20 + 60) // 120 // 10)::VARCHAR || '.' || ((o_orderkey * 20 + 60) // 120 % 10)::VARCHAR || ' min' END AS label, CASE WHEN o_orderkey <= 30 THEN 5 WHEN o_orderkey <= 3600 THEN 300 WHEN o_orderkey <= 14400 THEN 900 WHEN o_orderkey <= 28800 THEN 1800 ELSE 3600 END::INT AS step FROM orders")
 def duration_label(spark, sf):
     k = F.col("o_orderkey")
     return readers.table(spark, sf, "orders").select("o_orderkey", labels.clock(k).alias("clock"), labels.duration_label(k).alias("label"), labels.axis_step(k).alias("step"))

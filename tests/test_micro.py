@@ -130,6 +130,48 @@ def test_intervals_and_nearest(spark):
     assert got == {(0, 100): 98, (0, 200): None, (0, 300): 311, (1, 100): None}
 
 
+@pytest.mark.parametrize("low,high", [(-4, 11), (3, 8), (-9, -2), (0, 0)])
+def test_partners_are_those_of_all_pairs(spark, low, high):
+    """Nulls, repeated rows and ties on both sides."""
+    rng = random.Random(low)
+    left = [(k, rng.randrange(60), rng.choice([None, "x"])) for k in (0, 1) for _ in range(30)]
+    left += [left[3], (0, None, "y"), (2, 5, None)]
+    right = [(k, rng.randrange(60)) for k in (0, 1) for _ in range(12)]
+    right += [right[0], (1, None)]
+    x, y = spark.createDataFrame(left, "k long, t long, note string"), spark.createDataFrame(right, "k long, u long")
+    want = []
+    for k, t, note in left:
+        near = [u for j, u in right if j == k and None not in (t, u) and low <= u - t <= high]
+        want.append((k, t, note, min(near, key=lambda u: (abs(u - t), u), default=None)))
+    assert sorted(map(tuple, events.nearest(x, y, K, "t", "u", low, high).collect()), key=repr) == sorted(want, key=repr)
+    assert sorted((tuple(r) for r in events.with_partner(x, y, K, "t", "u", low, high).collect()), key=repr) == sorted((r[:3] for r in want if r[3] is not None), key=repr)
+    assert sorted((tuple(r) for r in events.without_partner(x, y, K, "t", "u", low, high).collect()), key=repr) == sorted((r[:3] for r in want if r[3] is None), key=repr)
+    wide = y.withColumn("w", F.col("u") * 2)
+    assert all(r["w"] == (None if r["u"] is None else 2 * r["u"]) for r in events.nearest(x, wide, K, "t", "u", low, high, ["w"]).collect())
+
+
+def test_echoes_with_ties_nulls_and_repeated_rows(spark):
+    rng = random.Random(4)
+    own = [(0, i, rng.randrange(40), rng.choice([None, 5, 10, 20, 40])) for i in range(60)]
+    x = spark.createDataFrame(own, "k long, i long, t long, p long")
+    want = {}
+    for _, i, t, p in own:
+        before = [(u, q) for _, j, u, q in own if (u, j) < (t, i) and t - u <= 6 and None not in (p, q) and p < 0.6 * q]
+        want[i] = max(before) if before else None
+    kept = {r["i"] for r in events.drop_echoes(x, K, "t", "p", 6, F.lit(0.6), ["i"]).collect()}
+    assert kept == {i for i, w in want.items() if w is None}
+    audit = {r["i"]: (r["preceding"], r["preceding_strength"]) for r in events.echo_audit(x, K, "t", "p", 6, F.lit(0.6), ["i"]).collect()}
+    assert {i: a[0] for i, a in audit.items()} == {i: w[0] for i, w in want.items() if w is not None}
+    twice = x.unionByName(x)
+    assert events.echo_audit(twice, K, "t", "p", 6, F.lit(0.6), ["i"]).count() >= 2 * len(audit)
+
+
+def test_extras_of_repeated_times(spark):
+    own, found = [(0, 10), (0, 30)], [(0, 11), (0, 11), (0, 29), (0, 50)]
+    got = refractory.extras(spark.createDataFrame(own, "k long, t long"), spark.createDataFrame(found, "k long, t long"), K, "t", 5).collect()
+    assert sorted(r["t"] for r in got) == [11, 50]
+
+
 def test_breaks_with_an_open_end(spark):
     marks = spark.createDataFrame([(0, 5, "start"), (0, 9, "end"), (0, 20, "start")], "k long, t long, e string")
     pairs = events.pair_breaks(marks, K, "t", "e")
@@ -161,6 +203,8 @@ def test_confidence_limits(spark):
 def test_labels(spark):
     row = spark.range(1).select(labels.clock(F.lit(754.9)).alias("a"), labels.camera_of(F.lit("/x/ch9/NVR_CH21_a.mp4"), ["ch21"]).alias("b"), labels.camera_of(F.lit("NVR.mp4"), ["ch21"]).alias("c")).first()
     assert tuple(row) == ("12:34", "ch21", None)
+    for seconds, want in ((0, "0.0 min"), (59, "1.0 min"), (93, "1.6 min"), (3599, "60.0 min"), (3600, "1.0 hrs"), (27_360, "7.6 hrs")):
+        assert spark.range(1).select(labels.duration_label(F.lit(seconds))).first()[0] == want
 
 
 def test_patches(spark):
