@@ -146,8 +146,8 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.spaced, self.width, self.letters = spaced, width, byte_letters()
         self.merge = self.tokenizer.model.tokenize
-        self.pieces = _Known(self._piece, 60_000)
-        self.words = _Known(self._spaced_word if spaced else self._word, 160_000)
+        self.pieces = _Known(self._piece, 100_000 if spaced else 60_000)
+        self.words = _Known(self._spaced_word if spaced else self._word, 250_000 if spaced else 160_000)
 
     def _raw(self, ids) -> bytes:
         own = array("H" if self.width == 2 else "I", ids)

@@ -2,7 +2,7 @@
 
 Each line is hashed, and a hash rolls over the lines, two at a time: the difference of neighbouring line hashes. A line where it
 changes its sign ends a chunk and begins the next, so that a passage shared by two documents falls into the same chunks wherever it stands
-in them. Four such chunkings, by four mixes of the line hashes, catch what one of them cuts at the borders of a short passage. A chunk that
+in them. Three such chunkings, by three mixes of the line hashes, catch what one of them cuts at the borders of a short passage. A chunk that
 occurs again, in the same or another document, is repeated; its lines are removed everywhere but at its first place (the smallest
 doc_id, then the first line). A removed line thus has an equal one at an earlier place, and the earliest of all stays.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from signalwright.llm._common import cut, fresh, stored
 
 #: A mix is the line's hash times a factor, modulo a prime. Each further mix finds about half of the passages that the others miss.
-FACTORS, PRIME = (1, 1103515245, 69069, 1664525), 4294967291
+FACTORS, PRIME = (1, 1103515245, 69069), 4294967291
 
 
 def let(value: Column, use) -> Column:
@@ -80,18 +80,17 @@ def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
         # in two steps: what stands beside an explode is computed, and carried, for each of its rows
         .select(F.xxhash64(F.col("doc_id"), F.col(text)).alias("_row"), F.col("doc_id").alias("_doc"), chunked(F.col(text)).alias("_all"))
         .select("_row", "_doc", F.explode("_all").alias("_c"))
-        .select("_row", "_doc", "_c.first", "_c.last", F.col("_c.hash").alias("_hash")),
+        # few and narrow columns, since every chunk is shuffled; a null doc_id comes last
+        .select("_row", F.coalesce(F.col("_doc").cast("long"), F.lit((1 << 63) - 1)).alias("_doc"), F.shiftleft(F.col("_c.first").cast("long"), 32).bitwiseOR(F.col("_c.last").cast("long")).alias("_span"), F.col("_c.hash").alias("_hash")),
         "chunks",
         compression="zstd",
     )
-    place = F.struct(F.col("_doc").isNull().alias("null"), F.col("_doc").alias("doc"), F.col("_row").alias("row"), F.col("first").alias("line"))
+    place = F.struct("_doc", "_row", "_span")
     # cut: with an exchange of its own on either side, Spark splits the join of a chunk that very many documents hold
-    hashes = cut(found.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_hash").alias("_h")))
-    repeated = stored(found.join(hashes, F.col("_hash") == F.col("_h")).drop("_h"), "repeated", compression="zstd")
-    # the places, several times as wide as a hash, are compared for repeated chunks only
-    groups = cut(repeated.groupBy("_hash").agg(F.min(place).alias("_first")).select(F.col("_hash").alias("_h"), "_first"))
-    again = repeated.join(groups, F.col("_hash") == F.col("_h"))
-    mark = F.struct("first", "last", F.col("_hash").alias("hash"), (place == F.col("_first")).alias("stays"))
+    groups = cut(found.groupBy("_hash").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").select(F.col("_hash").alias("_h"), "_first"))
+    again = found.join(groups, F.col("_hash") == F.col("_h"))
+    first, last = F.shiftright("_span", 32).cast("int"), F.col("_span").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    mark = F.struct(first.alias("first"), last.alias("last"), F.col("_hash").alias("hash"), (place == F.col("_first")).alias("stays"))
     return again.groupBy("_row").agg(F.collect_set(mark).alias("_marks"))
 
 
@@ -127,7 +126,7 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 SQL = r"""
 WITH lines AS (
   SELECT doc_id, t.i AS i, s[t.i] AS line, f.f AS f, ('0x' || md5(s[t.i])[1:8])::BIGINT * f.f % 4294967291 AS k, len(s) AS n
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL) d, range(1, len(s) + 1) t(i), (VALUES (1), (1103515245), (69069), (1664525)) f(f)),
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL) d, range(1, len(s) + 1) t(i), (VALUES (1), (1103515245), (69069)) f(f)),
 turned AS (
   SELECT *, CASE WHEN i = 1 OR i = n OR (k > lag(k) OVER w) <> (lead(k) OVER w > k) THEN 1 ELSE 0 END AS turn FROM lines WINDOW w AS (PARTITION BY doc_id, f ORDER BY i)),
 counted AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id, f ORDER BY i) AS upto FROM turned),
