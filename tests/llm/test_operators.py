@@ -118,6 +118,51 @@ def test_packing_plan_is_near_the_bound():
         assert (np.bincount(plan.length, plan.each, minlength=2049)[counts > 0] > 0).all()
 
 
+def plain_best_fit(own, capacity):
+    rooms = []
+    for v in sorted(own, reverse=True):
+        k = min((k for k, r in enumerate(rooms) if r >= v), key=lambda k: rooms[k], default=None)
+        if k is None:
+            rooms.append(capacity - v)
+        else:
+            rooms[k] -= v
+    return len(rooms)
+
+
+@pytest.mark.parametrize("name", ["lognormal", "uniform", "triplets", "few", "small"])
+def test_packing_plan_never_loses_to_best_fit(name):
+    rng = np.random.default_rng(4)
+    if name == "triplets":
+        a = rng.integers(300, 900, 400)
+        b = ((2048 - a) * rng.random(400)).astype(int).clip(100)
+        own = np.concatenate([a, b, 2048 - a - b]).clip(1)
+    else:
+        own = {"lognormal": np.minimum(rng.lognormal(6, 1, 2000).astype(int) + 1, 2048), "uniform": rng.integers(600, 1101, 1500), "few": rng.choice([700, 701, 350, 1300, 1348, 90], 1500), "small": rng.integers(50, 400, 2000)}[name]
+    plan = packing.plan(np.bincount(own, minlength=2049), 2048)
+    assert plan.sequences <= plain_best_fit(own.tolist(), 2048)
+    if name in ("lognormal", "triplets", "small"):
+        assert plan.sequences <= math.ceil(own.sum() / 2048) + 1
+
+
+def test_packing_plan_against_exhaustive_search():
+    rng = random.Random(9)
+
+    def fewest(own, rooms, limit):
+        if not own:
+            return len(rooms)
+        best = limit
+        for r in sorted({*(r for r in rooms if r >= own[0]), 20} if len(rooms) < best - 1 else {r for r in rooms if r >= own[0]}):
+            left = list(rooms)
+            if r in left and r != 20 or r in left and r >= own[0]:
+                left.remove(r)
+            best = min(best, fewest(own[1:], sorted([*left, r - own[0]]), best))
+        return best
+
+    for _ in range(10):
+        own = sorted((rng.randrange(3, 15) for _ in range(8)), reverse=True)
+        assert packing.plan(np.bincount(own, minlength=21), 20).sequences <= fewest(own, [], 8) + 1
+
+
 def test_knapsack_finds_the_best_price():
     rng = np.random.default_rng(5)
     for _ in range(20):
@@ -180,6 +225,43 @@ def test_scoring_base(request, which, monkeypatch):
         assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9) and a[6] < 0
 
 
+def test_scoring_from_end_to_end(docs):
+    """Counts of the pieces, their weights and the sum over all segmentations, in plain Python by recursion."""
+    import functools
+
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    train, _, _ = brute_base(docs)
+    counts = collections.Counter()
+    for w, c in train.items():
+        if w is not None:
+            for i in sp.encode(w.decode()):
+                counts[i] += c
+    mass, total = collections.Counter(), train[None] + 1
+    for i in range(sp.get_piece_size()):
+        piece = sp.id_to_piece(i)
+        if sp.is_byte(i):
+            raw = bytes.fromhex(piece[3:-1])
+        elif i > 2 and "▁" not in piece[1:]:
+            raw = piece.encode()
+        else:
+            continue
+        mass[raw] += counts[i] + 1
+        total += counts[i] + 1
+
+    @functools.cache
+    def probability(text):
+        return sum(mass[text[:k]] / total * probability(text[k:]) for k in range(1, len(text) + 1) if text[:k] in mass) if text else 1.0
+
+    got = {r["doc_id"]: r["score"] for r in scoring.score(docs, model).collect()}
+    for doc, text in texts_of(docs)[:60]:
+        words = (text or "").encode().lower().split()
+        want = sum(math.log10(probability("▁".encode() + w)) for w in words) + math.log10((train[None] + 1) / total)
+        assert math.isclose(got[doc], want, rel_tol=1e-9)
+
+
 def test_scoring_is_the_same_by_map_and_by_join(docs, monkeypatch):
     whole = {r["doc_id"]: r["score"] for r in scoring.score(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
     monkeypatch.setattr(scoring, "FREQUENT", 1)
@@ -243,6 +325,15 @@ def test_sharding(request, which, shards):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_sharding_subdivides_and_ignores_the_split_of_the_input(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    sized = _common.cut(sharding.sized(rows))
+    ranged = sharding.ranges_of(sized, 16, first=np.zeros(0, dtype="S16")).groupBy("range").count().collect()
+    assert len(ranged) >= 8 and max(r["count"] for r in ranged) <= sharding.OVERFULL * 4000 / 16
+    one, two = (sorted(map(tuple, sharding.assign_shards(_common.cut(sharding.sized(rows.repartition(n)))).select("doc_id", "shard", "slot").collect())) for n in (1, 7))
+    assert one == two
+
+
 def test_sharding_hot_group_and_empty(spark, empty):
     hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1500, "same text " * 20).otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
     got = sharding.assign_shards(_common.cut(sharding.sized(hot)), 16).groupBy("shard").agg(F.sum("size").alias("b")).collect()
