@@ -7,7 +7,7 @@ occurs again, in the same or another document, is repeated; its lines are remove
 doc_id, then the first line). A removed line thus has an equal one at an earlier place, and the earliest of all stays.
 
 Chunks are counted by a hash, so that texts don't travel for that. The documents that hold repeated ones are then joined with their places
-once, and the texts of each hash's chunks are compared: one whose texts are not all the same bytes isn't repeated.
+once, and each hash's chunks are compared, line by line: one whose texts are not all the same bytes isn't repeated.
 
 Defined results: a null text stays null and an empty one empty; chunks without a word, and texts of one line, always stay; a very long
 text is chunked whole, with work in proportion to its length; a document loses its row when all its lines go; rows that agree in doc_id
@@ -40,6 +40,15 @@ def line_hashes(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
 
 
+def line_key(line: Column) -> Column:
+    """The hash by which equal lines meet to be compared."""
+    return F.xxhash64(line)
+
+
+def chunk_key(lines: Column) -> Column:
+    return F.xxhash64(lines)
+
+
 def between(lines: Column, first: Column, last: Column) -> Column:
     return F.transform(F.sequence(first, last), lambda k: F.get(lines, k))
 
@@ -65,7 +74,7 @@ def chunked(text: Column) -> Column:
             return F.filter(found, lambda c: c["last"].isNotNull())
 
         def hashed(found: Column) -> Column:
-            return F.transform(found, lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), F.xxhash64(between(lines, c["first"], c["last"])).alias("hash")))
+            return F.transform(found, lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), chunk_key(between(lines, c["first"], c["last"])).alias("hash")))
 
         every = let(line_hashes(lines), lambda h: F.concat(*(of(h, x) for x in FACTORS)))
         return let(wordy, lambda w: hashed(F.filter(every, lambda c: F.exists(F.sequence(c["first"], c["last"]), lambda k: F.get(w, k)))))
@@ -94,18 +103,41 @@ def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     return again.groupBy("_row").agg(F.collect_set(mark).alias("_marks"))
 
 
+def ambiguous(rows: DataFrame) -> DataFrame:
+    """_h: the hashes of rows (_h, content) that stand for more than one content. Each task sends a content of a hash once."""
+    # cut: with an exchange of its own on either side, Spark splits the join of a hash that very many documents hold
+    return cut(rows.select("_h", "content").distinct().groupBy("_h").count().where("count > 1").select("_h"))
+
+
+def unlike_chunks(held: DataFrame) -> DataFrame:
+    """_h: the hashes in `marks` whose chunks are not all the same bytes.
+
+    Lines are compared byte by byte, and chunks by the hashes of their lines: so a line travels once, though several chunks hold it. Where
+    two different lines share a hash, the chunks with such a line are compared by their texts.
+    """
+    lines = held.select(lines_of(F.col("text")).alias("lines"), "marks")
+    covered = F.array_distinct(F.flatten(F.transform("marks", lambda m: F.sequence(m["first"], m["last"]))))
+    twice = ambiguous(lines.select(F.explode(F.transform(covered, lambda k: F.get(F.col("lines"), k))).alias("content")).select(line_key(F.col("content")).alias("_h"), "content"))
+
+    def sequences(keys: Column) -> Column:
+        return F.transform("marks", lambda m: F.struct(m["hash"].alias("_h"), between(keys, m["first"], m["last"]).alias("content")))
+
+    chunks = lines.select(let(F.transform("lines", line_key), sequences).alias("_all")).select(F.explode("_all").alias("_c")).select("_c.*")
+    unlike = ambiguous(chunks)
+    if not twice.limit(1).count():
+        return unlike
+    held_by = chunks.distinct().select("_h", F.explode("content").alias("_line")).join(twice.withColumnRenamed("_h", "_line"), "_line", "left_semi").select("_h").distinct()
+    texts = F.transform("marks", lambda m: F.struct(m["hash"].alias("_h"), F.array_join(between(F.col("lines"), m["first"], m["last"]), "\n").alias("content")))
+    return cut(unlike.union(ambiguous(lines.select(F.explode(texts).alias("_c")).select("_c.*").join(cut(held_by), "_h", "left_semi"))).distinct())
+
+
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the lines of repeated chunks removed from their texts, plus `n_removed`, the number of lines that went."""
     own, row, marks, removed, gone = (fresh(docs, c) for c in ("_own", "_row", "_marks", "n_removed", "_gone"))
     places = repeated_chunks(docs, text).toDF(row, marks)
     joined = stored(docs.withColumn(own, F.xxhash64(F.col("doc_id"), F.col(text))).join(places, F.col(own) == F.col(row), "left").drop(row), "marked", compression="zstd")
 
-    def texts(lines: Column) -> Column:
-        return F.transform(F.col(marks), lambda m: F.struct(m["hash"].alias("hash"), F.array_join(between(lines, m["first"], m["last"]), "\n").alias("chunk")))
-
-    compared = joined.where(F.col(marks).isNotNull()).select(let(lines_of(F.col(text)), texts).alias("_all")).select(F.explode("_all").alias("_c"))
-    # different texts of a hash, told apart by their bytes; each task sends a text of a hash once
-    unlike = cut(compared.select(F.col("_c.hash").alias("_h"), "_c.chunk").distinct().groupBy("_h").count().where("count > 1").select("_h"))
+    unlike = unlike_chunks(joined.where(F.col(marks).isNotNull()).select(F.col(text).alias("text"), F.col(marks).alias("marks")))
     dropped = F.filter(F.col(marks), lambda m: ~m["stays"])
     if unlike.limit(1).count():  # two different chunks of one 64-bit hash: neither goes
         alike = joined.where(F.col(marks).isNotNull()).select(own, F.explode(marks).alias("m")).join(unlike, F.col("m.hash") == F.col("_h"), "left_anti")

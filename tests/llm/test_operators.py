@@ -444,6 +444,22 @@ def test_line_dedup_of_a_very_long_text(spark):
     assert got["text"] == brute_lines([(1, own)])[(1, own)] and got["n_removed"] > 20_000
 
 
+def test_line_dedup_where_lines_share_a_hash(docs, monkeypatch):
+    """The chunks with such lines are compared by their texts: nothing changes."""
+    monkeypatch.setattr(linededup, "line_key", lambda line: F.xxhash64(line) % 50)
+    left = brute_lines(texts_of(docs))
+    assert sorted(texts_of(linededup.dedup_lines(docs))) == sorted((d, left[(d, t)]) for d, t in texts_of(docs) if left[(d, t)] is not None)
+
+
+@pytest.mark.parametrize("lines", [1000, 1])
+def test_line_dedup_keeps_chunks_that_share_a_hash(spark, monkeypatch, lines):
+    """Of different chunks of one hash none goes, also where their lines share one."""
+    monkeypatch.setattr(linededup, "chunk_key", lambda c: F.size(c).cast("long"))
+    monkeypatch.setattr(linededup, "line_key", lambda line: F.xxhash64(line) % lines)
+    own = [(d, "\n".join(f"line {d % 3} {k}" for k in range(9))) for d in range(9)]
+    assert sorted(texts_of(linededup.dedup_lines(spark.createDataFrame(own, "doc_id long, text string")))) == own
+
+
 def brute_groups(prints, most=2):
     """prints: (doc_id, fingerprint) rows; the least doc_id that each reaches."""
     distinct = sorted({f for _, f in prints})
