@@ -1,22 +1,23 @@
 """Detectors whose state feeds back into their thresholds: one stream segment at a time, in order, as keyed Python state.
 
 Everything that has no feedback (smoothing, differences) is computed by windows before; what runs here is a small machine over the
-prepared columns of one (stream, segment), which is also the unit that restarts. A segment is one file, so a group is bounded by it.
+prepared columns of one (stream, segment), which is also the unit that restarts. Spark brings the rows of a key together and sorts them
+(spilling where it must); a task then passes them by in Arrow batches and holds the state of one machine, however long the stream.
 """
 
 from __future__ import annotations
 
 import statistics
 from collections import deque
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalwright.operators import signals
+from signalwright.operators import events, refractory, runs, signals
 
 
 @dataclass(frozen=True)
@@ -101,66 +102,132 @@ class Spike:
 CUTS = "kind string, frame long, strength double, level double, motion double, left double, spread double, region string, duration long, open boolean"
 
 
-def run_cuts(rows: Iterable[tuple], c: CutConfig) -> list[tuple]:
-    """rows: frame, smoothed, d_long, d_short, d_left, motion, spread in order. Cuts, break markers and dropped candidates."""
-    out: list[tuple] = []
-    watch, spike = BreakWatch(c), None
-    pending, peak, last = 0, 0.0, -c.min_gap * 1000
+class Cuts:
+    """Spikes of one stream, fed with its rows in order: cuts, break markers and dropped candidates in `events`."""
 
-    def tell(kind: str, s: Spike, open_end: bool = False) -> None:
-        out.append((kind, s.start, s.strength, s.level, s.motion, s.left, s.spread, s.region, s.duration, open_end))
+    def __init__(self, c: CutConfig):
+        self.c, self.watch, self.spike = c, BreakWatch(c), None
+        self.pending, self.peak, self.last = 0, 0.0, -c.min_gap * 1000
+        self.events: list[tuple] = []
 
-    for frame, x, d_long, d_short, d_left, motion, spread in rows:
-        if mark := watch.feed(frame, x, spike is not None):
-            out.append((mark[0], mark[1], *[None] * 7, False))
+    def _tell(self, kind: str, s: Spike, open_end: bool = False) -> None:
+        self.events.append((kind, s.start, s.strength, s.level, s.motion, s.left, s.spread, s.region, s.duration, open_end))
+
+    def _rest(self) -> None:
+        self.spike, self.pending, self.peak = None, 0, 0.0
+
+    def feed(self, frame: int, x: float, d_long: float, d_short: float, d_left: float, motion: float, spread: float) -> None:
+        c = self.c
+        if mark := self.watch.feed(frame, x, self.spike is not None):
+            self.events.append((mark[0], mark[1], *[None] * 7, False))
         table = d_long >= c.long_least or d_short >= c.short_least
         aside = c.second_region and d_left >= c.short_least
         strength = max(d_long, d_short, d_left if aside else d_short)
         region = "both" if table and aside else "table" if table else "left" if aside else None
-        if watch.on:
-            if spike:
-                tell("dropped_break", spike)
-            spike, pending, peak = None, 0, 0.0
-        elif not (table or aside):
-            if spike:
-                tell("cut", spike)
-                last = spike.start
-            spike, pending, peak = None, 0, 0.0
-        elif spike:
-            spike.grow(strength, x, motion, d_left, spread, region)
+        if self.watch.on:
+            if self.spike:
+                self._tell("dropped_break", self.spike)
+            self._rest()
+        elif region is None:
+            if self.spike:
+                self._tell("cut", self.spike)
+                self.last = self.spike.start
+            self._rest()
+        elif self.spike:
+            self.spike.grow(strength, x, motion, d_left, spread, region)
         else:
-            pending, peak = pending + 1, max(peak, strength)
-            if pending >= (c.confirm_strong if peak >= c.strong else c.confirm):
-                candidate = Spike(frame, peak, x, motion, d_left, spread, region)
-                if frame - last >= c.min_gap:
-                    spike = candidate
+            self.pending, self.peak = self.pending + 1, max(self.peak, strength)
+            if self.pending >= (c.confirm_strong if self.peak >= c.strong else c.confirm):
+                candidate = Spike(frame, self.peak, x, motion, d_left, spread, region)
+                if frame - self.last >= c.min_gap:
+                    self.spike = candidate
                 else:
-                    tell("dropped_min_gap", candidate)
-                    pending, peak = 0, 0.0
-    if spike:
-        tell("cut", spike, True)
-    return out
+                    self._tell("dropped_min_gap", candidate)
+                    self.pending, self.peak = 0, 0.0
+
+    def close(self) -> None:
+        if self.spike:
+            self._tell("cut", self.spike, True)
+
+
+def run_cuts(rows: Iterable[tuple], c: CutConfig) -> list[tuple]:
+    """rows: frame, smoothed, d_long, d_short, d_left, motion, spread in order. Cuts, break markers and dropped candidates."""
+    machine = Cuts(c)
+    for row in rows:
+        machine.feed(*row)
+    machine.close()
+    return machine.events
+
+
+def by_machine(df: DataFrame, key: Sequence[str], columns: Sequence[str], make: Callable[[], object], shape: str) -> DataFrame:
+    """Feeds each key's rows, ordered by the first of `columns`, to a machine of its own (feed, close, events); its events, with the key.
+
+    A null key is a key as any other. Events leave with the batch that made them, so a task holds a batch and one machine.
+    """
+    n, names = len(key), [*key, *columns]
+    out = df.select(*key).schema
+    for part in shape.split(", "):
+        out = out.add(*part.split())
+    rows = df.select(*names).repartition(*key).sortWithinPartitions(*key, columns[0])
+    types = [pa.bool_() if f.dataType.simpleString() == "boolean" else pa.int64() if f.dataType.simpleString() == "bigint" else pa.float64() if f.dataType.simpleString() == "double" else pa.string() for f in out.fields[n:]]
+    fields = out.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, machine, kinds = None, None, None
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in range(n)]
+            told: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if machine is None or row[:n] != now:
+                    if machine is not None:
+                        machine.close()
+                        told += [(*now, *e) for e in machine.events]
+                    now, machine = row[:n], make()
+                machine.feed(*row[n:])
+                if machine.events:
+                    told += [(*now, *e) for e in machine.events]
+                    machine.events.clear()
+            yield pack(told, kinds)
+        if machine is not None:
+            machine.close()
+            yield pack([(*now, *e) for e in machine.events], kinds)
+
+    def pack(told: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in told], t) for i, t in enumerate([*kinds, *types])], names=fields)
+
+    return rows.mapInArrow(run, out)
 
 
 def detect_cuts(df: DataFrame, key: Sequence[str], c: CutConfig = CutConfig()) -> DataFrame:
     """df: key, frame, smoothed, d_long, d_short, d_left, motion, spread (see prepare). The events of each stream with `confidence`."""
-    columns = ["frame", "smoothed", "d_long", "d_short", "d_left", "motion", "spread"]
-    keys, schema = list(key), df.select(*key).schema
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("frame")
-        rows = run_cuts(part[columns].itertuples(index=False, name=None), c)
-        out = pd.DataFrame(rows, columns=[f.split()[0] for f in CUTS.split(", ")])
-        for k in keys[::-1]:
-            out.insert(0, k, part[k].iloc[0])
-        return out
-
-    shape = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in schema), CUTS])
-    found = df.select(*key, *columns).groupBy(*key).applyInPandas(run, shape)
+    found = by_machine(df, key, ["frame", "smoothed", "d_long", "d_short", "d_left", "motion", "spread"], lambda: Cuts(c), CUTS)
     sure = signals.confidence(F.col("strength"), F.col("duration"), F.col("motion"), F.col("left"), F.col("spread"), F.col("level") > c.ceiling)
     return found.withColumn("confidence", F.when(F.col("kind") == "cut", F.when(F.col("open"), "low").otherwise(sure)))
 
 
+def cut_result(found: DataFrame, rows: DataFrame, key: Sequence[str], echo: int = 75, ratio: float = 0.6, close: int = 62, strong: float = 30.0, fps: float = 25.0) -> DataFrame:
+    """The summary of each stream of `rows` (key, frame): cuts left after echoes (`echo` frames) and close pairs (`close` frames), how many
+    of either went, frames in breaks and outside, cuts per active minute, mean step between cuts in seconds (both 0 where undefined).
+
+    found: detect_cuts. A break that doesn't end lasts to the last frame.
+    """
+    cuts = found.where("kind = 'cut'").select(*key, "frame", "strength", "confidence")
+    sounded = events.drop_echoes(cuts, key, "frame", "strength", echo, F.lit(ratio))
+    merged = refractory.merge_close(sounded, key, "frame", "strength", close, strong)
+    marks = found.where(F.col("kind").isin("break_start", "break_end")).select(*key, "frame", F.expr("substr(kind, 7)").alias("kind"))
+    ends = rows.groupBy(*key).agg((F.max("frame") + 1).alias("duration"))
+    spent = events.break_time(events.pair_breaks(marks, key, "frame", "kind"), ends, key, "duration")
+    count = lambda df, name: df.groupBy(*key).agg(F.count("*").alias(name))
+    n = F.count("*")
+    steps = F.when(n > 1, (F.max("frame") - F.min("frame")) / (n - 1) / fps)
+    last = merged.groupBy(*key).agg(n.alias("cuts"), F.count_if(F.col("confidence") == "high").alias("high"), steps.alias("mean_cycle"))
+    joined = spent.join(count(cuts, "_raw"), list(key), "left").join(count(sounded, "_heard"), list(key), "left").join(last, list(key), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    raw, heard, left = zero("_raw"), zero("_heard"), zero("cuts")
+    rate = F.when(F.col("active_time") > 0, left / (F.col("active_time") / fps) * 60).otherwise(0.0)
+    return joined.select(*key, left.alias("cuts"), zero("high").alias("high"), (raw - heard).alias("echoes"), (heard - left).alias("merged"), "break_time", "active_time", rate.alias("rate"), F.coalesce("mean_cycle", F.lit(0.0)).alias("mean_cycle"))
+
+
 @dataclass(frozen=True)
 class ScaleConfig:
     smooth: int = 13
@@ -181,8 +248,9 @@ class Scale:
     """A scale seen by a camera: difference to a reference patch, which adapts when idle and is taken anew on drift and after changes of
     the light."""
 
-    def __init__(self, reference: np.ndarray, c: ScaleConfig):
-        self.c, self.reference = c, np.array(reference, dtype=float)
+    def __init__(self, reference: np.ndarray | None, c: ScaleConfig):
+        self.c, self.last = c, -1
+        self.reference = None if reference is None else np.array(reference, dtype=float)
         self.recent: deque[float] = deque(maxlen=c.smooth)
         self.state, self.warm, self.above, self.run, self.idle = "warmup", c.smooth, 0, 0, 0
         self.since = 0
@@ -260,7 +328,9 @@ class Scale:
                 self._tell("scale_false_trigger", frame, duration, "too_brief" if duration < self.c.min_on else "too_close")
             self.state, self.run = "empty", 0
 
-    def close(self, frame: int) -> None:
+    def close(self, frame: int | None = None) -> None:
+        """After the last row; `frame` is the one that would follow."""
+        frame = self.last + 1 if frame is None else frame
         if self.state == "loaded":
             self._count(frame, frame - self.since, frame - self.since, self.c.min_on)
 
@@ -268,23 +338,37 @@ class Scale:
 SCALE_EVENTS = "kind string, frame long, duration long, reason string"
 
 
+class _Feed(Scale):
+    """A scale fed with plain rows; its reference comes with the first."""
+
+    def __init__(self, c: ScaleConfig):
+        super().__init__(None, c)
+
+    def feed(self, frame: int, brightness: float, patch: list[float], reference: list[float]) -> float:
+        if self.reference is None:
+            self.reference = np.array(reference, dtype=float)
+        self.last = frame
+        return super().feed(frame, brightness, np.asarray(patch, dtype=float))
+
+
 def detect_scale(df: DataFrame, key: Sequence[str], c: ScaleConfig = ScaleConfig()) -> DataFrame:
     """df: key, frame, brightness, patch (array), reference (array, the same in all rows of a key). The scale's events."""
-    keys, schema = list(key), df.select(*key).schema
+    return by_machine(df, key, ["frame", "brightness", "patch", "reference"], lambda: _Feed(c), SCALE_EVENTS)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("frame")
-        scale = Scale(part["reference"].iloc[0], c)
-        for frame, brightness, patch in part[["frame", "brightness", "patch"]].itertuples(index=False, name=None):
-            scale.feed(frame, brightness, np.asarray(patch, dtype=float))
-        scale.close(int(part["frame"].iloc[-1]) + 1)
-        out = pd.DataFrame(scale.events, columns=["kind", "frame", "duration", "reason"]).astype({"duration": "Int64"})
-        for k in keys[::-1]:
-            out.insert(0, k, part[k].iloc[0])
-        return out
 
-    shape = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in schema), SCALE_EVENTS])
-    return df.select(*key, "frame", "brightness", "patch", "reference").groupBy(*key).applyInPandas(run, shape)
+def station_result(scale: DataFrame, tables: DataFrame, key: Sequence[str], low: int, high: int) -> DataFrame:
+    """key, verdict, frame, number, peak, slope, reason: every completed cycle of the scale is accepted, with the peak and slope of the nearest
+    table cycle of low <= table - scale <= high; a table cycle is rejected if no scale cycle is of low <= scale - table <= high. Numbered by
+    time within each verdict.
+
+    scale: detect_scale; tables: table_cycles with the same key and frames.
+    """
+    done = scale.where("kind = 'scale_cycle_complete'").select(*key, "frame")
+    sides = tables.select(*key, F.col("frame").alias("at"), "peak", "slope")
+    accepted = events.nearest(done, sides, key, "frame", "at", low, high, ["peak", "slope"]).select(*key, F.lit("accepted").alias("verdict"), "frame", "peak", "slope", F.lit(None).cast("string").alias("reason"))
+    rejected = events.without_partner(tables.select(*key, "frame", "peak", "slope"), done.withColumnRenamed("frame", "at"), key, "frame", "at", low, high)
+    both = accepted.unionByName(rejected.select(*key, F.lit("rejected").alias("verdict"), "frame", "peak", "slope", F.lit("no_scale").alias("reason")))
+    return both.withColumn("number", F.row_number().over(signals.ordered([*key, "verdict"], ["frame"])))
 
 
 def table_cycles(df: DataFrame, key: Sequence[str], frame: str, texture: str, level: float = 75.0, hold: int = 5, least: int = 30, gap: int = 100, fps: float = 25.0) -> DataFrame:
@@ -293,8 +377,6 @@ def table_cycles(df: DataFrame, key: Sequence[str], frame: str, texture: str, le
     No feedback, so this is windows and one fold. The duration counts the rows that confirmed it; the slope compares the halves of the
     last 50 rows after the confirming one.
     """
-    from signalwright.operators import refractory, runs
-
     latched = runs.hysteresis(df, key, [frame], texture, level, level, hold, "_on")
     w = signals.ordered(key, [frame])
     # the row that ends a stretch belongs to its history

@@ -674,34 +674,158 @@ def interval_join_stream(spark, sf):
 
 # ---- detectors ----
 
+# Levels are hundredths over powers of two, so that sums are exact in any order.
+_PRECISE = detectors.CutConfig(long_width=5, short_width=3, min_gap=5, break_level=94.0, break_hold=3, break_exit=2)
+_RECALL = detectors.CutConfig(long_width=5, short_width=3, short_least=8.0, min_gap=5, break_level=94.0, break_offset=50.0, baseline_least=10, break_hold=4, break_exit=3, second_region=True)
+_SPIKE = "STRUCT(frame BIGINT, strength DOUBLE, level DOUBLE, motion DOUBLE, \"left\" DOUBLE, spread DOUBLE, region VARCHAR, duration BIGINT)"
+
+
+def _cut_sql(c: detectors.CutConfig, tail: str) -> str:
+    """The detector as a state machine that steps through the rows; `found` holds its events."""
+    fresh = "{'frame': f, 'strength': peak2, 'level': x, 'motion': motion, 'left': da, 'spread': 80::DOUBLE, 'region': reg, 'duration': 0::BIGINT}"
+    grown = """{'frame': sp.frame, 'strength': greatest(sp.strength, q), 'level': greatest(sp.level, x), 'motion': greatest(sp.motion, motion), 'left': greatest(sp."left", da), 'spread': sp.spread,
+      'region': CASE WHEN q > sp.strength AND reg <> sp.region THEN 'both' ELSE sp.region END, 'duration': sp.duration + 1}"""
+    return f"""c0 AS (SELECT k, f, sum(v) OVER w / 128::DOUBLE / count(*) OVER w AS x, sum(v) OVER w / 256::DOUBLE / count(*) OVER w AS y, (v % 1000) / 100::DOUBLE AS motion FROM s WINDOW w AS (PARTITION BY k ORDER BY f ROWS {c.smooth - 1} PRECEDING)),
+c1 AS (SELECT k, f, x, motion, CASE WHEN f >= {c.long_width - 1} THEN x - lag(x, {c.long_width - 1}) OVER w ELSE 0 END AS dl, CASE WHEN f >= {c.short_width - 1} THEN x - lag(x, {c.short_width - 1}) OVER w ELSE 0 END AS ds,
+  CASE WHEN f >= {c.short_width - 1} THEN y - lag(y, {c.short_width - 1}) OVER w ELSE 0 END AS da FROM c0 WINDOW w AS (PARTITION BY k ORDER BY f)),
+c2 AS (SELECT *, dl >= {c.long_least} OR ds >= {c.short_least} AS tab, {c.second_region} AND da >= {c.short_least} AS aside FROM c1),
+c3 AS (SELECT *, greatest(dl, ds, CASE WHEN aside THEN da ELSE ds END) AS q, CASE WHEN tab AND aside THEN 'both' WHEN tab THEN 'table' WHEN aside THEN 'left' END AS reg FROM c2),
+cm AS (
+  SELECT k, -1::BIGINT AS f, false AS brk, 0 AS run, []::DOUBLE[] AS seen, NULL::{_SPIKE} AS sp, 0 AS pending, 0::DOUBLE AS peak, {-c.min_gap * 1000}::BIGINT AS last, NULL::VARCHAR AS mark, NULL::VARCHAR AS told, NULL::{_SPIKE} AS ev FROM s WHERE f = 0
+  UNION ALL
+  SELECT k, f, brk2, CASE WHEN flip THEN 0 ELSE run2 END, seen2,
+    (CASE WHEN brk2 OR reg IS NULL THEN NULL WHEN sp IS NOT NULL THEN {grown} WHEN fire AND f - last >= {c.min_gap} THEN {fresh} END)::{_SPIKE},
+    CASE WHEN brk2 OR reg IS NULL OR (sp IS NULL AND fire AND f - last < {c.min_gap}) THEN 0 WHEN sp IS NOT NULL THEN pending ELSE pending + 1 END,
+    CASE WHEN brk2 OR reg IS NULL OR (sp IS NULL AND fire AND f - last < {c.min_gap}) THEN 0 WHEN sp IS NOT NULL THEN peak ELSE peak2 END,
+    CASE WHEN NOT brk2 AND reg IS NULL AND sp IS NOT NULL THEN sp.frame ELSE last END,
+    CASE WHEN flip AND brk2 THEN 'break_start' WHEN flip THEN 'break_end' END,
+    CASE WHEN sp IS NOT NULL AND brk2 THEN 'dropped_break' WHEN sp IS NOT NULL AND reg IS NULL THEN 'cut' WHEN sp IS NULL AND NOT brk2 AND reg IS NOT NULL AND fire AND f - last < {c.min_gap} THEN 'dropped_min_gap' END,
+    (CASE WHEN sp IS NOT NULL THEN sp ELSE {fresh} END)::{_SPIKE}
+  FROM (SELECT *, brk <> flip AS brk2, pending + 1 >= CASE WHEN peak2 >= {c.strong} THEN {c.confirm_strong} ELSE {c.confirm} END AS fire FROM (SELECT *, run2 >= CASE WHEN brk THEN {c.break_exit} ELSE {c.break_hold} END AS flip FROM (
+    SELECT *, CASE WHEN (brk AND x < lvl) OR (NOT brk AND x > lvl) THEN run + 1 ELSE 0 END AS run2 FROM (
+    SELECT *, CASE WHEN {c.break_offset} > 0 AND len(seen2) >= {c.baseline_least} THEN greatest(list_aggregate(seen2, 'median') + {c.break_offset}, {c.break_level - 20}) ELSE {c.break_level} END AS lvl, greatest(peak, q) AS peak2 FROM (
+    SELECT n.*, p.brk, p.run, p.sp, p.pending, p.peak, p.last, CASE WHEN {c.break_offset} > 0 AND NOT p.brk AND p.sp IS NULL THEN list_append(p.seen, n.x)[-{c.baseline_rows}:] ELSE p.seen END AS seen2 FROM cm p JOIN c3 n ON n.k = p.k AND n.f = p.f + 1)))))),
+told AS (SELECT k, told AS kind, ev, false AS open FROM cm WHERE told IS NOT NULL
+  UNION ALL SELECT k, 'cut', sp, true FROM (SELECT * FROM cm QUALIFY row_number() OVER (PARTITION BY k ORDER BY f DESC) = 1) WHERE sp IS NOT NULL),
+scored AS (SELECT k, kind, unnest(ev), open FROM told),
+found AS (SELECT k, kind, frame, strength, level, motion, "left", spread, region, duration, open, CASE WHEN kind <> 'cut' THEN NULL WHEN open OR sc < 2 THEN 'low' WHEN sc >= 4 THEN 'high' ELSE 'medium' END AS confidence FROM (
+  SELECT *, CASE WHEN strength >= 40 THEN 3 WHEN strength >= 30 THEN 2 WHEN strength >= 22 THEN 1 ELSE 0 END + CASE WHEN duration >= 5 THEN 2 WHEN duration >= 3 THEN 1 ELSE 0 END + CASE WHEN motion >= 8 THEN 1 WHEN motion >= 5 THEN 0.5 ELSE 0 END
+    + CASE WHEN "left" > 5 THEN 1 WHEN "left" > 0 THEN 0.5 ELSE 0 END + CASE WHEN spread < 90 THEN 0.5 ELSE 0 END - CASE WHEN level > {c.ceiling} THEN 1 ELSE 0 END AS sc FROM scored)
+  UNION ALL SELECT k, mark, CASE WHEN mark = 'break_start' THEN f - {c.break_hold} ELSE f END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false, NULL FROM cm WHERE mark IS NOT NULL){tail}"""
+
 
 def _cut_rows(spark, sf, c):
-    x = s(spark, sf).select("k", F.col("f").alias("frame"), (F.col("v") / 100).alias("level"), (F.col("v") / 150).alias("left"), (F.col("v") % 1000 / 100).alias("motion"), F.lit(80.0).alias("spread"))
+    x = s(spark, sf).select("k", F.col("f").alias("frame"), (F.col("v") / 128).alias("level"), (F.col("v") / 256).alias("left"), (F.col("v") % 1000 / 100).alias("motion"), F.lit(80.0).alias("spread"))
     return detectors.prepare(x, K, "frame", "level", "left", c)
 
 
-@query()
+@query(_cut_sql(_PRECISE, " SELECT * FROM found"))
 def cut_detector(spark, sf):
-    c = detectors.CutConfig(long_width=5, short_width=3, min_gap=5, break_level=120.0, break_hold=3, break_exit=2)
-    return detectors.detect_cuts(_cut_rows(spark, sf, c), K, c)
+    return detectors.detect_cuts(_cut_rows(spark, sf, _PRECISE), K, _PRECISE)
 
 
-@query()
+@query(_cut_sql(_RECALL, " SELECT * FROM found"))
 def cut_detector_recall(spark, sf):
-    c = detectors.CutConfig(long_width=5, short_width=3, short_least=8.0, min_gap=5, break_level=120.0, break_offset=50.0, baseline_least=10, break_hold=4, break_exit=3, second_region=True)
-    return detectors.detect_cuts(_cut_rows(spark, sf, c), K, c)
+    return detectors.detect_cuts(_cut_rows(spark, sf, _RECALL), K, _RECALL)
+
+
+@query(_cut_sql(_RECALL, """,
+raw AS (SELECT k, frame, strength, confidence FROM found WHERE kind = 'cut'),
+heard AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY frame) AS i FROM (SELECT *, max(strength) OVER (PARTITION BY k ORDER BY frame RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING) AS m FROM raw) WHERE coalesce(strength >= 0.6::DOUBLE * m, true)),
+mg AS (SELECT k, i, i AS ki, NULL::BIGINT AS done FROM heard WHERE i = 1
+  UNION ALL SELECT k, i, CASE WHEN c AND strength <= kept THEN ki ELSE i END, CASE WHEN c THEN NULL ELSE ki END
+  FROM (SELECT n.k, n.i, p.ki, n.strength, o.strength AS kept, n.frame - o.frame <= 9 AND greatest(n.strength, o.strength) > 30 AS c FROM mg p JOIN heard n ON n.k = p.k AND n.i = p.i + 1 JOIN heard o ON o.k = p.k AND o.i = p.ki)),
+kept AS (SELECT h.* FROM (SELECT k, done AS i FROM mg WHERE done IS NOT NULL UNION ALL SELECT k, max_by(ki, i) FROM mg GROUP BY k) x JOIN heard h USING (k, i)),
+marks AS (SELECT k, frame, kind, lead(kind) OVER w AS nk, lead(frame) OVER w AS nf FROM found WHERE kind LIKE 'break%' WINDOW w AS (PARTITION BY k ORDER BY frame)),
+ends AS (SELECT k, max(f) + 1 AS duration FROM s GROUP BY k),
+brk AS (SELECT k, sum(CASE WHEN nk = 'break_end' THEN nf ELSE duration END - frame)::BIGINT AS b FROM marks JOIN ends USING (k) WHERE kind = 'break_start' GROUP BY k),
+n1 AS (SELECT k, count(*) AS n FROM raw GROUP BY k), n2 AS (SELECT k, count(*) AS n FROM heard GROUP BY k),
+n3 AS (SELECT k, count(*) AS n, count(*) FILTER (WHERE confidence = 'high') AS h, CASE WHEN count(*) > 1 THEN (max(frame) - min(frame)) / (count(*) - 1)::DOUBLE / 25 END AS step FROM kept GROUP BY k)
+SELECT e.k, coalesce(n3.n, 0) AS cuts, coalesce(h, 0) AS high, coalesce(n1.n, 0) - coalesce(n2.n, 0) AS echoes, coalesce(n2.n, 0) - coalesce(n3.n, 0) AS merged, coalesce(b, 0) AS break_time, duration - coalesce(b, 0) AS active_time,
+  CASE WHEN duration - coalesce(b, 0) > 0 THEN coalesce(n3.n, 0) / ((duration - coalesce(b, 0)) / 25::DOUBLE) * 60 ELSE 0 END AS rate, coalesce(step, 0) AS mean_cycle
+FROM ends e LEFT JOIN brk USING (k) LEFT JOIN n1 USING (k) LEFT JOIN n2 USING (k) LEFT JOIN n3 USING (k)"""))
+def cut_result(spark, sf):
+    """From signals to the summary: detector, echoes, close pairs, breaks, active rate."""
+    rows = _cut_rows(spark, sf, _RECALL)
+    return detectors.cut_result(detectors.detect_cuts(rows, K, _RECALL), rows, K, echo=12, close=9)
+
+
+_SCALE = detectors.ScaleConfig(smooth=3, hold=2, min_on=2, min_gap=4, max_loaded=12)
+
+
+def _scale_sql(c: detectors.ScaleConfig, tail: str) -> str:
+    """The scale as a state machine that steps through the rows; `sfound` holds its events."""
+    event = "STRUCT(kind VARCHAR, frame BIGINT, duration BIGINT, reason VARCHAR)"
+    tell = lambda when, kind, duration="NULL", reason="NULL": f"CASE WHEN {when} THEN [{{'kind': '{kind}', 'frame': f, 'duration': {duration}, 'reason': {reason}}}::{event}] ELSE []::{event}[] END"
+    return f"""sm AS (
+  SELECT k, -1::BIGINT AS f, 'warmup' AS state, {c.smooth} AS warm, 0 AS above, 0 AS run, 0 AS idle, 0::BIGINT AS since, {-c.min_gap * 1000}::BIGINT AS counted, NULL::DOUBLE AS light, true AS lit, 0::DOUBLE AS r0, 0::DOUBLE AS r1, []::DOUBLE[] AS recent, []::{event}[] AS evs FROM s WHERE f = 0
+  UNION ALL
+  SELECT k, f, CASE WHEN (woke AND diff > {c.on}) OR rises THEN 'loaded' WHEN woke OR fell THEN 'empty' WHEN drifted THEN 'warmup' ELSE st END,
+    CASE WHEN drifted THEN {c.smooth} ELSE warm2 END, CASE WHEN drifted THEN 0 ELSE above2 END, CASE WHEN drifted OR fell THEN 0 ELSE run2 END,
+    CASE WHEN rises OR (steady AND st = 'loaded') THEN 0 ELSE idle2 END, CASE WHEN woke AND diff > {c.on} THEN greatest(0, f - above2) WHEN rises THEN f ELSE since END, CASE WHEN counts THEN f ELSE counted END, light2, lit2,
+    CASE WHEN drifted THEN p0 WHEN steady AND st = 'empty' AND idle2 > {c.idle_rows} THEN r0 + {c.blend}::DOUBLE * (p0 - r0) ELSE r0 END, CASE WHEN drifted THEN p1 WHEN steady AND st = 'empty' AND idle2 > {c.idle_rows} THEN r1 + {c.blend}::DOUBLE * (p1 - r1) ELSE r1 END,
+    CASE WHEN drifted THEN []::DOUBLE[] ELSE recent2 END,
+    {tell("big AND lit", "lighting_change")} || {tell("back", "lighting_restored")} || {tell(f"woke AND diff > {c.on}", "scale_initial_loaded", "above2")} || {tell("rises", "scale_loaded")}
+    || {tell("counts", "scale_cycle_complete", f"CASE WHEN drifted THEN {c.max_loaded} ELSE f - since END")} || {tell("fell AND NOT counts", "scale_false_trigger", "f - since", f"CASE WHEN f - since < {c.min_on} THEN 'too_brief' ELSE 'too_close' END")}
+  FROM (SELECT *, ((drifted AND f - since > {c.min_on}) OR (fell AND f - since >= {c.min_on})) AND f - counted >= {c.min_gap} AS counts FROM (
+    SELECT *, steady AND st = 'warmup' AND warm2 <= 0 AS woke, steady AND st = 'empty' AND run2 >= {c.hold} AS rises, steady AND st = 'loaded' AND f - since > {c.max_loaded} AND diff < {c.on * c.drift} AS drifted,
+      steady AND st = 'loaded' AND f - since <= {c.max_loaded} AND diff < {c.off} AS fell FROM (
+    SELECT *, CASE WHEN steady AND st = 'warmup' THEN above + (diff > {c.on})::INT ELSE above END AS above2, CASE WHEN steady AND st = 'warmup' THEN warm1 - 1 ELSE warm1 END AS warm2, CASE WHEN steady AND st = 'empty' THEN idle + 1 ELSE idle END AS idle2,
+      CASE WHEN steady AND st = 'empty' THEN CASE WHEN diff > {c.on} THEN run + 1 ELSE 0 END ELSE run END AS run2 FROM (
+    SELECT *, list_sum(recent2) / len(recent2) AS diff, NOT big AND lit2 AS steady FROM (
+    SELECT *, list_append(CASE WHEN back THEN []::DOUBLE[] ELSE recent END, (abs(p0 - r0) + abs(p1 - r1)) / 2)[-{c.smooth}:] AS recent2 FROM (
+    SELECT * REPLACE (CASE WHEN back THEN p0 ELSE r0 END AS r0, CASE WHEN back THEN p1 ELSE r1 END AS r1), CASE WHEN big THEN false ELSE back OR lit END AS lit2, CASE WHEN big THEN light ELSE b END AS light2, CASE WHEN back THEN 'warmup' ELSE state END AS st, CASE WHEN back THEN {c.smooth} ELSE warm END AS warm1 FROM (
+    SELECT *, NOT big AND NOT lit AND coalesce(abs(b - light) < {c.calm}, false) AS back FROM (
+    SELECT p.* EXCLUDE (f, evs), n.f, n.v / 128::DOUBLE AS p0, n.v / 256::DOUBLE AS p1, n.v / 512::DOUBLE AS b, coalesce(abs(n.v / 512::DOUBLE - p.light) > {c.jump}, false) AS big FROM sm p JOIN s n ON n.k = p.k AND n.f = p.f + 1))))))))),
+sfound AS (SELECT k, unnest(e) FROM (SELECT k, unnest(evs) AS e FROM sm)
+  UNION ALL SELECT k, 'scale_cycle_complete', f + 1, f + 1 - since, NULL::VARCHAR FROM (SELECT * FROM sm QUALIFY row_number() OVER (PARTITION BY k ORDER BY f DESC) = 1) WHERE state = 'loaded' AND f + 1 - since >= {c.min_on} AND f + 1 - counted >= {c.min_gap}){tail}"""
+
+
+def _scale_events(spark, sf):
+    patch = F.array(F.col("v") / 128, F.col("v") / 256)
+    return detectors.detect_scale(s(spark, sf).select("k", F.col("f").alias("frame"), (F.col("v") / 512).alias("brightness"), patch.alias("patch"), F.array(F.lit(0.0), F.lit(0.0)).alias("reference")), K, _SCALE)
+
+
+@query(_scale_sql(_SCALE, " SELECT k, kind, frame, duration, reason FROM sfound"))
+def scale_detector(spark, sf):
+    return _scale_events(spark, sf)
 
 
-@query()
-def scale_detector(spark, sf):
-    c = detectors.ScaleConfig(smooth=3, hold=2, min_on=2, min_gap=4, max_loaded=12)
-    patch = F.array(F.col("v") / 100, F.col("v") / 200)
-    return detectors.detect_scale(s(spark, sf).select("k", F.col("f").alias("frame"), (F.col("v") / 400).alias("brightness"), patch.alias("patch"), F.array(F.lit(0.0), F.lit(0.0)).alias("reference")), K, c)
+def _table_sql(level: int, hold: int, least: int, gap: int, tail: str) -> str:
+    """Table cycles by a latch, windows over its stretches and the spacing of their ends; `tfound` holds them."""
+    return f"""tm AS (SELECT k, -1::BIGINT AS f, 0::BIGINT AS v, 0 AS run, 0 AS state FROM s WHERE f = 0
+  UNION ALL SELECT n.k, n.f, n.v, CASE WHEN n.v > {level} THEN p.run + 1 ELSE 0 END, CASE WHEN n.v > {level} AND p.run + 1 >= {hold} THEN 1 WHEN n.v < {level} THEN 0 ELSE p.state END FROM tm p JOIN s n ON n.k = p.k AND n.f = p.f + 1),
+t1 AS (SELECT *, lag(state) OVER (PARTITION BY k ORDER BY f) AS was FROM tm QUALIFY was IS NOT NULL),
+t2 AS (SELECT *, sum((state > was)::INT) OVER (PARTITION BY k ORDER BY f) AS c, v / 128::DOUBLE AS x FROM t1),
+t3 AS (SELECT *, count(*) FILTER (WHERE state <= was) OVER (PARTITION BY k, c) AS n, row_number() OVER (PARTITION BY k, c ORDER BY f) - 2 AS i FROM t2 WHERE state = 1 OR was = 1),
+t4 AS (SELECT *, least(n, 50) AS used, i - (n - least(n, 50)) AS pos FROM t3),
+t5 AS (SELECT k, c, max(f) FILTER (WHERE state = 0) AS frame, max(n) + {hold} AS duration, max(x) AS peak,
+  CASE WHEN max(n) >= 10 THEN (avg(x) FILTER (WHERE pos >= used // 2 AND i >= 0) - avg(x) FILTER (WHERE pos >= 0 AND pos < used // 2 AND i >= 0)) / (max(used) / 25::DOUBLE) ELSE 0 END AS slope FROM t4 GROUP BY k, c),
+t6 AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY frame) AS j FROM t5 WHERE frame IS NOT NULL AND duration >= {least}),
+t7 AS (SELECT k, j, frame AS last, true AS keep FROM t6 WHERE j = 1
+  UNION ALL SELECT n.k, n.j, CASE WHEN n.frame - p.last >= {gap} THEN n.frame ELSE p.last END, n.frame - p.last >= {gap} FROM t7 p JOIN t6 n ON n.k = p.k AND n.j = p.j + 1),
+tfound AS (SELECT k, frame, duration, peak, slope FROM t6 JOIN t7 USING (k, j) WHERE keep){tail}"""
+
+
+def _table_events(spark, sf):
+    cycles = detectors.table_cycles(s(spark, sf).select("k", "f", (F.col("v") / 128).alias("x")), K, "f", "x", level=3000 / 128, hold=2, least=3, gap=5)
+    return cycles.withColumnRenamed("f", "frame")
 
 
-@query()
+@query(_table_sql(3000, 2, 3, 5, " SELECT * FROM tfound"))
 def table_cycle_detector(spark, sf):
-    return detectors.table_cycles(s(spark, sf).select("k", "f", (F.col("v") / 100).alias("x")), K, "f", "x", level=30.0, hold=2, least=3, gap=5)
+    return _table_events(spark, sf)
+
+
+@query(_scale_sql(_SCALE, ", ") + _table_sql(3000, 2, 3, 5, """,
+done AS (SELECT k, frame FROM sfound WHERE kind = 'scale_cycle_complete'),
+near AS (SELECT d.k, d.frame, arg_min(struct_pack(peak := t.peak, slope := t.slope), (abs(t.frame - d.frame), t.frame)) AS b FROM done d JOIN tfound t ON t.k = d.k AND t.frame - d.frame BETWEEN -2 AND 5 GROUP BY d.k, d.frame),
+both_ AS (SELECT d.k, 'accepted' AS verdict, d.frame, b.peak AS peak, b.slope AS slope, NULL::VARCHAR AS reason FROM done d LEFT JOIN near n ON n.k = d.k AND n.frame = d.frame
+  UNION ALL SELECT k, 'rejected', frame, peak, slope, 'no_scale' FROM tfound t WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.k = t.k AND d.frame - t.frame BETWEEN -2 AND 5))
+SELECT *, row_number() OVER (PARTITION BY k, verdict ORDER BY frame) AS number FROM both_"""))
+def station_result(spark, sf):
+    """From signals to verdicts: scale machine, table cycles, classification by the one near the other."""
+    return detectors.station_result(_scale_events(spark, sf), _table_events(spark, sf), K, -2, 5)
 
 
 @query(_latch_sql(1, _CYCLES + ", " + _SPACED.format(c="cc", o="oo", src="SELECT k, t FROM cyc WHERE stop IS NOT NULL", gap=12 * HOUR)

@@ -290,3 +290,21 @@ def test_latch_goes_on_between_batches(spark, tmp_path):
     source = spark.readStream.schema(stream.EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "all"))
     got = stream.drain(stream.latch_edges(source, 100, 15, 2), "micro", "append").collect()
     assert {(r["event_id"], r["edge"]) for r in got} == {(2, "rise"), (5, "fall")}
+
+
+@pytest.mark.parametrize("batch", [3, 10000])
+def test_machines_go_on_between_batches(spark, batch):
+    """Two keys and a null one, in batches smaller and larger than a stream: as one machine for each."""
+    rng = random.Random(9)
+    c = detectors.CutConfig(long_width=5, short_width=3, min_gap=5, break_level=94.0, break_hold=3, break_exit=2)
+    own = [(k, f, rng.uniform(0, 130), *(rng.choice([0.0, 0.0, 12.0, 40.0]) for _ in range(3)), rng.uniform(0, 10), 80.0) for k in (None, 1, 2) for f in range(120)]
+    want = {(k, *e) for k in (None, 1, 2) for e in detectors.run_cuts([r[1:] for r in own if r[0] == k], c)}
+    shuffled = rng.sample(own, len(own))
+    x = spark.createDataFrame(shuffled, "k long, frame long, smoothed double, d_long double, d_short double, d_left double, motion double, spread double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = detectors.detect_cuts(x, K, c).drop("confidence").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 30
+    assert detectors.detect_cuts(x.limit(0), K, c).count() == 0
