@@ -37,3 +37,8 @@ def bucket_size(duration: Column) -> Column:
 def axis_step(duration: Column) -> Column:
     """Seconds between the marks of an axis, by the length of what it shows."""
     return F.when(duration <= 30, 5).when(duration <= 3600, 300).when(duration <= 14400, 900).when(duration <= 28800, 1800).otherwise(3600)
+
+
+def marker_step(count: Column) -> Column:
+    """Every how many events one is numbered, by how many there are."""
+    return F.when(count > 100, 50).when(count > 50, 25).otherwise(10)

@@ -1,59 +1,74 @@
 """Rules that look at the last kept event: minimum gap, close-pair merge, greedy matching.
 
-Whether an event is kept depends on which were kept before, so these are folds over a sorted array. Events further apart than the rule
-reaches can't affect each other, so each key is first cut into islands at such gaps, and a fold runs over one island.
+Whether an event is kept depends on which were kept before. For the first two, Spark brings the rows of a key together and sorts them
+(spilling where it must), and a task passes them by in Arrow batches, with the last kept row as its only state: linear, and in constant
+memory for a stream of any length. Greedy matching is a fold over islands of events that can't affect each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalwright.operators.runs import gap_islands
 
 
-def _fold(df: DataFrame, key: Sequence[str], island: str, order: Sequence[str], step, start: str) -> DataFrame:
-    rest = [c for c in df.columns if c not in (*key, island, *order)]
-    row = F.struct(*order, *rest)
-    rows = df.groupBy(*key, island).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    kind = df.select(row.alias("r")).schema["r"].dataType.simpleString()
-    empty = F.expr(f"named_struct({start}, 'kept', cast(array() as array<{kind}>))")
-    kept = rows.select(*key, F.aggregate("_rows", empty, step)["kept"].alias("_kept"))
-    return kept.select(*key, F.inline("_kept")).select(*df.drop(island).columns)
+def _in_order(df: DataFrame, key: Sequence[str], order: str, ties: Sequence[str]) -> DataFrame:
+    first = [*key, order, *ties]
+    return df.repartition(*key).sortWithinPartitions(*first, *(c for c in df.columns if c not in first))
+
+
+def _keys(batch: pa.RecordBatch, key: Sequence[str]) -> Iterator[tuple]:
+    return zip(*(batch.column(k).to_pylist() for k in key), strict=True)
 
 
 def keep_spaced(df: DataFrame, key: Sequence[str], order: str, gap: int, ties: Sequence[str] = ()) -> DataFrame:
-    """Events at least `gap` after the last kept one; the first is kept."""
-    found = gap_islands(df, key, order, F.col("_gap") >= gap, "_island", ties)
+    """Events at least `gap` after the last kept one; the first is kept. One without a time stays and counts for no other."""
 
-    def step(acc: Column, x: Column) -> Column:
-        keep = acc["last"].isNull() | (x[order] - acc["last"] >= gap)
-        return F.when(keep, F.struct(x[order].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            kept = []
+            for own, t in zip(_keys(batch, key), batch.column(order).to_pylist(), strict=True):
+                if own != now:
+                    now, last = own, None
+                keep = t is None or last is None or t - last >= gap
+                if keep and t is not None:
+                    last = t
+                kept.append(keep)
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    kind = dict(df.dtypes)[order]
-    return _fold(found, key, "_island", [order, *ties], step, f"'last', cast(null as {kind})")
+    return _in_order(df, key, order, ties).mapInArrow(run, df.schema)
 
 
 def merge_close(df: DataFrame, key: Sequence[str], order: str, strength: str, within: int, strong: float, ties: Sequence[str] = ()) -> DataFrame:
     """Of two events at most `within` apart, one of them stronger than `strong`, the stronger stays (the earlier if equal); each event
-    meets the last one kept."""
-    found = gap_islands(df, key, order, F.col("_gap") > within, "_island", ties)
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc["kept"], -1)
-        close = (F.size(acc["kept"]) > 0) & (x[order] - last[order] <= within) & (F.greatest(x[strength], last[strength]) > strong)
-        others = F.slice(acc["kept"], F.lit(1), F.greatest(F.size(acc["kept"]) - 1, F.lit(0)))
-        kept = F.when(close & (x[strength] > last[strength]), F.concat(others, F.array(x))).when(close, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x)))
-        return F.struct(kept.alias("kept"))
-
-    rest = [c for c in found.columns if c not in (*key, "_island", order, *ties)]
-    row = F.struct(order, *ties, *rest)
-    rows = found.groupBy(*key, "_island").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    kind = found.select(row.alias("r")).schema["r"].dataType.simpleString()
-    kept = F.aggregate("_rows", F.expr(f"named_struct('kept', cast(array() as array<{kind}>))"), step)["kept"]
-    return rows.select(*key, F.inline(kept)).select(*df.columns)
+    meets the last one kept. One without a time or a strength is close to none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, held = None, None, None  # held: the row of `last` (time, strength) as a batch, if it came with an earlier batch
+        for batch in batches:
+            rows, at, done = zip(_keys(batch, key), batch.column(order).to_pylist(), batch.column(strength).to_pylist(), strict=True), None, []
+            for i, (own, t, p) in enumerate(rows):
+                close = own == now and None not in (t, p, *last) and t - last[0] <= within and max(p, last[1]) > strong
+                if close and p <= last[1]:
+                    continue
+                if not close:  # the last one stays
+                    if held is not None:
+                        yield held
+                    elif at is not None:
+                        done.append(at)
+                now, last, held, at = own, (t, p), None, i
+            yield batch.take(pa.array(done, pa.int32()))
+            if at is not None:
+                held = batch.take(pa.array([at], pa.int32()))
+        if held is not None:
+            yield held
+
+    return _in_order(df, key, order, ties).mapInArrow(run, df.schema)
 
 
 def greedy_match(labels: DataFrame, found: DataFrame, key: Sequence[str], order: str, within: int) -> DataFrame:

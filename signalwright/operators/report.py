@@ -22,6 +22,29 @@ def count_bins(spined: DataFrame, events: DataFrame, key: Sequence[str], bin: Co
     return joined.select(*key, out, *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in counts))
 
 
+def clamped_bucket(at: Column, duration: Column, size: Column) -> Column:
+    """The bucket of `at` among ceil(duration / size); what lies at the very end, or beyond it, is in the last one."""
+    return F.greatest(F.least(F.floor(at / size), F.ceil(duration / size) - 1), F.lit(0)).cast("long")
+
+
+def hour_table(df: DataFrame, key: Sequence[str], at: str, duration: str, size: int, first_hour: int, **counts: Column) -> DataFrame:
+    """key, bucket, label and the counts of each condition for all ceil(duration / size) buckets of each key, empty ones too.
+
+    `duration` is the same in all rows of a key.
+    """
+    spined = df.groupBy(*key).agg(F.max(duration).alias("_d")).select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_d") / size) - 1, F.lit(0)))).alias("bucket"))
+    rows = count_bins(spined, df, key, clamped_bucket(F.col(at), F.col(duration), F.lit(size)), "bucket", **counts)
+    return rows.withColumn("label", F.concat((F.col("bucket") + first_hour).cast("string"), F.lit(":00")))
+
+
+def window_rates(df: DataFrame, key: Sequence[str], at: str, start: int, stop: int, size: int, per: int) -> DataFrame:
+    """key, from, n, rate: events of start <= at < stop in windows of `size` from `start` on, per `per` units; windows without events too."""
+    windows = df.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(start).cast("long"), F.lit(stop - 1).cast("long"), F.lit(size).cast("long"))).alias("from"))
+    own = df.where((F.col(at) >= start) & (F.col(at) < stop)).groupBy(*key, (F.floor((F.col(at) - start) / size) * size + start).cast("long").alias("from")).agg(F.count("*").alias("n"))
+    width = F.least(F.lit(size), F.lit(stop) - F.col("from"))
+    return windows.join(own, [*key, "from"], "left").select(*key, "from", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) * per / width).alias("rate"))
+
+
 def ratio(a: Column, b: Column, none=None) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(none).cast("double"))
 

@@ -302,10 +302,11 @@ def range_excluded(spark, sf):
 # ---- reports ----
 
 
-@query("SELECT e, CASE WHEN count(*) > 1 THEN (max(t) - min(t)) / (count(*) - 1)::DOUBLE ELSE 0 END AS mean_cycle, count(*) AS n FROM s GROUP BY e")
+@query("SELECT k, e, CASE WHEN count(*) > 1 THEN (max(t) - min(t)) / (count(*) - 1)::DOUBLE ELSE 0 END AS mean_cycle, count(*) AS n FROM s GROUP BY k, e")
 def mean_cycle(spark, sf):
+    """Steps between events of one stream only."""
     n = F.count("*")
-    return s(spark, sf).groupBy("e").agg(F.when(n > 1, (F.max("t") - F.min("t")).cast("double") / (n - 1)).otherwise(0.0).alias("mean_cycle"), n.alias("n"))
+    return s(spark, sf).groupBy("k", "e").agg(F.when(n > 1, (F.max("t") - F.min("t")).cast("double") / (n - 1)).otherwise(0.0).alias("mean_cycle"), n.alias("n"))
 
 
 @query(f"SELECT k, max(n) AS peak FROM (SELECT k, count(*) OVER (PARTITION BY k ORDER BY t RANGE BETWEEN CURRENT ROW AND {_W} FOLLOWING) AS n FROM s) GROUP BY k")
@@ -351,12 +352,48 @@ def hour_pivot_clamp(spark, sf):
     return report.count_bins(spine, x.withColumn("g", F.lit(0)), ["g"], clamped, "b", accepted=F.col("e") == "purchase", rejected=F.col("e") == "click").select("b", (11 + F.col("b")).alias("label"), "accepted", "rejected")
 
 
-@query(f"""u AS (SELECT *, (t - min(t) OVER (PARTITION BY k)) // {HOUR * 24} AS since, (max(t) OVER (PARTITION BY k) - min(t) OVER (PARTITION BY k)) // {HOUR // 60 * 4} AS dur FROM s)
-SELECT k, (since * 500) // CASE WHEN dur < 7200 THEN 300 WHEN dur < 21600 THEN 900 ELSE 1800 END AS b, count(*) AS n FROM u GROUP BY 1, 2""")
-def adaptive_buckets(spark, sf):
+_SINCE = f"u AS (SELECT *, (t - min(t) OVER (PARTITION BY k)) // {HOUR // 15} AS pos, (max(t) OVER (PARTITION BY k) - min(t) OVER (PARTITION BY k)) // {HOUR // 15} AS dur FROM s)"
+
+
+def _since(spark, sf):
+    """Events with the units since the first of their stream, and those of the whole stream."""
     own = Window.partitionBy("k")
-    x = s(spark, sf).withColumn("at", F.expr(f"(t - min(t) over (partition by k)) div {HOUR * 24}")).withColumn("dur", F.floor((F.max("t").over(own) - F.min("t").over(own)) / (HOUR // 60 * 4)))
-    return x.withColumn("b", F.floor(F.col("at") * 500 / labels.bucket_size(F.col("dur")))).groupBy("k", "b").agg(F.count("*").alias("n"))
+    x = s(spark, sf).withColumn("_from", F.min("t").over(own)).withColumn("_to", F.max("t").over(own))
+    return x.select("k", "e", "v", F.expr(f"(t - _from) div {HOUR // 15}").alias("at"), F.expr(f"(_to - _from) div {HOUR // 15}").alias("dur"))
+
+
+@query(f"""{_SINCE}, z AS (SELECT *, CASE WHEN dur < 7200 THEN 300 WHEN dur < 21600 THEN 900 ELSE 1800 END AS size FROM u)
+SELECT k, greatest(least(pos // size, ceil(dur / size::DOUBLE)::BIGINT - 1), 0) AS b, count(*) AS n, count(*) FILTER (WHERE e = 'purchase') AS accepted, count(*) FILTER (WHERE e = 'click') AS rejected FROM z GROUP BY 1, 2""")
+def adaptive_buckets(spark, sf):
+    """Buckets by the stream's length; an event at the very end is in the last one."""
+    x = _since(spark, sf)
+    kind = lambda e: F.count_if(F.col("e") == e)
+    return x.groupBy("k", report.clamped_bucket(F.col("at"), F.col("dur"), labels.bucket_size(F.col("dur"))).alias("b")).agg(F.count("*").alias("n"), kind("purchase").alias("accepted"), kind("click").alias("rejected"))
+
+
+@query(f"""{_SINCE}, z AS (SELECT *, greatest(least(pos // 3600, ceil(dur / 3600.0::DOUBLE)::BIGINT - 1), 0) AS bucket FROM u), g AS (SELECT k, unnest(range(0, greatest(ceil(max(dur) / 3600.0::DOUBLE)::BIGINT, 1))) AS bucket FROM u GROUP BY k),
+n AS (SELECT g.k, g.bucket, count(*) FILTER (WHERE e = 'error') AS cuts, count(*) FILTER (WHERE e = 'purchase') AS accepted, count(*) FILTER (WHERE e = 'click') AS rejected, count(*) FILTER (WHERE e = 'error' AND v >= 8000) AS high,
+  count(*) FILTER (WHERE e = 'error' AND v >= 3000 AND v < 8000) AS medium, count(*) FILTER (WHERE e = 'error' AND v < 3000) AS other FROM g LEFT JOIN z USING (k, bucket) GROUP BY g.k, g.bucket)
+SELECT *, (11 + bucket) || ':00' AS label, rejected * 100 / nullif(accepted + rejected, 0)::DOUBLE AS reject_share FROM n""")
+def hourly_table(spark, sf):
+    """Cuts by class, accepted and rejected by hour of each stream; the share is null where there is neither."""
+    kind, v = F.col("e"), F.col("v")
+    cut = kind == "error"
+    rows = report.hour_table(_since(spark, sf), K, "at", "dur", 3600, 11, cuts=cut, accepted=kind == "purchase", rejected=kind == "click", high=cut & (v >= 8000), medium=cut & (v >= 3000) & (v < 8000), other=cut & (v < 3000))
+    return rows.withColumn("reject_share", report.ratio(F.col("rejected") * 100, F.col("accepted") + F.col("rejected")))
+
+
+@query(f"""{_SINCE}, g AS (SELECT k, unnest(range(900, 8000, 600)) AS "from" FROM (SELECT DISTINCT k FROM u)), n AS (SELECT k, (pos - 900) // 600 * 600 + 900 AS "from", count(*) AS n FROM u WHERE pos >= 900 AND pos < 8000 GROUP BY 1, 2)
+SELECT g.k, g."from", coalesce(n, 0) AS n, coalesce(n, 0) * 60 / least(600, 8000 - g."from")::DOUBLE AS rate FROM g LEFT JOIN n ON n.k = g.k AND n."from" = g."from" """)
+def fixed_window_rates(spark, sf):
+    """Windows from a start offset to an end; the last one is shorter."""
+    return report.window_rates(_since(spark, sf), K, "at", 900, 8000, 600, 60)
+
+
+@query("SELECT k, f, t, v FROM s WHERE e = 'purchase' ORDER BY v DESC, k, f LIMIT 25")
+def strongest(spark, sf):
+    """A top-k report."""
+    return of_type(spark, sf, "purchase").orderBy(F.desc("v"), "k", "f").limit(25)
 
 
 @query(f"SELECT t // {6 * HOUR} AS b, count(*) AS n, count(*) / 6.0::DOUBLE AS rate FROM s WHERE e = 'purchase' GROUP BY 1")
@@ -436,11 +473,11 @@ def bounded_retention(spark, sf):
     return readers.latest(s(spark, sf), K, "f", 20).select("k", "f", "t")
 
 
-@query("SELECT k, e, n, n % 10 = 0 OR n = c AS marked FROM (SELECT k, e, row_number() OVER (PARTITION BY k, e ORDER BY f) AS n, count(*) OVER (PARTITION BY k, e) AS c FROM s)")
+@query("SELECT k, e, n, n % CASE WHEN c > 100 THEN 50 WHEN c > 50 THEN 25 ELSE 10 END = 0 OR n = c AS marked FROM (SELECT k, e, row_number() OVER (PARTITION BY k, e ORDER BY f) AS n, count(*) OVER (PARTITION BY k, e) AS c FROM s)")
 def event_number_markers(spark, sf):
     own = Window.partitionBy("k", "e")
     x = s(spark, sf).select("k", "e", F.row_number().over(own.orderBy("f")).cast("long").alias("n"), F.count("*").over(own).alias("c"))
-    return x.select("k", "e", "n", ((F.col("n") % 10 == 0) | (F.col("n") == F.col("c"))).alias("marked"))
+    return x.select("k", "e", "n", ((F.col("n") % labels.marker_step(F.col("c")) == 0) | (F.col("n") == F.col("c"))).alias("marked"))
 
 
 @query("""SELECT count(*) AS n, count(*) FILTER (WHERE e = 'purchase') AS accepted, count(*) FILTER (WHERE e = 'click') AS rejected,

@@ -308,3 +308,32 @@ def test_machines_go_on_between_batches(spark, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 30
     assert detectors.detect_cuts(x.limit(0), K, c).count() == 0
+
+
+@pytest.mark.parametrize("batch", [2, 10000])
+def test_spacing_and_merging_go_on_between_batches(spark, batch):
+    """Ties, a null key, null times and strengths, an extra column; batches smaller and larger than a stream."""
+    rng = random.Random(11)
+    own = [(k, rng.randrange(90), i, rng.choice([10.0, 20.0, 40.0, 50.0, None]), rng.choice([None, "x"])) for k in (None, 1, 2) for i in range(40)]
+    own += [(1, None, 99, 20.0, None)]
+    spaced, merged = [], []
+    for k in (None, 1, 2):
+        last, kept = None, []
+        for r in sorted((r for r in own if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            if r[1] is None or last is None or r[1] - last >= 7:
+                spaced.append(r)
+                last = last if r[1] is None else r[1]
+            top = kept[-1] if kept else None
+            if top and None not in (r[1], r[3], top[1], top[3]) and r[1] - top[1] <= 3 and max(r[3], top[3]) > 30:
+                kept[-1] = r if r[3] > top[3] else top
+            else:
+                kept.append(r)
+        merged += kept
+    x = spark.createDataFrame(rng.sample(own, len(own)), "k long, t long, i long, p double, note string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        assert sorted(map(repr, map(tuple, refractory.keep_spaced(x, K, "t", 7, ["i"]).collect()))) == sorted(map(repr, spaced))
+        assert sorted(map(repr, map(tuple, refractory.merge_close(x, K, "t", "p", 3, 30.0, ["i"]).collect()))) == sorted(map(repr, merged))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert refractory.merge_close(x.limit(0), K, "t", "p", 3, 30.0).count() == 0
