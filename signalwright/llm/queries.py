@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalwright.llm import langid, linededup, media, mixing, packing, quality, scoring, sharding, simhash, tokenfiles
+from signalwright.llm import anntree, convrepair, convtrie, langid, linededup, media, mixing, packing, quality, scoring, sharding, simhash, tokenfiles
 from signalwright.llm._common import crc_mod, cut, documents
 
 
@@ -54,11 +54,23 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(documents(spark, sf_dir))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.trie(convtrie.sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.repair(convrepair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anntree.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_lm_scoring, op4_language_id, op5_sharding, op6_token_files, op7_line_dedup, op8_simhash, op9_quality_rules, op10_media_columns, pipeline)}
-ORACLE_SQL = {"op2_source_mixing": mixing.SQL, "op7_line_dedup": linededup.SQL, "op9_quality_rules": quality.SQL}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_lm_scoring, op4_language_id, op5_sharding, op6_token_files, op7_line_dedup, op8_simhash, op9_quality_rules, op10_media_columns, op11_conversation_trie, op12_structure_repair, op13_nearest_neighbours, pipeline)}
+ORACLE_SQL = {"op2_source_mixing": mixing.SQL, "op7_line_dedup": linededup.SQL, "op9_quality_rules": quality.SQL, "op11_conversation_trie": convtrie.SQL, "op12_structure_repair": convrepair.SQL}
