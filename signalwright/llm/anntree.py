@@ -8,7 +8,8 @@
 * Calibration: for a bounded, drawn part of the queries the true neighbours are found by reading all rows once; the number of leaves is
   widened, by LEAST_STEP or a sixteenth at a time, until the recall over these queries reaches RECALL. Then every query visits as many.
 
-A query meets a block as a tile: its rows as one matrix, the queries that visit its leaf passing by in batches; where many queries visit one
+The visits are made in two rounds: what a query finds in its first leaves is a floor, and of the rows of the other leaves only those that
+reach it leave their task. A query meets a block as a tile: its rows as one matrix, the queries that visit its leaf passing by in batches; where many queries visit one
 leaf, they are dealt over several tiles. So no task holds more than a block, and the table's hot parts spread. Of equal vectors only the
 NEAREST + 1 with the least ids can be among any query's neighbours, so the others are left out before the search: that is exact.
 
@@ -38,6 +39,8 @@ EVERY = 20
 SAMPLE, BRANCH, LEAF_ROWS, MOST_LEAVES, TURNS = 65_536, 8, 1024, 4096, 8
 #: Of the search: how much the spread of a node counts; queries of the calibration at most; recall to reach; leaves more at a time.
 SLACK, TRIED, RECALL, LEAST_STEP = 1.0, 400, 0.96, 1
+#: One in EARLY of the visits comes first and gives each query's floor.
+EARLY = 8
 #: Rows of a block, queries of a tile, queries in one product.
 BLOCK, TILE, BATCH = 8192, 32_768, 256
 FOUND = "query_id long, query_key long, vec_id long, score double"
@@ -177,16 +180,21 @@ def _visit(tree: Tree, most: int):
     return run
 
 
-def best(scores: np.ndarray, q: np.ndarray, x: np.ndarray, own: np.ndarray, ids: np.ndarray, nearest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query (a row of q) the places of its best rows of x, and their products: summed the same way wherever they are found."""
+def best(scores: np.ndarray, q: np.ndarray, x: np.ndarray, own: np.ndarray, ids: np.ndarray, nearest: int, floors: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query (a row of q) the places of its best rows of x, and their products: summed the same way wherever they are found. None
+    is below the query's floor."""
     scores[own[:, None] == ids[None, :]] = -np.inf
-    for s, v in zip(scores, q, strict=True):
+    if floors is not None:
+        scores[scores < floors[:, None] - 1e-9 * np.maximum(1.0, np.abs(floors[:, None]))] = -np.inf
+    for i, (s, v) in enumerate(zip(scores, q, strict=True)):
         if len(s) > nearest:
             least = np.partition(s, len(s) - nearest)[len(s) - nearest]
             near = np.flatnonzero(s >= least - 1e-9 * max(1.0, abs(least)) if np.isfinite(least) else s > -np.inf)
         else:
             near = np.flatnonzero(s > -np.inf)
         true = (x[near] * v).sum(1)
+        if floors is not None:
+            near, true = near[true >= floors[i]], true[true >= floors[i]]
         first = np.lexsort((ids[near], -true))[:nearest]
         yield near[first], true[first]
 
@@ -201,7 +209,7 @@ def _tiles(nearest: int):
                 continue
             tile = b.column(0).to_numpy()
             kind = b.column(1).to_numpy()
-            vec_id, key, v = b.column(2).to_numpy(), b.column(3).fill_null(0).to_numpy(), _matrix(b.column(4))
+            vec_id, key, floor, v = b.column(2).to_numpy(), b.column(3).fill_null(0).to_numpy(), b.column(4).fill_null(-np.inf).to_numpy(), _matrix(b.column(5))
             at = 0
             while at < b.num_rows:
                 end = at + int(np.argmax(np.append((tile[at:] != tile[at]) | (kind[at:] != kind[at]), True)))
@@ -215,7 +223,7 @@ def _tiles(nearest: int):
                     for i in range(at, end, BATCH):
                         j = min(end, i + BATCH)
                         out: list[list[np.ndarray]] = [[], [], [], []]
-                        for k, (rows, true) in enumerate(best(v[i:j] @ x.T, v[i:j], x, vec_id[i:j], ids, nearest)):
+                        for k, (rows, true) in enumerate(best(v[i:j] @ x.T, v[i:j], x, vec_id[i:j], ids, nearest, floor[i:j])):
                             for o, y in zip(out, (np.full(len(rows), vec_id[i + k]), np.full(len(rows), key[i + k], np.int64), ids[rows], true), strict=True):
                                 o.append(y)
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["query_id", "query_key", "vec_id", "score"])
@@ -284,26 +292,33 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST, recal
     most = widened(tree, np.array([r["v"] for r in known]), [true[r["vec_id"], r["key"]] for r in known], recall)[0] if known else tree.leaves
 
     visits = cut(asked.mapInArrow(_visit(tree, most), "vec_id long, key long, v array<double>, leaves array<int>"))
-    # two numbers a leaf: how many rows it has, and how many queries come
+    # what is found in the first leaves is a floor for the others: of their rows only those that reach it are sent on
+    early = max(1, most // EARLY)
     sizes = {r[0]: -(-r[1] // BLOCK) for r in indexed.groupBy("leaf").count().collect()}
-    crowd = {r[0]: -(-r[1] // TILE) for r in visits.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
-    plan = spark.createDataFrame([(leaf, sizes.get(leaf, 0), crowd.get(leaf, 0)) for leaf in range(tree.leaves)], "leaf int, blocks int, turns int")
-    return _searched(indexed, visits, plan, nearest)
-
-
-def _searched(indexed: DataFrame, visits: DataFrame, plan: DataFrame, nearest: int) -> DataFrame:
-    """Tiles: a block of a leaf's rows against a part of the leaf's queries."""
+    none = F.lit(None).cast("double")
+    found = cut(_first(_searched(indexed, visits.select("vec_id", "key", "v", F.slice("leaves", 1, early).alias("leaves"), none.alias("floor")), sizes, nearest), nearest))
+    if most > early:
+        floors = found.where(F.col("rank") == nearest).select(F.col("query_id").alias("vec_id"), F.col("query_key").alias("key"), F.col("score").alias("floor"))
+        others = visits.withColumn("leaves", F.slice("leaves", early + 1, most)).join(floors, ["vec_id", "key"], "left")
+        found = _first(found.drop("rank").unionByName(_searched(indexed, others, sizes, nearest)), nearest)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _searched(indexed: DataFrame, visits: DataFrame, sizes: dict[int, int], nearest: int) -> DataFrame:
+    """Tiles: a block of a leaf's rows against a part of the leaf's queries. sizes: the blocks of each leaf."""
+    # two numbers a leaf: its blocks, and into how many parts its queries are dealt
+    crowd = visits.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()
+    plan = visits.sparkSession.createDataFrame([(r[0], sizes.get(r[0], 0), -(-r[1] // TILE)) for r in crowd], "leaf int, blocks int, turns int")
     plan = F.broadcast(plan)  # MOST_LEAVES rows at most
     spread = lambda c: F.explode(F.sequence(F.lit(0), c - 1))
     tile = lambda block, turn: ((F.col("leaf").cast("long") * 1_048_576 + block) * 1_048_576 + turn).alias("tile")
     some = F.col("blocks") * F.col("turns") > 0
     data = indexed.join(plan, "leaf").where(some).withColumn("_t", spread(F.col("turns"))).withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    data = data.select(tile(F.col("_b"), F.col("_t")), F.lit(0).alias("kind"), "vec_id", F.lit(None).cast("long").alias("key"), "v")
-    asked = visits.select("vec_id", "key", "v", F.explode("leaves").alias("leaf")).join(plan, "leaf").where(some)
+    data = data.select(tile(F.col("_b"), F.col("_t")), F.lit(0).alias("kind"), "vec_id", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("floor"), "v")
+    asked = visits.select("vec_id", "key", "v", "floor", F.explode("leaves").alias("leaf")).join(plan, "leaf").where(some)
     asked = asked.withColumn("_b", spread(F.col("blocks"))).withColumn("_t", F.pmod(F.xxhash64("vec_id", "key"), F.col("turns")))
-    asked = asked.select(tile(F.col("_b"), F.col("_t")), F.lit(1).alias("kind"), "vec_id", "key", "v")
-    found = data.unionByName(asked).repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(_tiles(nearest), FOUND)
-    return _first(found, nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    asked = asked.select(tile(F.col("_b"), F.col("_t")), F.lit(1).alias("kind"), "vec_id", "key", "floor", "v")
+    return data.unionByName(asked).repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(_tiles(nearest), FOUND)
 
 
 def brute_force(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, nearest: int) -> dict[int, list[int]]:

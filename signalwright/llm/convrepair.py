@@ -199,8 +199,8 @@ def repair(rows: DataFrame) -> DataFrame:
     """rows: c, turn, role, text, there (see damaged). A row for each c: its faults and the cheapest repair."""
     kept = rows.repartition("c")  # the window's key holds c, so it adds no exchange
     seen = Window.partitionBy("c", "there", "role", F.md5("text")).orderBy(F.asc_nulls_first("turn"))
-    marked = kept.withColumn("fault", fault_of(F.row_number().over(seen) > 1))
-    ordered = marked.sortWithinPartitions(F.asc_nulls_first("c"), F.asc_nulls_first("turn"), "role", "text", F.asc("fault"))
+    marked = kept.withColumn("nth", F.row_number().over(seen)).withColumn("fault", fault_of(F.col("nth") > 1))
+    ordered = marked.sortWithinPartitions(F.asc_nulls_first("c"), F.asc_nulls_first("turn"), "role", "text", "nth")
     return ordered.select("c", "there", "turn", "role", "text", "fault").mapInArrow(_repaired, RESULT)
 
 

@@ -55,7 +55,8 @@ def texts_of(df):
 
 def same_as_sql(spark, name, sf=SF):
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     got = queries.QUERIES[name](spark, sf)
     columns = sorted(got.columns)
     want = duck.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
