@@ -220,8 +220,8 @@ def _sql() -> str:
     insert = lambda p, name: step(p, INSERT, "0", line(f"'{name}'", "''"))
     return f"""WITH RECURSIVE w AS (SELECT conv_id AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC_SQL.format(x="(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS w FROM conversations),
 d AS (SELECT c, turn, CASE WHEN w = 4 THEN 'user' ELSE role END AS role, CASE WHEN w = 1 THEN '' WHEN w = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN w = 3 THEN [1, 2] ELSE [1] END) AS again FROM w WHERE w <> 0),
-o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, again) AS i, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, again) > 1 AS seen FROM d),
-f AS (SELECT *, role[1:1] AS ini, CASE WHEN NOT regexp_matches(text, '[^{BLANKS}]') THEN 'blank' WHEN seen THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][{BLANKS}]*\\z') THEN 'truncated' END AS fault FROM o),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, again) AS i FROM d),
+f AS (SELECT *, role[1:1] AS ini, CASE WHEN NOT regexp_matches(text, '[^{BLANKS}]') THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][{BLANKS}]*\\z') THEN 'truncated' END AS fault FROM o),
 e AS (SELECT c, i, role, text, ini, coalesce(fault IN ('blank', 'duplicate'), false) AS must_go, CASE WHEN fault = 'truncated' THEN {TRUNCATED} ELSE 0 END AS more FROM f),
 v AS (SELECT c, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': NULL}}::{state} AS p0, NULL::{state} AS p1, {{'c': 5, 'a': 'I', 't': 'user:'}}::{state} AS p2, {{'c': 10, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}}::{state} AS p3 FROM (SELECT DISTINCT c FROM w)
   UNION ALL
