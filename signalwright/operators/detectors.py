@@ -7,17 +7,16 @@ prepared columns of one (stream, segment), which is also the unit that restarts.
 
 from __future__ import annotations
 
-import statistics
 from collections import deque
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalwright.operators import events, refractory, runs, signals
+from signalwright.operators.machines import SlidingMedian, by_machine
 
 
 @dataclass(frozen=True)
@@ -61,11 +60,11 @@ class BreakWatch:
 
     def __init__(self, c: CutConfig):
         self.c, self.on, self.run = c, False, 0
-        self.seen: deque[float] = deque(maxlen=c.baseline_rows)
+        self.seen = SlidingMedian(c.baseline_rows)
 
     def level(self) -> float:
         if self.c.break_offset > 0 and len(self.seen) >= self.c.baseline_least:
-            return max(statistics.median(self.seen) + self.c.break_offset, self.c.break_level - 20)
+            return max(self.seen.median() + self.c.break_offset, self.c.break_level - 20)
         return self.c.break_level
 
     def feed(self, frame: int, x: float, in_spike: bool) -> tuple[str, int] | None:
@@ -87,15 +86,18 @@ class Spike:
     motion: float
     left: float
     spread: float
-    region: str | None
+    at_peaks: set[str]  # the regions that the peaks so far came from
     duration: int = 0
 
-    def grow(self, strength: float, level: float, motion: float, left: float, spread: float, region: str | None) -> None:
+    @property
+    def region(self) -> str:
+        return next(iter(self.at_peaks)) if len(self.at_peaks) == 1 else "both"
+
+    def grow(self, strength: float, level: float, motion: float, left: float, spread: float, region: str) -> None:
         self.duration += 1
         if strength > self.strength:
             self.strength, self.spread = strength, spread
-            if region == "both" or (self.region and region and region != self.region):
-                self.region = "both"
+            self.at_peaks.add(region)
         self.level, self.motion, self.left = max(self.level, level), max(self.motion, motion), max(self.left, left)
 
 
@@ -138,7 +140,7 @@ class Cuts:
         else:
             self.pending, self.peak = self.pending + 1, max(self.peak, strength)
             if self.pending >= (c.confirm_strong if self.peak >= c.strong else c.confirm):
-                candidate = Spike(frame, self.peak, x, motion, d_left, spread, region)
+                candidate = Spike(frame, self.peak, x, motion, d_left, spread, {region})
                 if frame - self.last >= c.min_gap:
                     self.spike = candidate
                 else:
@@ -159,45 +161,6 @@ def run_cuts(rows: Iterable[tuple], c: CutConfig) -> list[tuple]:
     return machine.events
 
 
-def by_machine(df: DataFrame, key: Sequence[str], columns: Sequence[str], make: Callable[[], object], shape: str) -> DataFrame:
-    """Feeds each key's rows, ordered by the first of `columns`, to a machine of its own (feed, close, events); its events, with the key.
-
-    A null key is a key as any other. Events leave with the batch that made them, so a task holds a batch and one machine.
-    """
-    n, names = len(key), [*key, *columns]
-    out = df.select(*key).schema
-    for part in shape.split(", "):
-        out = out.add(*part.split())
-    rows = df.select(*names).repartition(*key).sortWithinPartitions(*key, columns[0])
-    types = [pa.bool_() if f.dataType.simpleString() == "boolean" else pa.int64() if f.dataType.simpleString() == "bigint" else pa.float64() if f.dataType.simpleString() == "double" else pa.string() for f in out.fields[n:]]
-    fields = out.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, machine, kinds = None, None, None
-        for batch in batches:
-            kinds = [batch.schema.field(i).type for i in range(n)]
-            told: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if machine is None or row[:n] != now:
-                    if machine is not None:
-                        machine.close()
-                        told += [(*now, *e) for e in machine.events]
-                    now, machine = row[:n], make()
-                machine.feed(*row[n:])
-                if machine.events:
-                    told += [(*now, *e) for e in machine.events]
-                    machine.events.clear()
-            yield pack(told, kinds)
-        if machine is not None:
-            machine.close()
-            yield pack([(*now, *e) for e in machine.events], kinds)
-
-    def pack(told: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in told], t) for i, t in enumerate([*kinds, *types])], names=fields)
-
-    return rows.mapInArrow(run, out)
-
-
 def detect_cuts(df: DataFrame, key: Sequence[str], c: CutConfig = CutConfig()) -> DataFrame:
     """df: key, frame, smoothed, d_long, d_short, d_left, motion, spread (see prepare). The events of each stream with `confidence`."""
     found = by_machine(df, key, ["frame", "smoothed", "d_long", "d_short", "d_left", "motion", "spread"], lambda: Cuts(c), CUTS)
@@ -205,15 +168,20 @@ def detect_cuts(df: DataFrame, key: Sequence[str], c: CutConfig = CutConfig()) -
     return found.withColumn("confidence", F.when(F.col("kind") == "cut", F.when(F.col("open"), "low").otherwise(sure)))
 
 
+def settled_cuts(found: DataFrame, key: Sequence[str], echo: int = 75, ratio: float = 0.6, close: int = 62, strong: float = 30.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """found: detect_cuts. The cuts (key, frame, strength, confidence): all, those that are no echoes, those left after close pairs."""
+    cuts = found.where("kind = 'cut'").select(*key, "frame", "strength", "confidence")
+    sounded = events.drop_echoes(cuts, key, "frame", "strength", echo, F.lit(ratio))
+    return cuts, sounded, refractory.merge_close(sounded, key, "frame", "strength", close, strong)
+
+
 def cut_result(found: DataFrame, rows: DataFrame, key: Sequence[str], echo: int = 75, ratio: float = 0.6, close: int = 62, strong: float = 30.0, fps: float = 25.0) -> DataFrame:
     """The summary of each stream of `rows` (key, frame): cuts left after echoes (`echo` frames) and close pairs (`close` frames), how many
     of either went, frames in breaks and outside, cuts per active minute, mean step between cuts in seconds (both 0 where undefined).
 
     found: detect_cuts. A break that doesn't end lasts to the last frame.
     """
-    cuts = found.where("kind = 'cut'").select(*key, "frame", "strength", "confidence")
-    sounded = events.drop_echoes(cuts, key, "frame", "strength", echo, F.lit(ratio))
-    merged = refractory.merge_close(sounded, key, "frame", "strength", close, strong)
+    cuts, sounded, merged = settled_cuts(found, key, echo, ratio, close, strong)
     marks = found.where(F.col("kind").isin("break_start", "break_end")).select(*key, "frame", F.expr("substr(kind, 7)").alias("kind"))
     ends = rows.groupBy(*key).agg((F.max("frame") + 1).alias("duration"))
     spent = events.break_time(events.pair_breaks(marks, key, "frame", "kind"), ends, key, "duration")
@@ -242,14 +210,20 @@ class ScaleConfig:
     blend: float = 0.005
     jump: float = 30.0
     calm: float = 5.0
+    #: Calibration: rows that pass before it, patches it gathers, how many of the calmest are averaged, and what stands in for none.
+    settle: int = 25
+    gather: int = 30
+    calmest: int = 3
+    neutral: float = 128.0
 
 
 class Scale:
     """A scale seen by a camera: difference to a reference patch, which adapts when idle and is taken anew on drift and after changes of
-    the light."""
+    the light. Without a reference it calibrates itself first, and again whenever its source reconnects."""
 
     def __init__(self, reference: np.ndarray | None, c: ScaleConfig):
         self.c, self.last = c, -1
+        self.skip, self.patches = c.settle, None if reference is not None else []
         self.reference = None if reference is None else np.array(reference, dtype=float)
         self.recent: deque[float] = deque(maxlen=c.smooth)
         self.state, self.warm, self.above, self.run, self.idle = "warmup", c.smooth, 0, 0, 0
@@ -267,6 +241,24 @@ class Scale:
         self.recent.clear()
         self.state, self.warm = "warmup", self.c.smooth
 
+    def reconnect(self, frame: int) -> None:
+        """The source came back: buffers and runs begin anew, and so does the reference. What is loaded since when, and the last cycle, stay."""
+        self.recent.clear()
+        self.state, self.warm, self.run = "warmup", self.c.smooth, 0
+        self.skip, self.patches = self.c.settle, []
+        self._tell("stream_reconnected", frame)
+
+    def _calibrate(self, patch: np.ndarray | None) -> None:
+        """Takes one row for the calibration; a row without a patch ends it, whatever there is by then."""
+        if patch is not None and self.skip:
+            self.skip -= 1
+            return
+        if patch is not None:
+            self.patches.append((float(patch.std()), len(self.patches), patch))
+        if patch is None or len(self.patches) == self.c.gather:
+            calm = [p for *_, p in sorted(self.patches, key=lambda x: x[:2])[: self.c.calmest]]
+            self.reference, self.patches = np.mean(calm, axis=0) if calm else np.full(1, self.c.neutral), None
+
     def light_is_steady(self, frame: int, brightness: float, patch: np.ndarray) -> bool:
         if self.light is not None:
             jump = abs(brightness - self.light)
@@ -289,7 +281,11 @@ class Scale:
             return True
         return False
 
-    def feed(self, frame: int, brightness: float, patch: np.ndarray) -> float:
+    def feed(self, frame: int, brightness: float, patch: np.ndarray | None) -> float | None:
+        if self.patches is not None:
+            return self._calibrate(patch)
+        if patch is None:
+            return None
         steady = self.light_is_steady(frame, brightness, patch)
         self.recent.append(float(np.abs(patch - self.reference).mean()))
         diff = sum(self.recent) / len(self.recent)
@@ -310,7 +306,7 @@ class Scale:
     def _empty(self, frame: int, diff: float, patch: np.ndarray) -> None:
         self.idle += 1
         if self.idle > self.c.idle_rows:
-            self.reference += self.c.blend * (patch - self.reference)
+            self.reference = self.reference + self.c.blend * (patch - self.reference)
         self.run = self.run + 1 if diff > self.c.on else 0
         if self.run >= self.c.hold:
             self.state, self.since, self.idle = "loaded", frame, 0
@@ -338,22 +334,28 @@ class Scale:
 SCALE_EVENTS = "kind string, frame long, duration long, reason string"
 
 
-class _Feed(Scale):
-    """A scale fed with plain rows; its reference comes with the first."""
+#: The kind of a control row: the source was lost and came back.
+RECONNECTED = "stream_reconnected"
+
 
-    def __init__(self, c: ScaleConfig):
-        super().__init__(None, c)
+class _Feed(Scale):
+    """A scale fed with plain rows."""
 
-    def feed(self, frame: int, brightness: float, patch: list[float], reference: list[float]) -> float:
-        if self.reference is None:
-            self.reference = np.array(reference, dtype=float)
+    def feed(self, frame: int, brightness: float, patch: list[float] | None, control: str | None = None) -> float | None:
         self.last = frame
-        return super().feed(frame, brightness, np.asarray(patch, dtype=float))
+        if control == RECONNECTED:
+            return self.reconnect(frame)
+        return super().feed(frame, brightness, None if patch is None else np.asarray(patch, dtype=float))
 
 
-def detect_scale(df: DataFrame, key: Sequence[str], c: ScaleConfig = ScaleConfig()) -> DataFrame:
-    """df: key, frame, brightness, patch (array), reference (array, the same in all rows of a key). The scale's events."""
-    return by_machine(df, key, ["frame", "brightness", "patch", "reference"], lambda: _Feed(c), SCALE_EVENTS)
+def detect_scale(df: DataFrame, key: Sequence[str], c: ScaleConfig = ScaleConfig(), reference: Sequence[float] | None = None, control: str | None = None) -> DataFrame:
+    """df: key, frame, brightness, patch (array). The scale's events.
+
+    reference: the patch to compare with at first; without one the scale calibrates on its own first rows. control: a column that is
+    RECONNECTED in control rows. Rows without a patch end a calibration and are passed over otherwise.
+    """
+    start = None if reference is None else np.array(reference, dtype=float)
+    return by_machine(df, key, ["frame", "brightness", "patch", *([control] if control else [])], lambda: _Feed(start, c), SCALE_EVENTS, ["frame"])
 
 
 def station_result(scale: DataFrame, tables: DataFrame, key: Sequence[str], low: int, high: int) -> DataFrame:

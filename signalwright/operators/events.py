@@ -2,45 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from signalwright.operators import refractory
+from signalwright.operators.machines import Outweighing
 from signalwright.operators.signals import ordered
 
 
-def _echo_source(df: DataFrame, key: Sequence[str], order: str, strength: str, within: int, ratio: Column, ties: Sequence[str]) -> DataFrame:
-    """df with `_source`: the latest earlier event (time and strength) at most `within` before that outweighs each, if any.
-
-    Of equal times, the one that `ties` puts first is earlier. Only the strongest event of a time can matter to later times, and an event's
-    window holds, sorted by time, all that may outweigh it; so it is one window by time and one within equal times.
-    """
-    t, p = F.col(order), F.col(strength)
-    before = Window.partitionBy(*key).orderBy(order).rangeBetween(-within, -1)
-    same = Window.partitionBy(*key, order).orderBy(*ties).rowsBetween(Window.unboundedPreceding, -1) if ties else None
-    event = F.struct(t.alias("at"), p.alias("strength"))
-    outweighs = lambda e: p < ratio * e["strength"]
-    latest = lambda found: F.array_max(F.filter(found, outweighs))
-    sources = latest(F.collect_list(event).over(before))
-    if same is not None:
-        sources = F.coalesce(latest(F.collect_list(event).over(same)), sources)
-    return df.withColumn("_source", sources)
+def _sources(df: DataFrame, key: Sequence[str], order: str, strength: str, within: int, ratio: Column, ties: Sequence[str], audit: bool) -> DataFrame:
+    """audit: the echoes, with the latest earlier event that outweighs each; else the rows that are none."""
+    rate = df.withColumn("_ratio", ratio.cast("double"))
+    n, own = len(df.columns), [df.schema[order], df.schema[strength]]
+    shape = df.schema
+    if audit:
+        for name, field in zip(("preceding", "preceding_strength"), own, strict=True):
+            shape = StructType([*shape.fields, StructField(name, field.dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, machine = None, None
+        for batch in batches:
+            found = []
+            names = (*key, order, strength, "_ratio")
+            for *at, t, p, r in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if machine is None or at != now:
+                    now, machine = at, Outweighing(within, bool(ties))
+                found.append(machine.meet(t, p, r))
+            if audit:
+                kinds = batch.schema.field(order).type, batch.schema.field(strength).type
+                sources = [pa.array([f and f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+                batch = pa.RecordBatch.from_arrays([*batch.columns[:n], *sources], names=shape.names)
+            else:
+                batch = batch.select(list(range(n)))
+            yield batch.filter(pa.array([(f is not None) == audit for f in found], pa.bool_()))
+
+    return refractory.in_order(rate, key, order, ties).mapInArrow(run, shape)
 
 
 def drop_echoes(df: DataFrame, key: Sequence[str], order: str, strength: str, within: int, ratio: Column, ties: Sequence[str] = ()) -> DataFrame:
     """Without events weaker than `ratio` of an earlier event at most `within` before; of equal times, the one that `ties` puts first is earlier
-    (without ties neither is). An event without a strength stays, and outweighs none."""
-    before = F.max(strength).over(Window.partitionBy(*key).orderBy(order).rangeBetween(-within, -1))
-    if ties:
-        before = F.greatest(before, F.max(strength).over(Window.partitionBy(*key, order).orderBy(*ties).rowsBetween(Window.unboundedPreceding, -1)))
-    return df.withColumn("_most", before).where(F.coalesce(F.col(strength) >= ratio * F.col("_most"), F.lit(True))).drop("_most")
+    (without ties neither is). An event without a time or a strength stays, and outweighs none. One pass, linear however dense the events."""
+    return _sources(df, key, order, strength, within, ratio, ties, False)
 
 
 def echo_audit(df: DataFrame, key: Sequence[str], order: str, strength: str, within: int, ratio: Column, ties: Sequence[str] = ()) -> DataFrame:
-    """The dropped events, each row of them, with the nearest one before that outweighs each: `preceding`, `preceding_strength`."""
-    found = _echo_source(df, key, order, strength, within, ratio, ties).where(F.col("_source").isNotNull())
-    return found.select(*df.columns, F.col("_source.at").alias("preceding"), F.col("_source.strength").alias("preceding_strength"))
+    """The dropped events, each row of them, with the latest one before that outweighs each (of one time, the strongest): `preceding`,
+    `preceding_strength`."""
+    return _sources(df, key, order, strength, within, ratio, ties, True)
 
 
 def flag_close(df: DataFrame, key: Sequence[str], order: str, strength: str, within: int, strong: float, out: str) -> DataFrame:
@@ -72,19 +84,18 @@ def break_time(breaks: DataFrame, ends: DataFrame, key: Sequence[str], open_end:
 def _bounds(left: DataFrame, right: DataFrame, key: Sequence[str], lt: str, rt: str, low: int, high: int) -> DataFrame:
     """left with `_before` and `_after`: the latest right time up to a place in its range, and the earliest one after it.
 
-    Both sides are one sorted stream, so it takes one sort of each key and no pairs: a left row stands at the place of its range that is
-    nearest to it. A null key is a key as any other.
+    Both sides are one stream, sorted to and fro within each key, so there are no pairs and the time is linear: a left row stands at the place
+    of its range that is nearest to it. A null key is a key as any other.
     """
     middle = 0 if low <= 0 <= high else low if low > 0 else high
     rest = [c for c in left.columns if c not in key]
     one = left.select(*key, (F.col(lt) + middle).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(dict(right.dtypes)[rt]).alias("_time"), F.struct(*rest).alias("_row"))
     two = right.select(*key, F.col(rt).alias("_at"), F.lit(0).alias("_side"), F.col(rt).alias("_time"), F.lit(None).cast(one.schema["_row"].dataType).alias("_row")).where("_time IS NOT NULL")
-    # right rows come before left ones of the same place: they count as on or after it through the range below
-    order = Window.partitionBy(*key).orderBy("_at", "_side")
-    both = one.unionByName(two)
-    earlier = F.last("_time", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    later = F.first("_time", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    return both.withColumn("_before", earlier).withColumn("_after", later).where("_side = 1").select(*key, "_row.*", "_before", "_after")
+    # right rows come before left ones of the same place; the second window is the first one turned round, as a running frame looks back only
+    here, back = ([F.asc("_at"), F.asc("_side")], [F.desc("_at"), F.desc("_side")])
+    last = lambda order: F.last("_time", ignorenulls=True).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = one.unionByName(two).withColumn("_before", last(here)).withColumn("_after", last(back))
+    return both.where("_side = 1").select(*key, "_row.*", "_before", "_after")
 
 
 def _partner(left: DataFrame, right: DataFrame, key: Sequence[str], lt: str, rt: str, low: int, high: int) -> DataFrame:
@@ -123,7 +134,5 @@ def stitch(segments: DataFrame, events: DataFrame, day: Sequence[str], segment:
 
 def edge_with_cooldown(df: DataFrame, key: Sequence[str], order: str, value: str, threshold: float, cooldown: int) -> DataFrame:
     """Rows that cross the threshold upwards (the row before was below it), at least `cooldown` after the last that counted."""
-    from signalwright.operators.refractory import keep_spaced
-
     before = F.lag(value).over(ordered(key, [order]))
-    return keep_spaced(df.withColumn("_before", before).where((F.col(value) > threshold) & (F.coalesce("_before", F.lit(0)) < threshold)).drop("_before"), key, order, cooldown)
+    return refractory.keep_spaced(df.withColumn("_before", before).where((F.col(value) > threshold) & (F.coalesce("_before", F.lit(0)) < threshold)).drop("_before"), key, order, cooldown)

@@ -1,8 +1,7 @@
-"""Rules that look at the last kept event: minimum gap, close-pair merge, greedy matching.
+"""Rules that look at the events kept or used before: minimum gap, close-pair merge, greedy matching.
 
-Whether an event is kept depends on which were kept before. For the first two, Spark brings the rows of a key together and sorts them
-(spilling where it must), and a task passes them by in Arrow batches, with the last kept row as its only state: linear, and in constant
-memory for a stream of any length. Greedy matching is a fold over islands of events that can't affect each other.
+Spark brings the rows of a key together and sorts them (spilling where it must), and a task passes them by in Arrow batches, with the last
+kept row (for matching: the detections about the current label) as its only state: linear, for a stream of any length.
 """
 
 from __future__ import annotations
@@ -10,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalwright.operators.runs import gap_islands
+from signalwright.operators.machines import Matcher, by_machine
 
 
-def _in_order(df: DataFrame, key: Sequence[str], order: str, ties: Sequence[str]) -> DataFrame:
+def in_order(df: DataFrame, key: Sequence[str], order: str, ties: Sequence[str]) -> DataFrame:
     first = [*key, order, *ties]
     return df.repartition(*key).sortWithinPartitions(*first, *(c for c in df.columns if c not in first))
 
@@ -41,7 +40,7 @@ def keep_spaced(df: DataFrame, key: Sequence[str], order: str, gap: int, ties: S
                 kept.append(keep)
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return _in_order(df, key, order, ties).mapInArrow(run, df.schema)
+    return in_order(df, key, order, ties).mapInArrow(run, df.schema)
 
 
 def merge_close(df: DataFrame, key: Sequence[str], order: str, strength: str, within: int, strong: float, ties: Sequence[str] = ()) -> DataFrame:
@@ -68,29 +67,15 @@ def merge_close(df: DataFrame, key: Sequence[str], order: str, strength: str, wi
         if held is not None:
             yield held
 
-    return _in_order(df, key, order, ties).mapInArrow(run, df.schema)
+    return in_order(df, key, order, ties).mapInArrow(run, df.schema)
 
 
 def greedy_match(labels: DataFrame, found: DataFrame, key: Sequence[str], order: str, within: int) -> DataFrame:
     """key, label, detection (null: missed): labels in order, each takes the nearest detection that is left, if at most `within` away; of
-    two as near, the earlier."""
-    both = labels.select(*key, order, F.lit(0).alias("_kind")).unionByName(found.select(*key, order, F.lit(1).alias("_kind")))
-    cut = gap_islands(both, key, order, F.col("_gap") > within, "_island", ["_kind"])
-    sides = cut.groupBy(*key, "_island").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_kind") == 0, F.col(order)))).alias("labels"),
-        F.array_sort(F.collect_list(F.when(F.col("_kind") == 1, F.col(order)))).alias("rest"),
-    )
+    two as near, the earlier. A row without a time takes no part. One pass; what is held is the detections about the current label."""
+    both = labels.select(*key, order, F.lit(0).cast("long").alias("_kind")).unionByName(found.select(*key, order, F.lit(1).cast("long").alias("_kind")))
     kind = dict(labels.dtypes)[order]
-
-    def step(acc: Column, x: Column) -> Column:
-        near = F.filter(acc["rest"], lambda d: F.abs(d - x) <= within)
-        best = F.array_min(F.transform(near, lambda d: F.struct(F.abs(d - x).alias("far"), d.alias("at"))))["at"]
-        at = F.array_position(acc["rest"], best)
-        left = F.filter(acc["rest"], lambda _, i: F.coalesce(i != at - 1, F.lit(True)))
-        return F.struct(left.alias("rest"), F.concat(acc["out"], F.array(F.struct(x.alias("label"), best.alias("detection")))).alias("out"))
-
-    start = F.struct(F.col("rest"), F.expr(f"cast(array() as array<struct<label:{kind},detection:{kind}>>)").alias("out"))
-    return sides.select(*key, F.inline(F.aggregate("labels", start, step)["out"]))
+    return by_machine(both, key, [order, "_kind"], lambda: Matcher(within), f"label {kind}, detection {kind}")
 
 
 def extras(labels: DataFrame, found: DataFrame, key: Sequence[str], order: str, within: int) -> DataFrame:

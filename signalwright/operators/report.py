@@ -38,11 +38,11 @@ def hour_table(df: DataFrame, key: Sequence[str], at: str, duration: str, size:
 
 
 def window_rates(df: DataFrame, key: Sequence[str], at: str, start: int, stop: int, size: int, per: int) -> DataFrame:
-    """key, from, n, rate: events of start <= at < stop in windows of `size` from `start` on, per `per` units; windows without events too."""
-    windows = df.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(start).cast("long"), F.lit(stop - 1).cast("long"), F.lit(size).cast("long"))).alias("from"))
-    own = df.where((F.col(at) >= start) & (F.col(at) < stop)).groupBy(*key, (F.floor((F.col(at) - start) / size) * size + start).cast("long").alias("from")).agg(F.count("*").alias("n"))
-    width = F.least(F.lit(size), F.lit(stop) - F.col("from"))
-    return windows.join(own, [*key, "from"], "left").select(*key, "from", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) * per / width).alias("rate"))
+    """key, from, n, rate: events in windows of `size` that begin at `start`, `start` + `size`, ... before `stop`, per `per` units of the whole
+    size, the last window too, which may reach beyond `stop`. Only windows with events."""
+    last = start + -(-(stop - start) // size) * size
+    own = df.where((F.col(at) >= start) & (F.col(at) < last)).groupBy(*key, (F.floor((F.col(at) - start) / size) * size + start).cast("long").alias("from")).agg(F.count("*").alias("n"))
+    return own.select(*key, "from", "n", (F.col("n") * per / F.lit(size)).alias("rate"))
 
 
 def ratio(a: Column, b: Column, none=None) -> Column:
@@ -50,9 +50,14 @@ def ratio(a: Column, b: Column, none=None) -> Column:
 
 
 def peak_rate(df: DataFrame, key: Sequence[str], order: str, width: int) -> DataFrame:
-    """The most events in [t, t + width] that begins at an event."""
-    ahead = Window.partitionBy(*key).orderBy(order).rangeBetween(0, width)
-    return df.withColumn("_n", F.count("*").over(ahead)).groupBy(*key).agg(F.max("_n").alias("peak"))
+    """The most events in [t, t + width] that begins at an event: those up to its end less those before its start, from running counts over
+    events and ends in one order. An event without a time counts for none."""
+    own = ordered(key, [order])
+    starts = df.where(F.col(order).isNotNull()).select(*key, F.col(order)).withColumn("_before", F.rank().over(own) - 1)
+    ends = starts.select(*key, (F.col(order) + width).alias("_at"), "_before")
+    both = starts.select(*key, F.col(order).alias("_at"), F.lit(None).cast("int").alias("_before")).unionByName(ends)
+    running = ordered(key, ["_at", "_before"]).rowsBetween(Window.unboundedPreceding, 0)  # events (null) come before ends of the same time
+    return both.withColumn("_n", F.count_if(F.col("_before").isNull()).over(running) - F.col("_before")).groupBy(*key).agg(F.max("_n").alias("peak"))
 
 
 def idle_gaps(df: DataFrame, key: Sequence[str], order: str, longer: int) -> DataFrame:
@@ -87,12 +92,10 @@ def separation(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
 
 def sweep(df: DataFrame, cuts: Sequence[float], value: str, positive: Column) -> DataFrame:
     """For each cut-off: positives at or above it, and others below."""
-    over = F.col(value) >= F.col("cut")
-    table = df.sparkSession.createDataFrame([(float(c),) for c in cuts], "cut double")
-    # the cuts are a short literal list: a row is compared with each of them
-    listed = df.withColumn("cut", F.explode(F.array(*(F.lit(float(c)) for c in cuts))))
-    counted = listed.groupBy("cut").agg(F.count_if(over & positive).alias("hits"), F.count_if(~over & ~positive).alias("rejections"))
-    return table.join(counted, "cut", "left").select("cut", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("hits", "rejections")))
+    over = [F.col(value) >= float(c) for c in cuts]
+    # two sums a cut-off in one pass, which then become rows
+    counted = df.agg(*(F.count_if(o & positive).alias(f"h{i}") for i, o in enumerate(over)), *(F.count_if(~o & ~positive).alias(f"r{i}") for i, o in enumerate(over)))
+    return counted.select(F.inline(F.array(*(F.struct(F.lit(float(c)).alias("cut"), F.col(f"h{i}").alias("hits"), F.col(f"r{i}").alias("rejections")) for i, c in enumerate(cuts)))))
 
 
 def with_default(df: DataFrame, config: DataFrame, key: str, default: str) -> DataFrame:

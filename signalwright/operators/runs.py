@@ -13,12 +13,10 @@ from signalwright.operators.signals import ordered
 def run_length(df: DataFrame, key: Sequence[str], order: Sequence[str], holds: Column, out: str) -> DataFrame:
     """How many rows in a row, up to this one, the condition holds."""
     holds = F.coalesce(holds, F.lit(False))
-    total = ordered(key, order).rowsBetween(Window.unboundedPreceding, 0)
-    since = f"_{out}_breaks"
-    rows = df.withColumn(since, F.sum(F.when(holds, 0).otherwise(1)).over(total))
-    first = F.min(F.when(holds, F.col(f"_{out}_n"))).over(Window.partitionBy(*key, since))
-    rows = rows.withColumn(f"_{out}_n", F.row_number().over(ordered(key, order)))
-    return rows.withColumn(out, F.when(holds, F.col(f"_{out}_n") - first + 1).otherwise(0).cast("long")).drop(since, f"_{out}_n")
+    w = ordered(key, order)
+    rows = df.withColumn(f"_{out}_n", F.row_number().over(w))
+    broken = F.max(F.when(~holds, F.col(f"_{out}_n"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(out, (F.col(f"_{out}_n") - F.coalesce(broken, F.lit(0))).cast("long")).drop(f"_{out}_n")
 
 
 def latch(df: DataFrame, key: Sequence[str], order: Sequence[str], turns_on: Column, turns_off: Column, out: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalwright.functions import labels
-from signalwright.operators import arrays, detectors, events, refractory, report, runs, signals
+from signalwright.operators import arrays, detectors, events, fullday, refractory, report, runs, signals
 from signalwright.sources import readers
 from signalwright.streaming import stream
 
@@ -107,10 +107,11 @@ cyc AS (SELECT k, c, min(f) FILTER (WHERE d > 0) AS first, min(f) FILTER (WHERE
 
 
 def _cycles(spark, sf):
+    """Each stretch of the latch and the row that ends it, which is the first of the stretch after it."""
     x = runs.islands(_latched(spark, sf), K, FT, "state", "island")
-    own = x.where("state = 1").groupBy("k", "island").agg(F.min("f").alias("first"), F.max("v").alias("peak"))
-    ends = x.where("state = 0").groupBy("k", (F.col("island") - 1).alias("island")).agg(F.min("f").alias("stop"), F.min("t").alias("t"))
-    return own.join(ends, ["k", "island"], "left")
+    each = x.groupBy("k", "island").agg(F.max("state").alias("state"), F.min("f").alias("first"), F.max("v").alias("peak"), F.min("t").alias("began"))
+    w = Window.partitionBy("k").orderBy("island")
+    return each.withColumn("stop", F.lead("first").over(w)).withColumn("t", F.lead("began").over(w)).where("state = 1").drop("state", "began")
 
 
 @query(_latch_sql(1, _CYCLES + " SELECT k, first, stop, peak, stop - first AS duration FROM cyc"))
@@ -192,12 +193,15 @@ def confidence_score(spark, sf):
 _W = 24 * HOUR
 
 
-@query(f"SELECT k, f, v FROM (SELECT *, max(v) OVER (PARTITION BY k ORDER BY t RANGE BETWEEN {_W} PRECEDING AND CURRENT ROW) AS m FROM s) WHERE v * 10 >= 6 * m")
+_EARLIER = f"a.k = b.k AND (b.t < a.t OR b.t = a.t AND b.f < a.f) AND a.t - b.t <= {_W} AND a.v * 10 < 6 * b.v"
+
+
+@query(f"SELECT k, f, v FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE {_EARLIER})")
 def echo_suppress(spark, sf):
     return events.drop_echoes(s(spark, sf), K, "t", "v", _W, F.lit(0.6), FT).select("k", "f", "v")
 
 
-@query(f"SELECT a.k, a.f, max_by(b.t, b.t) AS preceding, max_by(b.v, b.t) AS preceding_strength FROM s a JOIN s b ON a.k = b.k AND b.t < a.t AND a.t - b.t <= {_W} AND a.v * 10 < 6 * b.v GROUP BY a.k, a.f")
+@query(f"SELECT a.k, a.f, max(b.t) AS preceding, max_by(b.v, (b.t, b.v)) AS preceding_strength FROM s a JOIN s b ON {_EARLIER} GROUP BY a.k, a.f")
 def echo_audit(spark, sf):
     return events.echo_audit(s(spark, sf), K, "t", "v", _W, F.lit(0.6), FT).select("k", "f", "preceding", "preceding_strength")
 
@@ -383,10 +387,10 @@ def hourly_table(spark, sf):
     return rows.withColumn("reject_share", report.ratio(F.col("rejected") * 100, F.col("accepted") + F.col("rejected")))
 
 
-@query(f"""{_SINCE}, g AS (SELECT k, unnest(range(900, 8000, 600)) AS "from" FROM (SELECT DISTINCT k FROM u)), n AS (SELECT k, (pos - 900) // 600 * 600 + 900 AS "from", count(*) AS n FROM u WHERE pos >= 900 AND pos < 8000 GROUP BY 1, 2)
-SELECT g.k, g."from", coalesce(n, 0) AS n, coalesce(n, 0) * 60 / least(600, 8000 - g."from")::DOUBLE AS rate FROM g LEFT JOIN n ON n.k = g.k AND n."from" = g."from" """)
+@query(f"""{_SINCE}, w AS (SELECT unnest(range(900, 8000, 600)) AS "from")
+SELECT k, "from", count(*) AS n, count(*) * 60 / 600::DOUBLE AS rate FROM u JOIN w ON pos >= "from" AND pos < "from" + 600 GROUP BY 1, 2""")
 def fixed_window_rates(spark, sf):
-    """Windows from a start offset to an end; the last one is shorter."""
+    """Windows from a start offset on, those with events, at their full size."""
     return report.window_rates(_since(spark, sf), K, "at", 900, 8000, 600, 60)
 
 
@@ -713,17 +717,18 @@ def interval_join_stream(spark, sf):
 
 # Levels are hundredths over powers of two, so that sums are exact in any order.
 _PRECISE = detectors.CutConfig(long_width=5, short_width=3, min_gap=5, break_level=94.0, break_hold=3, break_exit=2)
-_RECALL = detectors.CutConfig(long_width=5, short_width=3, short_least=8.0, min_gap=5, break_level=94.0, break_offset=50.0, baseline_least=10, break_hold=4, break_exit=3, second_region=True)
+# The baseline forgets after 25 rows, and a stream has up to 86.
+_RECALL = detectors.CutConfig(long_width=5, short_width=3, short_least=8.0, min_gap=5, break_level=94.0, break_offset=50.0, baseline_rows=25, baseline_least=10, break_hold=4, break_exit=3, second_region=True)
 _SPIKE = "STRUCT(frame BIGINT, strength DOUBLE, level DOUBLE, motion DOUBLE, \"left\" DOUBLE, spread DOUBLE, region VARCHAR, duration BIGINT)"
 
 
 def _cut_sql(c: detectors.CutConfig, tail: str) -> str:
     """The detector as a state machine that steps through the rows; `found` holds its events."""
-    fresh = "{'frame': f, 'strength': peak2, 'level': x, 'motion': motion, 'left': da, 'spread': 80::DOUBLE, 'region': reg, 'duration': 0::BIGINT}"
-    grown = """{'frame': sp.frame, 'strength': greatest(sp.strength, q), 'level': greatest(sp.level, x), 'motion': greatest(sp.motion, motion), 'left': greatest(sp."left", da), 'spread': sp.spread,
+    fresh = "{'frame': f, 'strength': peak2, 'level': x, 'motion': motion, 'left': da, 'spread': spread, 'region': reg, 'duration': 0::BIGINT}"
+    grown = """{'frame': sp.frame, 'strength': greatest(sp.strength, q), 'level': greatest(sp.level, x), 'motion': greatest(sp.motion, motion), 'left': greatest(sp."left", da), 'spread': CASE WHEN q > sp.strength THEN spread ELSE sp.spread END,
       'region': CASE WHEN q > sp.strength AND reg <> sp.region THEN 'both' ELSE sp.region END, 'duration': sp.duration + 1}"""
-    return f"""c0 AS (SELECT k, f, sum(v) OVER w / 128::DOUBLE / count(*) OVER w AS x, sum(v) OVER w / 256::DOUBLE / count(*) OVER w AS y, (v % 1000) / 100::DOUBLE AS motion FROM s WINDOW w AS (PARTITION BY k ORDER BY f ROWS {c.smooth - 1} PRECEDING)),
-c1 AS (SELECT k, f, x, motion, CASE WHEN f >= {c.long_width - 1} THEN x - lag(x, {c.long_width - 1}) OVER w ELSE 0 END AS dl, CASE WHEN f >= {c.short_width - 1} THEN x - lag(x, {c.short_width - 1}) OVER w ELSE 0 END AS ds,
+    return f"""c0 AS (SELECT k, f, sum(v) OVER w / 128::DOUBLE / count(*) OVER w AS x, sum(v * 7919 % 24000) OVER w / 128::DOUBLE / count(*) OVER w AS y, (v % 1000) / 100::DOUBLE AS motion, (v * 31 % 121 + 30)::DOUBLE AS spread FROM s WINDOW w AS (PARTITION BY k ORDER BY f ROWS {c.smooth - 1} PRECEDING)),
+c1 AS (SELECT k, f, x, motion, spread, CASE WHEN f >= {c.long_width - 1} THEN x - lag(x, {c.long_width - 1}) OVER w ELSE 0 END AS dl, CASE WHEN f >= {c.short_width - 1} THEN x - lag(x, {c.short_width - 1}) OVER w ELSE 0 END AS ds,
   CASE WHEN f >= {c.short_width - 1} THEN y - lag(y, {c.short_width - 1}) OVER w ELSE 0 END AS da FROM c0 WINDOW w AS (PARTITION BY k ORDER BY f)),
 c2 AS (SELECT *, dl >= {c.long_least} OR ds >= {c.short_least} AS tab, {c.second_region} AND da >= {c.short_least} AS aside FROM c1),
 c3 AS (SELECT *, greatest(dl, ds, CASE WHEN aside THEN da ELSE ds END) AS q, CASE WHEN tab AND aside THEN 'both' WHEN tab THEN 'table' WHEN aside THEN 'left' END AS reg FROM c2),
@@ -752,8 +757,13 @@ found AS (SELECT k, kind, frame, strength, level, motion, "left", spread, region
 
 
 def _cut_rows(spark, sf, c):
-    x = s(spark, sf).select("k", F.col("f").alias("frame"), (F.col("v") / 128).alias("level"), (F.col("v") / 256).alias("left"), (F.col("v") % 1000 / 100).alias("motion"), F.lit(80.0).alias("spread"))
-    return detectors.prepare(x, K, "frame", "level", "left", c)
+    """The left region and the spread have bits of their own."""
+    return detectors.prepare(_cut_signals(s(spark, sf), K), K, "frame", "level", "left", c)
+
+
+def _cut_signals(x, key):
+    v = F.col("v")
+    return x.select(*key, F.col("f").alias("frame"), (v / 128).alias("level"), (v * 7919 % 24000 / 128).alias("left"), (v % 1000 / 100).alias("motion"), (v * 31 % 121 + 30).cast("double").alias("spread"))
 
 
 @query(_cut_sql(_PRECISE, " SELECT * FROM found"))
@@ -766,13 +776,16 @@ def cut_detector_recall(spark, sf):
     return detectors.detect_cuts(_cut_rows(spark, sf, _RECALL), K, _RECALL)
 
 
-@query(_cut_sql(_RECALL, """,
+_KEPT = """,
 raw AS (SELECT k, frame, strength, confidence FROM found WHERE kind = 'cut'),
 heard AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY frame) AS i FROM (SELECT *, max(strength) OVER (PARTITION BY k ORDER BY frame RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING) AS m FROM raw) WHERE coalesce(strength >= 0.6::DOUBLE * m, true)),
 mg AS (SELECT k, i, i AS ki, NULL::BIGINT AS done FROM heard WHERE i = 1
   UNION ALL SELECT k, i, CASE WHEN c AND strength <= kept THEN ki ELSE i END, CASE WHEN c THEN NULL ELSE ki END
   FROM (SELECT n.k, n.i, p.ki, n.strength, o.strength AS kept, n.frame - o.frame <= 9 AND greatest(n.strength, o.strength) > 30 AS c FROM mg p JOIN heard n ON n.k = p.k AND n.i = p.i + 1 JOIN heard o ON o.k = p.k AND o.i = p.ki)),
-kept AS (SELECT h.* FROM (SELECT k, done AS i FROM mg WHERE done IS NOT NULL UNION ALL SELECT k, max_by(ki, i) FROM mg GROUP BY k) x JOIN heard h USING (k, i)),
+kept AS (SELECT h.* FROM (SELECT k, done AS i FROM mg WHERE done IS NOT NULL UNION ALL SELECT k, max_by(ki, i) FROM mg GROUP BY k) x JOIN heard h USING (k, i))"""
+
+
+@query(_cut_sql(_RECALL, _KEPT + """,
 marks AS (SELECT k, frame, kind, lead(kind) OVER w AS nk, lead(frame) OVER w AS nf FROM found WHERE kind LIKE 'break%' WINDOW w AS (PARTITION BY k ORDER BY frame)),
 ends AS (SELECT k, max(f) + 1 AS duration FROM s GROUP BY k),
 brk AS (SELECT k, sum(CASE WHEN nk = 'break_end' THEN nf ELSE duration END - frame)::BIGINT AS b FROM marks JOIN ends USING (k) WHERE kind = 'break_start' GROUP BY k),
@@ -787,40 +800,113 @@ def cut_result(spark, sf):
     return detectors.cut_result(detectors.detect_cuts(rows, K, _RECALL), rows, K, echo=12, close=9)
 
 
-_SCALE = detectors.ScaleConfig(smooth=3, hold=2, min_on=2, min_gap=4, max_loaded=12)
+_DAY_FPS, _SEGMENT = 25.0, 20
+
+
+def _day_sql(c: detectors.CutConfig) -> str:
+    """The detector over segments of a stream as streams of their own; `offs` puts them on the day."""
+    return f"""--plain
+WITH RECURSIVE {BASE.replace("s AS (", "s0 AS (", 1)}, s AS (SELECT k * 1000 + f // {_SEGMENT} AS k, f % {_SEGMENT} AS f, t, v, e FROM s0), """ + _cut_sql(c, _KEPT + f""",
+seg AS (SELECT k // 1000 AS day, k AS part, max(f) + 1 AS frames FROM s GROUP BY k), offs AS (SELECT *, coalesce(sum(frames) OVER (PARTITION BY day ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM seg),
+cuts AS (SELECT day, frame + o AS frame, (frame + o) / {_DAY_FPS}::DOUBLE AS time_sec, confidence FROM kept JOIN offs ON part = k),
+marks AS (SELECT day, frame + o AS frame, kind, row_number() OVER w - 1 AS i, lead(frame + o) OVER w AS nf, lead(kind) OVER w AS nk FROM found JOIN offs ON part = k WHERE kind LIKE 'break%' WINDOW w AS (PARTITION BY day ORDER BY frame + o, kind DESC)),
+brk AS (SELECT day, sum(nf - frame)::BIGINT AS b FROM marks WHERE i % 2 = 0 AND kind = 'break_start' AND nk = 'break_end' GROUP BY day),
+n AS (SELECT day, count(*) AS n, count(*) FILTER (WHERE time_sec <= 1.2) AS first_cuts, count(*) FILTER (WHERE confidence = 'high') AS high, count(*) FILTER (WHERE confidence = 'medium') AS medium, count(*) FILTER (WHERE confidence = 'low') AS low,
+  CASE WHEN count(*) > 1 THEN (max(frame) - min(frame)) / (count(*) - 1)::DOUBLE / {_DAY_FPS}::DOUBLE END AS step FROM cuts GROUP BY day),
+tot AS (SELECT day, count(*) AS segments, sum(frames)::BIGINT AS frames FROM seg GROUP BY day)
+SELECT tot.day AS k, segments, frames, coalesce(n.n, 0) AS cuts, coalesce(first_cuts, 0) AS first_cuts, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(b, 0) AS break_time, frames - coalesce(b, 0) AS active_time,
+  CASE WHEN frames - coalesce(b, 0) > 0 THEN coalesce(n.n, 0) / ((frames - coalesce(b, 0)) / {_DAY_FPS}::DOUBLE) * 60 ELSE 0 END AS rate, coalesce(step, 0) AS mean_cycle
+FROM tot LEFT JOIN n USING (day) LEFT JOIN brk USING (day)""")
+
+
+def _day(spark, sf, c):
+    """Cuts, break marks and segments of each stream's day, all on the day's scale."""
+    own = ["k", "segment"]
+    x = s(spark, sf).withColumn("segment", F.expr(f"f div {_SEGMENT}")).withColumn("f", F.col("f") % _SEGMENT)
+    rows = detectors.prepare(_cut_signals(x, own), own, "frame", "level", "left", c)
+    found = detectors.detect_cuts(rows, own, c)
+    cuts = detectors.settled_cuts(found, own, echo=12, close=9)[2]
+    marks = found.where(F.col("kind").isin("break_start", "break_end")).select(*own, "frame", F.expr("substr(kind, 7)").alias("kind"))
+    parts = fullday.segments(rows, cuts, K, "segment", _DAY_FPS)
+    return *(fullday.on_the_day(y, parts, K, "segment", _DAY_FPS) for y in (cuts, marks)), parts
+
+
+def _day_result(spark, sf, c):
+    cuts, marks, parts = _day(spark, sf, c)
+    return fullday.summary(cuts, marks, parts, K, _DAY_FPS, first=1.2)
+
+
+_DAY_V5 = detectors.CutConfig(long_width=5, short_width=3, min_gap=5, break_level=70.0, break_hold=2, break_exit=2)
 
 
-def _scale_sql(c: detectors.ScaleConfig, tail: str) -> str:
-    """The scale as a state machine that steps through the rows; `sfound` holds its events."""
+@query(_day_sql(_DAY_V5))
+def full_day_v5(spark, sf):
+    """A stream's day of segments of 20 frames: a detector for each, one summary."""
+    return _day_result(spark, sf, _DAY_V5)
+
+
+@query(_day_sql(_RECALL))
+def full_day_v6(spark, sf):
+    return _day_result(spark, sf, _RECALL)
+
+
+@query(f"""x AS (SELECT k, f // {_SEGMENT} AS segment, f AS day_frame, f % {_SEGMENT} AS frame, row_number() OVER (PARTITION BY k ORDER BY f) - 1 AS r FROM s WHERE f % {_SEGMENT} % 3 = 0)
+SELECT k, segment, day_frame AS frame, day_frame / 25::DOUBLE AS time_sec FROM x WHERE r % 4 = 0""")
+def full_day_samples(spark, sf):
+    """Every third frame of each segment, and every fourth of all those of the day."""
+    x = s(spark, sf).select("k", F.expr(f"f div {_SEGMENT}").alias("segment"), (F.col("f") % _SEGMENT).alias("frame"))
+    parts = fullday.segments(x, x.limit(0), K, "segment", _DAY_FPS)
+    return fullday.on_the_day(fullday.sampled(x, K, "segment", 3, 4), parts, K, "segment", _DAY_FPS)
+
+
+# The reference adapts after 10 idle rows, and cycles may come too close.
+_SCALE = detectors.ScaleConfig(smooth=3, hold=2, min_on=2, min_gap=8, max_loaded=12, idle_rows=10)
+
+
+def _scale_sql(c: detectors.ScaleConfig, tail: str, control: str = "") -> str:
+    """The scale as a state machine that steps through the rows; `sfound` holds its events. control: what holds in control rows; with it, the
+    scale calibrates itself at first and after each of them."""
     event = "STRUCT(kind VARCHAR, frame BIGINT, duration BIGINT, reason VARCHAR)"
     tell = lambda when, kind, duration="NULL", reason="NULL": f"CASE WHEN {when} THEN [{{'kind': '{kind}', 'frame': f, 'duration': {duration}, 'reason': {reason}}}::{event}] ELSE []::{event}[] END"
+    patches = "STRUCT(spread DOUBLE, i BIGINT, p0 DOUBLE, p1 DOUBLE)[]"
+    best = lambda p: f"list_sum(list_transform(list_sort(gathered2)[:{c.calmest}], lambda z: z.{p})) / {c.calmest}"
+    either = lambda normal, eaten, back: f"CASE WHEN ctl THEN {back} WHEN eaten THEN {eaten} ELSE {normal} END"
     return f"""sm AS (
-  SELECT k, -1::BIGINT AS f, 'warmup' AS state, {c.smooth} AS warm, 0 AS above, 0 AS run, 0 AS idle, 0::BIGINT AS since, {-c.min_gap * 1000}::BIGINT AS counted, NULL::DOUBLE AS light, true AS lit, 0::DOUBLE AS r0, 0::DOUBLE AS r1, []::DOUBLE[] AS recent, []::{event}[] AS evs FROM s WHERE f = 0
+  SELECT k, -1::BIGINT AS f, {c.settle} AS skip, []::{patches} AS gathered, {bool(control)} AS gathering, 'warmup' AS state, {c.smooth} AS warm, 0 AS above, 0 AS run, 0 AS idle, 0::BIGINT AS since, {-c.min_gap * 1000}::BIGINT AS counted, NULL::DOUBLE AS light, true AS lit, 0::DOUBLE AS r0, 0::DOUBLE AS r1, []::DOUBLE[] AS recent, []::{event}[] AS evs FROM s WHERE f = 0
   UNION ALL
-  SELECT k, f, CASE WHEN (woke AND diff > {c.on}) OR rises THEN 'loaded' WHEN woke OR fell THEN 'empty' WHEN drifted THEN 'warmup' ELSE st END,
-    CASE WHEN drifted THEN {c.smooth} ELSE warm2 END, CASE WHEN drifted THEN 0 ELSE above2 END, CASE WHEN drifted OR fell THEN 0 ELSE run2 END,
-    CASE WHEN rises OR (steady AND st = 'loaded') THEN 0 ELSE idle2 END, CASE WHEN woke AND diff > {c.on} THEN greatest(0, f - above2) WHEN rises THEN f ELSE since END, CASE WHEN counts THEN f ELSE counted END, light2, lit2,
-    CASE WHEN drifted THEN p0 WHEN steady AND st = 'empty' AND idle2 > {c.idle_rows} THEN r0 + {c.blend}::DOUBLE * (p0 - r0) ELSE r0 END, CASE WHEN drifted THEN p1 WHEN steady AND st = 'empty' AND idle2 > {c.idle_rows} THEN r1 + {c.blend}::DOUBLE * (p1 - r1) ELSE r1 END,
-    CASE WHEN drifted THEN []::DOUBLE[] ELSE recent2 END,
-    {tell("big AND lit", "lighting_change")} || {tell("back", "lighting_restored")} || {tell(f"woke AND diff > {c.on}", "scale_initial_loaded", "above2")} || {tell("rises", "scale_loaded")}
+  SELECT k, f, {either("skip", "greatest(skip - 1, 0)", c.settle)}, {either("gathered", f"CASE WHEN done THEN []::{patches} ELSE gathered2 END", f"[]::{patches}")}, {either("gathering", "NOT done", "true")},
+    {either(f"CASE WHEN (woke AND diff > {c.on}) OR rises THEN 'loaded' WHEN woke OR fell THEN 'empty' WHEN drifted THEN 'warmup' ELSE st END", "state", "'warmup'")},
+    {either(f"CASE WHEN drifted THEN {c.smooth} ELSE warm2 END", "warm", c.smooth)}, {either("CASE WHEN drifted THEN 0 ELSE above2 END", "above", "above")}, {either("CASE WHEN drifted OR fell THEN 0 ELSE run2 END", "run", "0")},
+    {either("CASE WHEN rises OR (steady AND st = 'loaded') THEN 0 ELSE idle2 END", "idle", "idle")}, {either(f"CASE WHEN woke AND diff > {c.on} THEN greatest(0, f - above2) WHEN rises THEN f ELSE since END", "since", "since")}, {either("CASE WHEN counts THEN f ELSE counted END", "counted", "counted")},
+    {either("light2", "light", "light")}, {either("lit2", "lit", "lit")},
+    {either(f"CASE WHEN drifted THEN p0 WHEN steady AND st = 'empty' AND idle2 > {c.idle_rows} THEN r0 + {c.blend}::DOUBLE * (p0 - r0) ELSE r0 END", f"CASE WHEN done THEN {best('p0')} ELSE r0 END", "r0")},
+    {either(f"CASE WHEN drifted THEN p1 WHEN steady AND st = 'empty' AND idle2 > {c.idle_rows} THEN r1 + {c.blend}::DOUBLE * (p1 - r1) ELSE r1 END", f"CASE WHEN done THEN {best('p1')} ELSE r1 END", "r1")},
+    {either("CASE WHEN drifted THEN []::DOUBLE[] ELSE recent2 END", "recent", "[]::DOUBLE[]")},
+    {tell("ctl", "stream_reconnected")} || {tell("big AND lit", "lighting_change")} || {tell("back", "lighting_restored")} || {tell(f"woke AND diff > {c.on}", "scale_initial_loaded", "above2")} || {tell("rises", "scale_loaded")}
     || {tell("counts", "scale_cycle_complete", f"CASE WHEN drifted THEN {c.max_loaded} ELSE f - since END")} || {tell("fell AND NOT counts", "scale_false_trigger", "f - since", f"CASE WHEN f - since < {c.min_on} THEN 'too_brief' ELSE 'too_close' END")}
-  FROM (SELECT *, ((drifted AND f - since > {c.min_on}) OR (fell AND f - since >= {c.min_on})) AND f - counted >= {c.min_gap} AS counts FROM (
+  FROM (SELECT *, skip = 0 AND len(gathered2) = {c.gather} AS done FROM (SELECT *, CASE WHEN eaten AND skip = 0 THEN list_append(gathered, {{'spread': abs(p0 - p1) / 2, 'i': len(gathered), 'p0': p0, 'p1': p1}}) ELSE gathered END AS gathered2 FROM (
+    SELECT *, ((drifted AND f - since > {c.min_on}) OR (fell AND f - since >= {c.min_on})) AND f - counted >= {c.min_gap} AS counts FROM (
     SELECT *, steady AND st = 'warmup' AND warm2 <= 0 AS woke, steady AND st = 'empty' AND run2 >= {c.hold} AS rises, steady AND st = 'loaded' AND f - since > {c.max_loaded} AND diff < {c.on * c.drift} AS drifted,
       steady AND st = 'loaded' AND f - since <= {c.max_loaded} AND diff < {c.off} AS fell FROM (
     SELECT *, CASE WHEN steady AND st = 'warmup' THEN above + (diff > {c.on})::INT ELSE above END AS above2, CASE WHEN steady AND st = 'warmup' THEN warm1 - 1 ELSE warm1 END AS warm2, CASE WHEN steady AND st = 'empty' THEN idle + 1 ELSE idle END AS idle2,
       CASE WHEN steady AND st = 'empty' THEN CASE WHEN diff > {c.on} THEN run + 1 ELSE 0 END ELSE run END AS run2 FROM (
-    SELECT *, list_sum(recent2) / len(recent2) AS diff, NOT big AND lit2 AS steady FROM (
+    SELECT *, list_sum(recent2) / len(recent2) AS diff, NOT big AND lit2 AND NOT eaten AND NOT ctl AS steady FROM (
     SELECT *, list_append(CASE WHEN back THEN []::DOUBLE[] ELSE recent END, (abs(p0 - r0) + abs(p1 - r1)) / 2)[-{c.smooth}:] AS recent2 FROM (
     SELECT * REPLACE (CASE WHEN back THEN p0 ELSE r0 END AS r0, CASE WHEN back THEN p1 ELSE r1 END AS r1), CASE WHEN big THEN false ELSE back OR lit END AS lit2, CASE WHEN big THEN light ELSE b END AS light2, CASE WHEN back THEN 'warmup' ELSE state END AS st, CASE WHEN back THEN {c.smooth} ELSE warm END AS warm1 FROM (
-    SELECT *, NOT big AND NOT lit AND coalesce(abs(b - light) < {c.calm}, false) AS back FROM (
-    SELECT p.* EXCLUDE (f, evs), n.f, n.v / 128::DOUBLE AS p0, n.v / 256::DOUBLE AS p1, n.v / 512::DOUBLE AS b, coalesce(abs(n.v / 512::DOUBLE - p.light) > {c.jump}, false) AS big FROM sm p JOIN s n ON n.k = p.k AND n.f = p.f + 1))))))))),
+    SELECT *, NOT eaten AND NOT ctl AND NOT big AND NOT lit AND coalesce(abs(b - light) < {c.calm}, false) AS back FROM (
+    SELECT *, gathering AND NOT ctl AS eaten, NOT ctl AND NOT gathering AND coalesce(abs(b - light) > {c.jump}, false) AS big FROM (
+    SELECT p.* EXCLUDE (f, evs), n.f, n.v / 128::DOUBLE AS p0, n.v / 256::DOUBLE AS p1, n.v / 512::DOUBLE AS b, {control or "false"} AS ctl FROM sm p JOIN s n ON n.k = p.k AND n.f = p.f + 1)))))))))))),
 sfound AS (SELECT k, unnest(e) FROM (SELECT k, unnest(evs) AS e FROM sm)
   UNION ALL SELECT k, 'scale_cycle_complete', f + 1, f + 1 - since, NULL::VARCHAR FROM (SELECT * FROM sm QUALIFY row_number() OVER (PARTITION BY k ORDER BY f DESC) = 1) WHERE state = 'loaded' AND f + 1 - since >= {c.min_on} AND f + 1 - counted >= {c.min_gap}){tail}"""
 
 
 def _scale_events(spark, sf):
-    patch = F.array(F.col("v") / 128, F.col("v") / 256)
-    return detectors.detect_scale(s(spark, sf).select("k", F.col("f").alias("frame"), (F.col("v") / 512).alias("brightness"), patch.alias("patch"), F.array(F.lit(0.0), F.lit(0.0)).alias("reference")), K, _SCALE)
+    return detectors.detect_scale(_scale_rows(spark, sf), K, _SCALE, reference=[0.0, 0.0])
+
+
+def _scale_rows(spark, sf, *more):
+    v = F.col("v")
+    return s(spark, sf).select("k", F.col("f").alias("frame"), (v / 512).alias("brightness"), F.array(v / 128, v / 256).alias("patch"), *more)
 
 
 @query(_scale_sql(_SCALE, " SELECT k, kind, frame, duration, reason FROM sfound"))
@@ -828,6 +914,16 @@ def scale_detector(spark, sf):
     return _scale_events(spark, sf)
 
 
+_LIVE = detectors.ScaleConfig(smooth=3, on=12.0, off=7.0, hold=2, min_on=2, min_gap=4, max_loaded=12, idle_rows=10, settle=2, gather=6, calmest=2)
+
+
+@query(_scale_sql(_LIVE, " SELECT k, kind, frame, duration, reason FROM sfound", "n.v % 29 = 3"))
+def scale_reconnect(spark, sf):
+    """A scale that calibrates itself, and again when a control row tells that its source came back."""
+    control = F.when(F.col("v") % 29 == 3, detectors.RECONNECTED).alias("control")
+    return detectors.detect_scale(_scale_rows(spark, sf, control), K, _LIVE, control="control")
+
+
 def _table_sql(level: int, hold: int, least: int, gap: int, tail: str) -> str:
     """Table cycles by a latch, windows over its stretches and the spacing of their ends; `tfound` holds them."""
     return f"""tm AS (SELECT k, -1::BIGINT AS f, 0::BIGINT AS v, 0 AS run, 0 AS state FROM s WHERE f = 0
