@@ -691,26 +691,47 @@ def session_breaks(spark, sf):
 
 @query(f"SELECT e AS event_type, count(*) AS n, sum(v)::BIGINT AS total FROM s GROUP BY e, t // {_W}")
 def tumbling_stream(spark, sf):
-    counted = stream.drain(stream.tumbling(stream.event_stream(spark, sf), "at", "1 day", "1 hour", "event_type"), "tumbling", "complete")
+    """Windows of a day that come out once, when the watermark has passed them."""
+    counted = stream.drain(stream.tumbling(stream.event_stream(spark, sf, close=True), "at", "1 day", "1 hour", "event_type"), "tumbling")
     return counted.select("event_type", "n", "total")
 
 
 @query(f"""i AS (SELECT k, t, sum((coalesce(t - p, 0) >= {12 * HOUR})::INT) OVER (PARTITION BY k ORDER BY t) AS g FROM (SELECT k, t, lag(t) OVER (PARTITION BY k ORDER BY t) AS p FROM s)) SELECT k AS user_id, count(*) AS n FROM i GROUP BY k, g""")
 def session_stream(spark, sf):
-    return stream.drain(stream.sessions(stream.event_stream(spark, sf), "at", "12 hours", "1 hour", "user_id"), "sessions", "complete").select("user_id", "n")
+    return stream.drain(stream.sessions(stream.event_stream(spark, sf, close=True), "at", "12 hours", "1 hour", "user_id"), "sessions").select("user_id", "n")
 
 
 @query(_latch_sql(2, _EDGES + " SELECT k AS user_id, count(*) FILTER (WHERE d > 0) AS rises, count(*) FILTER (WHERE d < 0) AS falls FROM ed WHERE d <> 0 GROUP BY k"))
 def stateful_stream(spark, sf):
-    edges = stream.drain(stream.latch_edges(stream.event_stream(spark, sf), 100.0, 15.0, 2), "latch", "append")
+    edges = stream.drain(stream.latch_edges(stream.event_stream(spark, sf, close=True), 100.0, 15.0, 2), "latch")
     return edges.groupBy("user_id").agg(F.count_if(F.col("edge") == "rise").alias("rises"), F.count_if(F.col("edge") == "fall").alias("falls"))
 
 
+def _sides(spark, sf, close):
+    """Clicks with their time `a` and purchases with theirs, `b`, as streams; control rows that close them are in both."""
+    own = lambda kind, name: stream.event_stream(spark, sf, close).where(F.col("event_type").isin(kind, stream.CLOSED)).select("user_id", F.col("at").alias(name), readers.micros(F.col("ts")).alias(f"{name}_us"))
+    return own("click", "a"), own("purchase", "b")
+
+
 @query(f"SELECT c.k AS user_id, c.t, p.t AS u FROM s c JOIN s p ON c.k = p.k AND c.e = 'click' AND p.e = 'purchase' AND p.t - c.t BETWEEN {-2 * HOUR} AND {10 * HOUR}")
 def interval_join_stream(spark, sf):
-    own = lambda kind, name: stream.event_stream(spark, sf).where(F.col("event_type") == kind).select("user_id", F.col("at").alias(name), readers.micros(F.col("ts")).alias(f"{name}_us"))
-    pairs = stream.interval_join(own("click", "a"), own("purchase", "b"), "user_id", "a", "b", "-2 hours", "10 hours", "1 hour")
-    return stream.drain(pairs, "pairs", "append").select("user_id", F.col("a_us").alias("t"), F.col("b_us").alias("u"))
+    pairs = stream.interval_join(*_sides(spark, sf, False), "user_id", "a", "b", "-2 hours", "10 hours", "1 hour")
+    return stream.drain(pairs, "pairs").select("user_id", F.col("a_us").alias("t"), F.col("b_us").alias("u"))
+
+
+@query(f"""c AS (SELECT k AS user_id, t, EXISTS (SELECT 1 FROM s p WHERE p.k = s.k AND p.e = 'purchase' AND p.t - s.t BETWEEN {-2 * HOUR} AND {10 * HOUR}) AS ok FROM s WHERE e = 'click')
+SELECT user_id, t, CASE WHEN ok THEN 'accepted' ELSE 'rejected' END AS verdict FROM c""")
+def classify_stream(spark, sf):
+    """Each click with its verdict, as a stream: a reject comes out once no purchase can come near it any more."""
+    judged = stream.classify(*_sides(spark, sf, True), "user_id", "a", "b", "-2 hours", "10 hours", "1 hour")
+    return stream.drain(judged, "verdicts").select("user_id", F.col("a_us").alias("t"), "verdict").distinct()
+
+
+def _numbered(spark, sf):
+    """The stream with the frame that each event is in its user's table, from a static side: files don't number their rows."""
+    frames = s(spark, sf).select(F.col("k").alias("user_id"), F.col("t").alias("_t"), F.col("f").alias("frame"))
+    rows = stream.event_stream(spark, sf, close=True).withColumn("_t", readers.micros(F.col("ts"))).withColumn("v", F.round(F.col("value") * 100).cast("long"))
+    return rows.join(frames, ["user_id", "_t"], "left")
 
 
 # ---- detectors ----
@@ -859,6 +880,14 @@ def full_day_samples(spark, sf):
     return fullday.on_the_day(fullday.sampled(x, K, "segment", 3, 4), parts, K, "segment", _DAY_FPS)
 
 
+@query(_cut_sql(_RECALL, ' SELECT k AS user_id, kind, frame, strength, level, motion, "left", spread, region, duration, open FROM found'))
+def cut_detector_stream(spark, sf):
+    """The cut detector as keyed state; streams close when the watermark has passed them by a day."""
+    v = F.col("v")
+    rows = _numbered(spark, sf).select("user_id", "frame", "at", (v / 128).alias("level"), (v * 7919 % 24000 / 128).alias("left"), (v % 1000 / 100).alias("motion"), (v * 31 % 121 + 30).cast("double").alias("spread"), F.lit(None).cast("string").alias("control"))
+    return stream.drain(stream.stream_cuts(rows, "user_id", "at", _RECALL, "1 hour", 400 * 86_400_000), "cuts")
+
+
 # The reference adapts after 10 idle rows, and cycles may come too close.
 _SCALE = detectors.ScaleConfig(smooth=3, hold=2, min_on=2, min_gap=8, max_loaded=12, idle_rows=10)
 
@@ -924,6 +953,15 @@ def scale_reconnect(spark, sf):
     return detectors.detect_scale(_scale_rows(spark, sf, control), K, _LIVE, control="control")
 
 
+@query(_scale_sql(_LIVE, " SELECT k AS user_id, kind, frame, duration, reason FROM sfound", "n.v % 29 = 3"))
+def scale_detector_stream(spark, sf):
+    """The scale as keyed state, with control rows of a source that came back."""
+    v = F.col("v")
+    control = F.when(v % 29 == 3, stream.RESET).alias("control")
+    rows = _numbered(spark, sf).select("user_id", "frame", "at", (v / 512).alias("brightness"), F.array(v / 128, v / 256).alias("patch"), control)
+    return stream.drain(stream.stream_scale(rows, "user_id", "at", _LIVE, "1 hour", 400 * 86_400_000), "scale")
+
+
 def _table_sql(level: int, hold: int, least: int, gap: int, tail: str) -> str:
     """Table cycles by a latch, windows over its stretches and the spacing of their ends; `tfound` holds them."""
     return f"""tm AS (SELECT k, -1::BIGINT AS f, 0::BIGINT AS v, 0 AS run, 0 AS state FROM s WHERE f = 0

@@ -1,22 +1,45 @@
-"""Structured Streaming forms: tumbling counts, sessions, and the debounced latch as keyed state."""
+"""Structured Streaming forms: windows and sessions that close, classification by an interval join, detectors as keyed state.
+
+All write in append mode: what a watermark has passed comes out once, and is forgotten. Since the last windows of a finished source would
+wait for ever, a source may end with a control row of the type CLOSED, whose late time moves every watermark past the rest.
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import pickle
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from signalwright.operators import detectors
+from signalwright.sources.scratch import exists, new_path
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+#: The types of control rows: a source that came back, and the end of a source.
+RESET, CLOSED = detectors.RECONNECTED, "stream_closed"
+#: The time of the closing row. Its key isn't null, as joins drop null keys before their watermark sees them.
+FAR = "2200-01-01 00:00:00"
+
+
+def closing_row(spark: SparkSession, path: str) -> None:
+    """Adds the file that ends a folder of events."""
+    row = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(FAR).cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit(CLOSED).alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
+    row.coalesce(1).write.mode("append").parquet(path)
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream; its times become instants of the session's zone, as watermarks need."""
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, sf_dir: str, close: bool = False) -> DataFrame:
+    """The events table as a stream; its times become instants of the session's zone, as watermarks need. close: the table is all there
+    is, so a control row ends it."""
+    rows = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    if close:
+        path = new_path(spark, "closing")
+        closing_row(spark, path)
+        rows = rows.unionByName(spark.readStream.schema(EVENTS).parquet(path))
+    return rows.withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def tumbling(stream: DataFrame, at: str, size: str, late: str, *keys: str) -> DataFrame:
@@ -27,63 +50,187 @@ def sessions(stream: DataFrame, at: str, gap: str, late: str, *keys: str) -> Dat
     return stream.withWatermark(at, late).groupBy(F.session_window(at, gap), *keys).agg(F.count("*").alias("n"))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared one, or a temporary one where there is none (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"{name}-")
+def drain(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Runs the stream over what there is; the rows that it has written so far, also those of earlier runs in `folder` (in complete mode those
+    of the last batch).
 
-
-def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs the stream over what there is and returns what it wrote: every batch in append mode, the last one in complete mode.
-
-    Batches are Parquet tables in folders named by their number, so a batch that runs again replaces its own rows.
+    `folder` (in the shared folder if not given) holds the checkpoint and the rows. Each batch is a Parquet table under its number, so a batch
+    that runs again after a failure replaces its own rows; what was written is read from the folder, the driver remembers nothing.
     """
     spark = stream.sparkSession
-    folder = _folder(spark, name)
-    done: list[int] = []
+    folder = folder or new_path(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-        done.append(number)
 
-    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    # keyed state with timers needs the store on disk
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
     query.awaitTermination()
-    if not done:
+    if not exists(spark, f"{folder}/rows"):
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(*(f"{folder}/rows/batch={n}" for n in (sorted(set(done)) if mode == "append" else done[-1:])))
+    if mode == "complete":
+        last = spark.read.parquet(f"{folder}/rows").agg(F.max("batch")).first()[0]
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows/batch={last}") if last is not None else spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
 
 
-def interval_join(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str, low: str, high: str, late: str) -> DataFrame:
-    """Pairs of two streams with low <= right - left <= high; the watermarks let Spark forget rows that can't pair any more."""
+def interval_join(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str, low: str, high: str, late: str, how: str = "inner") -> DataFrame:
+    """Pairs of two streams with low <= right - left <= high; the watermarks let Spark forget rows that can't pair any more. how: `left_outer`
+    keeps left rows that found none, once the watermark has passed all that they could pair with."""
     own = right.withColumnRenamed(key, "_key").withWatermark(rt, late)
     within = F.expr(f"_key = {key} AND {rt} >= {lt} + interval {low} AND {rt} <= {lt} + interval {high}")
-    return left.withWatermark(lt, late).join(own, within).drop("_key")
+    return left.withWatermark(lt, late).join(own, within, how).drop("_key")
+
+
+def classify(cycles: DataFrame, scale: DataFrame, key: str, ct: str, st: str, low: str, high: str, late: str) -> DataFrame:
+    """The columns of `cycles` and `verdict`: accepted with each event of `scale` of low <= scale - cycle <= high (its time in `st`), else
+    rejected, once no such event can come any more. A cycle with several is accepted as often; control rows are in neither."""
+    found = interval_join(cycles, scale, key, ct, st, low, high, late, "left_outer").where(F.col(ct) < F.lit(FAR).cast("timestamp"))
+    return found.withColumn("verdict", F.when(F.col(st).isNull(), "rejected").otherwise("accepted"))
 
 
-#: The type of a control row.
-RESET = "stream_reconnected"
-LATCH = "user_id long, event_id long, edge string"
+def _plain(column: pd.Series) -> list:
+    """Python values, null as None."""
+    return [None if x is None or isinstance(x, float) and x != x else x for x in column.tolist()]
 
 
-def latch_edges(stream: DataFrame, on: float, off: float, hold: int) -> DataFrame:
-    """Rises and falls of a debounced latch over `value` of each user, in time order within a batch; the state goes on between batches.
+class Keyed(StatefulProcessor):
+    """A machine for each key, kept between batches: `feed(*columns)`, `close()`, `events`.
 
-    A row of the type `RESET` (a source that reconnected) clears the state and tells nothing.
+    A batch's rows of a key are fed in the order of `order` and the first column (their number is bounded by what the source gives to a
+    batch). A row before the last one fed is late: it changes nothing, and its first column is told as an event of the kind `late`. A key without rows
+    for `idle` is over when the watermark has passed that long: its machine closes, tells what was open, and its state goes; rows after that
+    begin anew. Rows without a key take no part. The state is the machine itself, so another version of its class needs a new folder.
     """
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level, run_length = state.get if state.exists else (0, 0)
-        found = []
-        for row in pd.concat(list(parts)).sort_values(["ts", "event_id"]).itertuples():
-            if row.event_type == RESET:
-                level = run_length = 0
+    def __init__(self, make: Callable[[], object], columns: Sequence[str], shape: str, key: str, order: str, at: str, idle: int):
+        self.make, self.columns, self.key, self.order, self.at, self.idle = make, list(columns), key, order, at, idle
+        self.out = [key, *(x.split()[0] for x in shape.split(", "))]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("machine", "own binary, last long")
+
+    def _told(self, key, events: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *e) for e in events], columns=self.out).astype(object)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        machine, last = self.make(), None
+        if self.state.exists():
+            own, last = self.state.get()
+            machine = pickle.loads(bytes(own))
+        batch = pd.concat(list(rows))
+        batch = batch[batch[self.at].dt.year < int(FAR[:4])].sort_values([self.order, *(c for c in self.columns[:1] if c != self.order)], kind="stable")
+        if batch.empty:
+            return
+        told: list[tuple] = []
+        for row in zip(*(_plain(batch[c]) for c in (self.order, *self.columns)), strict=True):
+            if last is not None and row[0] < last:
+                told.append(("late", row[1], *[None] * (len(self.out) - 3)))
                 continue
-            run_length = run_length + 1 if row.value > on else 0
-            now = 1 if run_length >= hold else 0 if row.value < off else level
-            if now != level:
-                found.append((key[0], row.event_id, "rise" if now else "fall"))
-            level = now
-        state.update((level, run_length))
-        yield pd.DataFrame(found, columns=["user_id", "event_id", "edge"])
-
-    return stream.groupBy("user_id").applyInPandasWithState(run, LATCH, "level int, run int", "append", GroupStateTimeout.NoTimeout)
+            last = row[0]
+            machine.feed(*row[1:])
+            told += machine.events
+            machine.events.clear()
+        self.state.update((pickle.dumps(machine), last))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        ends = int(batch[self.at].max().timestamp() * 1000) + self.idle
+        self.handle.registerTimer(max(ends, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._told(key, told)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        machine = pickle.loads(bytes(self.state.get()[0]))
+        machine.close()
+        self.state.clear()
+        yield self._told(key, machine.events)
+
+    def close(self) -> None:
+        pass
+
+
+def by_machine(stream: DataFrame, key: str, order: str, at: str, columns: Sequence[str], make: Callable[[], object], shape: str, late: str, idle: int) -> DataFrame:
+    """Events of a machine for each key (see Keyed); `at` is the time of a row, `idle` milliseconds. The closing row meets no machine."""
+    own = stream.where(F.col(key).isNotNull()).withWatermark(at, late)
+    kind = dict(stream.dtypes)[key]
+    processor = Keyed(make, columns, shape, key, order, at, idle)
+    return own.select(key, order, at, *(c for c in columns if c != order)).groupBy(key).transformWithStateInPandas(processor, f"{key} {kind}, {shape}", "Append", "EventTime")
+
+
+class Latch:
+    """A debounced latch: on after `hold` rows in a row above `on`, off below `off`; a control row clears it."""
+
+    def __init__(self, on: float, off: float, hold: int):
+        self.on, self.off, self.hold = on, off, hold
+        self.level = self.run = 0
+        self.events: list[tuple] = []
+
+    def feed(self, event_id: int, value: float, control: str | None) -> None:
+        if control == RESET:
+            self.level = self.run = 0
+            return
+        self.run = self.run + 1 if value > self.on else 0
+        now = 1 if self.run >= self.hold else 0 if value < self.off else self.level
+        if now != self.level:
+            self.events.append(("rise" if now else "fall", event_id))
+        self.level = now
+
+    def close(self) -> None:
+        pass
+
+
+LATCH = "edge string, event_id long"
+
+
+def latch_edges(stream: DataFrame, on: float, off: float, hold: int, late: str = "1 hour", idle: int = 86_400_000) -> DataFrame:
+    """user_id, edge, event_id: rises and falls of each user's latch over `value`. Rows of the type RESET clear it and tell nothing; a user
+    without rows for `idle` begins anew."""
+    rows = stream if "at" in stream.columns else stream.withColumn("at", F.col("ts").cast("timestamp"))
+    rows = rows.withColumn("order", F.unix_micros("at"))
+    return by_machine(rows, "user_id", "order", "at", ["event_id", "value", "event_type"], lambda: Latch(on, off, hold), LATCH, late, idle)
+
+
+class StreamedCuts(detectors.Cuts):
+    """The cut detector over plain rows: smoothed levels and their differences come from the latest rows, which it keeps."""
+
+    def __init__(self, c: detectors.CutConfig):
+        super().__init__(c)
+        self._start()
+
+    def _start(self) -> None:
+        c = self.c
+        self.levels = tuple(deque(maxlen=c.smooth) for _ in range(2))
+        self.means = tuple(deque(maxlen=c.long_width) for _ in range(2))
+
+    def feed(self, frame: int, level: float, left: float, motion: float, spread: float, control: str | None = None) -> None:
+        if control == RESET:
+            events, self.events = self.events, []
+            self.__init__(self.c)
+            self.events = [*events, (RESET, frame, *[None] * 7, False)]
+            return
+        for x, raw, mean in zip((level, left), self.levels, self.means, strict=True):
+            raw.append(x)
+            mean.append(sum(raw) / len(raw))
+
+        def step(i: int, width: int) -> float:
+            mean = self.means[i]
+            return mean[-1] - mean[-width] if len(mean) >= width else 0.0
+
+        super().feed(frame, self.means[0][-1], step(0, self.c.long_width), step(0, self.c.short_width), step(1, self.c.short_width), motion, spread)
+
+
+def stream_cuts(stream: DataFrame, key: str, at: str, c: detectors.CutConfig, late: str, idle: int) -> DataFrame:
+    """stream: key, frame, at, level, left, motion, spread, control. The events of detect_cuts over prepare, without confidence."""
+    return by_machine(stream, key, "frame", at, ["frame", "level", "left", "motion", "spread", "control"], lambda: StreamedCuts(c), detectors.CUTS, late, idle)
+
+
+def stream_scale(stream: DataFrame, key: str, at: str, c: detectors.ScaleConfig, late: str, idle: int, reference: Sequence[float] | None = None) -> DataFrame:
+    """stream: key, frame, at, brightness, patch, control. The events of detect_scale."""
+    start = None if reference is None else list(reference)
+    return by_machine(stream, key, "frame", at, ["frame", "brightness", "patch", "control"], lambda: detectors._Feed(start, c), detectors.SCALE_EVENTS, late, idle)
