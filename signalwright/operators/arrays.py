@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +41,70 @@ def signed_parts(a: Column, b: Column) -> tuple[Column, Column]:
     return scaled(F.transform(step, lambda d: F.greatest(d, F.lit(0.0)))), scaled(F.transform(step, lambda d: F.greatest(-d, F.lit(0.0))))
 
 
-def elementwise_mean(df: DataFrame, key: list[str], patch: str) -> DataFrame:
-    """key, pos, mean: the average image of each group."""
-    return df.select(*key, F.posexplode(patch).alias("pos", "x")).groupBy(*key, "pos").agg(F.avg("x").alias("mean"), F.count("x").alias("n"))
+#: Groups that a task adds up at a time.
+GROUPS = 256
+
+
+def _added(n: int):
+    """Partial sums: of the images that pass by, one row for each group and task (or a few, where there are more than GROUPS)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list[np.ndarray]] = {}
+        fields = None
+
+        def pack() -> pa.RecordBatch:
+            keys = [pa.array([k[i] for k in sums], f.type) for i, f in enumerate(fields[:n])]
+            own = [pa.array([s[i].tolist() for s in sums.values()], pa.list_(t)) for i, t in enumerate((pa.float64(), pa.int64()))]
+            out = pa.RecordBatch.from_arrays([*keys, *own, pa.array([s[2] for s in sums.values()], pa.int64())], names=[*(f.name for f in fields[:n]), "sums", "counts", "images"])
+            sums.clear()
+            return out
+
+        for b in batches:
+            fields = list(b.schema)
+            for *own, image in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if image is None:
+                    continue
+                x = np.array(image, dtype=float)  # null as NaN
+                key, there = tuple(own), ~np.isnan(x)
+                old = sums.get(key)
+                if old is None:
+                    sums[key] = [np.where(there, x, 0.0), there.astype(np.int64), 1]
+                else:
+                    if len(x) > len(old[0]):
+                        old[0], old[1] = (np.concatenate([o, np.zeros(len(x) - len(o), o.dtype)]) for o in old[:2])
+                    old[0][: len(x)] += np.where(there, x, 0.0)
+                    old[1][: len(x)] += there
+                    old[2] += 1
+                if len(sums) > GROUPS:
+                    yield pack()
+        if sums:
+            yield pack()
+
+    return run
+
+
+def elementwise_sums(df: DataFrame, key: Sequence[str], patch: str) -> DataFrame:
+    """key, pos, total, n (samples that aren't null), images: every task adds up its images, and only the sums are shuffled, once for each
+    task, group and pixel however many images there are."""
+    kinds = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in key)
+    parts = df.select(*key, F.col(patch).cast("array<double>").alias("_patch")).mapInArrow(_added(len(key)), f"{kinds}{', ' if kinds else ''}sums array<double>, counts array<long>, images long")
+    pixels = parts.select(*key, "images", F.posexplode(F.arrays_zip("sums", "counts")).alias("pos", "_x"))
+    return pixels.groupBy(*key, "pos").agg(F.sum("_x.sums").alias("total"), F.sum("_x.counts").alias("n"), F.sum("images").alias("images"))
+
+
+def elementwise_mean(df: DataFrame, key: Sequence[str], patch: str) -> DataFrame:
+    """key, pos, mean, n: the average image of each group."""
+    return elementwise_sums(df, key, patch).select(*key, "pos", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("mean"), "n")
+
+
+def difference_heatmap(times: DataFrame, frames: DataFrame, key: Sequence[str], at: str, frame: str, patch: str, before: int, after: int) -> DataFrame:
+    """key, pos, mean, usable: the average of |after - before| over the events of each group, and how many have both frames."""
+    one = frames.select(*key, F.col(frame).alias("_f1"), F.col(patch).alias("_p1"))
+    two = frames.select(*key, F.col(frame).alias("_f2"), F.col(patch).alias("_p2"))
+    ends = times.withColumn("_f1", F.col(at) + before).withColumn("_f2", F.col(at) + after)
+    both = ends.join(one, [*key, "_f1"]).join(two, [*key, "_f2"])
+    change = both.select(*key, F.zip_with("_p1", "_p2", lambda x, y: F.abs(y.cast("double") - x.cast("double"))).alias("_change"))
+    return elementwise_sums(change, key, "_change").select(*key, "pos", (F.col("total") / F.col("n")).alias("mean"), F.col("images").alias("usable"))
 
 
 def calmest_mean(df: DataFrame, key: list[str], patch: str, spread: Column, tie: str, k: int) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalwright.functions import labels
-from signalwright.operators import arrays, detectors, events, fullday, refractory, report, runs, signals
-from signalwright.sources import readers
+from signalwright.operators import arrays, detectors, diagnosis, events, fullday, refractory, report, runs, signals
+from signalwright.sources import readers, scratch
 from signalwright.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,12 +249,12 @@ def greedy_match(spark, sf):
     return refractory.greedy_match(of_type(spark, sf, "error"), of_type(spark, sf, "purchase"), K, "t", 5 * HOUR)
 
 
-def _greedy_sql(kinds: str) -> str:
-    """g: label by label, by type e and stream, with the detections that are left."""
-    return f"""l AS (SELECT e, k, t, row_number() OVER (PARTITION BY e, k ORDER BY t) AS i FROM s WHERE e IN ({kinds})), d AS (SELECT k, list(t ORDER BY t) AS ds FROM s WHERE e = 'purchase' GROUP BY k),
-g AS (SELECT l.e, l.k, 0::BIGINT AS i, NULL::BIGINT AS label, NULL::BIGINT AS detection, coalesce(ds, []::BIGINT[]) AS rest FROM (SELECT DISTINCT e, k FROM l) l LEFT JOIN d ON l.k = d.k
+def _greedy_sql(kinds: str, found: str = "'purchase'", p: str = "") -> str:
+    """g: label by label, by type e and stream, with the detections that are left. p goes before the names of the tables."""
+    return f"""{p}l AS (SELECT e, k, t, row_number() OVER (PARTITION BY e, k ORDER BY t) AS i FROM s WHERE e IN ({kinds})), {p}d AS (SELECT k, list(t ORDER BY t) AS ds FROM s WHERE e = {found} GROUP BY k),
+{p}g AS (SELECT l.e, l.k, 0::BIGINT AS i, NULL::BIGINT AS label, NULL::BIGINT AS detection, coalesce(ds, []::BIGINT[]) AS rest FROM (SELECT DISTINCT e, k FROM {p}l) l LEFT JOIN {p}d d ON l.k = d.k
   UNION ALL SELECT e, k, i, t, best, CASE WHEN best IS NULL THEN rest ELSE list_filter(rest, lambda z: z <> best) END FROM (
-    SELECT g.e, g.k, l.i, l.t, g.rest, list_aggregate(list_transform(list_filter(g.rest, lambda z: abs(z - l.t) <= {5 * HOUR}), lambda z: {{'far': abs(z - l.t), 'at': z}}), 'min').at AS best FROM g JOIN l ON l.e = g.e AND l.k = g.k AND l.i = g.i + 1))"""
+    SELECT g.e, g.k, l.i, l.t, g.rest, list_aggregate(list_transform(list_filter(g.rest, lambda z: abs(z - l.t) <= {5 * HOUR}), lambda z: {{'far': abs(z - l.t), 'at': z}}), 'min').at AS best FROM {p}g g JOIN {p}l l ON l.e = g.e AND l.k = g.k AND l.i = g.i + 1))"""
 
 
 @query(_greedy_sql("'error'") + " SELECT s.k, s.t FROM s WHERE s.e = 'purchase' AND NOT EXISTS (SELECT 1 FROM g WHERE g.k = s.k AND g.detection = s.t)")
@@ -522,6 +522,99 @@ def run_record(spark, sf):
     return x.select("run", "detections", "labels", "hits", "misclassified", "extras", report.ratio(F.col("hits"), F.col("labels")).alias("recall"))
 
 
+#: Hours of the day that the labels cover.
+_COVERED = [(0, 12 * HOUR), (20 * HOUR, 22 * HOUR)]
+_RECORD = _greedy_sql("'error', 'signup'") + ", " + _greedy_sql("'signup'", "'click'", "r") + f""",
+sc AS (SELECT k % 3 AS run, s.*, t % {_W} BETWEEN 0 AND {12 * HOUR} OR t % {_W} BETWEEN {20 * HOUR} AND {22 * HOUR} AS covered, EXISTS (SELECT 1 FROM g WHERE g.k = s.k AND g.detection = s.t) AS used FROM s WHERE e = 'purchase'),
+a AS (SELECT run, count(*) AS scale_total, count(*) FILTER (WHERE covered AND NOT used) AS extras, count(*) FILTER (WHERE NOT covered) AS middle FROM sc GROUP BY run),
+b AS (SELECT k % 3 AS run, count(*) FILTER (WHERE e = 'error') AS accepted_total, count(detection) FILTER (WHERE e = 'error') AS accepted_recall, count(*) FILTER (WHERE e = 'signup') AS rejected_total, count(detection) FILTER (WHERE e = 'signup') AS scale_false_pos,
+  sum(abs(detection - label)) FILTER (WHERE e = 'error') / (count(detection) FILTER (WHERE e = 'error'))::DOUBLE AS timing_mean, quantile_cont(abs(detection - label), 0.5) FILTER (WHERE e = 'error') AS timing_median, max(abs(detection - label)) FILTER (WHERE e = 'error') AS timing_most FROM g WHERE i > 0 GROUP BY 1),
+c AS (SELECT k % 3 AS run, count(detection) AS rejected_recall FROM rg WHERE i > 0 AND k % 3 < 2 GROUP BY 1),
+d2 AS (SELECT k % 3 AS run, count(*) FILTER (WHERE e = 'purchase' AND v > 6000) AS classified_accepted, count(*) FILTER (WHERE e = 'click') AS classified_rejected FROM s WHERE k % 3 < 2 GROUP BY 1),
+rec AS (SELECT a.*, b.* EXCLUDE (run), rejected_recall, coalesce(classified_accepted, 0) AS classified_accepted, coalesce(classified_rejected, 0) AS classified_rejected FROM a JOIN b USING (run) LEFT JOIN c USING (run) LEFT JOIN d2 USING (run))"""
+
+
+def _records(spark, sf):
+    """One row a run. Labels: errors are accepted, signups rejected; detections: purchases; run 2 has no classification."""
+    run = (F.col("k") % 3).alias("run")
+    matched = _matched(spark, sf)
+    good, bad = F.col("e") == "error", F.col("e") == "signup"
+    off = F.when(good, F.abs(F.col("detection") - F.col("label")))
+    b = matched.groupBy(run).agg(
+        F.count_if(good).alias("accepted_total"), F.count(off).alias("accepted_recall"), F.count_if(bad).alias("rejected_total"), F.count(F.when(bad, F.col("detection"))).alias("scale_false_pos"),
+        (F.sum(off) / F.count(off)).alias("timing_mean"), F.percentile(off, F.lit(0.5)).alias("timing_median"), F.max(off).alias("timing_most"))
+    used = matched.where("detection IS NOT NULL").select("k", F.col("detection").alias("t")).distinct().withColumn("u", F.lit(True))
+    covered = diagnosis.in_ranges(F.col("t") % _W, _COVERED)
+    a = of_type(spark, sf, "purchase", "k", "t").join(used, ["k", "t"], "left").groupBy(run).agg(F.count("*").alias("scale_total"), F.count_if(covered & F.col("u").isNull()).alias("extras"), F.count_if(~covered).alias("middle"))
+    classed = F.col("k") % 3 < 2
+    c = refractory.greedy_match(of_type(spark, sf, "signup", "k", "t").where(classed), of_type(spark, sf, "click", "k", "t").where(classed), K, "t", 5 * HOUR).groupBy(run).agg(F.count("detection").alias("rejected_recall"))
+    kind = F.col("e")
+    d = s(spark, sf).where(classed).groupBy(run).agg(F.count_if((kind == "purchase") & (F.col("v") > 6000)).alias("classified_accepted"), F.count_if(kind == "click").alias("classified_rejected"))
+    return a.join(b, "run").join(c, "run", "left").join(d, "run", "left").na.fill(0, ["classified_accepted", "classified_rejected"])
+
+
+@query(_RECORD + " SELECT * FROM rec")
+def evaluation_record(spark, sf):
+    """Totals, recall, timing, false positives, extras in the covered hours, the rest of the day, classified counts (0 without a classification)."""
+    return _records(spark, sf)
+
+
+_SHARE = "{a} || '/' || {b} || ' (' || (({a} * 200 + {b}) // (2 * {b})) || '%)'"
+
+
+@query(_RECORD + f""", cells AS (SELECT run, unnest([{{'metric': 'Scale events', 'cell': scale_total::VARCHAR}}, {{'metric': 'Accepted recall', 'cell': {_SHARE.format(a="accepted_recall", b="accepted_total")}}},
+  {{'metric': 'Scale false pos', 'cell': {_SHARE.format(a="scale_false_pos", b="rejected_total")}}}, {{'metric': 'Rejected recall', 'cell': coalesce({_SHARE.format(a="rejected_recall", b="rejected_total")}, 'N/A')}},
+  {{'metric': 'Total blankets', 'cell': CASE WHEN classified_rejected > 0 THEN classified_accepted || '+' || classified_rejected || '=' || (classified_accepted + classified_rejected) ELSE scale_total::VARCHAR END}}], recursive := true) FROM rec)
+SELECT metric, max(cell) FILTER (WHERE run = 0) AS "0", max(cell) FILTER (WHERE run = 1) AS "1", max(cell) FILTER (WHERE run = 2) AS "2" FROM cells GROUP BY metric""")
+def run_table(spark, sf):
+    """The records of three runs side by side."""
+    c = F.col
+    total = F.when(c("classified_rejected") > 0, F.concat(c("classified_accepted").cast("string"), F.lit("+"), c("classified_rejected").cast("string"), F.lit("="), (c("classified_accepted") + c("classified_rejected")).cast("string"))).otherwise(c("scale_total").cast("string"))
+    metrics = {"Scale events": c("scale_total"), "Accepted recall": diagnosis.share(c("accepted_recall"), c("accepted_total")), "Scale false pos": diagnosis.share(c("scale_false_pos"), c("rejected_total")), "Rejected recall": diagnosis.share(c("rejected_recall"), c("rejected_total")), "Total blankets": total}
+    return diagnosis.run_table(_records(spark, sf), "run", ["0", "1", "2"], metrics)
+
+
+# ---- diagnosis ----
+
+_FEATURES = ["above", "peak", "final", "slope", "segments", "peak_scale", "scale_above"]
+_CUTOFFS = {"above": [5, 10, 15, 20, 25, 30], "peak": [75, 100, 125, 150, 200, 250], "peak_scale": [10, 25, 50, 75, 100], "segments": [1, 2, 3], "slope": [-20, 0, 20]}
+_LABELS = {"purchase": "accepted", "click": "rejected", "signup": "light"}
+# 2.5 frames a second: frame f is at 4 f tenths; a texture is v / 128, the scale's patch has v / 128 and v / 256.
+_DIAGNOSIS = """fr AS (SELECT k, f, v / 128::DOUBLE AS tex, v FROM s), ev AS (SELECT k, f * 4 AS m, CASE e WHEN 'purchase' THEN 'accepted' WHEN 'click' THEN 'rejected' ELSE 'light' END AS label FROM s WHERE e IN ('purchase', 'click', 'signup')),
+pr AS (SELECT ev.k, ev.m, ev.label, o, fr.tex, coalesce((abs(fr.v - r.v) / 128::DOUBLE + abs(fr.v - r.v) / 256::DOUBLE) / 2, 0) AS diff FROM (SELECT *, unnest(range(-60, 31, 2)) AS o FROM ev) ev
+  JOIN fr ON fr.k = ev.k AND fr.f = floor((ev.m + o) / 4.0::DOUBLE)::BIGINT LEFT JOIN fr r ON r.k = ev.k AND r.f = greatest(ev.m - 100, 0) // 4),
+pb AS (SELECT *, tex > 75 AND NOT coalesce(lag(tex) OVER (PARTITION BY k, m ORDER BY o) > 75, false) AS begins FROM pr),
+ft AS (SELECT k, m, any_value(label) AS label, (count(*) FILTER (WHERE tex > 75) * 2)::DOUBLE AS above, max(tex) AS peak, coalesce(max(tex) FILTER (WHERE o = 0), 0) AS final, coalesce(max(tex) FILTER (WHERE o = -20), 0) AS bef, count(*) FILTER (WHERE begins)::DOUBLE AS segments, max(diff) AS peak_scale, (count(*) FILTER (WHERE diff > 25) * 2)::DOUBLE AS scale_above FROM pb GROUP BY k, m),
+fs AS (SELECT *, CASE WHEN bef > 0 THEN final - bef ELSE 0 END AS slope FROM ft),
+rw AS (SELECT label, unnest([{'feature': 'above', 'value': above}, {'feature': 'peak', 'value': peak}, {'feature': 'final', 'value': final}, {'feature': 'slope', 'value': slope}, {'feature': 'segments', 'value': segments}, {'feature': 'peak_scale', 'value': peak_scale}, {'feature': 'scale_above', 'value': scale_above}], recursive := true) FROM fs)"""
+
+
+def _diagnosed(spark, sf):
+    x = s(spark, sf)
+    label = F.create_map(*(F.lit(y) for kv in _LABELS.items() for y in kv))[F.col("e")]
+    times = x.where(F.col("e").isin(list(_LABELS))).select("k", (F.col("f") * 4).alias("at"), label.alias("label"))
+    frames = x.select("k", F.col("f").alias("frame"), (F.col("v") / 128).alias("texture"), F.array(F.col("v") / 128, F.col("v") / 256).alias("patch"))
+    return diagnosis.as_rows(diagnosis.features(diagnosis.profile(times, frames, K, "at", 2.5), ["k", "at", "label"]), _FEATURES, "label")
+
+
+@query(_DIAGNOSIS + """, st AS (SELECT feature, label, count(*) AS n, sum(value) / count(*) AS mean, quantile_cont(value, 0.5) AS median, sqrt(greatest(count(*) * sum(value * value) - sum(value) * sum(value), 0)) / count(*) AS deviation, min(value) AS least, max(value) AS most FROM rw GROUP BY 1, 2)
+SELECT st.*, abs(a.mean - r.mean) / greatest((a.deviation + r.deviation) / 2, 0.1::DOUBLE) AS separation FROM st JOIN st a ON a.feature = st.feature AND a.label = 'accepted' JOIN st r ON r.feature = st.feature AND r.label = 'rejected'""")
+def reject_diagnosis(spark, sf):
+    """Seven features of the profile about each event: statistics by label, and how far accepted and rejected are apart."""
+    stats = diagnosis.statistics(_diagnosed(spark, sf), "label")
+    return stats.join(diagnosis.separations(stats, "label", "accepted", "rejected"), "feature")
+
+
+_CUT_ROWS = ", ".join(f"('{f}', {float(c)}::DOUBLE)" for f, own in _CUTOFFS.items() for c in own)
+
+
+@query(_DIAGNOSIS + f""" SELECT c.feature, c.cut, count(*) FILTER (WHERE label = 'accepted' AND value >= cut) AS hits, count(*) FILTER (WHERE label = 'rejected' AND value < cut) AS rejections, count(*) FILTER (WHERE label = 'accepted') AS positives, count(*) FILTER (WHERE label = 'rejected') AS negatives
+FROM (VALUES {_CUT_ROWS}) c(feature, cut) JOIN rw ON rw.feature = c.feature GROUP BY 1, 2""")
+def diagnosis_sweep(spark, sf):
+    """Cut-offs of five features at once."""
+    return diagnosis.sweeps(_diagnosed(spark, sf), _CUTOFFS, F.col("label") == "accepted", F.col("label") == "rejected")
+
+
 # ---- patches ----
 
 
@@ -654,6 +747,14 @@ def motion_profile(spark, sf):
     return arrays.motion_profile(times, frames, ["label"], "seen", "f", "a", 0, 6, 2)
 
 
+@query(_FRAMES + """, d AS (SELECT ev.label, list_transform(list_zip(b.a, c.a), lambda z: abs(z[2] - z[1])) AS d FROM ev JOIN fr b ON b.label = ev.label AND b.f = ev.seen - 1 JOIN fr c ON c.label = ev.label AND c.f = ev.seen + 4),
+p AS (SELECT label, generate_subscripts(d, 1) - 1 AS pos, unnest(d) AS x FROM d) SELECT label, pos::INT AS pos, sum(x) / count(*) AS mean, count(*) AS usable FROM p GROUP BY 1, 2""")
+def difference_heatmap(spark, sf):
+    """The average change about the events of each label, and how many of them have both frames."""
+    frames, times = _frames(spark, sf)
+    return arrays.difference_heatmap(times, frames, ["label"], "seen", "f", "a", -1, 4)
+
+
 @query("--plain\n" + _INTS + " SELECT vec_id, len(list_filter(a, lambda x: x > 100)) / len(a)::DOUBLE AS share FROM q")
 def foreground_share(spark, sf):
     return _patches(spark, sf).select("vec_id", arrays.share_of(F.col("a"), lambda x: x > 100).alias("share"))
@@ -888,6 +989,24 @@ def cut_detector_stream(spark, sf):
     return stream.drain(stream.stream_cuts(rows, "user_id", "at", _RECALL, "1 hour", 400 * 86_400_000), "cuts")
 
 
+@query(_cut_sql(_RECALL, _KEPT + """, n AS (SELECT k, count(*) AS total FROM kept GROUP BY k), ends AS (SELECT k, max(f) + 1 AS frames FROM s GROUP BY k)
+SELECT ends.k, frames, coalesce(total, 0) AS total, 'event' AS list, h.frame, h.confidence AS kind FROM ends LEFT JOIN n USING (k) JOIN kept h USING (k)
+UNION ALL SELECT ends.k, frames, coalesce(total, 0), 'break', m.frame, m.kind FROM ends LEFT JOIN n USING (k) JOIN found m USING (k) WHERE m.kind LIKE 'break%' """))
+def result_document(spark, sf):
+    """One nested document a stream (metadata, summary, events, breaks), written as JSON, read again and taken apart."""
+    rows = _cut_rows(spark, sf, _RECALL)
+    found = detectors.detect_cuts(rows, K, _RECALL)
+    cuts = detectors.settled_cuts(found, K, echo=12, close=9)[2].select("k", "frame", "confidence")
+    marks = found.where("kind LIKE 'break%'").select("k", "frame", "kind")
+    totals = rows.groupBy("k").agg((F.max("frame") + 1).alias("frames")).join(cuts.groupBy("k").agg(F.count("*").alias("total")), "k", "left").na.fill(0, ["total"])
+    docs = readers.result_documents(totals, {"events": cuts, "breaks": marks}, "k", ["frames"])
+    path = scratch.new_path(spark, "documents")
+    readers.write_document(docs, path)
+    read = readers.documents_of(spark, path, docs.schema)
+    part = lambda column, name, kind: read.select("k", "metadata.frames", "summary.total", F.lit(name).alias("list"), F.explode(column).alias("x")).select("k", "frames", "total", "list", "x.frame", F.col(f"x.{kind}").alias("kind"))
+    return part("events", "event", "confidence").unionByName(part("breaks", "break", "kind"))
+
+
 # The reference adapts after 10 idle rows, and cycles may come too close.
 _SCALE = detectors.ScaleConfig(smooth=3, hold=2, min_on=2, min_gap=8, max_loaded=12, idle_rows=10)
 

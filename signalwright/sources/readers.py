@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -36,6 +39,26 @@ def write_document(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def result_documents(summaries: DataFrame, lists: dict[str, DataFrame], key: str, metadata: Sequence[str], order: str = "frame") -> DataFrame:
+    """key, metadata, summary, and an array for each list: one nested document a source, as it stands in a result file.
+
+    summaries: key, the columns of `metadata`, and those of the summary, one row a source. lists: the events of each kind by name, with the
+    same key; they are in the order of `order`, and empty where a source has none. A document is one row, so a source's events must fit in it.
+    """
+    rest = [c for c in summaries.columns if c != key and c not in metadata]
+    out = summaries.select(key, F.struct(*metadata).alias("metadata"), F.struct(*rest).alias("summary"))
+    for name, rows in lists.items():
+        own = [order, *(c for c in rows.columns if c not in (key, order))]
+        listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*own))).alias(name))
+        out = out.join(listed, key, "left").withColumn(name, F.coalesce(name, F.array()))
+    return out
+
+
+def documents_of(spark: SparkSession, path: str, shape: StructType) -> DataFrame:
+    """Result documents written by write_document."""
+    return spark.read.schema(shape).json(path)
+
+
 def segment_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """path, segment: the folder's files numbered in the order of their names, without reading them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length")
