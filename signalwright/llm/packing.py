@@ -1,11 +1,12 @@
 """Best-fit packing: a configuration linear program over the length histogram, by multiplicative weights, then rounded.
 
 The pieces' lengths are counted by Spark into a histogram of at most `capacity` lengths, so the program that the driver solves has
-a size that depends on the capacity alone, never on the number of documents. Each round prices one length by a weight that falls
-as the length gets covered, and a knapsack dynamic program finds the configurations (multisets of lengths that fit one sequence) of the
-greatest price; their average over the rounds is the fractional solution. It is rounded down; each further sequence takes the longest
-piece that is left and the knapsack program's best filling of the rest by pieces that are left. The program's dual prices bound how few
-sequences there can be, so a rounding that meets the bound is known to be best. The result is a short list of (configuration, times)
+a size that depends on the capacity alone, never on the number of documents. Each round prices a length by a weight that falls
+as the length gets covered, and a knapsack dynamic program finds, for every length, the best configuration (a multiset of lengths that
+fits one sequence and uses no more pieces than there are) with it; their average over the rounds is the fractional solution. It is rounded
+down, configurations below one up to one while their pieces last; the pieces that are left make a smaller program, solved and rounded
+alike, until a few per cent of the tokens are left, which go into best fillings, longest piece first. The program's dual prices bound how
+few sequences there can be, so a rounding that meets the bound is known to be best. The result is a short list of (configuration, times)
 rows. A piece then needs no search: its rank among the pieces of its length says which sequence it takes, and which place there.
 
 Defined results: a null or empty text still holds its end id; a document longer than the capacity, however long, is encoded whole and
@@ -17,7 +18,6 @@ vocabularies' own description has it), never that token.
 
 from __future__ import annotations
 
-import itertools
 import math
 import zlib
 from collections import Counter
@@ -70,86 +70,114 @@ class Plan:
     sequences: int
 
 
-def knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each room up to the capacity: the greatest total price of lengths that fit, and the length to take first (0: none)."""
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    back = np.ascontiguousarray(price[: capacity + 1])
-    for room in range(1, capacity + 1):
-        total = back[1 : room + 1] + best[room - 1 :: -1] if room > 1 else back[1:2] + best[0:1]
-        k = int(total.argmax())
-        if total[k] > best[room - 1]:
-            best[room], take[room] = total[k], k + 1
-        else:
-            best[room] = best[room - 1]
-    return best, take
+def multiples(counts: np.ndarray, capacity: int) -> list[tuple[int, int]]:
+    """(length, how many at once): with single, double, fourfold, ... pieces a 0/1 program can take any number up to what there is and fits."""
+    out = []
+    for v in np.flatnonzero(counts):
+        most = min(int(counts[v]), capacity // int(v))
+        m = 1
+        while most > 0:
+            out.append((int(v), min(m, most)))
+            most -= m
+            m *= 2
+    return out
 
 
-def configuration(first: int, take: np.ndarray, capacity: int) -> tuple[int, ...]:
-    """The best configuration that holds the length first (0: any)."""
-    out, room = [first] if first else [], capacity - first
-    while room > 0:
-        if take[room]:
-            out.append(int(take[room]))
-            room -= int(take[room])
-        else:
-            room -= 1
-    return tuple(sorted(out, reverse=True))
+def knapsack(price: np.ndarray, items: list[tuple[int, int]], capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to the capacity the greatest total price of items that fit, no item twice; and for each item the rooms at which it
+    is taken, given the items before it. price: of one piece of each length."""
+    best = np.zeros(capacity + 1)
+    taken = np.zeros((len(items), capacity + 1), dtype=bool)
+    for k, (v, m) in enumerate(items):
+        size = v * m
+        here = best[size:]
+        other = best[: capacity + 1 - size] + price[v] * m
+        np.greater(other, here + 1e-12, out=taken[k, size:])
+        np.maximum(here, other, out=here)
+    return best, taken
+
+
+def fillings(rooms: np.ndarray, items: list[tuple[int, int]], taken: np.ndarray, slot: dict[int, int]) -> np.ndarray:
+    """The pieces of each length in the best filling of each room, for all rooms at once: the program walked back from its last item."""
+    rooms = rooms.copy()
+    out = np.zeros((len(rooms), len(slot)), dtype=np.int32)
+    for k in range(len(items) - 1, -1, -1):
+        hit = np.flatnonzero(taken[k].take(rooms))
+        if len(hit):
+            v, m = items[k]
+            rooms[hit] -= v * m
+            out[hit, slot[v]] += m
+    return out
 
 
-Configurations = dict[tuple[int, ...], float]
+Configurations = dict[tuple[tuple[int, int], ...], float]
+#: Of a solution: rounds at most at first, and later (and at least at first), how fast weights fall, how far below the best price a
+#: configuration may be, and how near the bound ends it.
+ROUNDS, AGAIN, RATE, NEAR, GAP = 60, 12, 0.5, 0.01, 0.002
+#: Solutions of what is left at most, the share of the tokens that is left to the last fillings, and how near the bound is near enough.
+PASSES, REST, ENOUGH = 24, 0.05, 0.0005
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: tuple[int, ...], rate: float = 0.1) -> Iterator[tuple[Configurations, float]]:
-    """The fractional program by multiplicative weights: after each of the given numbers of rounds, the times of each configuration (so that
-    the lengths are covered as often as they occur, on average) and a bound that no packing can go below.
+def solve(counts: np.ndarray, capacity: int, draw: np.random.Generator, rounds: int = ROUNDS, below: float = NEAR, gap: float | None = GAP) -> tuple[Configurations, float]:
+    """The fractional program by multiplicative weights: the times of each configuration ((length, times), ...), so that on average the lengths
+    are covered as often as they occur, and a bound that no packing can go below.
 
-    A round takes the configurations of the greatest price (several if they are equal), as often as covers the most covered of their lengths
-    once; the weight of a length falls with what covers it. Prices over the greatest price of a configuration are feasible for
-    the dual program, so what all pieces cost at such prices is a lower bound; that of the first round is all tokens over the capacity.
+    A round prices each length by its weight. One knapsack program gives, for every length, the best configuration that holds it; those
+    whose price is near the greatest one are taken, each as often as its length occurs. The weight of a length falls with what covers it,
+    so the next round prefers others. Prices over the greatest price of a configuration are feasible for the dual program, so what all pieces
+    cost at such prices is a lower bound; that of the first round is all tokens over the capacity, or more.
     """
     lengths = np.flatnonzero(counts)
     need = counts[lengths].astype(float)
-    share, slot = need * lengths / (need @ lengths), {int(v): i for i, v in enumerate(lengths)}
+    slot = {int(v): i for i, v in enumerate(lengths)}
+    share = need * lengths / (need @ lengths)
     weight, covered = np.ones(len(lengths)), np.zeros(len(lengths))
+    items = multiples(counts, capacity)
     total: Configurations = {}
     bound = 0.0
-    for t in range(max(rounds)):
-        price = np.full(capacity + 1, -1.0)
+    for t in range(rounds):
+        # another order each time: of equally good fillings the program finds others
+        order = [items[k] for k in draw.permutation(len(items))]
+        price = np.zeros(capacity + 1)
         price[lengths] = lengths / capacity * weight
-        best, take = knapsack(price, capacity)
+        best, taken = knapsack(price, order, capacity)
         bound = max(bound, float(price[lengths] @ need) / best[capacity])
-        # one dynamic program gives the best configuration round each length
-        value = price[lengths] + best[capacity - lengths]
-        step: Configurations = {}
-        got = np.zeros(len(lengths))
-        for i in np.flatnonzero(value >= best[capacity] * (1 - 1e-9)):
-            first = int(lengths[i])
-            times = Counter(configuration(first, take, capacity))
-            x = need[i] / times[first]
-            c = tuple(sorted(times.elements(), reverse=True))
-            step[c] = step.get(c, 0.0) + x
-            for v, k in times.items():
-                got[slot[v]] += x * k
-        scale = 1 / float((got / need).max())
-        for c, x in step.items():
+        near = np.flatnonzero(price[lengths] + best[capacity - lengths] >= best[capacity] * (1 - below))
+        held = fillings(capacity - lengths[near], order, taken, slot)
+        held[np.arange(len(near)), near] += 1
+        fits = (held[np.arange(len(near)), near] <= counts[lengths[near]])
+        near, held = near[fits], held[fits]
+        if not len(near):
+            continue
+        times = need[near] / held[np.arange(len(near)), near]
+        got = times @ held / need
+        scale = 1 / got.max()
+        for row, x in zip(held, times, strict=True):
+            at = np.flatnonzero(row)
+            c = tuple(zip(lengths[at].tolist(), row[at].tolist(), strict=True))
             total[c] = total.get(c, 0.0) + x * scale
-        covered += got * scale / need
-        weight = np.maximum(weight * np.exp(-rate * got * scale / need), 1e-12)
+        covered += got * scale
+        if gap is not None and t + 1 >= AGAIN and sum(total.values()) * (1 - gap) <= bound * covered.mean():
+            break
+        weight = np.maximum(weight * np.exp(-RATE * got * scale), 1e-9)
         weight /= weight @ share
-        if t + 1 in rounds:
-            yield {c: x / covered.mean() for c, x in total.items()}, bound
+    return {c: x / max(covered.mean(), 1e-12) for c, x in total.items()}, bound
+
 
+Used = dict[tuple[tuple[int, int], ...], int]
 
-def _take(used: dict[tuple[int, ...], int], left: dict[int, int], c: tuple[int, ...], most: float) -> None:
+
+def _take(used: Used, left: np.ndarray, c: tuple[tuple[int, int], ...], most: int) -> int:
     """Places a configuration as often as `most` and what is left of its lengths allow."""
-    times = Counter(c)
-    m = int(min(most, *(left.get(v, 0) // k for v, k in times.items())))
-    if m > 0:
-        used[c] = used.get(c, 0) + m
-        for v, k in times.items():
-            left[v] -= m * k
-            if not left[v]:
-                del left[v]
+    m = most
+    for v, k in c:
+        m = min(m, int(left[v]) // k)
+        if m <= 0:
+            return 0
+    used[c] = used.get(c, 0) + m
+    for v, k in c:
+        left[v] -= m * k
+    return m
 
 
 def filled(room: int, left: dict[int, int], slack: int) -> list[int]:
@@ -175,49 +203,85 @@ def filled(room: int, left: dict[int, int], slack: int) -> list[int]:
     return out
 
 
-def rounded(x: Configurations, counts: np.ndarray, capacity: int, slack: int) -> dict[tuple[int, ...], int]:
-    """Whole times: the fractional ones rounded down, then, longest piece first, whatever fills its sequence best."""
-    left = {int(v): int(counts[v]) for v in np.flatnonzero(counts)[::-1]}
-    used: dict[tuple[int, ...], int] = {}
-    for c, t in sorted(x.items(), key=lambda i: (-i[1], i[0])):
-        if t < 1:
-            break
-        _take(used, left, c, t)
-    for v in list(left):
-        while v in left:
-            left[v] -= 1
-            rest = filled(capacity - v, left, slack)
-            left[v] += 1
-            _take(used, left, (v, *sorted(rest, reverse=True)), math.inf)
+def _filled_up(left: np.ndarray, capacity: int, slack: int) -> Used:
+    """Longest piece first, each with the best filling of its sequence."""
+    rest = {int(v): int(left[v]) for v in np.flatnonzero(left)[::-1]}
+    used: Used = {}
+    for v in list(rest):
+        while rest[v]:
+            rest[v] -= 1
+            own = Counter([v, *filled(capacity - v, rest, slack)])
+            rest[v] += 1
+            m = min(rest[u] // k for u, k in own.items())
+            c = tuple(sorted(own.items()))
+            used[c] = used.get(c, 0) + m
+            for u, k in c:
+                rest[u] -= m * k
     return used
 
 
-def best_configurations(counts: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], int], float]:
-    """The rounded program with the fewest sequences, and the program's lower bound. It ends once a rounding meets the bound."""
-    kinds = int(np.count_nonzero(counts))
-    if not kinds:
-        return {}, 0.0
-    # a round's time grows with the number of lengths
-    many = max(16, min(150, 60_000 // kinds))
-    found: dict[tuple[int, ...], int] | None = None
+def rounded(counts: np.ndarray, capacity: int, long_first: bool = True, gap: float | None = GAP, seed: int = 0) -> tuple[Used, int, float]:
+    """Whole times, how many tokens the program's configurations place, and the lower bound.
+
+    The fractional times are rounded down; a configuration below one is rounded up to one, those that waste least first (of equal ones that
+    with the longest piece, which is hard to place later, or the one with the greatest times), while its pieces last. What that leaves is a smaller program of the same kind, which is solved and rounded again, until at most REST of the tokens are
+    left: these go, longest piece first, into the best fillings of their sequences.
+    """
+    draw = np.random.default_rng(seed)
+    left = counts.astype(np.int64).copy()
+    sizes = np.arange(len(counts))
+    tokens = int(left @ sizes)
+    used: Used = {}
+    bound, slack = 0.0, 0
+    for _ in range(PASSES):
+        if left @ sizes <= REST * tokens:
+            break
+        x, least = solve(left, capacity, draw, AGAIN if used else ROUNDS, max(NEAR, slack / capacity), gap)
+        bound = max(bound, least) if not used else bound
+        room = {c: capacity - sum(v * k for v, k in c) for c in x}
+        before = int(left.sum())
+        for c in sorted(x, key=lambda c: (-x[c], c)):
+            if x[c] >= 1:
+                _take(used, left, c, int(x[c]))
+        for c in sorted(x, key=lambda c: (room[c], -c[-1][0] if long_first else 0, -x[c], c)):
+            if room[c] <= slack:
+                _take(used, left, c, 1)
+        if before - int(left.sum()) < 0.02 * before:
+            slack = max(1, 4 * slack)
+            if slack > capacity:
+                break
+    placed = tokens - int(left @ sizes)
+    last = min((_filled_up(left, capacity, near) for near in (0, capacity // 128, capacity // 32)), key=lambda u: sum(u.values()))
+    for c, m in last.items():
+        used[c] = used.get(c, 0) + m
+    return used, placed, bound
+
+
+def best_configurations(counts: np.ndarray, capacity: int) -> tuple[Used, float, float]:
+    """The rounding with the fewest sequences of three, the program's lower bound, and the share of the tokens that its configurations place. It
+    ends once a rounding is at the bound, or within ENOUGH of it."""
+    tokens = int(counts @ np.arange(len(counts)))
+    if not tokens:
+        return {}, 0.0, 1.0
+    best: tuple[int, Used, float] | None = None
     bound = 0.0
-    for x, least in itertools.chain(solve(counts, capacity, (8, many)), [({}, 0.0)]):
+    for long_first, gap in ((True, GAP), (False, GAP), (True, None)):
+        used, placed, least = rounded(counts, capacity, long_first, gap)
         bound = max(bound, least)
-        for slack in (0, capacity // 128) if x else (0, capacity // 32):
-            used = rounded(x, counts, capacity, slack)
-            if found is None or sum(used.values()) < sum(found.values()):
-                found = used
-            if sum(found.values()) <= math.ceil(bound - 1e-6):
-                return found, bound
-    return found, bound
+        n = sum(used.values())
+        if best is None or n < best[0]:
+            best = (n, used, placed / tokens)
+        if best[0] <= math.ceil(bound - 1e-6) * (1 + ENOUGH):
+            break
+    return best[1], bound, best[2]
 
 
 def plan(counts: np.ndarray, capacity: int) -> Plan:
     """counts: how many pieces have each length, by length up to the capacity. Which rank goes where."""
     left = counts.astype(np.int64).copy()
-    used: list[tuple[tuple[int, ...], int]] = []
+    used: list[tuple[tuple[tuple[int, int], ...], int]] = []
     if left[capacity]:
-        used.append(((capacity,), int(left[capacity])))
+        used.append((((capacity, 1),), int(left[capacity])))
         left[capacity] = 0
     used += best_configurations(left, capacity)[0].items()
 
@@ -226,7 +290,7 @@ def plan(counts: np.ndarray, capacity: int) -> Plan:
     sequence = 0
     for c, m in used:
         offset = 0
-        for v, each in sorted(Counter(c).items(), reverse=True):
+        for v, each in sorted(c, reverse=True):
             rows.append((v, int(given[v]), sequence, each, offset))
             given[v] += each * m
             offset += each * v

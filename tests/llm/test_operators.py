@@ -165,15 +165,62 @@ def test_packing_plan_against_exhaustive_search():
 
 
 def test_knapsack_finds_the_best_price():
+    """No more pieces than there are; every room's filling is worth what the program says."""
     rng = np.random.default_rng(5)
-    for _ in range(20):
-        price = np.where(rng.random(13) < 0.6, rng.random(13), -1.0)
-        best, take = packing.knapsack(price, 12)
-        def most(room):
-            return max([0.0, *(price[v] + most(room - v) for v in range(1, room + 1) if price[v] > 0)])
-        assert math.isclose(best[12], most(12))
-        c = packing.configuration(0, take, 12)
-        assert sum(c) <= 12 and math.isclose(sum(price[v] for v in c), best[12])
+    for _ in range(30):
+        counts = np.where(rng.random(13) < 0.6, rng.integers(0, 4, 13), 0)
+        counts[0] = 0
+        if not counts.any():
+            continue
+        price = rng.random(13)
+        items = packing.multiples(counts, 12)
+        items = [items[k] for k in rng.permutation(len(items))]
+        best, taken = packing.knapsack(price, items, 12)
+        own = [v for v in range(13) for _ in range(counts[v])]
+
+        def most(k, room):
+            return 0.0 if k == len(own) else max(most(k + 1, room), price[own[k]] + most(k + 1, room - own[k]) if own[k] <= room else 0.0)
+
+        lengths = np.flatnonzero(counts)
+        rooms = np.arange(13)
+        held = packing.fillings(rooms, items, taken, {int(v): i for i, v in enumerate(lengths)})
+        for room in rooms:
+            assert math.isclose(best[room], most(0, room), abs_tol=1e-9)
+            assert math.isclose(held[room] @ price[lengths], best[room], abs_tol=1e-9) and held[room] @ lengths <= room
+            assert (held[room] <= counts[lengths]).all()
+
+
+def histograms():
+    rng = np.random.default_rng(2)
+    yield "lognormal", np.minimum(rng.lognormal(6, 1, 20_000).astype(int) + 1, 2047), 0.9, 0.001
+    yield "uniform", rng.integers(600, 1101, 3000), 0.8, None
+    yield "bimodal", np.concatenate([rng.integers(900, 1100, 1500), rng.integers(100, 400, 3000)]), 0.9, 0.001
+
+
+def test_the_program_places_the_pieces():
+    """At least nine tenths of the tokens stand in the program's configurations, and the sequences are at the bound or near it."""
+    for name, own, least, over in histograms():
+        used, bound, share = packing.best_configurations(np.bincount(own, minlength=2049), 2048)
+        assert share >= least, name
+        n = sum(used.values())
+        assert n >= bound - 1e-6
+        assert over is None or n <= math.ceil(bound - 1e-6) * (1 + over), name
+        placed = np.zeros(2049, dtype=int)
+        for c, m in used.items():
+            assert sum(v * k for v, k in c) <= 2048
+            for v, k in c:
+                placed[v] += k * m
+        assert (placed == np.bincount(own, minlength=2049)).all()
+
+
+def test_the_program_places_the_documents(docs):
+    encode = _common.word_encoder(public_tokenizers.path("word_bpe_49k.json")).encode
+    counts = np.zeros(2049, dtype=int)
+    for raw in encode([(t or "").encode() for _, t in texts_of(docs)]):
+        counts[(len(raw) // 4 + 1) % 2048] += 1
+    counts[0] = 0
+    used, bound, share = packing.best_configurations(counts, 2048)
+    assert share >= 0.9 and sum(used.values()) <= math.ceil(bound) + 1
 
 
 def test_mixing_odd_rows(spark, odd, empty):
