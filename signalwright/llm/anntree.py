@@ -238,16 +238,28 @@ def _first(found: DataFrame, nearest: int) -> DataFrame:
 
 
 def _true_neighbours(indexed: DataFrame, tried: list, nearest: int) -> DataFrame:
-    """The exact neighbours of a bounded list of queries (vec_id, key, v), with their leaves, by one pass over all rows."""
+    """The exact neighbours of a bounded list of queries (vec_id, key, v), with their leaves, by one pass over all rows; a task sends NEAREST rows a
+    query, however many it reads."""
     own, keys, q = np.array([r["vec_id"] for r in tried]), np.array([r["key"] for r in tried]), np.array([r["v"] for r in tried])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # what a task has found so far, for each query; the worst of a full list is the floor of what comes
+        found = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int32)) for _ in own]
+        floors = np.full(len(own), -np.inf)
         for b in batches:
-            if b.num_rows:
-                ids, x, leaf = b.column(0).to_numpy(), _matrix(b.column(1)), b.column(2).to_numpy()
-                for k, (rows, true) in enumerate(best(q @ x.T, q, x, own, ids, nearest)):
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, own[k])), pa.array(np.full(n, keys[k])), pa.array(ids[rows]), pa.array(true), pa.array(leaf[rows], pa.int32())], names=["query_id", "query_key", "vec_id", "score", "leaf"])
+            if not b.num_rows:
+                continue
+            ids, x, leaf = b.column(0).to_numpy(), _matrix(b.column(1)), b.column(2).to_numpy()
+            for k, (rows, true) in enumerate(best(q @ x.T, q, x, own, ids, nearest, floors)):
+                if len(rows):
+                    both = [np.concatenate(p) for p in zip(found[k], (true, ids[rows], leaf[rows]), strict=True)]
+                    first = np.lexsort((both[1], -both[0]))[:nearest]
+                    found[k] = tuple(p[first] for p in both)
+                    floors[k] = found[k][0][-1] if len(first) == nearest else -np.inf
+        n = [len(f[0]) for f in found]
+        if sum(n):
+            columns = [np.repeat(own, n), np.repeat(keys, n), *(np.concatenate([f[i] for f in found]) for i in (1, 0, 2))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "query_key", "vec_id", "score", "leaf"])
 
     return _first(indexed.select("vec_id", "v", "leaf").mapInArrow(run, FOUND + ", leaf int"), nearest)
 

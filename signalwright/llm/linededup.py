@@ -1,10 +1,12 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-Each line is hashed, and a hash rolls over the lines, two at a time: the difference of neighbouring line hashes. A line where it
-changes its sign ends a chunk and begins the next, so that a passage shared by two documents falls into the same chunks wherever it stands
-in them. Three such chunkings, by three mixes of the line hashes, catch what one of them cuts at the borders of a short passage. A chunk that
-occurs again, in the same or another document, is repeated; its lines are removed everywhere but at its first place (the smallest
-doc_id, then the first line). A removed line thus has an equal one at an earlier place, and the earliest of all stays.
+Each line is hashed, and a hash rolls over the line hashes with a window of one line; where it lies in the lower SHARE of its range, the line
+ends a chunk and begins the next. So a border depends on its own line alone, and a passage shared by two documents falls into the same
+chunks wherever it stands in them: with a wider window, or by comparison with the neighbours, its first and last lines would depend on
+what stands around it. Three such chunkings, by three mixes of the line hashes, catch what one of them cuts at the ends of a short passage.
+A chunk that occurs again, in the same or another document, is repeated; its lines are removed everywhere but at its first place (the
+smallest doc_id, then the first line), and the lines of a first place stay, whatever other chunk holds them. A removed line thus has an equal
+one at an earlier place, and every repeated chunk stays whole once.
 
 Chunks are counted by a hash, so that texts don't travel for that. The documents that hold repeated ones are then joined with their places
 once, and each hash's chunks are compared, line by line: one whose texts are not all the same bytes isn't repeated.
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 
 from signalwright.llm._common import cut, fresh, stored
 
-#: A mix is the line's hash times a factor, modulo a prime. Each further mix finds about half of the passages that the others miss.
+#: A mix is the line's hash times a factor, modulo a prime. Each further mix finds most of the passages that the others miss.
 FACTORS, PRIME = (1, 1103515245, 69069), 4294967291
+#: Below it (four fifths of the range) a line is a border: chunks have two lines, or a few more.
+BORDER = PRIME * 4 // 5
 
 
 def let(value: Column, use) -> Column:
@@ -54,13 +58,8 @@ def between(lines: Column, first: Column, last: Column) -> Column:
 
 
 def borders(mixed: Column) -> Column:
-    """The first line, the last one, and those where the mixes go from rising to not rising or back."""
-
-    def turns(i: Column) -> Column:
-        here = F.get(mixed, i)
-        return (i == 0) | (i == F.size(mixed) - 1) | ((here > F.get(mixed, i - 1)) != (F.get(mixed, i + 1) > here))
-
-    return F.filter(F.sequence(F.lit(0), F.size(mixed) - 1), turns)
+    """The first line, the last one, and those whose mix is low."""
+    return F.filter(F.sequence(F.lit(0), F.size(mixed) - 1), lambda i: (i == 0) | (i == F.size(mixed) - 1) | (F.get(mixed, i) < BORDER))
 
 
 def chunked(text: Column) -> Column:
@@ -96,7 +95,8 @@ def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     place = F.struct("_doc", "_row", "_span")
     # cut: with an exchange of its own on either side, Spark splits the join of a chunk that very many documents hold
-    groups = cut(found.groupBy("_hash").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").select(F.col("_hash").alias("_h"), "_first"))
+    # several mixes may give one place the same chunk, and rows that agree are one document: what counts is another place
+    groups = cut(found.groupBy("_hash").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first != _last").select(F.col("_hash").alias("_h"), "_first"))
     again = found.join(groups, F.col("_hash") == F.col("_h"))
     first, last = F.shiftright("_span", 32).cast("int"), F.col("_span").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     mark = F.struct(first.alias("first"), last.alias("last"), F.col("_hash").alias("hash"), (place == F.col("_first")).alias("stays"))
@@ -143,8 +143,9 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
         alike = joined.where(F.col(marks).isNotNull()).select(own, F.explode(marks).alias("m")).join(unlike, F.col("m.hash") == F.col("_h"), "left_anti")
         left = alike.groupBy(F.col(own).alias(row)).agg(F.collect_set("m").alias("m"))
         joined = joined.drop(marks).join(left.withColumnRenamed("m", marks), F.col(own) == F.col(row), "left").drop(row)
-    lost = F.array_distinct(F.flatten(F.transform(dropped, lambda m: F.sequence(m["first"], m["last"]))))
-    joined = joined.withColumn(gone, F.when(F.size(dropped) > 0, lost))
+    lines = lambda found: F.flatten(F.transform(found, lambda m: F.sequence(m["first"], m["last"])))
+    lost = F.array_except(lines(dropped), lines(F.filter(F.col(marks), lambda m: m["stays"])))
+    joined = joined.withColumn(gone, F.when(F.size(lost) > 0, lost))
 
     def without(lines: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))  # by hashing: in proportion to the text
@@ -161,15 +162,15 @@ WITH lines AS (
   SELECT doc_id, t.i AS i, s[t.i] AS line, f.f AS f, ('0x' || md5(s[t.i])[1:8])::BIGINT * f.f % 4294967291 AS k, len(s) AS n
   FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL) d, range(1, len(s) + 1) t(i), (VALUES (1), (1103515245), (69069)) f(f)),
 turned AS (
-  SELECT *, CASE WHEN i = 1 OR i = n OR (k > lag(k) OVER w) <> (lead(k) OVER w > k) THEN 1 ELSE 0 END AS turn FROM lines WINDOW w AS (PARTITION BY doc_id, f ORDER BY i)),
+  SELECT *, CASE WHEN i = 1 OR i = n OR k < 4294967291 * 4 // 5 THEN 1 ELSE 0 END AS turn FROM lines),
 counted AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id, f ORDER BY i) AS upto FROM turned),
 members AS (
   SELECT doc_id, f, i, line, upto - turn AS chunk_no FROM counted WHERE i > 1
   UNION ALL SELECT doc_id, f, i, line, upto FROM counted WHERE turn = 1 AND i < n),
 chunks AS (SELECT doc_id, chunk_no, f, min(i) AS lo, max(i) AS hi, string_agg(line, chr(10) ORDER BY i) AS chunk FROM members GROUP BY doc_id, chunk_no, f),
 worded AS (SELECT DISTINCT doc_id, lo, hi, chunk FROM chunks WHERE regexp_matches(chunk, '[^\x20\x09-\x0D]')),
-judged AS (SELECT doc_id, lo, hi, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, lo) > 1 AS gone FROM worded),
-lost AS (SELECT DISTINCT doc_id, t.i AS i FROM judged, range(lo, hi + 1) t(i) WHERE gone),
+judged AS (SELECT doc_id, lo, hi, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, lo) > 1 AS gone, count(*) OVER (PARTITION BY chunk) > 1 AS again FROM worded),
+lost AS (SELECT doc_id, t.i AS i FROM judged, range(lo, hi + 1) t(i) WHERE gone EXCEPT SELECT doc_id, t.i FROM judged, range(lo, hi + 1) t(i) WHERE again AND NOT gone),
 texts AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE x.i IS NULL) AS kept, count(*) FILTER (WHERE x.i IS NULL) AS left_over, count(x.i)::INT AS n_removed
   FROM lines l LEFT JOIN lost x ON l.doc_id = x.doc_id AND l.i = x.i WHERE l.f = 1 GROUP BY l.doc_id)

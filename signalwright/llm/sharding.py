@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,40 +45,46 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def _joint(key: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    """Key and salt as strings of 16 bytes that order as the pair does."""
-    both = np.empty((len(key), 2), dtype=">u8")
-    both[:, 0] = key.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-    both[:, 1] = salt.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-    return both.view("S16").ravel()
+#: What rows are ordered by; a null doc_id comes first.
+ORDER = ["key", "doc_id", "salt"]
 
 
-def _quantiles(sample: DataFrame, ranges: int) -> np.ndarray:
-    """Boundaries of equal weight of a small sample of (key, salt, weight)."""
-    own = sample.toPandas()
-    if not len(own):
-        return np.zeros(0, dtype="S16")
-    keys = _joint(own.key.to_numpy(), own.salt.to_numpy())
+def _joint(columns: list[pa.Array]) -> np.ndarray:
+    """The columns of ORDER as strings of 24 bytes that order as they do."""
+    all_ = np.empty((len(columns[0]), len(ORDER)), dtype=">u8")
+    for k, c in enumerate(columns):
+        all_[:, k] = c.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return all_.view("S24").ravel()
+
+
+NONE = np.zeros(0, dtype="S24")
+
+
+def _quantiles(sample: pa.Table, ranges: int) -> np.ndarray:
+    """Boundaries of equal weight of a small sample of (ORDER, weight)."""
+    if not len(sample):
+        return NONE
+    keys = _joint([sample[c].combine_chunks() for c in ORDER])
     order = np.argsort(keys)
-    total = own.weight.to_numpy()[order].cumsum()
+    total = sample["weight"].to_numpy()[order].cumsum()
     at = np.searchsorted(total, np.arange(1, ranges) * total[-1] / ranges)
     return np.unique(keys[order][np.minimum(at, len(total) - 1)])
 
 
-def _drawn(rows: DataFrame, mean: float, step: float) -> DataFrame:
+def _drawn(rows: DataFrame, mean: float, step: Column, *also: str) -> pa.Table:
     """A sample of one row for each `step` of weight: a row counts its size and the mean size, so that no range has many more rows,
     or more bytes, than the others. A row whose weight is that of several steps counts for each."""
-    chance = (F.col("size") + F.lit(mean)) / F.lit(step)
+    chance = (F.col("size") + F.lit(mean)) / step
     draw = F.xxhash64(F.lit("draw"), "key", "salt").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    return rows.where(draw < chance).select("key", "salt", F.greatest(F.lit(1.0), chance).alias("weight"))
+    return rows.where(draw < chance).select(*also, *ORDER, F.greatest(F.lit(1.0), chance).alias("weight")).toArrow()
 
 
 def splitters(rows: DataFrame, ranges: int, per_range: int = 24) -> np.ndarray:
     """Quantile boundaries of a size-weighted sample of about ranges * per_range keys."""
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if not n:
-        return np.zeros(0, dtype="S16")
-    return _quantiles(_drawn(rows, size / n, 2.0 * size / (ranges * per_range)), ranges)
+        return NONE
+    return _quantiles(_drawn(rows, size / n, F.lit(2.0 * size / (ranges * per_range))), ranges)
 
 
 def _ranged(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
@@ -88,7 +94,7 @@ def _ranged(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = _joint(*(b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "salt")))
+            own = _joint([b.column(b.schema.get_field_index(c)) for c in ORDER])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(spread.value, own, side="right").astype(np.int32))], [*b.schema.names, "range"])
 
     return rows.mapInArrow(run, schema)
@@ -104,13 +110,14 @@ def ranges_of(rows: DataFrame, ranges: int, per_range: int = 24, first: np.ndarr
             return found
         mean = sum(t["b"] for t in totals) / sum(t["r"] for t in totals)
         even = sum(t["b"] + mean * t["r"] for t in totals) / ranges
-        more = []
-        for t in totals:
-            weight = t["b"] + mean * t["r"]
-            if weight > OVERFULL * even and t["r"] > 1:
-                parts = math.ceil(weight / even) + 1
-                more.append(_quantiles(_drawn(found.where(F.col("range") == t["range"]), mean, weight / (parts * per_range)), parts))
-        new = np.unique(np.concatenate([bounds, *more]))
+        heavy = {t["range"]: w for t in totals if (w := t["b"] + mean * t["r"]) > OVERFULL * even and t["r"] > 1}
+        parts = {k: math.ceil(w / even) + 1 for k, w in heavy.items()}
+        new = bounds
+        if heavy:  # one sample of all overfull ranges, each by its own step
+            steps = rows.sparkSession.createDataFrame([(k, w / (parts[k] * per_range)) for k, w in heavy.items()], "range int, _step double")
+            sample = _drawn(found.join(F.broadcast(steps), "range"), mean, F.col("_step"), "range")
+            own = sample["range"].to_numpy()
+            new = np.unique(np.concatenate([bounds, *(_quantiles(sample.filter(pa.array(own == k)), n) for k, n in parts.items())]))
         if len(new) == len(bounds):  # nothing overfull, or only rows that outweigh a range by themselves
             return found
         bounds = new
@@ -121,7 +128,7 @@ def assign_shards(rows: DataFrame, shards: int = 16, tolerance: float = 0.01) ->
     """rows (key, salt, size and others) plus shard and slot."""
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    inside = Window.partitionBy("range").orderBy("key", "doc_id", "salt")
+    inside = Window.partitionBy("range").orderBy(*ORDER)
     run = inside.rowsBetween(Window.unboundedPreceding, -1)
     group = F.shiftright("key", 24)
     ordered = cut(
