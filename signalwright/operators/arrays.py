@@ -25,7 +25,8 @@ def deviation(a: Column, of: Column) -> Column:
 
 def mean_difference(a: Column, b: Column) -> Column:
     """Mean absolute difference of two patches."""
-    return mean(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
+    # the longer one's size, as that of the difference would compute it again
+    return total(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))) / F.greatest(F.size(a), F.size(b))
 
 
 def crop(a: Column, width: int, x1: int, y1: int, x2: int, y2: int) -> Column:

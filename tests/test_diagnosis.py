@@ -35,6 +35,36 @@ def test_profile_and_features(spark):
     assert diagnosis.features(prof.limit(0), ["k", "at"]).count() == 0
 
 
+def test_profiles_as_by_joins(spark):
+    """Frames that are missing or repeat, null textures and patches, odd rates: as joins of each point of the grid would have it."""
+    rng = random.Random(3)
+    rows = [(k, f, rng.choice([None, *map(float, range(60, 90))]), rng.choice([None, [float(rng.randrange(9)), 1.0]])) for k in (0, 1, None) for f in range(60) for _ in range(rng.choice([0, 1, 1, 1, 1, 2]))]
+    events = [(k, at) for k in (0, 1, None, 5) for at in (0, 3, 47, 110, 235, 400)]
+    frames = spark.createDataFrame(rows, "k long, frame long, texture double, patch array<double>").repartition(3)
+    got = diagnosis.profile(spark.createDataFrame(events, "k long, at long"), frames, K, "at", 2.5)
+    place = lambda t: int(t * 0.25 // 1)
+    want = []
+    for k, at in events:
+        own = [r for r in rows if k is not None and r[0] == k]
+        for empty in [r[3] for r in own if r[1] == place(max(at - 100, 0)) and r[3] is not None] or [None]:
+            for o in range(-60, 31, 2):
+                for r in own:
+                    if r[1] == place(at + o):
+                        want.append((k, at, o, r[2], 0.0 if empty is None or r[3] is None else (abs(r[3][0] - empty[0]) + abs(r[3][1] - empty[1])) / 2))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and len(want) > 300
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_no_point_of_the_grid_travels(spark):
+    """One exchange brings events and frames together; features need none."""
+    frames = spark.createDataFrame([(0, f, float(f), [1.0]) for f in range(9)], "k long, frame long, texture double, patch array<double>")
+    events = spark.createDataFrame([(0, 20)], "k long, at long")
+    assert shuffles(diagnosis.features_of(diagnosis.profiles(events, frames, K, "at", 2.5), ["k", "at"])) == 1
+
+
 def test_sweeps_count_each_row_once(spark):
     rng = random.Random(1)
     rows = [(f, rng.choice([None, 1.0, 2.0, 2.5, 3.0, 9.0]), rng.choice("pqz")) for f in ("a", "b") for _ in range(200)]
