@@ -10,10 +10,11 @@ import pickle
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from signalwright.operators import detectors
 from signalwright.sources.scratch import exists, new_path
@@ -95,72 +96,77 @@ def classify(cycles: DataFrame, scale: DataFrame, key: str, ct: str, st: str, lo
     return found.withColumn("verdict", F.when(F.col(st).isNull(), "rejected").otherwise("accepted"))
 
 
-def _plain(column: pd.Series) -> list:
-    """Python values, null as None."""
-    return [None if x is None or isinstance(x, float) and x != x else x for x in column.tolist()]
+#: Keys are dealt out to so many buckets, which Spark groups by.
+BUCKETS = 2048
 
 
-class Keyed(StatefulProcessor):
+class Keyed:
     """A machine for each key, kept between batches: `feed(*columns)`, `close()`, `events`.
 
     A batch's rows of a key are fed in the order of `order` and the first column (their number is bounded by what the source gives to a
     batch). A row before the last one fed is late: it changes nothing, and its first column is told as an event of the kind `late`. A key without rows
     for `idle` is over when the watermark has passed that long: its machine closes, tells what was open, and its state goes; rows after that
     begin anew. Rows without a key take no part. The state is the machine itself, so another version of its class needs a new folder.
+    What Spark groups by, and keeps a state and a timer for, is a bucket of keys: a group costs it some 20 ms a batch, whatever its rows.
     """
 
+    STATE = "own binary"
+
     def __init__(self, make: Callable[[], object], columns: Sequence[str], shape: str, key: str, order: str, at: str, idle: int):
         self.make, self.columns, self.key, self.order, self.at, self.idle = make, list(columns), key, order, at, idle
         self.out = [key, *(x.split()[0] for x in shape.split(", "))]
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("machine", "own binary, last long")
-
-    def _told(self, key, events: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *e) for e in events], columns=self.out).astype(object)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        machine, last = self.make(), None
-        if self.state.exists():
-            own, last = self.state.get()
-            machine = pickle.loads(bytes(own))
-        batch = pd.concat(list(rows))
-        batch = batch[batch[self.at].dt.year < int(FAR[:4])].sort_values([self.order, *(c for c in self.columns[:1] if c != self.order)], kind="stable")
-        if batch.empty:
-            return
-        told: list[tuple] = []
-        for row in zip(*(_plain(batch[c]) for c in (self.order, *self.columns)), strict=True):
-            if last is not None and row[0] < last:
-                told.append(("late", row[1], *[None] * (len(self.out) - 3)))
-                continue
-            last = row[0]
-            machine.feed(*row[1:])
-            told += machine.events
-            machine.events.clear()
-        self.state.update((pickle.dumps(machine), last))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        ends = int(batch[self.at].max().timestamp() * 1000) + self.idle
-        self.handle.registerTimer(max(ends, timerValues.getCurrentWatermarkInMs() + 1))
-        yield self._told(key, told)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        machine = pickle.loads(bytes(self.state.get()[0]))
-        machine.close()
-        self.state.clear()
-        yield self._told(key, machine.events)
-
-    def close(self) -> None:
-        pass
+        self.far = int(pd.Timestamp(f"{FAR[:4]}-01-01").value // 1000)
+
+    def _rows(self, parts: Iterator[pd.DataFrame]) -> dict[object, list[tuple]]:
+        """The batch's rows of each key as plain values (order, columns, time in microseconds), in order."""
+        found: dict[object, list[tuple]] = {}
+        for part in parts:
+            time = part[self.at].to_numpy().astype("datetime64[us]").astype(np.int64).tolist()
+            plain = [[None if x is None or isinstance(x, float) and x != x else x for x in part[c].tolist()] for c in (self.order, *self.columns)]
+            for key, *row in zip(part[self.key].tolist(), *plain, time, strict=True):
+                if row[-1] < self.far:
+                    found.setdefault(key, []).append(tuple(row))
+        by = 1 if self.columns[0] == self.order else 2
+        for rows in found.values():
+            rows.sort(key=lambda r: [(x is None, x) for x in r[:by]])
+        return found
+
+    def run(self, bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        machines: dict = pickle.loads(bytes(state.get[0])) if state.exists else {}  # key: machine, last, the time of its end
+        rows = {} if state.hasTimedOut else self._rows(parts)
+        now, told = state.getCurrentWatermarkMs(), []
+        for key, own in rows.items():
+            machine, last, _ = machines.get(key) or (self.make(), None, None)
+            for row in own:
+                if last is not None and row[0] < last:
+                    told.append((key, "late", row[1], *[None] * (len(self.out) - 3)))
+                    continue
+                last = row[0]
+                machine.feed(*row[1:-1])
+                if machine.events:
+                    told += [(key, *e) for e in machine.events]
+                    machine.events.clear()
+            machines[key] = machine, last, max(max(r[-1] for r in own) // 1000 + self.idle, now + 1)
+        for key in [k for k, (*_, end) in machines.items() if end <= now]:
+            machine = machines.pop(key)[0]
+            machine.close()
+            told += [(key, *e) for e in machine.events]
+        if machines:
+            state.update((pickle.dumps(machines),))
+            state.setTimeoutTimestamp(min(end for *_, end in machines.values()))
+        elif state.exists:
+            state.remove()
+        if told:
+            yield pd.DataFrame(told, columns=self.out, dtype=object)
 
 
 def by_machine(stream: DataFrame, key: str, order: str, at: str, columns: Sequence[str], make: Callable[[], object], shape: str, late: str, idle: int) -> DataFrame:
     """Events of a machine for each key (see Keyed); `at` is the time of a row, `idle` milliseconds. The closing row meets no machine."""
     own = stream.where(F.col(key).isNotNull()).withWatermark(at, late)
     kind = dict(stream.dtypes)[key]
-    processor = Keyed(make, columns, shape, key, order, at, idle)
-    return own.select(key, order, at, *(c for c in columns if c != order)).groupBy(key).transformWithStateInPandas(processor, f"{key} {kind}, {shape}", "Append", "EventTime")
+    keyed = Keyed(make, columns, shape, key, order, at, idle)
+    rows = own.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_bucket"), key, order, at, *(c for c in columns if c != order)).groupBy("_bucket")
+    return rows.applyInPandasWithState(keyed.run, f"{key} {kind}, {shape}", Keyed.STATE, "Append", GroupStateTimeout.EventTimeTimeout)
 
 
 class Latch:

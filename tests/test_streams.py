@@ -153,3 +153,23 @@ def test_a_cluster_needs_a_shared_folder(spark):
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         with pytest.raises(ValueError):
             scratch.shared_dir(Session())
+
+
+def test_keys_of_one_bucket_end_each_at_their_time(spark, tmp_path, monkeypatch):
+    """All keys in one bucket: each closes when the watermark has passed it, the others go on, and Spark keeps one state for them all."""
+    monkeypatch.setattr(stream, "BUCKETS", 1)
+    schema = "k long, frame long, level double, left double, motion double, spread double, control string"
+    hour = 90_000  # frames
+    rows = {k: cut_rows(k, k, 0, 60) for k in range(40)}
+    for f in (0, 30):
+        put(spark, tmp_path / "in", [r for k in rows for r in rows[k][f : f + 30]], schema)
+    more = [(0, hour // 2 + f, *r[2:]) for f, r in enumerate(cut_rows(99, 0, 0, 40))]
+    put(spark, tmp_path / "in", more, schema)
+    # an hour and a bit after the first rows: all but key 0 are over
+    put(spark, tmp_path / "in", [(77, hour + hour // 4, 0.0, 0.0, 0.0, 99.0, None)], schema)
+    put(spark, tmp_path / "in", [(77, hour + hour // 4 + 1, 0.0, 0.0, 0.0, 99.0, None)], schema)
+    got = stream.drain(stream.stream_cuts(source(spark, tmp_path / "in", schema), "k", "at", CONFIG, "1 second", HOUR), "cuts", folder=f"file://{tmp_path}/out")
+    want = of_machine(rows[0] + more, False).union(*(of_machine(rows[k], True) for k in rows if k))
+    assert {tuple(r) for r in got.collect()} == want and any(e[-1] for e in want)
+    states = spark.read.format("statestore").load(f"file://{tmp_path}/out/state").count()
+    assert states == 1
