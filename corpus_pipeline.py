@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from signalwright.llm import langid, linededup, mixing, neardup, packing, simhash
 from signalwright.llm._common import cut, documents, stored
@@ -35,9 +36,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (word 5-shingles, similarity 0.8 or more) stays. By MinHash bands and verification, not by
-    SimHash fingerprints, whose segments can't reach all such pairs."""
-    return simhash.one_of_each(docs, cut(neardup.near_groups(docs)))
+    """One document of each group of near copies (word 5-shingles, similarity 0.8 or more) stays. SimHash fingerprints and their components, as
+    in op8, give the first candidates; MinHash bands add the pairs that differ in more bits than fingerprints can find. All are verified on
+    the whole sets."""
+    linked = simhash.near_groups(docs)
+    # a component is named by its least doc_id, one of null doc_ids alone by its fingerprints
+    named = linked.select("mark", F.xxhash64(F.col("component_id").isNull(), F.coalesce("component_id", "fp")).alias("group"))
+    return simhash.one_of_each(docs, cut(neardup.near_groups(docs, also=cut(named))))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

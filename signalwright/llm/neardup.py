@@ -212,11 +212,18 @@ def _roots(shared: DataFrame, sets: DataFrame, least: float, hot: int) -> DataFr
     return rooted.join(led, F.col("root") == F.col("_old"), "left").select("mark", F.coalesce("_new", "root").alias("root"))
 
 
-def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, hot: int = SMALL) -> DataFrame:
-    """doc_id, mark, fp, component_id of every row: a hash of its text, that of its group, and the smallest doc_id that its links reach."""
+def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, hot: int = SMALL, also: DataFrame | None = None) -> DataFrame:
+    """doc_id, mark, fp, component_id of every row: a hash of its text, that of its group, and the smallest doc_id that its links reach.
+
+    also: mark, group: further candidates, as the components of another method; texts of one group meet as those of one band do, and are
+    verified as they are.
+    """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     rows = stored(keyed.mapInArrow(_sketches(words), "doc_id long, mark long, sigs array<long>"), "sketches")
-    sigs = rows.select(F.explode("sigs").alias("sig"), "mark").groupBy("sig", "mark").count().select("sig", "mark")
+    sigs = rows.select(F.explode("sigs").alias("sig"), "mark")
+    if also is not None:
+        sigs = sigs.unionByName(also.select(F.xxhash64(F.lit("also"), "group").alias("sig"), "mark"))
+    sigs = sigs.groupBy("sig", "mark").count().select("sig", "mark")
     many = stored(sigs.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "bands")
     shared = stored(sigs.join(many, "sig", "left_semi"), "shared")
     # one text of each mark that shares a band, told apart before the texts travel

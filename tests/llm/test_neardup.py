@@ -101,3 +101,32 @@ def test_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert {r["doc_id"]: r["component_id"] for r in neardup.near_groups(docs).collect()} == want
+
+
+def test_candidates_of_another_method(spark, monkeypatch):
+    """Candidates that no band gives are verified as those of bands are: texts of one group that are near are linked, others aren't."""
+
+    def alone(words):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[m] for m in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "mark", "sigs"])
+
+        return run
+
+    monkeypatch.setattr(neardup, "_sketches", alone)
+    same = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, same + " tail"), (2, same + " other"), (3, "something else that is not near to any of them"), (4, same + " more")], SCHEMA)
+    found = lambda also: {r["doc_id"]: r["component_id"] for r in neardup.near_groups(docs, also=also).collect()}
+    assert found(None) == {1: 1, 2: 2, 3: 3, 4: 4}
+    marks = docs.selectExpr("xxhash64(text) AS mark", "CASE WHEN doc_id < 4 THEN 7 ELSE 8 END AS group")
+    assert found(marks) == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_the_stage_takes_simhash_components(spark, monkeypatch):
+    called = []
+    monkeypatch.setattr(corpus_pipeline.simhash, "near_groups", lambda docs, own=corpus_pipeline.simhash.near_groups, **o: called.append(1) or own(docs, **o))
+    docs = spark.createDataFrame([(1, "one text of a few words here"), (2, "one text of a few words here"), (3, "quite another one with words of its own")], SCHEMA)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, SF).collect()) == [1, 3]
+    assert called == [1]
