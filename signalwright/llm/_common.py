@@ -61,6 +61,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: The most words of 64 bits that tell rows apart before they travel.
+SIEVE = 1 << 19
+
+
+def sifted(rows: DataFrame, name: str, keys: DataFrame, *on: str) -> DataFrame:
+    """rows with a boolean column `name`: false where no row of keys has the same values in the columns `on`, true where one may have them.
+
+    A Bloom filter of SIEVE words at most is broadcast, whatever there is of keys, so that wide rows needn't be shuffled to be told apart;
+    with too many keys for it more rows are true, and what follows has more to do.
+    """
+    word, bits, h = fresh(rows, "_word"), fresh(rows, "_bits"), F.xxhash64(*on)
+    place = lambda lo: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, lo).bitwiseAND(63).cast("int"))
+    own = place(40).bitwiseOR(place(50))
+    held = keys.select(F.pmod(h, F.lit(SIEVE)).alias(word), own.alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    met = rows.join(F.broadcast(held), F.pmod(h, F.lit(SIEVE)) == F.col(word), "left")
+    return met.withColumn(name, F.coalesce(F.col(bits).bitwiseAND(own) == own, F.lit(False))).drop(word, bits)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalwright.llm._common import stored, text_slices
+from signalwright.llm._common import sifted, stored, text_slices
 from signalwright.llm.simhash import _mixed, components
 
 BANDS, DEPTH = 20, 4
@@ -223,12 +223,13 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, hot: int =
     sigs = rows.select(F.explode("sigs").alias("sig"), "mark")
     if also is not None:
         sigs = sigs.unionByName(also.select(F.xxhash64(F.lit("also"), "group").alias("sig"), "mark"))
-    sigs = sigs.groupBy("sig", "mark").count().select("sig", "mark")
-    many = stored(sigs.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "bands")
-    shared = stored(sigs.join(many, "sig", "left_semi"), "shared")
-    # one text of each mark that shares a band, told apart before the texts travel
+    many = stored(sigs.groupBy("sig").agg(F.min("mark").alias("_lo"), F.max("mark").alias("_hi")).where("_lo < _hi").select("sig"), "bands")
+    few = sifted(sigs, "_some", many, "sig").where("_some").select("sig", "mark").distinct()
+    shared = stored(few.join(many, "sig", "left_semi"), "shared")
+    # texts whose mark shares a band are told apart where they are, and only their sets travel; a few sets that nobody asks for do no harm
     need = shared.select("mark").distinct()
-    sets = stored(keyed.select("mark", "text").join(need, "mark", "left_semi").mapInArrow(_sets(words), "mark long, n long, own binary").dropDuplicates(["mark"]), "shingles")
+    own = sifted(keyed.select("mark", "text"), "_some", need, "mark").where("_some").select("mark", "text")
+    sets = stored(own.mapInArrow(_sets(words), "mark long, n long, own binary").dropDuplicates(["mark"]), "shingles")
     rooted = _roots(shared, sets, least, hot)
     distinct = rows.groupBy("mark").agg(F.min("doc_id").alias("least"))
     whole = distinct.join(rooted, "mark", "left").select("mark", "least", F.coalesce("root", "mark").alias("fp"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalwright.llm._common import cut, fresh, stored, text_slices
+from signalwright.llm._common import cut, fresh, sifted, stored, text_slices
 
 BITS = 64
 #: The greatest number of bits that links may differ in; its segments have eight bits.
@@ -246,14 +246,20 @@ def near_groups(docs: DataFrame, words: int = 3, most: int = 2, hot: int = 64) -
 def one_of_each(docs: DataFrame, grouped: DataFrame | None = None, **options: int) -> DataFrame:
     """docs with one row of each group: the one of the smallest doc_id, and of its texts the one of the smallest hash.
 
-    grouped: rows as of near_groups, where another rule than that of the fingerprints makes the groups.
+    grouped: rows as of near_groups, where another rule than that of the fingerprints makes the groups. Only rows that may go or repeat are
+    shuffled.
     """
-    own, mark = fresh(docs, "_id"), fresh(docs, "_mark")
+    own, mark, odd = fresh(docs, "_id"), fresh(docs, "_mark"), fresh(docs, "_odd")
     grouped = near_groups(docs, **options) if grouped is None else grouped
     first = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
     group = F.coalesce(F.col("component_id"), F.col("fp"))
     kept = cut(grouped.groupBy(group.alias("g"), F.col("component_id").isNull().alias("n")).agg(F.min(first).alias("f"), F.count("*").alias("rows")).select("f.id", "f.mark"))
-    keyed = docs.withColumns({own: F.col("doc_id").cast("long"), mark: F.xxhash64("text")})
-    left = keyed.join(kept, keyed[own].eqNullSafe(kept["id"]) & (keyed[mark] == kept["mark"]), "left_semi")
-    repeats = grouped.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count()
-    return (left.dropDuplicates([own, mark]) if repeats else left).select(*docs.columns)
+    pairs = grouped.groupBy("doc_id", "mark").agg((F.count("*") > 1).alias("again"))
+    met = pairs.join(kept, pairs["doc_id"].eqNullSafe(kept["id"]) & (pairs["mark"] == kept["mark"]), "left")
+    told = cut(met.select(pairs["doc_id"].alias(own), pairs["mark"].alias(mark), kept["mark"].isNull().alias("goes"), "again").where("goes OR again"))
+    keyed = sifted(docs.withColumns({own: F.col("doc_id").cast("long"), mark: F.xxhash64("text")}), odd, told, own, mark)
+    gone = told.where("goes").toDF("id", "mark", "goes", "again")
+    left = keyed.where(F.col(odd)).join(gone, keyed[own].eqNullSafe(gone["id"]) & (keyed[mark] == gone["mark"]), "left_anti")
+    if told.where("again").limit(1).count():
+        left = left.dropDuplicates([own, mark])
+    return keyed.where(~F.col(odd)).select(*docs.columns).union(left.select(*docs.columns))
